@@ -1,3 +1,4 @@
 """Imports every query module so that all queries are registered."""
 
 from talentscope.plans import analytics_queries  # noqa: F401
+from talentscope.plans import ingest_queries  # noqa: F401

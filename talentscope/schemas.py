@@ -130,8 +130,10 @@ _JS_SPACE_NO_NL = (r"\t\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}")
 JS_SPACE = "[\\n" + _JS_SPACE_NO_NL + "]"
 JS_SPACE_NO_NEWLINE = "[" + _JS_SPACE_NO_NL + "]"
-JS_TRIM_PATTERN = "^" + JS_SPACE + "+|" + JS_SPACE + "+$"
-JS_BLANK_PATTERN = "^" + JS_SPACE + "*$"
+# ``\z`` (end of text) rather than ``$``: Java's ``$`` also matches before a
+# final line terminator such as U+0085, which JS does not treat as a space.
+JS_TRIM_PATTERN = "^" + JS_SPACE + "+|" + JS_SPACE + "+\\z"
+JS_BLANK_PATTERN = "^" + JS_SPACE + "*\\z"
 
 
 def _phone_pattern() -> str:
