@@ -3,3 +3,4 @@
 from talentscope.plans import analytics_queries  # noqa: F401
 from talentscope.plans import ingest_queries  # noqa: F401
 from talentscope.plans import access_queries  # noqa: F401
+from talentscope.plans import cache_queries  # noqa: F401
