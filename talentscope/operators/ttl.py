@@ -54,9 +54,11 @@ def _anchors(nxt: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
-           id_col: str = "id") -> DataFrame:
+           id_col: str = "id", with_anchor: bool = False) -> DataFrame:
     """TTL-1 / TTL-2: every request with ``hit`` (served from the cache) or not
-    (a miss, which stores a new entry). ``id_col`` must be unique."""
+    (a miss, which stores a new entry). ``id_col`` must be unique. With
+    ``with_anchor``, ``anchor_id`` names the miss whose entry served the
+    request (itself on a miss): the last anchor of the key at or before it."""
     ttl = int(ttl_s) * MICROS
     ev = requests.select(*key_cols, F.col(id_col).alias("id"),
                          as_micros(F.col(ts_col)).alias("_t"))
@@ -70,7 +72,14 @@ def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
     anchors = _anchors(nxt, heads).withColumn("_anchor", F.lit(True))
     flagged = ev.join(anchors, "id", "left").withColumn(
         "hit", F.col("_anchor").isNull())
-    return requests.join(flagged.select(F.col("id").alias(id_col), "hit"), id_col, "inner")
+    out = flagged.select(F.col("id").alias(id_col), "hit")
+    if with_anchor:
+        neg = ev.select(*key_cols, "id", (-F.col("_t")).alias("_nt"))
+        marks = neg.join(anchors.select("id"), "id", "left_semi")
+        served = next_at_or_after(neg, marks, key_cols, "_nt", "id", "_nt", "id", ttl,
+                                  out_t="_served_nt", out_id="anchor_id")
+        out = out.join(served.select(F.col("id").alias(id_col), "anchor_id"), id_col, "inner")
+    return requests.join(out, id_col, "inner")
 
 
 def epochs(requests: DataFrame, resets: DataFrame, key_cols: list[str], ts_col: str,

@@ -20,10 +20,11 @@ def _walk_sql(ttl_s: int, out_cols: str) -> str:
     return f"""
 base as (select *, epoch_us(ts) as us, row_number() over (partition by key order by ts, id) as rn from reqs),
 walk as (
-  select key, rn, id, us, us as anchor, false as hit from base where rn = 1
+  select key, rn, id, us, us as anchor, id as anchor_id, false as hit from base where rn = 1
   union all
   select b.key, b.rn, b.id, b.us,
     case when b.us - w.anchor < {ttl_us} then w.anchor else b.us end,
+    case when b.us - w.anchor < {ttl_us} then w.anchor_id else b.id end,
     b.us - w.anchor < {ttl_us}
   from walk w join base b on b.key = w.key and b.rn = w.rn + 1)
 select {out_cols} from reqs r join walk w on w.id = r.id"""
@@ -39,14 +40,15 @@ CACHE_REQS = f"""select id, user_id, concat_ws(':', 'search', cast(user_id as va
 
 
 @register("cache_replay", _recursive(["search_logs"], CACHE_REQS, S.SEARCH_CACHE_TTL_S,
-                                     "r.id, r.user_id, r.key as cache_key, r.ts as requested_at, w.hit"))
+                                     "r.id, r.user_id, r.key as cache_key, r.ts as requested_at, w.hit, w.anchor_id"))
 def q_cache_replay(spark, sf_dir):
     logs = Domain(spark, sf_dir).search_logs()
     reqs = logs.select("id", "user_id",
                        TX.search_cache_key(F.col("user_id"), F.col("query")).alias("cache_key"),
                        F.col("created_at").alias("requested_at"))
-    return TTL.replay(reqs, ["cache_key"], "requested_at", S.SEARCH_CACHE_TTL_S).select(
-        "id", "user_id", "cache_key", "requested_at", "hit")
+    return TTL.replay(reqs, ["cache_key"], "requested_at", S.SEARCH_CACHE_TTL_S,
+                      with_anchor=True).select(
+        "id", "user_id", "cache_key", "requested_at", "hit", "anchor_id")
 
 
 REPORT_REQS = """select id, concat_ws(':', 'analytics', type, cast(days as varchar)) as key,
@@ -55,13 +57,13 @@ REPORT_REQS = """select id, concat_ws(':', 'analytics', type, cast(days as varch
 
 @register("report_snapshot_replay", _recursive(["report_requests"], REPORT_REQS,
                                                S.REPORT_CACHE_TTL_S,
-                                               "r.id, r.key as cache_key, r.ts as requested_at, w.hit"))
+                                               "r.id, r.key as cache_key, r.ts as requested_at, w.hit, w.anchor_id"))
 def q_report_snapshot_replay(spark, sf_dir):
     rr = Domain(spark, sf_dir).report_requests()
     reqs = rr.select("id", TX.analytics_cache_key(F.col("type"), F.col("days")).alias("cache_key"),
                      "requested_at")
-    return TTL.replay(reqs, ["cache_key"], "requested_at", S.REPORT_CACHE_TTL_S).select(
-        "id", "cache_key", "requested_at", "hit")
+    return TTL.replay(reqs, ["cache_key"], "requested_at", S.REPORT_CACHE_TTL_S,
+                      with_anchor=True).select("id", "cache_key", "requested_at", "hit", "anchor_id")
 
 
 PERM_REQS = """select l.id, l.user_id, concat('permissions:', cast(l.user_id as varchar), ':',

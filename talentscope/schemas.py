@@ -68,6 +68,21 @@ SEARCH_KEY_PREFIX = "search"
 ANALYTICS_KEY_PREFIX = "analytics"
 PERMISSION_KEY_PREFIX = "permissions"
 
+# Full-text index: English stop words dropped from the token index (the short
+# English stop list of the public Snowball project), and the token pattern.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves "
+    "he him his himself she her hers herself it its itself they them their "
+    "theirs themselves what which who whom this that these those am is are was "
+    "were be been being have has had having do does did doing a an the and but "
+    "if or because as until while of at by for with about against between into "
+    "through during before after above below to from up down in out on off over "
+    "under again further then once here there when where why how all any both "
+    "each few more most other some such no nor not only own same so than too "
+    "very s t can will just don should now"
+).split()
+TOKEN_SPLIT_PATTERN = r"[^\p{L}\p{N}]+"
+
 # Column limits of the stored tables (VARCHAR(n)), NOT NULL columns, enums.
 VARCHAR_LIMITS = {
     "users": {"email": 255, "password_hash": 255, "name": 255},
