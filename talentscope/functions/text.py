@@ -12,12 +12,16 @@ from talentscope import schemas as S
 
 
 def js_trim(c: Column) -> Column:
-    """``String.prototype.trim``: strips Unicode spaces and line ends."""
-    return F.regexp_replace(c, S.JS_TRIM_PATTERN, "")
+    """``String.prototype.trim``: strips Unicode spaces and line ends.
+
+    A character-set trim (``btrim``) touches only the two ends of the string,
+    unlike a regex replace, which scans all of it."""
+    return F.btrim(c, F.lit(S.JS_SPACE_CHARS))
 
 
 def js_is_blank(c: Column) -> Column:
-    return c.rlike(S.JS_BLANK_PATTERN)
+    """``!line.trim()``: empty after a JS trim."""
+    return F.length(js_trim(c)) == 0
 
 
 def normalize_query(c: Column) -> Column:

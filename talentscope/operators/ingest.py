@@ -34,9 +34,9 @@ MIME_BY_EXTENSION = {
 }
 
 
-def heading_of(line: Column) -> Column:
+def heading_of(line: Column, is_upper: bool = False) -> Column:
     """Section named by a line, keywords tested in order, or NULL."""
-    up = F.upper(line)
+    up = line if is_upper else F.upper(line)
     expr = None
     for name, words in S.SECTION_KEYWORDS:
         cond = None
@@ -46,26 +46,29 @@ def heading_of(line: Column) -> Column:
     return expr
 
 
-def _bounds_fold(lines: Column) -> Column:
-    """One left fold over the tagged lines carrying only scalars: for each
-    section the index of its last heading and of the first heading of any
-    kind after it (-1 = none yet). Linear in the number of lines, and the
-    merge function reads nothing but its own arguments."""
-    tagged = F.transform(lines, lambda x, i: F.struct(i.alias("i"), heading_of(x).alias("h")))
+def _bounds_fold(upper_lines: Column) -> Column:
+    """For each section, the index of its last heading and of the first heading
+    of any kind after it (-1 = none). Headings are found on the upper-cased
+    lines (upper-cased once per text, not once per keyword), then a left fold
+    with scalar state runs over the few heading positions only; its merge
+    function reads nothing but its own arguments."""
+    tagged = F.transform(upper_lines, lambda u, i: F.struct(i.alias("i"),
+                                                            heading_of(u, True).alias("h")))
+    heads = F.filter(tagged, lambda t: t["h"].isNotNull())
     init = F.struct(*[F.lit(-1).alias(f"{s}_{k}") for s in SECTIONS for k in ("last", "end")])
 
     def step(acc, t):
         fields = []
         for sec in SECTIONS:
             last, end = acc[f"{sec}_last"], acc[f"{sec}_end"]
-            is_sec = F.coalesce(t["h"] == F.lit(sec), F.lit(False))
-            opens_next = t["h"].isNotNull() & (last >= 0) & (end < 0)
+            is_sec = t["h"] == F.lit(sec)
+            opens_next = (last >= 0) & (end < 0)
             fields.append(F.when(is_sec, t["i"]).otherwise(last).alias(f"{sec}_last"))
             fields.append(F.when(is_sec, F.lit(-1)).when(opens_next, t["i"]).otherwise(end)
                           .alias(f"{sec}_end"))
         return F.struct(*fields)
 
-    return F.aggregate(tagged, init, step)
+    return F.aggregate(heads, init, step)
 
 
 def _section_body(lines: Column, bounds: Column, section: str) -> Column:
@@ -86,8 +89,11 @@ def structure(df: DataFrame, text_col: str = "content", keep: list[str] | None =
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
     text = F.col(text_col)
-    staged = df.select(*keep, text.alias("_text"), non_blank_lines(text).alias("lines"))
-    staged = staged.select(*keep, "_text", "lines", _bounds_fold(F.col("lines")).alias("_b"))
+    # Upper-casing never turns a blank line into a non-blank one or back, nor
+    # adds or removes a newline, so both line arrays have the same positions.
+    staged = df.select(*keep, text.alias("_text"), non_blank_lines(text).alias("lines"),
+                       non_blank_lines(F.upper(text)).alias("_upper_lines"))
+    staged = staged.select(*keep, "_text", "lines", _bounds_fold(F.col("_upper_lines")).alias("_b"))
     lines, b = F.col("lines"), F.col("_b")
     sec = {name: _section_body(lines, b, name) for name in SECTIONS}
     skills = F.when(sec["skills"].isNull(), F.array().cast("array<string>")).otherwise(
@@ -96,7 +102,7 @@ def structure(df: DataFrame, text_col: str = "content", keep: list[str] | None =
         *keep, "lines",
         first_or_default(lines, S.UNKNOWN_NAME).alias("name"),
         F.regexp_extract(F.col("_text"), S.EMAIL_PATTERN, 1).alias("email"),
-        F.nullif(F.regexp_extract(F.col("_text"), S.PHONE_PATTERN, 0), F.lit("")).alias("phone"),
+        F.nullif(F.regexp_extract(F.col("_text"), S.PHONE_PATTERN_JVM, 0), F.lit("")).alias("phone"),
         js_trim(F.array_join(sec["summary"], " ")).alias("summary"),
         skills.alias("skills"),
         sec["experience"].alias("experience_lines"),

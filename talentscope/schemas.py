@@ -145,6 +145,9 @@ _JS_SPACE_NO_NL = (r"\t\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}")
 JS_SPACE = "[\\n" + _JS_SPACE_NO_NL + "]"
 JS_SPACE_NO_NEWLINE = "[" + _JS_SPACE_NO_NL + "]"
+# The same set as literal characters, for character-set trims.
+JS_SPACE_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 # ``\z`` (end of text) rather than ``$``: Java's ``$`` also matches before a
 # final line terminator such as U+0085, which JS does not treat as a space.
 JS_TRIM_PATTERN = "^" + JS_SPACE + "+|" + JS_SPACE + "+\\z"
@@ -164,6 +167,10 @@ def _phone_pattern() -> str:
 
 
 PHONE_PATTERN = _phone_pattern()
+# Same matches, faster scan on the JVM: every match starts with a digit, '+'
+# or '(', so a one-character lookahead rejects other start positions at once
+# (RE2 has no lookaround, so SQL oracles use PHONE_PATTERN).
+PHONE_PATTERN_JVM = "(?=[0-9+(])" + PHONE_PATTERN
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 EMAIL_SHAPE_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
