@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
+from talentscope.session import spread
 from talentscope.functions.text import (first_or_default, js_trim, non_blank_lines,
                                          split_list)
 
@@ -89,6 +90,7 @@ def structure(df: DataFrame, text_col: str = "content", keep: list[str] | None =
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
     text = F.col(text_col)
+    df = spread(df, *keep[:1]) if keep else df
     # Upper-casing never turns a blank line into a non-blank one or back, nor
     # adds or removes a newline, so both line arrays have the same positions.
     staged = df.select(*keep, text.alias("_text"), non_blank_lines(text).alias("lines"),

@@ -70,3 +70,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows by ``keys`` when the input has fewer partitions than the
+    cluster has cores (few large or unsplittable files); otherwise unchanged.
+
+    Used before CPU-heavy per-row work (parsing, tokenising whole texts), so
+    that work runs on every core instead of on as many tasks as input files.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)

@@ -37,10 +37,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1,
+                 glob: str = "events.parquet") -> DataFrame:
     """The events table as a file stream (one file per trigger)."""
     return (spark.readStream.schema(S.EVENTS)
-            .option("pathGlobFilter", "events.parquet")
+            .option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", max_files)
             .parquet(sf_dir))
 
@@ -84,9 +85,9 @@ def daily_metrics_stream(logs: DataFrame, watermark: str = "1 day") -> DataFrame
                     "approx_unique_users", "avg_tokens", "avg_latency", "cache_hit_rate"))
 
 
-def run_daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_daily_metrics(spark: SparkSession, sf_dir: str, glob: str = "events.parquet") -> DataFrame:
     sink = scratch(spark, "daily_metrics")
-    _run(daily_metrics_stream(log_stream(event_stream(spark, sf_dir))), sink)
+    _run(daily_metrics_stream(log_stream(event_stream(spark, sf_dir, glob=glob))), sink)
     return spark.read.parquet(sink)
 
 
@@ -130,8 +131,8 @@ def cache_replay_stream(requests: DataFrame, ttl_s: int = S.SEARCH_CACHE_TTL_S)
         GroupStateTimeout.NoTimeout)
 
 
-def run_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = log_stream(event_stream(spark, sf_dir))
+def run_cache_replay(spark: SparkSession, sf_dir: str, glob: str = "events.parquet") -> DataFrame:
+    logs = log_stream(event_stream(spark, sf_dir, glob=glob))
     reqs = logs.select("id", "user_id",
                        search_cache_key(F.col("user_id"), F.col("query")).alias("cache_key"),
                        F.col("created_at").alias("requested_at"))
