@@ -114,3 +114,28 @@ def derive_views(views: DataFrame, visible: DataFrame) -> DataFrame:
     present) and the viewer can see the document (else the read is a 404)."""
     return (views.filter(F.col("search_log_id").isNotNull())
             .join(visible, ["user_id", "resume_id"], "left_semi"))
+
+
+def search_context_updates(requests: DataFrame, responses: DataFrame, matches: DataFrame) -> DataFrame:
+    """CNV-3 + PRJ-4: the context a served search writes to its conversation:
+    ``lastQuery``, ``lastResults`` (the matched documents projected to
+    ``{id, name}``, in the caller's list order) and the history grown by the
+    user query and the assistant explanation.
+
+    ``matches``: (response_id, resume_id, position, name) for the request's
+    results; one request's results are bounded by its response, so folding
+    them into one value per request is bounded too.
+    """
+    expl = response_explanation(responses)
+    results = (matches.groupBy(F.col("response_id").alias("id"))
+               .agg(F.array_sort(F.collect_list(F.struct("position", "resume_id", "name"))).alias("_r")))
+    ctx = F.struct(
+        F.col("query").alias("lastQuery"),
+        F.transform(F.coalesce(F.col("_r"), F.array().cast(results.schema["_r"].dataType)),
+                    lambda x: F.struct(x["resume_id"].alias("id"), x["name"].alias("name")))
+        .alias("lastResults"),
+        F.array(F.struct(F.lit("user").alias("role"), F.col("query").alias("content")),
+                F.struct(F.lit("assistant").alias("role"), F.col("explanation").alias("content")))
+        .alias("history"))
+    return (requests.select("id", "user_id", "query").join(expl, "id").join(results, "id", "left")
+            .select("id", "user_id", F.to_json(ctx).alias("context")))

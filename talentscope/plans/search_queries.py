@@ -203,3 +203,45 @@ def q_resolve_matches(spark, sf_dir):
     d = Domain(spark, sf_dir)
     ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
     return SR.resolve_matches(d.model_responses(), ranked)
+
+
+@register("prompt_context_short", with_ctes(ACCESS, {
+    "vis": VISIBLE_SQL, "ranked": RANKED_SQL,
+    "blocks": """select k.user_id, k.position, concat('Resume ', k.position, ' (ID: ', r.id, '):', chr(10),
+        'Name: ', r.name, chr(10),
+        'Skills: ', array_to_string(coalesce(cast(json_extract(r.parsed_data, '$.skills') as varchar[]), []), ', '), chr(10),
+        'Experience: ', array_to_string(list_transform(coalesce(json_transform(json_extract(r.parsed_data, '$.experience'),
+            '[{"company":"VARCHAR","position":"VARCHAR","startDate":"VARCHAR","endDate":"VARCHAR","description":"VARCHAR"}]'), []),
+            lambda e: coalesce(e.position, 'undefined') || ' at ' || coalesce(e.company, 'undefined')), '; ')) as block
+        from ranked k join resumes r on r.id = k.resume_id"""}, f"""
+select user_id, cast(floor((position - 1) / {SR.PART_DOCS}) as bigint) as part, cast(count(*) as integer) as n_docs,
+  string_agg(block, chr(10) || chr(10) order by position) as context
+from blocks group by 1, 2"""))
+def q_prompt_context_short(spark, sf_dir):
+    """CTX-1 short form (streaming route): ordinal, id, name, skills, experience."""
+    d = Domain(spark, sf_dir)
+    ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
+    return SR.prompt_context(d.resumes(), ranked, short=True)
+
+
+@register("search_context_updates", with_ctes(ACCESS + ["search_requests", "model_responses"], {
+    "vis": VISIBLE_SQL, "ranked": RANKED_SQL,
+    "r": "select id as response_id, user_id, coalesce(nullif(response, ''), '{}') as js from model_responses",
+    "named": """select distinct response_id, user_id, unnest(cast(json_extract(js, '$.results') as bigint[])) as resume_id
+        from r""",
+    "m": """select n.response_id, n.resume_id, k.position, d.name from named n
+        join ranked k on k.user_id = n.user_id and k.resume_id = n.resume_id join resumes d on d.id = n.resume_id""",
+    "res": "select response_id as id, list({'id': resume_id, 'name': name} order by position) as lr from m group by 1",
+    "ex": f"""select response_id as id, coalesce(nullif(json_extract_string(js, '$.explanation'), ''),
+        '{S.NO_EXPLANATION}') as explanation from r"""}, """
+select q.id, q.user_id, cast(to_json({'lastQuery': q.query,
+    'lastResults': coalesce(res.lr, []::struct(id bigint, name varchar)[]),
+    'history': [{'role': 'user', 'content': q.query}, {'role': 'assistant', 'content': ex.explanation}]}) as varchar)
+  as context
+from search_requests q join ex on ex.id = q.id left join res on res.id = q.id"""))
+def q_search_context_updates(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
+    matches = SR.resolve_matches(d.model_responses(), ranked).join(
+        d.resumes().select(F.col("id").alias("resume_id"), "name"), "resume_id")
+    return CNV.search_context_updates(d.search_requests(), d.model_responses(), matches)
