@@ -119,7 +119,8 @@ def recent_searches_per_user(logs: DataFrame, k: int = S.HISTORY_K) -> DataFrame
     map task, however many rows one user has."""
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     return (logs.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+            .filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("long")))
 
 
 def analytics_report(logs: DataFrame, history: DataFrame, report_type: str = "overview",
