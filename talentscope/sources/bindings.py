@@ -2,7 +2,7 @@
 
 Each binding is a projection (map-only) of one stored table; the few
 table-size constants they need (number of users, documents, conversations)
-are scalar sub-queries, computed once per query by Spark.
+are computed once per ``Domain`` and enter the plans as literals.
 """
 
 from __future__ import annotations
@@ -28,15 +28,24 @@ class Domain:
         self.sf_dir = sf_dir
         self.t = Tables(spark, sf_dir)
 
-    # -- table-size constants (scalar sub-queries) -------------------------
+    # -- table-size constants ------------------------------------------------
+    # Each is one small aggregate job (a column min/max or a footer count),
+    # run once per Domain and then used as a literal, so the plans that use
+    # them carry no repeated sub-query scans.
+    def _const(self, name, df):
+        cache = self.__dict__.setdefault("_consts", {})
+        if name not in cache:
+            cache[name] = df.first()[0]
+        return F.lit(cache[name])
+
     def n_users(self):
-        return self.t.events.agg(F.max("user_id") + 1).scalar()
+        return self._const("n_users", self.t.events.agg(F.max("user_id") + 1))
 
     def n_docs(self):
-        return self.t.documents.agg(F.count(F.lit(1))).scalar()
+        return self._const("n_docs", self.t.documents.agg(F.count(F.lit(1))))
 
     def n_convs(self):
-        return self.t.conversations.agg(F.count_distinct("conv_id")).scalar()
+        return self._const("n_convs", self.t.conversations.agg(F.count_distinct("conv_id")))
 
     # -- stored tables ------------------------------------------------------
     def search_logs(self) -> DataFrame:
