@@ -74,14 +74,29 @@ def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
         "hit", F.col("_anchor").isNull())
     out = flagged.select(F.col("id").alias(id_col), "hit")
     if with_anchor:
-        neg = ev.select(*key_cols, "id", (-F.col("_t")).alias("_nt"))
-        marks = neg.join(anchors.select("id"), "id", "left_semi")
-        served = next_at_or_after(neg, marks, key_cols, "_nt", "id", "_nt", "id", ttl,
-                                  out_t="_served_nt", out_id="anchor_id")
-        out = out.join(served.select(F.col("id").alias(id_col), "anchor_id"), id_col, "inner")
+        out = out.join(_served_by(ev, anchors.select("id"), key_cols, ttl)
+                       .withColumnRenamed("id", id_col), id_col, "inner")
     return requests.join(out, id_col, "inner")
 
 
+def _served_by(ev: DataFrame, anchor_ids: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
+    """The anchor that served each request: the latest anchor of its key at or
+    before it. Anchors lie at least one ttl apart, so a ttl-wide time chunk
+    holds at most one, and a request is served from its own chunk or the one
+    before: two equi-joins on (key, chunk), each with at most one match."""
+    chunk = F.floor(F.col("_t") / ttl)
+    anchors = (ev.join(anchor_ids, "id", "left_semi")
+               .select(*key_cols, chunk.alias("_c"), F.col("id").alias("_aid"),
+                       F.col("_t").alias("_at")))
+    prev = anchors.select(*key_cols, (F.col("_c") + 1).alias("_c"),
+                          F.col("_aid").alias("_pid"), F.col("_at").alias("_pt"))
+    reqs = ev.select(*key_cols, "id", "_t", chunk.alias("_c"))
+    both = (reqs.join(anchors, [*key_cols, "_c"], "left")
+            .join(prev, [*key_cols, "_c"], "left"))
+    same = F.col("_aid").isNotNull() & (F.col("_at") <= F.col("_t"))
+    return both.select("id", F.when(same, F.col("_aid")).otherwise(F.col("_pid")).alias("anchor_id"))
+
+
 def epochs(requests: DataFrame, resets: DataFrame, key_cols: list[str], ts_col: str,
            reset_ts_col: str, width_s: int, id_col: str = "id") -> DataFrame:
     """Tag each request with ``epoch`` = time (µs) of the last reset of its key
