@@ -125,9 +125,8 @@ group by q.query_id, i.doc_id, nq.n having count(*) = nq.n"""))
 def q_text_match_all(spark, sf_dir):
     """FTS-2 with the benchmark passages as queries (whole texts, AND of all terms)."""
     d = Domain(spark, sf_dir)
-    index = SR.token_index(d.resumes())
     queries = d.t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    return SR.text_match_all(index, queries)
+    return SR.text_match_all(d.resumes().select("id", "content"), queries)
 
 
 CRIT_ORACLE_CTES = {
