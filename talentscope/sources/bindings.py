@@ -27,6 +27,11 @@ class Domain:
         self.spark = spark
         self.sf_dir = sf_dir
         self.t = Tables(spark, sf_dir)
+        # Stored timestamps are zone-less wall-clock values; the jobs read them
+        # as UTC (epoch arithmetic, event-time windows), so the session must be
+        # in UTC whichever session the caller hands in.
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     # -- table-size constants ------------------------------------------------
     # Each is one small aggregate job (a column min/max or a footer count),
