@@ -24,10 +24,6 @@ def _heading_sql(x: str) -> str:
     return "case " + " ".join(parts) + " end"
 
 
-def _lit_list(xs):
-    return ", ".join(f"'{x}'" for x in xs)
-
-
 # DuckDB form of the parse: lines with positions, headings, the last heading
 # of each section and the next heading after it, then content per section.
 PARSE_CTES = {
