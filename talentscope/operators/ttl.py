@@ -53,16 +53,33 @@ def _anchors(nxt: DataFrame, heads: DataFrame) -> DataFrame:
     return anchors
 
 
-def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
-           id_col: str = "id", with_anchor: bool = False) -> DataFrame:
-    """TTL-1 / TTL-2: every request with ``hit`` (served from the cache) or not
-    (a miss, which stores a new entry). ``id_col`` must be unique. With
-    ``with_anchor``, ``anchor_id`` names the miss whose entry served the
-    request (itself on a miss): the last anchor of the key at or before it."""
-    ttl = int(ttl_s) * MICROS
-    ev = requests.select(*key_cols, F.col(id_col).alias("id"),
-                         as_micros(F.col(ts_col)).alias("_t"))
-    ev = cut_lineage(ev)
+SMALL_KEY_LIMIT = 512
+
+HIT_ROW = "struct<id:bigint,hit:boolean,anchor_id:bigint>"
+
+
+def _fold_small_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
+    """Keys with at most ``SMALL_KEY_LIMIT`` requests: gather each key's
+    requests (a bounded array) and fold them in time order in one pass."""
+    g = ev.groupBy(*key_cols).agg(
+        F.array_sort(F.collect_list(F.struct("_t", "id"))).alias("_evs"))
+    init = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("aid"),
+                    F.array().cast(f"array<{HIT_ROW}>").alias("out"))
+
+    def step(acc, e):
+        hit = acc["at"].isNotNull() & (e["_t"] - acc["at"] < F.lit(ttl))
+        aid = F.when(hit, acc["aid"]).otherwise(e["id"])
+        return F.struct(F.when(hit, acc["at"]).otherwise(e["_t"]).alias("at"), aid.alias("aid"),
+                        F.concat(acc["out"], F.array(F.struct(e["id"].alias("id"), hit.alias("hit"),
+                                                              aid.alias("anchor_id")))).alias("out"))
+
+    folded = g.select(F.explode(F.aggregate("_evs", init, step)["out"]).alias("r"))
+    return folded.select("r.id", "r.hit", "r.anchor_id")
+
+
+def _chain_large_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
+    """Keys of any size: next-miss pointers by chunked as-of, anchors by
+    pointer doubling, and the serving anchor by chunk equi-joins."""
     probes = ev.select(*key_cols, "id", (F.col("_t") + F.lit(ttl)).alias("_pt"))
     nxt = next_at_or_after(probes, ev, key_cols, "_pt", "id", "_t", "id", ttl,
                            out_t="nxt_t", out_id="nxt_id").select("id", "nxt_id")
@@ -70,12 +87,39 @@ def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
              .agg(F.min(F.struct("_t", "id")).alias("_h"))
              .select(F.col("_h.id").alias("id")))
     anchors = _anchors(nxt, heads).withColumn("_anchor", F.lit(True))
-    flagged = ev.join(anchors, "id", "left").withColumn(
-        "hit", F.col("_anchor").isNull())
-    out = flagged.select(F.col("id").alias(id_col), "hit")
-    if with_anchor:
-        out = out.join(_served_by(ev, anchors.select("id"), key_cols, ttl)
-                       .withColumnRenamed("id", id_col), id_col, "inner")
+    flagged = ev.join(anchors, "id", "left").select("id", F.col("_anchor").isNull().alias("hit"))
+    return flagged.join(_served_by(ev, anchors.select("id"), key_cols, ttl), "id", "inner")
+
+
+def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
+           id_col: str = "id", with_anchor: bool = False,
+           small_key_limit: int = SMALL_KEY_LIMIT) -> DataFrame:
+    """TTL-1 / TTL-2: every request with ``hit`` (served from the cache) or not
+    (a miss, which stores a new entry). ``id_col`` must be unique. With
+    ``with_anchor``, ``anchor_id`` names the miss whose entry served the
+    request (itself on a miss).
+
+    Keys are split by size: a key with at most ``small_key_limit`` requests
+    is folded directly (its requests form one bounded array); larger keys —
+    the hot ones — take the distributed pointer-doubling path, which never
+    holds a key in one task. Both give the same answer.
+    """
+    ttl = int(ttl_s) * MICROS
+    # the requests are read again for the output: materialise them once, so an
+    # expensive upstream plan (validation, ownership, visibility) runs once
+    requests = cut_lineage(requests)
+    ev = requests.select(*key_cols, F.col(id_col).alias("id"),
+                         as_micros(F.col(ts_col)).alias("_t"))
+    sizes = cut_lineage(ev.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")))
+    small = ev.join(sizes.filter(F.col("_n") <= small_key_limit).drop("_n"), key_cols, "left_semi")
+    out = _fold_small_keys(small, key_cols, ttl)
+    large_keys = sizes.filter(F.col("_n") > small_key_limit).drop("_n")
+    if not large_keys.isEmpty():
+        large = cut_lineage(ev.join(large_keys, key_cols, "left_semi"))
+        out = out.unionByName(_chain_large_keys(large, key_cols, ttl))
+    out = out.withColumnRenamed("id", id_col)
+    if not with_anchor:
+        out = out.drop("anchor_id")
     return requests.join(out, id_col, "inner")
 
 

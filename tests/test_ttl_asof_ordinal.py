@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from talentscope.operators import ttl as TTL
@@ -40,20 +42,23 @@ def test_ttl_boundary_is_a_miss_and_hits_do_not_refresh(spark):
          BASE + dt.timedelta(seconds=7000), BASE + dt.timedelta(seconds=7199),
          BASE + dt.timedelta(seconds=7200)]
     rows = [(i, "k", x) for i, x in enumerate(t)]
-    out = TTL.replay(frame(spark, rows), ["key"], "ts", 3600, with_anchor=True)
+    out = TTL.replay(frame(spark, rows), ["key"], "ts", 3600, with_anchor=True, small_key_limit=0)
     got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
     assert got == {0: (False, 0), 1: (True, 0), 2: (False, 2), 3: (True, 2), 4: (True, 2),
                    5: (False, 5)}
 
 
-def test_ttl_replay_matches_sequential_fold(spark):
+@pytest.mark.parametrize("limit", [TTL.SMALL_KEY_LIMIT, 8, 0])
+def test_ttl_replay_matches_sequential_fold(spark, limit):
+    """Small-key fold, the distributed doubling path, and a mix of both."""
     rnd = random.Random(7)
     rows = []
     for i in range(400):
-        key = f"k{rnd.randrange(4)}"
+        key = f"k{rnd.randrange(4)}" if i % 10 else f"s{i}"      # some tiny keys too
         rows.append((i, key, BASE + dt.timedelta(seconds=rnd.randrange(0, 6 * 3600))))
-    rows += [(400 + i, "k0", rows[0][2]) for i in range(3)]          # exact ties
-    out = TTL.replay(frame(spark, rows), ["key"], "ts", 600, with_anchor=True)
+    rows += [(400 + i, "k0", rows[1][2]) for i in range(3)]          # exact ties
+    out = TTL.replay(frame(spark, rows), ["key"], "ts", 600, with_anchor=True,
+                     small_key_limit=limit)
     got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
     assert got == brute_replay(rows, 600)
 
