@@ -1,16 +1,22 @@
-"""As-of lookups by time, split into bounded time chunks.
+"""As-of lookups by time over range partitions.
 
 ``next_at_or_after`` finds, for every probe (key, time), the first target of
 the same key at or after that time. Spark has no as-of join, and a window
-over the whole key would put a hot key's rows in one task. Here time is cut
-into chunks of a fixed width:
+over the whole key would put a hot key's rows in one task; a window over
+(key, fixed time chunk) still would when a hot key bursts inside one chunk
+(or many of its rows share one instant). So the split follows the data:
 
-1. inside a chunk, probes and targets are sorted together and a running
-   ``last(ignorenulls)`` over the reversed order gives the nearest target at
-   or after each probe (window partitioned by key *and* chunk);
-2. a probe with no such target in its own chunk takes the first target of
-   the nearest later non-empty chunk, from a per-(key, chunk) summary
-   (one row per non-empty chunk, however many rows the chunk holds).
+1. probes and targets are range-partitioned together on (key, time, kind,
+   id) — Spark samples the boundaries, so a hot key, even one with all its
+   rows at one instant, is spread over many partitions — and materialised
+   once, so that the partition id is stable for the two reads below;
+2. inside one (key, partition) a running ``last(ignorenulls)`` over the
+   reversed order gives the nearest target at or after each probe (a
+   (key, partition) group is never larger than one range partition);
+3. a probe with no such target in its own partition takes the first target
+   of the nearest later partition that holds one, from a per-(key,
+   partition) summary: one row per partition a key touches, so at most the
+   partition count per key, however many rows the key has.
 
 Both windows use a running frame (unbounded preceding → current row), which
 Spark evaluates in one streaming pass.
@@ -21,50 +27,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentscope.session import cut_lineage
+
 
 def next_at_or_after(probes: DataFrame, targets: DataFrame, keys: list[str],
                      probe_t: str, probe_id: str, target_t: str, target_id: str,
-                     width: int, out_t: str = "next_t", out_id: str = "next_id") -> DataFrame:
+                     parts: int | None = None, out_t: str = "next_t",
+                     out_id: str = "next_id") -> DataFrame:
     """Probes with the (time, id) of the first target (by time, then id) of the
     same key whose time is ≥ the probe time; NULL when there is none.
 
-    ``probe_t`` / ``target_t`` are integer times (e.g. epoch microseconds);
-    ``width`` is the chunk width in the same unit.
+    ``probe_t`` / ``target_t`` are integer times (e.g. epoch microseconds).
+    ``parts``: number of range partitions (default: the session's shuffle
+    partitions).
     """
+    spark = probes.sparkSession
+    n = int(parts or spark.conf.get("spark.sql.shuffle.partitions"))
     p = probes.select(*keys, F.col(probe_t).alias("_t"), F.col(probe_id).alias("_id"),
-                      F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_ht"),
-                      F.lit(None).cast("long").alias("_hid"))
+                      F.lit(0).alias("_kind"))
     t = targets.select(*keys, F.col(target_t).alias("_t"), F.col(target_id).alias("_id"),
-                       F.lit(1).alias("_kind"), F.col(target_t).alias("_ht"),
-                       F.col(target_id).alias("_hid"))
-    u = p.unionByName(t).withColumn("_c", F.floor(F.col("_t") / width))
+                       F.lit(1).alias("_kind"))
+    # ascending (key, time, kind, id): at equal time a probe sorts before the
+    # targets, so "the first target after the probe" includes equal times
+    ranged = cut_lineage(p.unionByName(t)
+                         .repartitionByRange(n, *keys, "_t", "_kind", "_id")
+                         .withColumn("_pid", F.spark_partition_id()))
 
-    # 1. nearest target at or after the probe, inside the probe's chunk
-    within = (Window.partitionBy(*keys, "_c")
+    # 2. nearest target at or after the probe, inside the probe's partition
+    within = (Window.partitionBy(*keys, "_pid")
               .orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_id").desc())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hit = F.when(F.col("_kind") == 1, F.struct(F.col("_ht").alias("t"), F.col("_hid").alias("id")))
-    local = (u.withColumn("_near", F.last(hit, ignorenulls=True).over(within))
+    hit = F.when(F.col("_kind") == 1, F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))
+    local = (ranged.withColumn("_near", F.last(hit, ignorenulls=True).over(within))
              .filter(F.col("_kind") == 0)
-             .select(*keys, "_c", F.col("_id").alias(probe_id), "_near"))
+             .select(*keys, "_pid", F.col("_id").alias(probe_id), "_near"))
 
-    # 2. first target of the nearest later non-empty chunk
-    firsts = (t.withColumn("_c", F.floor(F.col("_t") / width))
-              .groupBy(*keys, "_c")
+    # 3. first target of the nearest later partition of the same key
+    firsts = (ranged.filter(F.col("_kind") == 1)
+              .groupBy(*keys, "_pid")
               .agg(F.min(F.struct(F.col("_t").alias("t"), F.col("_id").alias("id"))).alias("_first"))
               .withColumn("_kind", F.lit(1)))
-    probe_chunks = (local.select(*keys, "_c").distinct()
-                    .withColumn("_kind", F.lit(0))
-                    .withColumn("_first", F.lit(None).cast(firsts.schema["_first"].dataType)))
-    later = (Window.partitionBy(*keys).orderBy(F.col("_c").desc(), F.col("_kind").asc())
+    open_parts = (local.filter(F.col("_near").isNull()).select(*keys, "_pid").distinct()
+                  .withColumn("_kind", F.lit(0))
+                  .withColumn("_first", F.lit(None).cast(firsts.schema["_first"].dataType)))
+    later = (Window.partitionBy(*keys).orderBy(F.col("_pid").desc(), F.col("_kind").asc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fallback = (probe_chunks.unionByName(firsts)
+    fallback = (open_parts.unionByName(firsts)
                 .withColumn("_later", F.last(F.when(F.col("_kind") == 1, F.col("_first")),
                                              ignorenulls=True).over(later))
                 .filter(F.col("_kind") == 0)
-                .select(*keys, "_c", "_later"))
+                .select(*keys, "_pid", "_later"))
 
-    res = local.join(fallback, [*keys, "_c"], "left")
+    res = local.join(fallback, [*keys, "_pid"], "left")
     best = F.coalesce(F.col("_near"), F.col("_later"))
     return res.select(*keys, probe_id, best["t"].alias(out_t), best["id"].alias(out_id))
 

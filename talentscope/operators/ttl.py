@@ -13,8 +13,8 @@ This is not a session window (the anchor is fixed, not sliding).
 
 Distributed, exact evaluation without one task per key:
 
-1. ``nxt`` for every request by a chunked as-of lookup (``asof``), with the
-   chunk width equal to the ttl;
+1. ``nxt`` for every request by an as-of lookup over range partitions
+   (``asof``), which splits a hot key however its requests bunch in time;
 2. the chain from each key's first request by pointer doubling: with
    ``J_i = nxt^(2^i)``, round i adds ``J_i(A)`` to the anchor set ``A`` and
    squares the pointer table. After round i, A holds every anchor within
@@ -25,7 +25,7 @@ Distributed, exact evaluation without one task per key:
 Invalidations (TTL-3) split a key's timeline into epochs: the epoch of a
 request is the time of the last invalidation at or before it (an
 invalidation at the same instant as a request comes first), found with the
-same chunked as-of lookup, and the epoch becomes part of the key.
+same as-of lookup, and the epoch becomes part of the key.
 """
 
 from __future__ import annotations
@@ -78,10 +78,11 @@ def _fold_small_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
 
 
 def _chain_large_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
-    """Keys of any size: next-miss pointers by chunked as-of, anchors by
-    pointer doubling, and the serving anchor by chunk equi-joins."""
+    """Keys of any size: next-miss pointers by the range-partitioned as-of
+    lookup, anchors by pointer doubling, and the serving anchor by chunk
+    equi-joins."""
     probes = ev.select(*key_cols, "id", (F.col("_t") + F.lit(ttl)).alias("_pt"))
-    nxt = next_at_or_after(probes, ev, key_cols, "_pt", "id", "_t", "id", ttl,
+    nxt = next_at_or_after(probes, ev, key_cols, "_pt", "id", "_t", "id",
                            out_t="nxt_t", out_id="nxt_id").select("id", "nxt_id")
     heads = (ev.groupBy(*key_cols)
              .agg(F.min(F.struct("_t", "id")).alias("_h"))
@@ -142,7 +143,7 @@ def _served_by(ev: DataFrame, anchor_ids: DataFrame, key_cols: list[str], ttl: i
 
 
 def epochs(requests: DataFrame, resets: DataFrame, key_cols: list[str], ts_col: str,
-           reset_ts_col: str, width_s: int, id_col: str = "id") -> DataFrame:
+           reset_ts_col: str, id_col: str = "id") -> DataFrame:
     """Tag each request with ``epoch`` = time (µs) of the last reset of its key
     at or before it (-1 when none)."""
     r = requests.select(*key_cols, F.col(id_col).alias("_rid"),
@@ -151,7 +152,7 @@ def epochs(requests: DataFrame, resets: DataFrame, key_cols: list[str], ts_col:
                       F.monotonically_increasing_id().alias("_sid"))
     # last reset ≤ t  ==  first (by negated time) reset with -time ≥ -t
     last = next_at_or_after(r, s, key_cols, "_neg_t", "_rid", "_neg_t", "_sid",
-                            int(width_s) * MICROS, out_t="_neg_reset", out_id="_reset_id")
+                            out_t="_neg_reset", out_id="_reset_id")
     tagged = last.select(F.col("_rid").alias(id_col),
                          F.coalesce(-F.col("_neg_reset"), F.lit(-1)).alias("epoch"))
     return requests.join(tagged, id_col, "inner")
@@ -161,5 +162,5 @@ def replay_with_resets(requests: DataFrame, resets: DataFrame, key_cols: list[st
                        ts_col: str, reset_ts_col: str, ttl_s: int,
                        id_col: str = "id") -> DataFrame:
     """TTL-3: replay where a reset of the key deletes its entry."""
-    tagged = cut_lineage(epochs(requests, resets, key_cols, ts_col, reset_ts_col, ttl_s, id_col))
+    tagged = cut_lineage(epochs(requests, resets, key_cols, ts_col, reset_ts_col, id_col))
     return replay(tagged, key_cols + ["epoch"], ts_col, ttl_s, id_col)

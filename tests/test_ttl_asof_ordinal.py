@@ -92,13 +92,31 @@ def test_next_at_or_after_matches_brute_force(spark):
     probes = [(i, f"k{rnd.randrange(3)}", rnd.randrange(0, 1100)) for i in range(200)]
     t = spark.createDataFrame(targets, "tid long, key string, t long")
     p = spark.createDataFrame(probes, "pid long, key string, pt long")
-    out = next_at_or_after(p, t, ["key"], "pt", "pid", "t", "tid", 37)
+    out = next_at_or_after(p, t, ["key"], "pt", "pid", "t", "tid", parts=7)
     got = {r["pid"]: r["next_id"] for r in out.collect()}
     for pid, key, pt in probes:
         cands = sorted((tt, tid) for tid, k, tt in targets if k == key and tt >= pt)
         assert got[pid] == (cands[0][1] if cands else None)
 
 
+def test_next_at_or_after_splits_a_burst_at_one_instant(spark):
+    """A hot key whose rows all share one instant is still spread over many
+    range partitions, and the answers stay exact across partition edges."""
+    targets = [(i, "hot", 500) for i in range(0, 600, 2)] + [(1000 + i, "hot", 900) for i in range(5)]
+    targets += [(2000 + i, "cold", 10 * i) for i in range(20)]
+    probes = [(i, "hot", 500) for i in range(300)] + [(300 + i, "hot", 501) for i in range(50)]
+    probes += [(400 + i, "cold", 10 * i + 5) for i in range(20)] + [(500, "hot", 901)]
+    t = spark.createDataFrame(targets, "tid long, key string, t long")
+    p = spark.createDataFrame(probes, "pid long, key string, pt long")
+    out = next_at_or_after(p, t, ["key"], "pt", "pid", "t", "tid", parts=16)
+    got = {r["pid"]: (r["next_t"], r["next_id"]) for r in out.collect()}
+    want = {}
+    for pid, key, pt in probes:
+        cands = sorted((tt, tid) for tid, k, tt in targets if k == key and tt >= pt)
+        want[pid] = cands[0] if cands else (None, None)
+    assert got == want
+
+
 def test_ordinal_equals_row_number_with_a_hot_group(spark):
     rnd = random.Random(9)
     rows = [(i, 0 if i % 3 else rnd.randrange(1, 20), rnd.randrange(0, 50)) for i in range(3000)]
