@@ -6,8 +6,11 @@
 * STR-2 cache replay: ``applyInPandasWithState`` keyed by cache key; the
   state is the key's current anchor (time and id), so a key costs a few bytes
   of state however long it lives. Within a micro-batch a key's requests are
-  sorted by (time, id) and folded; across batches order is assumed (a late
-  request is judged against the current anchor).
+  sorted by (time, id) and folded — by search, once per miss (the next miss
+  is the first request at or after the last miss + ttl), not once per
+  request; across batches order is assumed (a late request is judged against
+  the current anchor). A key's rows of one micro-batch meet in one task, so
+  the micro-batch size (``maxFilesPerTrigger``) bounds that group.
 * STR-3 view counts: stream–static join with the document table and an
   update-mode count per document, written by ``foreachBatch`` (each batch's
   changed counts, tagged by batch id; the latest per document is current).
@@ -22,6 +25,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,23 +106,43 @@ REPLAY_STATE = T.StructType([T.StructField("anchor_us", T.LongType()),
                              T.StructField("anchor_id", T.LongType())])
 
 
+def _misses(t: np.ndarray, ttl_us: int, start: int) -> np.ndarray:
+    """Positions of the misses in the sorted times ``t``, the first at
+    ``start``: each next miss is the first request at or after the previous
+    miss + ttl, so the loop runs once per miss, not once per request."""
+    out = []
+    i = start
+    while i < len(t):
+        out.append(i)
+        i = int(np.searchsorted(t, t[i] + ttl_us, "left"))
+    return np.asarray(out, dtype=np.int64)
+
+
 def _replay_fn(ttl_us: int):
     def fold(key, batches, state):
         anchor_us, anchor_id = (state.get if state.exists else (None, None))
-        for pdf in batches:
+        # the key's rows of this micro-batch may come in several chunks in no
+        # particular order: sort them together (they are in this task anyway)
+        frames = [f for f in batches if len(f)]
+        if frames:
+            pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
             us = pdf["requested_at"].astype("datetime64[us]").astype("int64")
             pdf = pdf.assign(_us=us.values).sort_values(["_us", "id"], kind="stable")
-            hits, served = [], []
-            for rid, t in zip(pdf["id"].tolist(), pdf["_us"].tolist()):
-                hit = anchor_us is not None and t - anchor_us < ttl_us
-                if not hit:
-                    anchor_us, anchor_id = t, rid
-                hits.append(hit)
-                served.append(anchor_id)
-            yield pd.DataFrame({"id": pdf["id"].values, "user_id": pdf["user_id"].values,
+            t, ids = pdf["_us"].to_numpy(), pdf["id"].to_numpy()
+            first = 0 if anchor_us is None else int(np.searchsorted(t, anchor_us + ttl_us, "left"))
+            miss = _misses(t, ttl_us, first)
+            hit = np.ones(len(t), dtype=bool)
+            hit[miss] = False
+            # the entry serving row j is the last miss at or before j, else the state's
+            k = np.searchsorted(miss, np.arange(len(t)), "right") - 1
+            own = ids[miss[np.maximum(k, 0)]] if len(miss) else np.zeros(len(t), dtype=np.int64)
+            served = np.where(k >= 0, own, -1 if anchor_id is None else anchor_id)
+            if len(miss):
+                anchor_us, anchor_id = int(t[miss[-1]]), int(ids[miss[-1]])
+            yield pd.DataFrame({"id": ids, "user_id": pdf["user_id"].values,
                                 "cache_key": pdf["cache_key"].values,
                                 "requested_at": pdf["requested_at"].values,
-                                "hit": hits, "anchor_id": served})
+                                "hit": hit, "anchor_id": served})
         if anchor_us is not None:
             state.update((anchor_us, anchor_id))
     return fold

@@ -34,6 +34,56 @@ def test_stream_cache_replay_equals_batch_over_micro_batches(spark):
         map(tuple, batch.select(cols).collect()))
 
 
+class _State:
+    """Stand-in for GroupState: exists / get / update."""
+
+    def __init__(self):
+        self.value = None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+def test_stream_fold_equals_sequential_fold_across_batches():
+    """The per-key stream fold (misses found by search, not a per-row loop)
+    against a plain loop, over several batches with ties and TTL boundaries."""
+    import random
+
+    import pandas as pd
+    rnd = random.Random(13)
+    ttl = 10
+    base = pd.Timestamp("2024-01-01")
+    rows = sorted((rnd.randrange(0, 200), i) for i in range(300))
+    rows += [(rows[7][0], 1000 + i) for i in range(3)]           # ties at one instant
+    rows += [(rows[-1][0] + ttl, 2000), (rows[-1][0] + ttl - 1, 2001)]
+    rows.sort()
+    want, anchor = {}, None
+    for t, rid in rows:
+        if anchor is not None and t - anchor[0] < ttl:
+            want[rid] = (True, anchor[1])
+        else:
+            anchor = (t, rid)
+            want[rid] = (False, rid)
+    fold = jobs._replay_fn(ttl * 1_000_000)
+    state, got = _State(), {}
+    for lo, hi in [(0, 40), (40, 41), (41, 200), (200, len(rows))]:
+        part = rows[lo:hi]
+        rnd.shuffle(part)
+        pdf = pd.DataFrame({"id": [r for _, r in part], "user_id": 1, "cache_key": "k",
+                            "requested_at": [base + pd.Timedelta(seconds=t) for t, _ in part]})
+        for out in fold(("k",), iter([pdf]), state):
+            got.update({r.id: (bool(r.hit), int(r.anchor_id)) for r in out.itertuples()})
+    assert got == want
+
+
 def test_stream_daily_metrics_closed_days_equal_batch_counts(spark):
     folder = split_events(3)
     streamed = {r["day"]: r["search_count"] for r in
