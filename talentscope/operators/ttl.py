@@ -11,16 +11,24 @@ anchor, the first request at or after anchor + ttl: a chain along the
 pointer ``nxt(r)`` = first request of the key at or after ``t(r) + ttl``.
 This is not a session window (the anchor is fixed, not sliding).
 
-Distributed, exact evaluation without one task per key:
-
-1. ``nxt`` for every request by an as-of lookup over range partitions
-   (``asof``), which splits a hot key however its requests bunch in time;
-2. the chain from each key's first request by pointer doubling: with
-   ``J_i = nxt^(2^i)``, round i adds ``J_i(A)`` to the anchor set ``A`` and
-   squares the pointer table. After round i, A holds every anchor within
-   2^(i+1) steps of the head, and the loop stops once ``J`` is empty, i.e.
-   after ⌈log2(longest chain)⌉ + 1 rounds. Every round is two equi-joins;
-   both tables are checkpointed each round to cut the lineage.
+Keys are sized first and take one of three exact paths:
+
+* at most ``SMALL_KEY_LIMIT`` requests: the key's requests form one bounded,
+  time-sorted array, folded in one ``aggregate`` pass (JVM-side);
+* at most ``BOUNDED_KEY_LIMIT`` requests: one ``applyInPandas`` call per key
+  over its (bounded, a few MB) requests; the misses are found by search,
+  once per miss, since each is the first request at or after the previous
+  miss + ttl;
+* larger (hot) keys never sit in one task:
+
+  1. ``nxt`` for every request by an as-of lookup over range partitions
+     (``asof``), which splits a hot key however its requests bunch in time;
+  2. the chain from each key's first request by pointer doubling: with
+     ``J_i = nxt^(2^i)``, round i adds ``J_i(A)`` to the anchor set ``A`` and
+     squares the pointer table. After round i, A holds every anchor within
+     2^(i+1) steps of the head, and the loop stops once ``J`` is empty, i.e.
+     after ⌈log2(longest chain)⌉ + 1 rounds. Every round is two equi-joins;
+     both tables are checkpointed each round to cut the lineage.
 
 Invalidations (TTL-3) split a key's timeline into epochs: the epoch of a
 request is the time of the last invalidation at or before it (an
@@ -30,6 +38,8 @@ same as-of lookup, and the epoch becomes part of the key.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +87,43 @@ def _fold_small_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
     return folded.select("r.id", "r.hit", "r.anchor_id")
 
 
+BOUNDED_KEY_LIMIT = 1 << 16
+
+
+def miss_positions(t: np.ndarray, ttl: int, start: int = 0) -> np.ndarray:
+    """Positions of the misses in the sorted times ``t`` when the first miss
+    is at ``start``: the next miss is the first request at or after the last
+    miss + ttl, so the loop runs once per miss, not once per request."""
+    out = []
+    i = start
+    while i < len(t):
+        out.append(i)
+        i = int(np.searchsorted(t, t[i] + ttl, "left"))
+    return np.asarray(out, dtype=np.int64)
+
+
+def served_by_position(n: int, miss: np.ndarray) -> np.ndarray:
+    """For each of ``n`` sorted requests, the index into ``miss`` of the miss
+    that serves it (the last miss at or before it; -1 when none)."""
+    return np.searchsorted(miss, np.arange(n), "right") - 1
+
+
+def _fold_bounded_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
+    """Keys with at most ``BOUNDED_KEY_LIMIT`` requests: one pandas call per key."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", "id"], kind="stable")
+        t, ids = pdf["_t"].to_numpy(), pdf["id"].to_numpy()
+        miss = miss_positions(t, ttl)
+        hit = np.ones(len(t), dtype=bool)
+        hit[miss] = False
+        anchor = ids[miss[served_by_position(len(t), miss)]]
+        return pd.DataFrame({"id": ids, "hit": hit, "anchor_id": anchor})
+
+    return (ev.select(*key_cols, "id", "_t").groupBy(*key_cols)
+            .applyInPandas(fold, "id long, hit boolean, anchor_id long"))
+
+
 def _chain_large_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
     """Keys of any size: next-miss pointers by the range-partitioned as-of
     lookup, anchors by pointer doubling, and the serving anchor by chunk
@@ -94,16 +141,17 @@ def _chain_large_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame
 
 def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
            id_col: str = "id", with_anchor: bool = False,
-           small_key_limit: int = SMALL_KEY_LIMIT) -> DataFrame:
+           small_key_limit: int = SMALL_KEY_LIMIT,
+           bounded_key_limit: int = BOUNDED_KEY_LIMIT) -> DataFrame:
     """TTL-1 / TTL-2: every request with ``hit`` (served from the cache) or not
     (a miss, which stores a new entry). ``id_col`` must be unique. With
     ``with_anchor``, ``anchor_id`` names the miss whose entry served the
     request (itself on a miss).
 
-    Keys are split by size: a key with at most ``small_key_limit`` requests
-    is folded directly (its requests form one bounded array); larger keys —
-    the hot ones — take the distributed pointer-doubling path, which never
-    holds a key in one task. Both give the same answer.
+    Keys are split by size: at most ``small_key_limit`` requests are folded
+    in one array pass, at most ``bounded_key_limit`` in one pandas call per
+    key; larger keys — the hot ones — take the distributed pointer-doubling
+    path, which never holds a key in one task. All give the same answer.
     """
     ttl = int(ttl_s) * MICROS
     # the requests are read again for the output: materialise them once, so an
@@ -114,7 +162,12 @@ def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
     sizes = cut_lineage(ev.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")))
     small = ev.join(sizes.filter(F.col("_n") <= small_key_limit).drop("_n"), key_cols, "left_semi")
     out = _fold_small_keys(small, key_cols, ttl)
-    large_keys = sizes.filter(F.col("_n") > small_key_limit).drop("_n")
+    n = F.col("_n")
+    mid_keys = sizes.filter((n > small_key_limit) & (n <= bounded_key_limit)).drop("_n")
+    if not mid_keys.isEmpty():
+        out = out.unionByName(_fold_bounded_keys(ev.join(mid_keys, key_cols, "left_semi"),
+                                                 key_cols, ttl))
+    large_keys = sizes.filter((n > small_key_limit) & (n > bounded_key_limit)).drop("_n")
     if not large_keys.isEmpty():
         large = cut_lineage(ev.join(large_keys, key_cols, "left_semi"))
         out = out.unionByName(_chain_large_keys(large, key_cols, ttl))

@@ -34,6 +34,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from talentscope import schemas as S
 from talentscope.functions.text import search_cache_key
+from talentscope.operators import ttl as TTL
 from talentscope.session import checkpoint_dir
 
 
@@ -106,18 +107,6 @@ REPLAY_STATE = T.StructType([T.StructField("anchor_us", T.LongType()),
                              T.StructField("anchor_id", T.LongType())])
 
 
-def _misses(t: np.ndarray, ttl_us: int, start: int) -> np.ndarray:
-    """Positions of the misses in the sorted times ``t``, the first at
-    ``start``: each next miss is the first request at or after the previous
-    miss + ttl, so the loop runs once per miss, not once per request."""
-    out = []
-    i = start
-    while i < len(t):
-        out.append(i)
-        i = int(np.searchsorted(t, t[i] + ttl_us, "left"))
-    return np.asarray(out, dtype=np.int64)
-
-
 def _replay_fn(ttl_us: int):
     def fold(key, batches, state):
         anchor_us, anchor_id = (state.get if state.exists else (None, None))
@@ -130,11 +119,11 @@ def _replay_fn(ttl_us: int):
             pdf = pdf.assign(_us=us.values).sort_values(["_us", "id"], kind="stable")
             t, ids = pdf["_us"].to_numpy(), pdf["id"].to_numpy()
             first = 0 if anchor_us is None else int(np.searchsorted(t, anchor_us + ttl_us, "left"))
-            miss = _misses(t, ttl_us, first)
+            miss = TTL.miss_positions(t, ttl_us, first)
             hit = np.ones(len(t), dtype=bool)
             hit[miss] = False
             # the entry serving row j is the last miss at or before j, else the state's
-            k = np.searchsorted(miss, np.arange(len(t)), "right") - 1
+            k = TTL.served_by_position(len(t), miss)
             own = ids[miss[np.maximum(k, 0)]] if len(miss) else np.zeros(len(t), dtype=np.int64)
             served = np.where(k >= 0, own, -1 if anchor_id is None else anchor_id)
             if len(miss):

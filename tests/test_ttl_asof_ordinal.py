@@ -42,15 +42,18 @@ def test_ttl_boundary_is_a_miss_and_hits_do_not_refresh(spark):
          BASE + dt.timedelta(seconds=7000), BASE + dt.timedelta(seconds=7199),
          BASE + dt.timedelta(seconds=7200)]
     rows = [(i, "k", x) for i, x in enumerate(t)]
-    out = TTL.replay(frame(spark, rows), ["key"], "ts", 3600, with_anchor=True, small_key_limit=0)
-    got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
-    assert got == {0: (False, 0), 1: (True, 0), 2: (False, 2), 3: (True, 2), 4: (True, 2),
-                   5: (False, 5)}
-
-
-@pytest.mark.parametrize("limit", [TTL.SMALL_KEY_LIMIT, 8, 0])
-def test_ttl_replay_matches_sequential_fold(spark, limit):
-    """Small-key fold, the distributed doubling path, and a mix of both."""
+    want = {0: (False, 0), 1: (True, 0), 2: (False, 2), 3: (True, 2), 4: (True, 2), 5: (False, 5)}
+    for small, bounded in [(TTL.SMALL_KEY_LIMIT, 0), (0, TTL.BOUNDED_KEY_LIMIT), (0, 0)]:
+        out = TTL.replay(frame(spark, rows), ["key"], "ts", 3600, with_anchor=True,
+                         small_key_limit=small, bounded_key_limit=bounded)
+        assert {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("small,bounded", [(TTL.SMALL_KEY_LIMIT, TTL.BOUNDED_KEY_LIMIT),
+                                           (8, TTL.BOUNDED_KEY_LIMIT), (0, TTL.BOUNDED_KEY_LIMIT),
+                                           (8, 8), (0, 0)])
+def test_ttl_replay_matches_sequential_fold(spark, small, bounded):
+    """Array fold, per-key pandas fold, distributed doubling path, and mixes."""
     rnd = random.Random(7)
     rows = []
     for i in range(400):
@@ -58,7 +61,7 @@ def test_ttl_replay_matches_sequential_fold(spark, limit):
         rows.append((i, key, BASE + dt.timedelta(seconds=rnd.randrange(0, 6 * 3600))))
     rows += [(400 + i, "k0", rows[1][2]) for i in range(3)]          # exact ties
     out = TTL.replay(frame(spark, rows), ["key"], "ts", 600, with_anchor=True,
-                     small_key_limit=limit)
+                     small_key_limit=small, bounded_key_limit=bounded)
     got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
     assert got == brute_replay(rows, 600)
 
