@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.operators.asof import as_micros, next_at_or_after
+from talentscope.operators.asof import as_micros, next_at_or_after, null_safe_join
 from talentscope.session import cut_lineage
 
 MICROS = 1_000_000
@@ -160,16 +160,17 @@ def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
     ev = requests.select(*key_cols, F.col(id_col).alias("id"),
                          as_micros(F.col(ts_col)).alias("_t"))
     sizes = cut_lineage(ev.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")))
-    small = ev.join(sizes.filter(F.col("_n") <= small_key_limit).drop("_n"), key_cols, "left_semi")
+    small = null_safe_join(ev, sizes.filter(F.col("_n") <= small_key_limit).drop("_n"), key_cols,
+                           "left_semi")
     out = _fold_small_keys(small, key_cols, ttl)
     n = F.col("_n")
     mid_keys = sizes.filter((n > small_key_limit) & (n <= bounded_key_limit)).drop("_n")
     if not mid_keys.isEmpty():
-        out = out.unionByName(_fold_bounded_keys(ev.join(mid_keys, key_cols, "left_semi"),
+        out = out.unionByName(_fold_bounded_keys(null_safe_join(ev, mid_keys, key_cols, "left_semi"),
                                                  key_cols, ttl))
     large_keys = sizes.filter((n > small_key_limit) & (n > bounded_key_limit)).drop("_n")
     if not large_keys.isEmpty():
-        large = cut_lineage(ev.join(large_keys, key_cols, "left_semi"))
+        large = cut_lineage(null_safe_join(ev, large_keys, key_cols, "left_semi"))
         out = out.unionByName(_chain_large_keys(large, key_cols, ttl))
     out = out.withColumnRenamed("id", id_col)
     if not with_anchor:
@@ -189,8 +190,8 @@ def _served_by(ev: DataFrame, anchor_ids: DataFrame, key_cols: list[str], ttl: i
     prev = anchors.select(*key_cols, (F.col("_c") + 1).alias("_c"),
                           F.col("_aid").alias("_pid"), F.col("_at").alias("_pt"))
     reqs = ev.select(*key_cols, "id", "_t", chunk.alias("_c"))
-    both = (reqs.join(anchors, [*key_cols, "_c"], "left")
-            .join(prev, [*key_cols, "_c"], "left"))
+    both = null_safe_join(null_safe_join(reqs, anchors, [*key_cols, "_c"], "left"),
+                          prev, [*key_cols, "_c"], "left")
     same = F.col("_aid").isNotNull() & (F.col("_at") <= F.col("_t"))
     return both.select("id", F.when(same, F.col("_aid")).otherwise(F.col("_pid")).alias("anchor_id"))
 

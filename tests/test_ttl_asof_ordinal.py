@@ -66,6 +66,18 @@ def test_ttl_replay_matches_sequential_fold(spark, small, bounded):
     assert got == brute_replay(rows, 600)
 
 
+@pytest.mark.parametrize("small,bounded", [(TTL.SMALL_KEY_LIMIT, 0), (0, TTL.BOUNDED_KEY_LIMIT), (0, 0)])
+def test_ttl_replay_keeps_null_keys(spark, small, bounded):
+    """A NULL key is a key like any other: its requests are replayed, not dropped."""
+    rnd = random.Random(17)
+    rows = [(i, None if i % 2 else "k", BASE + dt.timedelta(seconds=rnd.randrange(0, 3 * 3600)))
+            for i in range(60)]
+    out = TTL.replay(frame(spark, rows), ["key"], "ts", 900, with_anchor=True,
+                     small_key_limit=small, bounded_key_limit=bounded)
+    got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
+    assert got == brute_replay(rows, 900)
+
+
 def test_ttl_with_resets_matches_sequential_fold(spark):
     rnd = random.Random(11)
     rows = [(i, f"u{rnd.randrange(3)}", BASE + dt.timedelta(seconds=rnd.randrange(0, 4 * 3600)))
