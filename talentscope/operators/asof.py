@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentscope.operators.joins import null_safe_join
 from talentscope.session import cut_lineage
 
 
@@ -83,15 +84,6 @@ def next_at_or_after(probes: DataFrame, targets: DataFrame, keys: list[str],
     return res.select(*keys, probe_id, best["t"].alias(out_t), best["id"].alias(out_id))
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str) -> DataFrame:
-    """Equi-join on ``cols`` where NULL matches NULL (``<=>``, still planned as
-    an equi-join), so rows with a NULL key are kept like any other key; the
-    key columns appear once, from the left side."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
-    out = left.join(r, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols], how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in cols])
-
-
 def as_micros(c: Column) -> Column:
     """Epoch microseconds of an NTZ timestamp in a UTC session."""
     return F.unix_micros(c.cast("timestamp"))

@@ -43,7 +43,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.operators.asof import as_micros, next_at_or_after, null_safe_join
+from talentscope.operators.asof import as_micros, next_at_or_after
+from talentscope.operators.joins import null_safe_join
 from talentscope.session import cut_lineage
 
 MICROS = 1_000_000

@@ -143,3 +143,15 @@ def test_ordinal_equals_row_number_with_a_hot_group(spark):
         members = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
         want.update({r[0]: i + 1 for i, r in enumerate(members)})
     assert got == want
+
+
+def test_ordinal_keeps_a_null_group(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2, i % 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g long, v long").repartition(5)
+    out = ordinal(df, ["g"], [F.col("v").asc(), F.col("id").asc()], "n")
+    got = {r["id"]: r["n"] for r in out.collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        members = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        want.update({r[0]: i + 1 for i, r in enumerate(members)})
+    assert got == want
