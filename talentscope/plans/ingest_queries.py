@@ -141,9 +141,39 @@ def q_upload_gate(spark, sf_dir):
     return I.upload_gate(Domain(spark, sf_dir).uploads())
 
 
-@register("ingest_documents")
+def _ingest_oracle() -> str:
+    """PRS-8 in DuckDB: the parse of ``PARSE_CTES``, the section lines as
+    lists, and the stored record written as JSON the way Spark's ``to_json``
+    writes it (fields in record order, NULL fields left out)."""
+    ctes = dict(PARSE_CTES)
+    ctes["sect_lines"] = """select b.id, b.section,
+        coalesce(list(t.line order by t.i) filter (where t.i is not null), []) as lines
+        from bounds b left join tagged t on t.id = b.id and t.i > b.hpos and t.i < b.epos
+        group by all"""
+    no_exp = "coalesce(len(e.lines), 0) = 0"
+    body = f"""
+select r.id, r.created_by, p.name, p.email, p.phone, r.content,
+  '{{' || concat_ws(',',
+    '"name":' || to_json(p.name), '"email":' || to_json(p.email),
+    '"phone":' || to_json(p.phone), '"summary":' || to_json(p.summary),
+    '"skills":' || to_json(p.skills), '"experience":' || to_json(e.lines),
+    '"education":' || to_json(u.lines)) || '}}' as parsed_data,
+  case when p.name is not null and p.name <> '{S.UNKNOWN_NAME}' and coalesce(p.email, '') <> ''
+    and len(p.skills) > 0 and not ({no_exp}) then 'accepted' else 'quarantined' end as status,
+  concat_ws('; ',
+    case when p.name is null or p.name = '{S.UNKNOWN_NAME}' then '{S.ERR_NAME}' end,
+    case when coalesce(p.email, '') = '' then '{S.ERR_EMAIL}' end,
+    case when len(p.skills) = 0 then '{S.ERR_SKILLS}' end,
+    case when {no_exp} then '{S.ERR_EXPERIENCE}' end) as errors
+from resumes r join parsed p on p.id = r.id
+left join sect_lines e on e.id = r.id and e.section = 'experience'
+left join sect_lines u on u.id = r.id and u.section = 'education'"""
+    return with_ctes(["resumes"], ctes, body)
+
+
+@register("ingest_documents", _ingest_oracle())
 def q_ingest_documents(spark, sf_dir):
-    """PRS-8 (rows-only): every document parsed, validated, routed."""
+    """PRS-8: every document parsed, validated, routed."""
     r = Domain(spark, sf_dir).resumes()
     return I.ingest(r.select("id", "created_by", "content"))
 
