@@ -21,23 +21,64 @@ def _window(col: str, days: int) -> str:
     return f"{col} > {AS_OF} - INTERVAL {days} DAY"
 
 
-DAILY_SQL = f"""
+def _daily_sql(days: int) -> str:
+    return f"""
 select cast(date_trunc('day', created_at) as timestamp) as day, count(*) as search_count,
   count(distinct user_id) as unique_users, round(avg(tokens_used), 6) as avg_tokens,
   round(avg(latency_ms), 6) as avg_latency,
   round(cast(sum(case when cache_hit then 1 else 0 end) as double) / count(*) * 100, 6) as cache_hit_rate
-from search_logs where {_window('created_at', S.DEFAULT_DAYS)}
+from search_logs where {_window('created_at', days)}
 group by 1 order by 1 desc"""
 
 
+DAILY_SQL = _daily_sql(S.DEFAULT_DAYS)
+
+
+def _popular_sql(k: int) -> str:
+    return f"""
+select query, count(*) as count from search_logs where {_window('created_at', S.POPULAR_WINDOW_DAYS)}
+group by query order by count desc, query asc limit {k}"""
+
+
+def _summary_sql(days: int, daily: str = "daily") -> str:
+    return f"""
+select cast(coalesce((select sum(search_count) from {daily}), 0) as bigint) as total_searches,
+  (select count(distinct user_id) from search_logs where {_window('created_at', days)}) as unique_users,
+  (select count(distinct unique_users) from {daily}) as distinct_daily_user_counts,
+  round((select avg(a) from (select avg(results_count) as a from search_history
+          where {_window('created_at', days)} group by date_trunc('day', created_at))), 6) as avg_results_per_search"""
+
+
+# (name, kind) of the fields of each part, in the order Spark's to_json writes them
+DAILY_FIELDS = [("day", "ts"), ("search_count", "num"), ("unique_users", "num"),
+                ("avg_tokens", "num"), ("avg_latency", "num"), ("cache_hit_rate", "num")]
+POPULAR_FIELDS = [("query", "str"), ("count", "num")]
+SUMMARY_FIELDS = [("total_searches", "num"), ("unique_users", "num"),
+                  ("distinct_daily_user_counts", "num"), ("avg_results_per_search", "num")]
+
+
+def _json_sql(fields) -> str:
+    """DuckDB expression writing one row as Spark's ``to_json(struct(...))``
+    does: fields in order, NULL fields left out, timestamps as
+    ``yyyy-MM-ddTHH:mm:ss.SSS``, numbers in their shortest form."""
+    parts = []
+    for name, kind in fields:
+        if kind == "str":
+            v = f"to_json({name})"
+        elif kind == "ts":
+            v = f"""'"' || strftime({name}, '%Y-%m-%dT%H:%M:%S.%g') || '"'"""
+        else:
+            v = f"cast({name} as varchar)"
+        parts.append(f"""'"{name}":' || {v}""")
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
 @register("daily_search_metrics", with_bindings(["search_logs"], DAILY_SQL))
 def q_daily_search_metrics(spark, sf_dir):
     return A.daily_search_metrics(Domain(spark, sf_dir).search_logs())
 
 
-@register("popular_searches", with_bindings(["search_logs"], f"""
-select query, count(*) as count from search_logs where {_window('created_at', 30)}
-group by query order by count desc, query asc limit 10"""))
+@register("popular_searches", with_bindings(["search_logs"], _popular_sql(S.POPULAR_K_OVERVIEW)))
 def q_popular_searches(spark, sf_dir):
     return A.popular_searches(Domain(spark, sf_dir).search_logs())
 
@@ -52,12 +93,8 @@ def q_most_viewed(spark, sf_dir):
     return A.most_viewed(d.resumes(), d.resume_views())
 
 
-@register("analytics_summary", with_ctes(["search_logs", "search_history"], {"daily": DAILY_SQL}, f"""
-select cast(coalesce((select sum(search_count) from daily), 0) as bigint) as total_searches,
-  (select count(distinct user_id) from search_logs where {_window('created_at', 7)}) as unique_users,
-  (select count(distinct unique_users) from daily) as distinct_daily_user_counts,
-  round((select avg(a) from (select avg(results_count) as a from search_history
-          where {_window('created_at', 7)} group by date_trunc('day', created_at))), 6) as avg_results_per_search"""))
+@register("analytics_summary", with_ctes(["search_logs", "search_history"], {"daily": DAILY_SQL},
+                                          _summary_sql(S.DEFAULT_DAYS)))
 def q_analytics_summary(spark, sf_dir):
     d = Domain(spark, sf_dir)
     return A.analytics_summary(d.search_logs(), d.search_history())
@@ -80,9 +117,26 @@ def q_recent_searches_per_user(spark, sf_dir):
     return A.recent_searches_per_user(Domain(spark, sf_dir).search_logs())
 
 
-@register("analytics_overview")
+def _overview_oracle() -> str:
+    ctes, selects = {}, []
+    for days in (7, 30):
+        ctes[f"daily_{days}"] = _daily_sql(days)
+        ctes[f"summary_{days}"] = _summary_sql(days, f"daily_{days}")
+    for k in (S.POPULAR_K_OVERVIEW, S.POPULAR_K_SEARCHES):
+        ctes[f"popular_{k}"] = _popular_sql(k)
+    for rtype, k in (("overview", S.POPULAR_K_OVERVIEW), ("searches", S.POPULAR_K_SEARCHES)):
+        for days in (7, 30):
+            parts = [("daily", f"daily_{days}", DAILY_FIELDS), ("popular", f"popular_{k}", POPULAR_FIELDS)]
+            if rtype != "searches":
+                parts.append(("summary", f"summary_{days}", SUMMARY_FIELDS))
+            selects += [f"select '{rtype}' as report_type, {days} as days, '{name}' as part, "
+                        f"{_json_sql(fields)} as payload from {cte}" for name, cte, fields in parts]
+    return with_ctes(["search_logs", "search_history"], ctes, "\nunion all\n".join(selects))
+
+
+@register("analytics_overview", _overview_oracle())
 def q_analytics_overview(spark, sf_dir):
-    """AGG-9 (rows-only): both report types for 7 and 30 days, as JSON rows."""
+    """AGG-9: both report types for 7 and 30 days, as JSON rows."""
     d = Domain(spark, sf_dir)
     logs, hist = d.search_logs(), d.search_history()
     out = None
@@ -153,8 +207,9 @@ def q_decode_event_props(spark, sf_dir):
         "event_id", F.col("decoded.k").alias("k"), "corrupt_record")
 
 
-@register("export_results_json")
+@register("export_results_json", with_ctes(["search_logs"], {"daily": _daily_sql(30)},
+                                          f"select {_json_sql(DAILY_FIELDS)} as json from daily"))
 def q_export_results_json(spark, sf_dir):
-    """SRC-4 (rows-only): daily metrics encoded as JSON lines."""
+    """SRC-4: daily metrics encoded as JSON lines."""
     daily = A.daily_search_metrics(Domain(spark, sf_dir).search_logs(), days=30)
     return codec.encode_json(daily)
