@@ -11,9 +11,21 @@ from talentscope.sources.bindings import Domain
 from talentscope.streaming import jobs
 
 
-@register("stream_daily_metrics")
+# STR-1 emits a day once the watermark (latest event time in milliseconds, as
+# Spark tracks it, minus one day) has passed the day's end
+STREAM_DAILY_SQL = with_ctes(["search_logs"], {}, """
+select cast(date_trunc('day', created_at) as timestamp) as day, count(*) as search_count,
+  count(distinct user_id) as unique_users, round(avg(tokens_used), 6) as avg_tokens,
+  round(avg(latency_ms), 6) as avg_latency,
+  round(cast(sum(case when cache_hit then 1 else 0 end) as double) / count(*) * 100, 6) as cache_hit_rate
+from search_logs group by 1
+having epoch_ms(cast(date_trunc('day', created_at) as timestamp) + interval 1 day)
+       <= (select epoch_ms(max(created_at)) from search_logs) - 86400000""")
+
+
+@register("stream_daily_metrics", STREAM_DAILY_SQL)
 def q_stream_daily_metrics(spark, sf_dir):
-    """STR-1 (rows-only: distinct users are approximate on a stream)."""
+    """STR-1: the closed days of the event stream, with exact distinct users."""
     return jobs.run_daily_metrics(spark, sf_dir)
 
 

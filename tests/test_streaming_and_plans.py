@@ -84,15 +84,22 @@ def test_stream_fold_equals_sequential_fold_across_batches():
     assert got == want
 
 
-def test_stream_daily_metrics_closed_days_equal_batch_counts(spark):
+def test_stream_daily_metrics_closed_days_equal_batch(spark):
+    """Three micro-batches: every closed day equals the batch metrics exactly,
+    distinct users included."""
     folder = split_events(3)
-    streamed = {r["day"]: r["search_count"] for r in
+    cols = ["search_count", "unique_users", "avg_tokens", "avg_latency", "cache_hit_rate"]
+    streamed = {r["day"]: tuple(r[c] for c in cols) for r in
                 jobs.run_daily_metrics(spark, folder, glob="events-*.parquet").collect()}
     logs = E.queries()["scan_search_logs"](spark, SF_SMALL)
-    batch = {r["day"]: r["n"] for r in logs.groupBy(
+    n = F.count(F.lit(1))
+    batch = {r["day"]: tuple(r[c] for c in cols) for r in logs.groupBy(
         F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    assert streamed and all(batch[d] == n for d, n in streamed.items())
+        n.alias("search_count"), F.count_distinct("user_id").alias("unique_users"),
+        F.round(F.avg("tokens_used"), 6).alias("avg_tokens"),
+        F.round(F.avg("latency_ms"), 6).alias("avg_latency"),
+        F.round(F.count_if("cache_hit").cast("double") / n * 100, 6).alias("cache_hit_rate")).collect()}
+    assert streamed and all(batch[d] == v for d, v in streamed.items())
     assert max(streamed) < max(batch)  # the last day is still open
 
 
