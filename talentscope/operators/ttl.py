@@ -165,12 +165,17 @@ def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
                            "left_semi")
     out = _fold_small_keys(small, key_cols, ttl)
     n = F.col("_n")
-    mid_keys = sizes.filter((n > small_key_limit) & (n <= bounded_key_limit)).drop("_n")
-    if not mid_keys.isEmpty():
+    is_mid = (n > small_key_limit) & (n <= bounded_key_limit)
+    is_large = (n > small_key_limit) & (n > bounded_key_limit)
+    # one small job over the key sizes tells which of the other paths are needed
+    has_mid, has_large = sizes.agg(F.coalesce(F.bool_or(is_mid), F.lit(False)),
+                                   F.coalesce(F.bool_or(is_large), F.lit(False))).first()
+    if has_mid:
+        mid_keys = sizes.filter(is_mid).drop("_n")
         out = out.unionByName(_fold_bounded_keys(null_safe_join(ev, mid_keys, key_cols, "left_semi"),
                                                  key_cols, ttl))
-    large_keys = sizes.filter((n > small_key_limit) & (n > bounded_key_limit)).drop("_n")
-    if not large_keys.isEmpty():
+    if has_large:
+        large_keys = sizes.filter(is_large).drop("_n")
         large = cut_lineage(null_safe_join(ev, large_keys, key_cols, "left_semi"))
         out = out.unionByName(_chain_large_keys(large, key_cols, ttl))
     out = out.withColumnRenamed("id", id_col)
