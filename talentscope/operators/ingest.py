@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
+from talentscope.functions.time import DEFAULT_AS_OF, ts_ntz
 from talentscope.session import spread
 from talentscope.functions.text import (first_or_default, js_trim, non_blank_lines,
                                          split_list)
@@ -185,6 +186,35 @@ def ingest(documents: DataFrame, as_written: bool = False) -> DataFrame:
         F.array_join("errors", "; ").alias("errors"))
 
 
+def ingest_pipeline(uploads: DataFrame, documents: DataFrame,
+                    as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """PRS-8 end to end, for every upload: the gate (SRC-2) → parse →
+    validate → the row to insert (SNK-1 defaults: created and updated now).
+
+    ``uploads``: id, file_name, size_bytes; ``documents``: id, created_by
+    (the uploader), content (the extracted text). ``status`` is 'rejected'
+    (the gate's first failed check is the ``reason``), 'quarantined' (the
+    validation errors are the ``reason``) or 'accepted'. Only uploads that
+    pass the gate are parsed.
+    """
+    gate = upload_gate(uploads).select("id", "reason", "accepted")
+    joined = documents.select("id", "created_by", "content").join(gate, "id", "inner")
+    parsed = ingest(joined.filter(F.col("accepted")).drop("reason", "accepted"))
+    ok = F.col("status") == "accepted"
+    stamp = F.when(ok, ts_ntz(as_of))
+    passed = parsed.select(
+        "id", "created_by", "status", F.when(~ok, F.col("errors")).alias("reason"),
+        "name", "email", "phone", "content", "parsed_data",
+        stamp.alias("created_at"), stamp.alias("updated_at"))
+    none = F.lit(None).cast("string")
+    rejected = joined.filter(~F.col("accepted")).select(
+        "id", "created_by", F.lit("rejected").alias("status"), "reason",
+        none.alias("name"), none.alias("email"), none.alias("phone"), none.alias("content"),
+        none.alias("parsed_data"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return passed.unionByName(rejected)
+
+
 def write_ingest(result: DataFrame, accepted_path: str, quarantine_path: str) -> None:
     """Split sink: accepted rows to the document table, the rest to quarantine."""
     result.filter(F.col("status") == "accepted").drop("status", "errors") \

@@ -8,12 +8,14 @@ from talentscope import schemas as S
 from talentscope.functions import text as TX
 from talentscope.functions import time as TM
 from talentscope.operators import ingest as I
-from talentscope.plans.oracle_bindings import with_ctes
+from talentscope.functions.time import DEFAULT_AS_OF
+from talentscope.plans.oracle_bindings import BINDINGS as BINDINGS_SQL, with_ctes
 from talentscope.plans.registry import register
 from talentscope.sources.bindings import Domain
 
 BLANK = S.JS_BLANK_PATTERN
 TRIM = S.JS_TRIM_PATTERN
+AS_OF = f"TIMESTAMP '{DEFAULT_AS_OF}'"
 
 
 def _heading_sql(x: str) -> str:
@@ -125,7 +127,7 @@ def q_doc_validation(spark, sf_dir):
         written, "id")
 
 
-@register("upload_gate", with_ctes(["uploads"], {}, f"""
+UPLOAD_GATE_SELECT = f"""
 select id, file_name, size_bytes,
   case lower(regexp_extract(file_name, '\\.([^.]+)\\z', 1)) when 'pdf' then '{S.ALLOWED_UPLOAD_TYPES[0]}'
     when 'docx' then '{S.ALLOWED_UPLOAD_TYPES[1]}' when 'txt' then 'text/plain'
@@ -136,22 +138,24 @@ select id, file_name, size_bytes,
   end as reason,
   (file_name is not null and size_bytes <= {S.MAX_UPLOAD_BYTES}
    and lower(regexp_extract(file_name, '\\.([^.]+)\\z', 1)) in ('pdf', 'docx', 'txt')) as accepted
-from uploads"""))
+from uploads"""
+
+
+@register("upload_gate", with_ctes(["uploads"], {}, UPLOAD_GATE_SELECT))
 def q_upload_gate(spark, sf_dir):
     return I.upload_gate(Domain(spark, sf_dir).uploads())
 
 
-def _ingest_oracle() -> str:
-    """PRS-8 in DuckDB: the parse of ``PARSE_CTES``, the section lines as
-    lists, and the stored record written as JSON the way Spark's ``to_json``
-    writes it (fields in record order, NULL fields left out)."""
-    ctes = dict(PARSE_CTES)
-    ctes["sect_lines"] = """select b.id, b.section,
-        coalesce(list(t.line order by t.i) filter (where t.i is not null), []) as lines
-        from bounds b left join tagged t on t.id = b.id and t.i > b.hpos and t.i < b.epos
-        group by all"""
-    no_exp = "coalesce(len(e.lines), 0) = 0"
-    body = f"""
+INGEST_CTES = dict(PARSE_CTES)
+INGEST_CTES["sect_lines"] = """select b.id, b.section,
+    coalesce(list(t.line order by t.i) filter (where t.i is not null), []) as lines
+    from bounds b left join tagged t on t.id = b.id and t.i > b.hpos and t.i < b.epos
+    group by all"""
+_NO_EXP = "coalesce(len(e.lines), 0) = 0"
+# PRS-8 in DuckDB: the parse of ``PARSE_CTES``, the section lines as lists, and
+# the stored record written as JSON the way Spark's ``to_json`` writes it
+# (fields in record order, NULL fields left out).
+INGEST_SELECT = f"""
 select r.id, r.created_by, p.name, p.email, p.phone, r.content,
   '{{' || concat_ws(',',
     '"name":' || to_json(p.name), '"email":' || to_json(p.email),
@@ -159,16 +163,19 @@ select r.id, r.created_by, p.name, p.email, p.phone, r.content,
     '"skills":' || to_json(p.skills), '"experience":' || to_json(e.lines),
     '"education":' || to_json(u.lines)) || '}}' as parsed_data,
   case when p.name is not null and p.name <> '{S.UNKNOWN_NAME}' and coalesce(p.email, '') <> ''
-    and len(p.skills) > 0 and not ({no_exp}) then 'accepted' else 'quarantined' end as status,
+    and len(p.skills) > 0 and not ({_NO_EXP}) then 'accepted' else 'quarantined' end as status,
   concat_ws('; ',
     case when p.name is null or p.name = '{S.UNKNOWN_NAME}' then '{S.ERR_NAME}' end,
     case when coalesce(p.email, '') = '' then '{S.ERR_EMAIL}' end,
     case when len(p.skills) = 0 then '{S.ERR_SKILLS}' end,
-    case when {no_exp} then '{S.ERR_EXPERIENCE}' end) as errors
+    case when {_NO_EXP} then '{S.ERR_EXPERIENCE}' end) as errors
 from resumes r join parsed p on p.id = r.id
 left join sect_lines e on e.id = r.id and e.section = 'experience'
 left join sect_lines u on u.id = r.id and u.section = 'education'"""
-    return with_ctes(["resumes"], ctes, body)
+
+
+def _ingest_oracle() -> str:
+    return with_ctes(["resumes"], INGEST_CTES, INGEST_SELECT)
 
 
 @register("ingest_documents", _ingest_oracle())
@@ -178,6 +185,32 @@ def q_ingest_documents(spark, sf_dir):
     return I.ingest(r.select("id", "created_by", "content"))
 
 
+def _pipeline_oracle() -> str:
+    """Gate first; only uploads that pass it are parsed (``resumes`` is cut to
+    them before the parse CTEs read it)."""
+    ctes = {"all_resumes": BINDINGS_SQL["resumes"], "uploads": BINDINGS_SQL["uploads"],
+            "gate": UPLOAD_GATE_SELECT,
+            "resumes": "select r.* from all_resumes r join gate g on g.id = r.id where g.accepted"}
+    ctes.update(INGEST_CTES)
+    ctes["ing"] = INGEST_SELECT
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + f"""
+select id, created_by, status, case when status = 'accepted' then null else errors end as reason,
+  name, email, phone, content, parsed_data,
+  case when status = 'accepted' then {AS_OF} end as created_at,
+  case when status = 'accepted' then {AS_OF} end as updated_at
+from ing
+union all
+select g.id, r.created_by, 'rejected', g.reason, null, null, null, null, null, null, null
+from gate g join all_resumes r on r.id = g.id where not g.accepted"""
+
+
+@register("ingest_pipeline", _pipeline_oracle())
+def q_ingest_pipeline(spark, sf_dir):
+    """PRS-8 + SRC-2 + SNK-1: every upload gated, parsed, validated and routed."""
+    d = Domain(spark, sf_dir)
+    return I.ingest_pipeline(d.uploads(), d.resumes().select("id", "created_by", "content"))
+
+
 @register("scalar_text_functions", with_ctes(["search_requests"], {}, f"""
 select id, concat_ws(':', 'search', cast(user_id as varchar),
          regexp_replace(lower(query), '{TRIM}', '', 'g')) as cache_key,

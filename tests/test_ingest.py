@@ -98,3 +98,23 @@ def test_upload_gate_first_failed_check(spark):
     assert out[1]["reason"] == S.UPLOAD_ERR_SIZE
     assert out[2]["reason"] == S.UPLOAD_ERR_TYPE
     assert out[3]["accepted"] and out[4]["accepted"]
+
+
+def test_pipeline_gates_then_parses_then_routes(spark):
+    good = "Ann Lee\nann@x.org\nSKILLS\njava, sql\nEXPERIENCE\nengineer at acme"
+    no_skills = "Bob Roe\nbob@x.org\nEXPERIENCE\nclerk"
+    uploads = spark.createDataFrame(
+        [(1, "a.pdf", 100), (2, "b.txt", 100), (3, "c.exe", 100), (4, "d.docx", 11 * 1024 * 1024),
+         (5, None, 10)], "id long, file_name string, size_bytes long")
+    docs = spark.createDataFrame(
+        [(1, 7, good), (2, 8, no_skills), (3, 9, good), (4, 9, good), (5, 9, good)],
+        "id long, created_by long, content string")
+    out = {r["id"]: r for r in I.ingest_pipeline(uploads, docs).collect()}
+    assert out[1]["status"] == "accepted" and out[1]["reason"] is None
+    assert out[1]["created_at"] is not None and out[1]["content"] == good
+    assert out[2]["status"] == "quarantined" and out[2]["reason"] == S.ERR_SKILLS
+    assert out[2]["created_at"] is None
+    assert (out[3]["status"], out[3]["reason"]) == ("rejected", S.UPLOAD_ERR_TYPE)
+    assert (out[4]["status"], out[4]["reason"]) == ("rejected", S.UPLOAD_ERR_SIZE)
+    assert (out[5]["status"], out[5]["reason"]) == ("rejected", S.UPLOAD_ERR_MISSING)
+    assert all(out[i]["parsed_data"] is None and out[i]["created_by"] == 9 for i in (3, 4, 5))
