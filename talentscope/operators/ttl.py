@@ -143,7 +143,8 @@ def _chain_large_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame
 def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
            id_col: str = "id", with_anchor: bool = False,
            small_key_limit: int = SMALL_KEY_LIMIT,
-           bounded_key_limit: int = BOUNDED_KEY_LIMIT) -> DataFrame:
+           bounded_key_limit: int = BOUNDED_KEY_LIMIT,
+           materialise: bool = True) -> DataFrame:
     """TTL-1 / TTL-2: every request with ``hit`` (served from the cache) or not
     (a miss, which stores a new entry). ``id_col`` must be unique. With
     ``with_anchor``, ``anchor_id`` names the miss whose entry served the
@@ -153,11 +154,16 @@ def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
     in one array pass, at most ``bounded_key_limit`` in one pandas call per
     key; larger keys — the hot ones — take the distributed pointer-doubling
     path, which never holds a key in one task. All give the same answer.
+
+    The requests are read twice (sizes and folds, then the output join).
+    With ``materialise`` (the default) they are checkpointed first, so an
+    expensive upstream plan runs once; pass ``False`` when they are a plain
+    projection of a stored table (re-reading is cheaper than writing them)
+    or already materialised.
     """
     ttl = int(ttl_s) * MICROS
-    # the requests are read again for the output: materialise them once, so an
-    # expensive upstream plan (validation, ownership, visibility) runs once
-    requests = cut_lineage(requests)
+    if materialise:
+        requests = cut_lineage(requests)
     ev = requests.select(*key_cols, F.col(id_col).alias("id"),
                          as_micros(F.col(ts_col)).alias("_t"))
     sizes = cut_lineage(ev.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")))
@@ -223,4 +229,4 @@ def replay_with_resets(requests: DataFrame, resets: DataFrame, key_cols: list[st
                        id_col: str = "id") -> DataFrame:
     """TTL-3: replay where a reset of the key deletes its entry."""
     tagged = cut_lineage(epochs(requests, resets, key_cols, ts_col, reset_ts_col, id_col))
-    return replay(tagged, key_cols + ["epoch"], ts_col, ttl_s, id_col)
+    return replay(tagged, key_cols + ["epoch"], ts_col, ttl_s, id_col, materialise=False)

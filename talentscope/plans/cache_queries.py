@@ -46,8 +46,9 @@ def q_cache_replay(spark, sf_dir):
     reqs = logs.select("id", "user_id",
                        TX.search_cache_key(F.col("user_id"), F.col("query")).alias("cache_key"),
                        F.col("created_at").alias("requested_at"))
+    # the requests are a projection of the stored log: re-read, not materialised
     return TTL.replay(reqs, ["cache_key"], "requested_at", S.SEARCH_CACHE_TTL_S,
-                      with_anchor=True).select(
+                      with_anchor=True, materialise=False).select(
         "id", "user_id", "cache_key", "requested_at", "hit", "anchor_id")
 
 
@@ -63,7 +64,8 @@ def q_report_snapshot_replay(spark, sf_dir):
     reqs = rr.select("id", TX.analytics_cache_key(F.col("type"), F.col("days")).alias("cache_key"),
                      "requested_at")
     return TTL.replay(reqs, ["cache_key"], "requested_at", S.REPORT_CACHE_TTL_S,
-                      with_anchor=True).select("id", "cache_key", "requested_at", "hit", "anchor_id")
+                      with_anchor=True, materialise=False).select(
+        "id", "cache_key", "requested_at", "hit", "anchor_id")
 
 
 PERM_REQS = """select l.id, l.user_id, concat('permissions:', cast(l.user_id as varchar), ':',

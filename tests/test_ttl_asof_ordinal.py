@@ -73,7 +73,7 @@ def test_ttl_replay_keeps_null_keys(spark, small, bounded):
     rows = [(i, None if i % 2 else "k", BASE + dt.timedelta(seconds=rnd.randrange(0, 3 * 3600)))
             for i in range(60)]
     out = TTL.replay(frame(spark, rows), ["key"], "ts", 900, with_anchor=True,
-                     small_key_limit=small, bounded_key_limit=bounded)
+                     small_key_limit=small, bounded_key_limit=bounded, materialise=False)
     got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
     assert got == brute_replay(rows, 900)
 
