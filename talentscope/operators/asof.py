@@ -15,11 +15,12 @@ over the whole key would put a hot key's rows in one task; a window over
    (key, partition) group is never larger than one range partition);
 3. a probe with no such target in its own partition takes the first target
    of the nearest later partition that holds one, from a per-(key,
-   partition) summary: one row per partition a key touches, so at most the
-   partition count per key, however many rows the key has.
+   partition) summary (first target, last target, last probe): one row per
+   partition a key touches, so at most the partition count per key, however
+   many rows the key has.
 
-Both windows use a running frame (unbounded preceding → current row), which
-Spark evaluates in one streaming pass.
+Both windows use a growing frame (from unbounded preceding), which Spark
+evaluates in one streaming pass.
 """
 
 from __future__ import annotations
@@ -63,20 +64,22 @@ def next_at_or_after(probes: DataFrame, targets: DataFrame, keys: list[str],
              .filter(F.col("_kind") == 0)
              .select(*keys, "_pid", F.col("_id").alias(probe_id), "_near"))
 
-    # 3. first target of the nearest later partition of the same key
-    firsts = (ranged.filter(F.col("_kind") == 1)
-              .groupBy(*keys, "_pid")
-              .agg(F.min(F.struct(F.col("_t").alias("t"), F.col("_id").alias("id"))).alias("_first"))
-              .withColumn("_kind", F.lit(1)))
-    open_parts = (local.filter(F.col("_near").isNull()).select(*keys, "_pid").distinct()
-                  .withColumn("_kind", F.lit(0))
-                  .withColumn("_first", F.lit(None).cast(firsts.schema["_first"].dataType)))
-    later = (Window.partitionBy(*keys).orderBy(F.col("_pid").desc(), F.col("_kind").asc())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fallback = (open_parts.unionByName(firsts)
-                .withColumn("_later", F.last(F.when(F.col("_kind") == 1, F.col("_first")),
-                                             ignorenulls=True).over(later))
-                .filter(F.col("_kind") == 0)
+    # 3. first target of the nearest later partition of the same key, for the
+    # (key, partition) groups whose last probe comes after their last target
+    # (only those probes found nothing locally); one summary row per group
+    pos = F.struct(F.col("_t").alias("t"), F.col("_kind").alias("k"), F.col("_id").alias("id"))
+    is_target = F.col("_kind") == 1
+    summary = ranged.groupBy(*keys, "_pid").agg(
+        F.min(F.when(is_target, F.struct(F.col("_t").alias("t"), F.col("_id").alias("id"))))
+        .alias("_first"),
+        F.max(F.when(is_target, pos)).alias("_last_target"),
+        F.max(F.when(~is_target, pos)).alias("_last_probe"))
+    later = (Window.partitionBy(*keys).orderBy(F.col("_pid").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    is_open = F.col("_last_probe").isNotNull() & (
+        F.col("_last_target").isNull() | (F.col("_last_probe") > F.col("_last_target")))
+    fallback = (summary.withColumn("_later", F.last("_first", ignorenulls=True).over(later))
+                .filter(is_open)
                 .select(*keys, "_pid", "_later"))
 
     res = null_safe_join(local, fallback, [*keys, "_pid"], "left")

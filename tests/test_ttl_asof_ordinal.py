@@ -155,3 +155,16 @@ def test_ordinal_keeps_a_null_group(spark):
         members = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
         want.update({r[0]: i + 1 for i, r in enumerate(members)})
     assert got == want
+
+
+def test_as_of_windows_never_span_a_whole_key(spark):
+    """Every window over probe/target rows is partitioned by the range
+    partition too; only the per-(key, partition) summary is windowed by key."""
+    t = spark.createDataFrame([(i, "k", i * 10) for i in range(50)], "tid long, key string, t long")
+    p = spark.createDataFrame([(i, "k", i * 7) for i in range(50)], "pid long, key string, pt long")
+    out = next_at_or_after(p, t, ["key"], "pt", "pid", "t", "tid", parts=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    specs = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert len(specs) == 2
+    row_window = [s for s in specs if "_first" not in s]
+    assert len(row_window) == 1 and "_pid" in row_window[0].split("windowspecdefinition(")[1]
