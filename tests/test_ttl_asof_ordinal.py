@@ -168,3 +168,48 @@ def test_as_of_windows_never_span_a_whole_key(spark):
     assert len(specs) == 2
     row_window = [s for s in specs if "_first" not in s]
     assert len(row_window) == 1 and "_pid" in row_window[0].split("windowspecdefinition(")[1]
+
+
+def test_next_at_or_after_property(spark):
+    """Random keys (NULL included), times with many ties, any partition count."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    key = st.sampled_from(["a", "b", None])
+    row = st.tuples(key, st.integers(0, 30))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, max_size=40), st.lists(row, min_size=1, max_size=40), st.integers(1, 9))
+    def check(targets, probes, parts):
+        t = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(targets)],
+                                  "tid long, key string, t long")
+        p = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(probes)],
+                                  "pid long, key string, pt long")
+        got = {r["pid"]: (r["next_t"], r["next_id"]) for r in
+               next_at_or_after(p, t, ["key"], "pt", "pid", "t", "tid", parts=parts).collect()}
+        for pid, (k, pt) in enumerate(probes):
+            cands = sorted((x, i) for i, (kk, x) in enumerate(targets) if kk == k and x >= pt)
+            assert got[pid] == (cands[0] if cands else (None, None))
+
+    check()
+
+
+def test_ttl_replay_property(spark):
+    """Random requests (ties, NULL keys) through random path limits equal the
+    sequential fold."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.sampled_from(["x", "y", None]), st.integers(0, 3 * 600))
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=1, max_size=60),
+           st.sampled_from([(TTL.SMALL_KEY_LIMIT, 0), (0, TTL.BOUNDED_KEY_LIMIT), (0, 0), (3, 10)]))
+    def check(reqs, limits):
+        rows = [(i, k, BASE + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(reqs)]
+        out = TTL.replay(frame(spark, rows), ["key"], "ts", 300, with_anchor=True,
+                         small_key_limit=limits[0], bounded_key_limit=limits[1])
+        got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
+        assert got == brute_replay(rows, 300)
+
+    check()
