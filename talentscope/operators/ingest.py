@@ -195,7 +195,8 @@ def ingest_pipeline(uploads: DataFrame, documents: DataFrame,
     (the uploader), content (the extracted text). ``status`` is 'rejected'
     (the gate's first failed check is the ``reason``), 'quarantined' (the
     validation errors are the ``reason``) or 'accepted'. Only uploads that
-    pass the gate are parsed.
+    pass the gate are parsed. From files: ``read_upload_files`` gives both
+    inputs (the path as id, the decoded text as content).
     """
     gate = upload_gate(uploads).select("id", "reason", "accepted")
     joined = documents.select("id", "created_by", "content").join(gate, "id", "inner")

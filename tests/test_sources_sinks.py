@@ -43,3 +43,26 @@ def test_json_export_round_trip(spark):
     back = spark.read.schema("id long, v string").json(path)
     assert sorted(map(tuple, back.collect())) == [(1, "a"), (2, None)]
     assert codec.encode_json(df).columns == ["json"]
+
+
+def test_files_through_the_ingest_pipeline(spark):
+    """binaryFile intake feeds the pipeline: the path is the upload id and the
+    decoded text the content (PDF/DOCX text needs the external extractor)."""
+    from pyspark.sql import functions as F
+
+    folder = tempfile.mkdtemp(prefix="talentscope-pipeline-")
+    files = {"good.txt": "Gil\ngil@x.io\nSkills\nsql\nExperience\ndev\n",
+             "noskills.txt": "Ada\nada@x.io\nExperience\nclerk\n"}
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    with open(os.path.join(folder, "tool.exe"), "wb") as f:
+        f.write(b"\x00\x01")
+    intake = I.read_upload_files(spark, folder)
+    uploads = intake.select(F.col("path").alias("id"), "file_name", "size_bytes")
+    docs = intake.select(F.col("path").alias("id"), F.lit(7).cast("long").alias("created_by"),
+                         F.col("text").alias("content"))
+    out = {r["id"].rsplit("/", 1)[-1]: r for r in I.ingest_pipeline(uploads, docs).collect()}
+    assert out["good.txt"]["status"] == "accepted" and out["good.txt"]["name"] == "Gil"
+    assert out["noskills.txt"]["status"] == "quarantined"
+    assert out["tool.exe"]["status"] == "rejected" and out["tool.exe"]["content"] is None
