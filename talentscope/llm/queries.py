@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentscope.llm import decontaminate as D
 from talentscope.llm import quality_rules as Q
+from talentscope.llm import sentencepiece_bpe as S
 from talentscope.llm import url_filter as U
 from talentscope.llm.common import table
 from talentscope.llm.registry import register
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 URL_RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -34,3 +42,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     out = U.url_verdicts(pages, U.page_outcomes(pages, labels), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                            table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return D.digests(found, ["doc_id"])
+
+
+@register("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return S.token_digests(docs, tokenizer_path(), ["doc_id"])
