@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentscope.llm import decontaminate as D
+from talentscope.llm import html_extract as H
 from talentscope.llm import quality_rules as Q
 from talentscope.llm import sentencepiece_bpe as S
 from talentscope.llm import url_filter as U
+from talentscope.llm import warc as W
 from talentscope.llm.common import table
 from talentscope.llm.registry import register
 
@@ -55,3 +57,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return S.token_digests(docs, tokenizer_path(), ["doc_id"])
+
+
+@register("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@register("op9_html_extract")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return H.extract(pages, ["page_id", "url"])
