@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from talentscope.llm import decontaminate as D
 from talentscope.llm import html_extract as H
+from talentscope.llm import language_id as L
+from talentscope.llm import quality_gam as G
 from talentscope.llm import quality_rules as Q
 from talentscope.llm import sentencepiece_bpe as S
 from talentscope.llm import url_filter as U
 from talentscope.llm import warc as W
-from talentscope.llm.common import table
+from talentscope.llm.common import crc_mod, table
 from talentscope.llm.registry import register
 
 def tokenizer_path() -> str:
@@ -29,6 +31,16 @@ URL_RULES = (
 )
 
 
+@register("op1_quality_gam")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = G.train(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    return G.score_documents(docs, model, ["doc_id"]).select(
+        "doc_id", held.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @register("op2_quality_rules")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -59,6 +71,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.token_digests(docs, tokenizer_path(), ["doc_id"])
 
 
+@register("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return L.predict(docs, L.train(docs), ["doc_id"]).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @register("op7_warc")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
