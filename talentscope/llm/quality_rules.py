@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.llm.common import WORD_SPACE
+from talentscope.llm.common import WORD_SPACE, staged
 
 BASE_MIN_WORDS = 20
 BASE_MAX_REPEAT = 30          # per cent of the words
@@ -57,8 +57,8 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside windows of ``WINDOW`` words that occur twice or more."""
     def hashes(ws):
-        return F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)),
-                           lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
+        return F.transform(F.sequence(F.lit(0), F.size(ws) - WINDOW), lambda i: F.xxhash64(
+            *[F.get(ws, i + k) for k in range(WINDOW)]))
 
     def covered(h):
         ranked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -81,7 +81,8 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))
 
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(
-        _let(_let(words, hashes), count)).cast("long")
+        _let(_let(_let(words, lambda ws: F.transform(ws, lambda w: F.xxhash64(w))), hashes),
+             count)).cast("long")
 
 
 def base_columns(text: Column, words: Column) -> dict[str, Column]:
@@ -98,11 +99,17 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
 
 
 def char_counts(text: Column) -> Column:
-    """Characters per class of ``CHAR_CLASSES``, then all others."""
-    each = [F.length(text) - F.length(F.regexp_replace(text, f"[{c}]+", ""))
-            for c in CHAR_CLASSES]
+    """Characters per class of ``CHAR_CLASSES``, then all others. Rare classes are
+    counted by cutting the long runs of everything else; the commonest, the
+    first, is what remains."""
+    rare = [F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CHAR_CLASSES[1:]]
     other = F.length(F.regexp_replace(text, f"[{''.join(CHAR_CLASSES)}]+", ""))
-    return F.array(*[x.cast("double") for x in [*each, other]])
+    rest = [x.cast("double") for x in [*rare, other]]
+
+    def with_first(xs):
+        return F.concat(F.array(F.length(text) - F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)),
+                        xs)
+    return _let(F.array(*rest), with_first)
 
 
 def word_counts(words: Column) -> Column:
@@ -142,18 +149,24 @@ def js_distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
+def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per document: ``row`` (all its columns as a struct), the base counts
+    of ``base_columns``, n_chars, and the share histograms ``c`` and ``s``."""
+    t, w = F.col("t"), F.col("w")
+    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.select("row", "t", words_of(t).alias("w"))
+    return d.select("row", *[c.alias(k) for k, c in base_columns(t, w).items()],
+                    F.length("t").alias("n_chars"),
+                    _shares(char_counts(t)).alias("c"), _shares(word_counts(w)).alias("s"))
+
+
+def language_references(features: DataFrame, lang: str = "lang") -> dict:
     """{language: (character shares, word shares)}: median shares over every
     document of a listed language with at least ``MIN_WORDS`` words. At most one
     row per listed language reaches the driver."""
-    base = docs.filter(F.col(lang).isin(*COMMON_WORDS)).select(
-        F.col(lang).alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    h = (base.select("l", "t", words_of(F.col("t")).alias("w"))
-         .filter(F.size("w") >= MIN_WORDS)
-         .select("l", _shares(char_counts(F.col("t"))).alias("c"),
-                 _shares(word_counts(F.col("w"))).alias("s")))
+    h = features.filter(F.col("row")[lang].isin(*COMMON_WORDS) & (F.col("n_words") >= MIN_WORDS))
     nc, nw = len(CHAR_CLASSES) + 1, len(BINS) + 1
-    rows = h.groupBy("l").agg(
+    rows = h.groupBy(F.col("row")[lang].alias("l")).agg(
         *[F.percentile_approx(F.get("c", F.lit(i)), 0.5, ACCURACY).alias(f"c{i}")
           for i in range(nc)],
         *[F.percentile_approx(F.get("s", F.lit(i)), 0.5, ACCURACY).alias(f"s{i}")
@@ -167,21 +180,14 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
             for r in sorted(rows, key=lambda r: r["l"])}
 
 
-def quality_verdicts(docs: DataFrame, references: dict, text: str = "text") -> DataFrame:
-    """One row per document: ``row`` (all its columns as a struct), n_words,
-    word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, divergence
-    (least excess over both limits among the languages; NULL without
-    references), kept."""
-    t, w = F.col("t"), F.col("w")
-    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.select("row", "t", words_of(t).alias("w"))
-    d = d.select("row", *[c.alias(k) for k, c in base_columns(t, w).items()],
-                 F.length("t").alias("n_chars_"),
-                 _shares(char_counts(t)).alias("c"), _shares(word_counts(w)).alias("s"))
+def judge(features: DataFrame, references: dict) -> DataFrame:
+    """``row`` and the base counts with base_failed, divergence (the larger of both
+    distances over its limit, least among the languages; NULL without references)
+    and kept."""
     over = []
     for c_ref, w_ref in references.values():
-        dc = F.when(F.col("n_chars_") < MIN_CHARS, 0.0).otherwise(
-            js_distance(F.col("c"), c_ref) / (MAX_CHAR_DISTANCE + SHORT_SLACK / F.col("n_chars_")))
+        dc = F.when(F.col("n_chars") < MIN_CHARS, 0.0).otherwise(
+            js_distance(F.col("c"), c_ref) / (MAX_CHAR_DISTANCE + SHORT_SLACK / F.col("n_chars")))
         dw = F.when(F.col("n_words") < MIN_WORDS, 0.0).otherwise(
             js_distance(F.col("s"), w_ref) / MAX_WORD_DISTANCE)
         over.append(F.greatest(dc, dw))
@@ -189,12 +195,20 @@ def quality_verdicts(docs: DataFrame, references: dict, text: str = "text") -> D
              else over[0] if len(over) == 1 else F.least(*over))
     failed = ((F.col("n_words") < BASE_MIN_WORDS)
               | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT * F.col("n_words")))
-    return d.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    failed.alias("base_failed"), least.alias("divergence")).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("divergence").isNull()
-                                         | (F.col("divergence") <= 1.0)))
+    out = features.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                          "n_repeat_words", failed.alias("base_failed"),
+                          least.alias("divergence"))
+    fits = F.col("divergence").isNull() | (F.col("divergence") <= 1.0)
+    return out.withColumn("kept", ~F.col("base_failed") & fits)
+
+
+def quality_verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Verdict per document (see ``judge``). The features are computed once and
+    staged in the shared folder: references and verdicts both read them."""
+    features = staged(quality_features(docs, text), "quality")
+    return judge(features, language_references(features))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return quality_verdicts(docs, language_references(docs)).filter("kept").select("row.*")
+    return quality_verdicts(docs).filter("kept").select("row.*")

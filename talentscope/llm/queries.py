@@ -44,8 +44,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_quality_rules")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = Q.quality_verdicts(docs, Q.language_references(docs))
-    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return Q.quality_verdicts(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept", F.round("divergence", 4).alias(
                           "divergence"))
 
