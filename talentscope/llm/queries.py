@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from talentscope.llm import decontaminate as D
 from talentscope.llm import html_extract as H
 from talentscope.llm import language_id as L
+from talentscope.llm import ngram_join as N
 from talentscope.llm import quality_gam as G
 from talentscope.llm import quality_rules as Q
 from talentscope.llm import sentencepiece_bpe as S
+from talentscope.llm import suffix_dedup as X
 from talentscope.llm import url_filter as U
 from talentscope.llm import warc as W
 from talentscope.llm.common import crc_mod, table
@@ -83,7 +85,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@register("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op9_html_extract")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return H.extract(pages, ["page_id", "url"])
+
+
+@register("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return N.similar_groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
