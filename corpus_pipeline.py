@@ -1,18 +1,53 @@
-"""Corpus pipeline: quality rules and the later stages over ``documents``."""
+"""Corpus pipeline over ``documents``: quality rules, near-duplicate groups,
+repeated passages, benchmark decontamination, token ids.
+
+Every stage takes (spark, docs, sf_dir), with ``docs`` the rows that the stage
+before kept, and returns the columns of ``documents``; the last adds ``n_tokens``
+and ``ids``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talentscope.llm import quality_rules
+from talentscope.llm import decontaminate, ngram_join, quality_rules, sentencepiece_bpe, suffix_dedup
 from talentscope.llm.common import staged, table
+from talentscope.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
     return quality_rules.filter_quality(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents, the one of smallest id stays."""
+    return ngram_join.keep_one_per_group(docs)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that a document of smaller id has too are cut."""
+    return suffix_dedup.dedup(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark windows are cut; documents that consist mostly of them go."""
+    return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(docs, tokenizer_path()).withColumn("n_tokens", F.size("ids"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("suffix-array dedup", repeated_passage_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("SentencePiece encoding", token_stage),
+]
+#: Merge rounds and byte cuts have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
