@@ -8,7 +8,7 @@ element named as content) a block is text unless it is mostly links; where a
 page has an article, what stands outside is not text. Everything else is good,
 bad, or ambiguous. The second pass gives ambiguous blocks the label of their
 nearest decided neighbours: both agree, or, where they differ, the one that the
-block's own stop-word density favours.
+block's own stop-word density favours; an ambiguous heading follows the block below it.
 
 Character references are decoded, white space inside a block becomes one space,
 ``<br>`` counts as white space, kept blocks are joined in page order by ``\\n``.
@@ -90,9 +90,9 @@ def _scope(tag: str, attrs: str, inside: str) -> str:
     return inside
 
 
-def blocks(page: str) -> list[tuple[str, str, float]]:
-    """(text, scope, link density) of the non-empty blocks in page order."""
-    out: list[tuple[str, str, float]] = []
+def blocks(page: str) -> list[tuple[str, str, float, bool]]:
+    """(text, scope, link density, is a heading) of the non-empty blocks in page order."""
+    out: list[tuple[str, str, float, bool]] = []
     parts: list[str] = []
     linked = 0                       # characters of the open block inside links
     stack: list[tuple[str, str]] = []
@@ -104,7 +104,8 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, scope, min(1.0, linked / len(text))))
+                heading = any(_HEADING.match(t) for t, _ in stack)
+                out.append((text, scope, min(1.0, linked / len(text)), heading))
             parts.clear()
         linked = 0
 
@@ -195,10 +196,10 @@ def _first_pass(text: str, scope: str, links: float, article: bool) -> tuple[str
     return NEAR if stops >= FEW_STOPS else BAD, stops
 
 
-def labels(found: list[tuple[str, str, float]]) -> list[bool]:
+def labels(found: list[tuple[str, str, float, bool]]) -> list[bool]:
     """True for each block that is part of the main text."""
-    article = any(scope == "in" for _, scope, _ in found)
-    first = [_first_pass(*b, article) for b in found]
+    article = any(b[1] == "in" for b in found)
+    first = [_first_pass(*b[:3], article) for b in found]
     decided = [i for i, (k, _) in enumerate(first) if k in (GOOD, BAD)]
     keep, j = [], 0
     for i, (kind, stops) in enumerate(first):
@@ -209,7 +210,9 @@ def labels(found: list[tuple[str, str, float]]) -> list[bool]:
             continue
         near = [first[d][0] == GOOD for d in ([decided[j - 1]] if j else [])
                 + ([decided[j]] if j < len(decided) else [])]
-        if not near or all(near):
+        if found[i][3] and j < len(decided):
+            keep.append(near[-1])
+        elif not near or all(near):
             keep.append(True)
         elif not any(near):
             keep.append(kind == NEAR and stops >= MANY_STOPS)

@@ -9,6 +9,7 @@ from talentscope.llm import decontaminate as D
 from talentscope.llm import html_extract as H
 from talentscope.llm import language_id as L
 from talentscope.llm import ngram_join as N
+from talentscope.llm import oracles as O
 from talentscope.llm import quality_gam as G
 from talentscope.llm import quality_rules as Q
 from talentscope.llm import sentencepiece_bpe as S
@@ -51,7 +52,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "divergence"))
 
 
-@register("op3_url_filter")
+@register("op3_url_filter", O.URL_FILTER)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels")
@@ -59,7 +60,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-@register("op4_decontaminate")
+@register("op4_decontaminate", O.DECONTAMINATE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
                             table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -80,12 +81,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-@register("op7_warc")
+@register("op7_warc", O.WARC)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-@register("op8_suffix_dedup")
+@register("op8_suffix_dedup", O.SUFFIX_DEDUP)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -96,7 +97,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.extract(pages, ["page_id", "url"])
 
 
-@register("op10_ngram_join")
+@register("op10_ngram_join", O.NGRAM_JOIN)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return N.similar_groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
