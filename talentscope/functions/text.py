@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from talentscope import schemas as S
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` evaluated once per row (a lambda that names an
+    outer expression would evaluate it once per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(c: Column) -> Column:
     """``String.prototype.trim``: strips Unicode spaces and line ends.
 
@@ -38,10 +44,6 @@ def analytics_cache_key(report_type: Column, days: Column) -> Column:
     return F.concat_ws(":", F.lit(S.ANALYTICS_KEY_PREFIX), report_type, days.cast("string"))
 
 
-def permission_cache_key(user: Column) -> Column:
-    return F.concat_ws(":", F.lit(S.PERMISSION_KEY_PREFIX), user.cast("string"))
-
-
 def contains_upper(c: Column, word: str) -> Column:
     """SCL-3: ``toUpperCase().includes(word)`` (a substring test)."""
     return F.upper(c).contains(word)
@@ -78,11 +80,6 @@ def or_default(c: Column, default) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
-def or_default_number(c: Column, default) -> Column:
-    """FLT-6 for numbers: missing, zero (or NaN) gives the default."""
-    return F.when(c.isNull() | (c == 0) | F.isnan(c.cast("double")), F.lit(default)).otherwise(c)
-
-
 def first_or_default(arr: Column, default) -> Column:
     """SCL-15: ``arr[0] || default`` without an out-of-bounds error."""
     return F.coalesce(F.get(arr, 0), F.lit(default))

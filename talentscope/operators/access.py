@@ -5,12 +5,12 @@ Row-security policies become joins computed for every user at once:
 * visible  = own ∪ shared with ``can_view``           (two SELECT policies)
 * editable = (own ∪ shared with ``can_edit``) ∩ visible (UPDATE policies)
 
-Permission rows are joined to documents once, on the document id (the
-existence check of the ``EXISTS`` policy and the owner lookup in one join),
-then folded per (document, user) pair. That fold reuses the join's hash
-partitioning on the document id, so it adds no exchange. Own pairs need no
-shuffle at all: they are a projection of the documents. A document shared
-with very many users is a skewed join key; AQE's skew-join splits it.
+Permission rows are folded per (document, user) pair first (pre-aggregated, and
+a pair is never hot), then joined to documents once, on the document id (the
+existence check of the ``EXISTS`` policy and the owner lookup in one join). No
+aggregate follows that needs the join's partitioning, so a document shared with
+very many users, a skewed join key, can be split by AQE's skew join. Own pairs
+need no shuffle at all: they are a projection of the documents.
 """
 
 from __future__ import annotations
@@ -30,11 +30,10 @@ def permission_pairs(resumes: DataFrame, permissions: DataFrame) -> DataFrame:
     """One row per (document, user) with a permission row on an existing
     document: ``can_view`` / ``can_edit`` OR-ed over duplicate rows, plus owner."""
     docs = resumes.select(F.col("id").alias("resume_id"), F.col("created_by").alias("owner"))
-    return (permissions.select("resume_id", "user_id", "can_view", "can_edit")
-            .join(docs, "resume_id", "inner")
-            .groupBy("resume_id", "user_id", "owner")
-            .agg(F.bool_or(F.coalesce(F.col("can_view"), F.lit(False))).alias("can_view"),
-                 F.bool_or(F.coalesce(F.col("can_edit"), F.lit(False))).alias("can_edit")))
+    pairs = permissions.groupBy("resume_id", "user_id").agg(
+        F.bool_or(F.coalesce(F.col("can_view"), F.lit(False))).alias("can_view"),
+        F.bool_or(F.coalesce(F.col("can_edit"), F.lit(False))).alias("can_edit"))
+    return pairs.join(docs, "resume_id", "inner")
 
 
 def shared_documents(resumes: DataFrame, permissions: DataFrame) -> DataFrame:

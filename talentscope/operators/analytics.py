@@ -58,7 +58,7 @@ def most_viewed(resumes: DataFrame, views: DataFrame, as_of: str = DEFAULT_AS_OF
     Views are pre-aggregated per document (at most one row per document),
     kept only for documents that exist (semi-join on the id column alone),
     cut to the k winners, and only those k rows — a bounded side — are joined
-    back for name and email.
+    back for name and email (and ordered again: a join keeps no order).
     """
     counts = view_counts(views, as_of, days)
     ids = resumes.select(F.col("id").alias("resume_id"))
@@ -67,7 +67,8 @@ def most_viewed(resumes: DataFrame, views: DataFrame, as_of: str = DEFAULT_AS_OF
            .limit(k))
     docs = resumes.select(F.col("id").alias("resume_id"), "name", "email")
     return (F.broadcast(top).join(docs, "resume_id", "inner")
-            .select(F.col("resume_id").alias("id"), "name", "email", "view_count"))
+            .select(F.col("resume_id").alias("id"), "name", "email", "view_count")
+            .orderBy(F.col("view_count").desc(), F.col("id").asc()))
 
 
 def analytics_summary(logs: DataFrame, history: DataFrame, as_of: str = DEFAULT_AS_OF,

@@ -87,6 +87,31 @@ def next_at_or_after(probes: DataFrame, targets: DataFrame, keys: list[str],
     return res.select(*keys, probe_id, best["t"].alias(out_t), best["id"].alias(out_id))
 
 
+def with_neighbours(rows: DataFrame, keys: list[str], t: str, row_id: str,
+                    parts: int | None = None) -> DataFrame:
+    """``rows`` with ``_before`` and ``_after``: the times of the previous and the
+    next row of the same key in (time, id) order; NULL at the ends.
+
+    Rows are range-partitioned on (key, time, id), so a hot key is spread over many
+    partitions; a row at a border takes its neighbour from the summary of the
+    key's adjacent partition (one row per key and partition it touches)."""
+    n = int(parts or rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(rows.repartitionByRange(n, *keys, t, row_id)
+                         .withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy(*keys, "_pid").orderBy(t, row_id)
+    local = ranged.withColumns({"_lag": F.lag(t).over(w), "_lead": F.lead(t).over(w)})
+    across = Window.partitionBy(*keys).orderBy("_pid")
+    borders = (ranged.groupBy(*keys, "_pid").agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+               .withColumns({"_left": F.lag("_hi").over(across), "_right": F.lead("_lo").over(across)})
+               .drop("_lo", "_hi"))
+    # only the few (key, partition) groups with a neighbour elsewhere are needed
+    borders = borders.filter(F.col("_left").isNotNull() | F.col("_right").isNotNull())
+    return (null_safe_join(local, borders, [*keys, "_pid"], "left")
+            .withColumns({"_before": F.coalesce("_lag", "_left"),
+                          "_after": F.coalesce("_lead", "_right")})
+            .drop("_lag", "_lead", "_left", "_right", "_pid"))
+
+
 def as_micros(c: Column) -> Column:
     """Epoch microseconds of an NTZ timestamp in a UTC session."""
     return F.unix_micros(c.cast("timestamp"))

@@ -8,7 +8,7 @@ the parts in order are the whole history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
@@ -29,16 +29,12 @@ def conversation_titles(turns: DataFrame) -> DataFrame:
     return firsts.withColumn("title_too_long", F.length("title") > limit)
 
 
-def conversation_key(conversation_id: Column) -> Column:
-    """The numeric conversation id carried in the last group of a request's UUID."""
-    return F.regexp_extract(conversation_id, r"([0-9]{12})\z", 1).try_cast("long")
-
-
 def conversation_ownership(requests: DataFrame, owners: DataFrame) -> DataFrame:
     """CNV-2: ``new`` when no conversation is given (one is created), ``ok``
-    when it exists and belongs to the caller, else ``forbidden``."""
-    own = owners.select(F.col("id").alias("_conv"), F.col("user_id").alias("_owner"))
-    keyed = requests.withColumn("_conv", conversation_key(F.col("conversation_id")))
+    when it exists and belongs to the caller, else ``forbidden``. Ids are
+    compared as text, whatever their type."""
+    own = owners.select(F.col("id").cast("string").alias("_conv"), F.col("user_id").alias("_owner"))
+    keyed = requests.withColumn("_conv", F.col("conversation_id").cast("string"))
     return (keyed.join(own, "_conv", "left")
             .withColumn("conversation_status",
                         F.when(F.col("conversation_id").isNull(), F.lit("new"))

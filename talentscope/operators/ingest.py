@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from talentscope import schemas as S
 from talentscope.functions.time import DEFAULT_AS_OF, ts_ntz
-from talentscope.session import spread
+from talentscope.session import cut_lineage, spread
 from talentscope.functions.text import (first_or_default, js_trim, non_blank_lines,
                                          split_list)
 
@@ -113,8 +113,8 @@ def structure(df: DataFrame, text_col: str = "content", keep: list[str] | None =
     )
 
 
-def validation_errors(parsed: DataFrame, as_written: bool = False) -> DataFrame:
-    """PRS-7: the error list, in fixed order; accepted = no error.
+def error_list(as_written: bool = False) -> Column:
+    """PRS-7: the errors of a parsed document, in fixed order.
 
     The experience rule counts lines of the experience section; with
     ``as_written`` it reproduces the original, where experience is never
@@ -128,16 +128,25 @@ def validation_errors(parsed: DataFrame, as_written: bool = False) -> DataFrame:
         F.when(F.size("skills") == 0, F.lit(S.ERR_SKILLS)),
         F.when(no_exp, F.lit(S.ERR_EXPERIENCE)),
     )
-    errors = F.filter(checks, lambda e: e.isNotNull())
-    return parsed.withColumn("errors", errors).withColumn("accepted", F.size("errors") == 0)
+    return F.filter(checks, lambda e: e.isNotNull())
+
+
+def validation_errors(parsed: DataFrame, as_written: bool = False) -> DataFrame:
+    """PRS-7: ``errors`` (see ``error_list``); accepted = no error."""
+    return parsed.withColumn("errors", error_list(as_written)).withColumn(
+        "accepted", F.size("errors") == 0)
 
 
 def parsed_record_json(parsed: DataFrame) -> Column:
-    """The parsed record as stored in ``parsed_data`` (JSON)."""
+    """The parsed record as stored in ``parsed_data`` (JSON), readable as
+    ``PARSED_DOCUMENT``: a line of the experience section is the description of
+    an entry, a line of the education section the institution of one."""
     return F.to_json(F.struct(
         F.col("name"), F.col("email"), F.col("phone"), F.col("summary"), F.col("skills"),
-        F.col("experience_lines").alias("experience"),
-        F.col("education_lines").alias("education")))
+        F.transform("experience_lines", lambda x: F.struct(x.alias("description")))
+        .alias("experience"),
+        F.transform("education_lines", lambda x: F.struct(x.alias("institution")))
+        .alias("education")))
 
 
 def upload_gate(uploads: DataFrame) -> DataFrame:
@@ -192,32 +201,42 @@ def ingest_pipeline(uploads: DataFrame, documents: DataFrame,
     validate → the row to insert (SNK-1 defaults: created and updated now).
 
     ``uploads``: id, file_name, size_bytes; ``documents``: id, created_by
-    (the uploader), content (the extracted text). ``status`` is 'rejected'
-    (the gate's first failed check is the ``reason``), 'quarantined' (the
-    validation errors are the ``reason``) or 'accepted'. Only uploads that
-    pass the gate are parsed. From files: ``read_upload_files`` gives both
+    (the uploader), content (the extracted text). Every upload gives one row:
+    ``status`` is 'rejected' (the gate's first failed check is the ``reason``),
+    'quarantined' (no text was extracted, or the validation errors, are the
+    ``reason``) or 'accepted'. Only uploads that pass the gate are parsed. From files: ``read_upload_files`` gives both
     inputs (the path as id, the decoded text as content).
     """
     gate = upload_gate(uploads).select("id", "reason", "accepted")
-    joined = documents.select("id", "created_by", "content").join(gate, "id", "inner")
-    parsed = ingest(joined.filter(F.col("accepted")).drop("reason", "accepted"))
-    ok = F.col("status") == "accepted"
+    # one pass: what the gate refuses, and what has no text, is parsed as NULL
+    texts = documents.select("id", "created_by", F.col("content").alias("_extracted"))
+    joined = gate.join(texts, "id", "left").withColumn(
+        "content", F.when(F.col("accepted"), F.col("_extracted")))
+    parsed = structure(joined, "content", keep=["id", "created_by", "content", "reason", "accepted"])
+    has_text = F.col("accepted") & F.col("content").isNotNull()
+    d = parsed.select("*", has_text.alias("_text_found"), error_list().alias("_errors"))
+    ok = F.col("_text_found") & (F.size("_errors") == 0)
+    reason = (F.when(~F.col("accepted"), F.col("reason"))
+              .when(~F.col("_text_found"), F.lit(S.ERR_NO_TEXT))
+              .when(~ok, F.array_join("_errors", "; ")))
     stamp = F.when(ok, ts_ntz(as_of))
-    passed = parsed.select(
-        "id", "created_by", "status", F.when(~ok, F.col("errors")).alias("reason"),
-        "name", "email", "phone", "content", "parsed_data",
+
+    def found(c):
+        return F.when(F.col("_text_found"), c)
+    return d.select(
+        "id", "created_by",
+        F.when(~F.col("accepted"), "rejected").when(ok, "accepted").otherwise("quarantined")
+        .alias("status"), reason.alias("reason"),
+        found(F.col("name")).alias("name"), found(F.col("email")).alias("email"),
+        found(F.col("phone")).alias("phone"), "content",
+        found(parsed_record_json(d)).alias("parsed_data"),
         stamp.alias("created_at"), stamp.alias("updated_at"))
-    none = F.lit(None).cast("string")
-    rejected = joined.filter(~F.col("accepted")).select(
-        "id", "created_by", F.lit("rejected").alias("status"), "reason",
-        none.alias("name"), none.alias("email"), none.alias("phone"), none.alias("content"),
-        none.alias("parsed_data"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return passed.unionByName(rejected)
 
 
 def write_ingest(result: DataFrame, accepted_path: str, quarantine_path: str) -> None:
-    """Split sink: accepted rows to the document table, the rest to quarantine."""
-    result.filter(F.col("status") == "accepted").drop("status", "errors") \
+    """Split sink: accepted rows to the document table, the rest to quarantine.
+    The result is materialised first, so the parse runs once for both."""
+    result = cut_lineage(result)
+    result.filter(F.col("status") == "accepted").drop("status", "errors", "reason") \
         .write.mode("append").parquet(accepted_path)
     result.filter(F.col("status") != "accepted").write.mode("append").parquet(quarantine_path)

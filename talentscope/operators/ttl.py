@@ -11,24 +11,23 @@ anchor, the first request at or after anchor + ttl: a chain along the
 pointer ``nxt(r)`` = first request of the key at or after ``t(r) + ttl``.
 This is not a session window (the anchor is fixed, not sliding).
 
-Keys are sized first and take one of three exact paths:
-
-* at most ``SMALL_KEY_LIMIT`` requests: the key's requests form one bounded,
-  time-sorted array, folded in one ``aggregate`` pass (JVM-side);
-* at most ``BOUNDED_KEY_LIMIT`` requests: one ``applyInPandas`` call per key
-  over its (bounded, a few MB) requests; the misses are found by search,
-  once per miss, since each is the first request at or after the previous
-  miss + ttl;
-* larger (hot) keys never sit in one task:
-
-  1. ``nxt`` for every request by an as-of lookup over range partitions
-     (``asof``), which splits a hot key however its requests bunch in time;
-  2. the chain from each key's first request by pointer doubling: with
-     ``J_i = nxt^(2^i)``, round i adds ``J_i(A)`` to the anchor set ``A`` and
-     squares the pointer table. After round i, A holds every anchor within
-     2^(i+1) steps of the head, and the loop stops once ``J`` is empty, i.e.
-     after ⌈log2(longest chain)⌉ + 1 rounds. Every round is two equi-joins;
-     both tables are checkpointed each round to cut the lineage.
+One path serves keys of every size:
+
+1. Requests are range-partitioned on (key, time, id), so a hot key is split
+   however its requests bunch in time, and each finds its neighbours of the
+   same key (across partition borders through one summary row per key and
+   partition). A request without a predecessor less than one ttl older starts
+   a segment and is always a miss. Most requests are alone in their segment and
+   are settled by that.
+2. Only inside segments of two requests and more is the chain needed:
+   ``nxt`` by an as-of lookup over range partitions, then pointer doubling from
+   the segment starts: with ``J_i = nxt^(2^i)``, round i adds ``J_i(A)`` to the
+   misses ``A`` and squares the pointers. The loop stops once ``J`` is empty,
+   after about log2(longest chain of a segment) rounds of two equi-joins, each
+   checkpointed to cut the lineage.
+
+A request without a time is a miss that stores nothing: it is split off first.
+Keys, times and ids may be of any type; a ttl must be positive.
 
 Invalidations (TTL-3) split a key's timeline into epochs: the epoch of a
 request is the time of the last invalidation at or before it (an
@@ -39,11 +38,10 @@ same as-of lookup, and the epoch becomes part of the key.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.operators.asof import as_micros, next_at_or_after
+from talentscope.operators.asof import as_micros, next_at_or_after, with_neighbours
 from talentscope.operators.joins import null_safe_join
 from talentscope.session import cut_lineage
 
@@ -64,36 +62,9 @@ def _anchors(nxt: DataFrame, heads: DataFrame) -> DataFrame:
     return anchors
 
 
-SMALL_KEY_LIMIT = 512
-
-HIT_ROW = "struct<id:bigint,hit:boolean,anchor_id:bigint>"
-
-
-def _fold_small_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
-    """Keys with at most ``SMALL_KEY_LIMIT`` requests: gather each key's
-    requests (a bounded array) and fold them in time order in one pass."""
-    g = ev.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("_t", "id"))).alias("_evs"))
-    init = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("aid"),
-                    F.array().cast(f"array<{HIT_ROW}>").alias("out"))
-
-    def step(acc, e):
-        hit = acc["at"].isNotNull() & (e["_t"] - acc["at"] < F.lit(ttl))
-        aid = F.when(hit, acc["aid"]).otherwise(e["id"])
-        return F.struct(F.when(hit, acc["at"]).otherwise(e["_t"]).alias("at"), aid.alias("aid"),
-                        F.concat(acc["out"], F.array(F.struct(e["id"].alias("id"), hit.alias("hit"),
-                                                              aid.alias("anchor_id")))).alias("out"))
-
-    folded = g.select(F.explode(F.aggregate("_evs", init, step)["out"]).alias("r"))
-    return folded.select("r.id", "r.hit", "r.anchor_id")
-
-
-BOUNDED_KEY_LIMIT = 1 << 16
-
-
 def miss_positions(t: np.ndarray, ttl: int, start: int = 0) -> np.ndarray:
-    """Positions of the misses in the sorted times ``t`` when the first miss
-    is at ``start``: the next miss is the first request at or after the last
+    """Positions of the misses in the sorted times ``t`` (no NULLs) when the first
+    miss is at ``start``: the next miss is the first request at or after the last
     miss + ttl, so the loop runs once per miss, not once per request."""
     out = []
     i = start
@@ -109,82 +80,49 @@ def served_by_position(n: int, miss: np.ndarray) -> np.ndarray:
     return np.searchsorted(miss, np.arange(n), "right") - 1
 
 
-def _fold_bounded_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
-    """Keys with at most ``BOUNDED_KEY_LIMIT`` requests: one pandas call per key."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "id"], kind="stable")
-        t, ids = pdf["_t"].to_numpy(), pdf["id"].to_numpy()
-        miss = miss_positions(t, ttl)
-        hit = np.ones(len(t), dtype=bool)
-        hit[miss] = False
-        anchor = ids[miss[served_by_position(len(t), miss)]]
-        return pd.DataFrame({"id": ids, "hit": hit, "anchor_id": anchor})
-
-    return (ev.select(*key_cols, "id", "_t").groupBy(*key_cols)
-            .applyInPandas(fold, "id long, hit boolean, anchor_id long"))
-
-
-def _chain_large_keys(ev: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
-    """Keys of any size: next-miss pointers by the range-partitioned as-of
-    lookup, anchors by pointer doubling, and the serving anchor by chunk
-    equi-joins."""
+def _chain(ev: DataFrame, heads: DataFrame, key_cols: list[str], ttl: int) -> DataFrame:
+    """(id, hit, anchor_id) of requests in segments that begin at ``heads``."""
     probes = ev.select(*key_cols, "id", (F.col("_t") + F.lit(ttl)).alias("_pt"))
     nxt = next_at_or_after(probes, ev, key_cols, "_pt", "id", "_t", "id",
                            out_t="nxt_t", out_id="nxt_id").select("id", "nxt_id")
-    heads = (ev.groupBy(*key_cols)
-             .agg(F.min(F.struct("_t", "id")).alias("_h"))
-             .select(F.col("_h.id").alias("id")))
+    # a pointer out of a segment leads to a segment's start, a miss already: cut
+    # there, the chains of different segments never meet
+    starts = heads.select(F.col("id").alias("nxt_id"))
+    nxt = nxt.join(starts, "nxt_id", "left_anti")
     anchors = _anchors(nxt, heads).withColumn("_anchor", F.lit(True))
     flagged = ev.join(anchors, "id", "left").select("id", F.col("_anchor").isNull().alias("hit"))
     return flagged.join(_served_by(ev, anchors.select("id"), key_cols, ttl), "id", "inner")
 
 
 def replay(requests: DataFrame, key_cols: list[str], ts_col: str, ttl_s: int,
-           id_col: str = "id", with_anchor: bool = False,
-           small_key_limit: int = SMALL_KEY_LIMIT,
-           bounded_key_limit: int = BOUNDED_KEY_LIMIT,
-           materialise: bool = True) -> DataFrame:
+           id_col: str = "id", with_anchor: bool = False, materialise: bool = True) -> DataFrame:
     """TTL-1 / TTL-2: every request with ``hit`` (served from the cache) or not
-    (a miss, which stores a new entry). ``id_col`` must be unique. With
-    ``with_anchor``, ``anchor_id`` names the miss whose entry served the
+    (a miss, which stores a new entry). ``id_col`` must be unique and not NULL.
+    With ``with_anchor``, ``anchor_id`` names the miss whose entry served the
     request (itself on a miss).
 
-    Keys are split by size: at most ``small_key_limit`` requests are folded
-    in one array pass, at most ``bounded_key_limit`` in one pandas call per
-    key; larger keys — the hot ones — take the distributed pointer-doubling
-    path, which never holds a key in one task. All give the same answer.
-
-    The requests are read twice (sizes and folds, then the output join).
-    With ``materialise`` (the default) they are checkpointed first, so an
-    expensive upstream plan runs once; pass ``False`` when they are a plain
-    projection of a stored table (re-reading is cheaper than writing them)
-    or already materialised.
+    The requests are read twice (the replay, then the output join). With
+    ``materialise`` (the default) they are checkpointed first, so an expensive
+    upstream plan runs once; pass ``False`` when they are a plain projection of
+    a stored table or already materialised.
     """
+    if ttl_s <= 0:
+        raise ValueError("a ttl must be positive")
     ttl = int(ttl_s) * MICROS
     if materialise:
         requests = cut_lineage(requests)
     ev = requests.select(*key_cols, F.col(id_col).alias("id"),
                          as_micros(F.col(ts_col)).alias("_t"))
-    sizes = cut_lineage(ev.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")))
-    small = null_safe_join(ev, sizes.filter(F.col("_n") <= small_key_limit).drop("_n"), key_cols,
-                           "left_semi")
-    out = _fold_small_keys(small, key_cols, ttl)
-    n = F.col("_n")
-    is_mid = (n > small_key_limit) & (n <= bounded_key_limit)
-    is_large = (n > small_key_limit) & (n > bounded_key_limit)
-    # one small job over the key sizes tells which of the other paths are needed
-    has_mid, has_large = sizes.agg(F.coalesce(F.bool_or(is_mid), F.lit(False)),
-                                   F.coalesce(F.bool_or(is_large), F.lit(False))).first()
-    if has_mid:
-        mid_keys = sizes.filter(is_mid).drop("_n")
-        out = out.unionByName(_fold_bounded_keys(null_safe_join(ev, mid_keys, key_cols, "left_semi"),
-                                                 key_cols, ttl))
-    if has_large:
-        large_keys = sizes.filter(is_large).drop("_n")
-        large = cut_lineage(null_safe_join(ev, large_keys, key_cols, "left_semi"))
-        out = out.unionByName(_chain_large_keys(large, key_cols, ttl))
-    out = out.withColumnRenamed("id", id_col)
+    timeless = ev.filter(F.col("_t").isNull()).select("id")
+    near = cut_lineage(with_neighbours(ev.filter(F.col("_t").isNotNull()), key_cols, "_t", "id"))
+    is_head = F.col("_before").isNull() | (F.col("_t") - F.col("_before") >= ttl)
+    last = F.col("_after").isNull() | (F.col("_after") - F.col("_t") >= ttl)
+    alone = near.filter(is_head & last).select("id").unionByName(timeless)
+    dense = near.filter(~(is_head & last)).withColumn("_head", is_head)
+    chained = _chain(dense.select(*key_cols, "id", "_t"), dense.filter("_head").select("id"),
+                     key_cols, ttl)
+    out = (alone.select("id", F.lit(False).alias("hit"), F.col("id").alias("anchor_id"))
+           .unionByName(chained).withColumnRenamed("id", id_col))
     if not with_anchor:
         out = out.drop("anchor_id")
     return requests.join(out, id_col, "inner")
@@ -212,16 +150,18 @@ def epochs(requests: DataFrame, resets: DataFrame, key_cols: list[str], ts_col:
            reset_ts_col: str, id_col: str = "id") -> DataFrame:
     """Tag each request with ``epoch`` = time (µs) of the last reset of its key
     at or before it (-1 when none)."""
-    r = requests.select(*key_cols, F.col(id_col).alias("_rid"),
+    r = requests.filter(F.col(ts_col).isNotNull()).select(
+        *key_cols, F.col(id_col).alias("_rid"),
                         (-as_micros(F.col(ts_col))).alias("_neg_t"))
     s = resets.select(*key_cols, (-as_micros(F.col(reset_ts_col))).alias("_neg_t"),
-                      F.monotonically_increasing_id().alias("_sid"))
+                      F.lit(None).cast(requests.schema[id_col].dataType).alias("_sid"))
     # last reset ≤ t  ==  first (by negated time) reset with -time ≥ -t
     last = next_at_or_after(r, s, key_cols, "_neg_t", "_rid", "_neg_t", "_sid",
                             out_t="_neg_reset", out_id="_reset_id")
     tagged = last.select(F.col("_rid").alias(id_col),
                          F.coalesce(-F.col("_neg_reset"), F.lit(-1)).alias("epoch"))
-    return requests.join(tagged, id_col, "inner")
+    return (requests.join(tagged, id_col, "left")
+            .withColumn("epoch", F.coalesce("epoch", F.lit(-1).cast("long"))))
 
 
 def replay_with_resets(requests: DataFrame, resets: DataFrame, key_cols: list[str],

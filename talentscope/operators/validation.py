@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
+from talentscope.functions.text import utf16_length
 
 
 def _errors(*rules: Column) -> Column:
@@ -26,7 +27,7 @@ def _rule(cond: Column, message: str) -> Column:
 
 
 def email_ok(c: Column) -> Column:
-    return c.rlike(S.EMAIL_SHAPE_PATTERN)
+    return c.rlike(S.EMAIL_SHAPE_PATTERN) & ~c.startswith(".") & ~c.contains("..")
 
 
 def validate_search_requests(requests: DataFrame, history_col: str | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def validate_search_requests(requests: DataFrame, history_col: str | None = None
     rules = [
         _rule(q.isNull(), "query: Required"),
         _rule(F.length(q) < 1, "query: String must contain at least 1 character(s)"),
-        _rule(F.length(q) > S.MAX_QUERY_CHARS,
+        _rule(utf16_length(q) > S.MAX_QUERY_CHARS,
               f"query: String must contain at most {S.MAX_QUERY_CHARS} character(s)"),
         _rule(F.col("conversation_id").isNotNull() & ~F.col("conversation_id").rlike(S.UUID_PATTERN),
               "conversationId: Invalid uuid"),
@@ -76,7 +77,7 @@ def validate_users(rows: DataFrame) -> DataFrame:
     """VAL-4: registration rows: email shape, name ≥ 2 characters."""
     rules = [
         _rule(F.col("email").isNull() | ~email_ok(F.col("email")), "email: Invalid email"),
-        _rule(F.col("name").isNull() | (F.length("name") < 2),
+        _rule(F.col("name").isNull() | (utf16_length(F.col("name")) < 2),
               "name: Name must be at least 2 characters"),
     ]
     errs = _errors(*rules)

@@ -8,7 +8,7 @@ from talentscope import schemas as S
 from talentscope.operators import access as ACC
 from talentscope.operators import mutations as MUT
 from talentscope.operators import validation as VAL
-from talentscope.plans.oracle_bindings import with_ctes
+from talentscope.plans.oracle_bindings import utf16, with_ctes
 from talentscope.plans.registry import register
 from talentscope.sources.bindings import Domain
 
@@ -22,7 +22,9 @@ VISIBLE_SQL = f"""select u.id as user_id, r.id as resume_id from users u, resume
 EDITABLE_SQL = f"""select u.id as user_id, r.id as resume_id from users u, resumes r
   where ({OWN} or {CAN.format(flag='can_edit')}) and ({OWN} or {CAN.format(flag='can_view')})"""
 ACCESS_TABLES = ["users", "resumes", "resume_permissions"]
-EMAIL_RE = S.EMAIL_SHAPE_PATTERN
+EMAIL_RE = S.EMAIL_SHAPE_PATTERN.replace("'", "''")
+EMAIL_SQL = (f"(regexp_matches(email, '{EMAIL_RE}') and not starts_with(email, '.') "
+             "and not contains(email, '..'))")
 
 
 def _visible(d: Domain):
@@ -82,10 +84,10 @@ def q_insert_check(spark, sf_dir):
 select id, concat_ws('; ',
     case when query is null then 'query: Required' end,
     case when length(query) < 1 then 'query: String must contain at least 1 character(s)' end,
-    case when length(query) > {S.MAX_QUERY_CHARS} then 'query: String must contain at most {S.MAX_QUERY_CHARS} character(s)' end,
+    case when {utf16('query')} > {S.MAX_QUERY_CHARS} then 'query: String must contain at most {S.MAX_QUERY_CHARS} character(s)' end,
     case when conversation_id is not null and not regexp_matches(conversation_id, '{S.UUID_PATTERN}')
          then 'conversationId: Invalid uuid' end) as errors,
-  coalesce(query is not null and length(query) between 1 and {S.MAX_QUERY_CHARS}
+  coalesce(query is not null and {utf16('query')} between 1 and {S.MAX_QUERY_CHARS}
    and (conversation_id is null or regexp_matches(conversation_id, '{S.UUID_PATTERN}')), false) as valid
 from search_requests"""))
 def q_validate_search_requests(spark, sf_dir):
@@ -111,7 +113,7 @@ select id, concat_ws('; ',
     case when name is null then 'name: Required' end,
     case when length(name) < 1 then 'name: String must contain at least 1 character(s)' end,
     case when email is null then 'email: Required' end,
-    case when email is not null and not regexp_matches(email, '{EMAIL_RE}') then 'email: Invalid email' end,
+    case when email is not null and not {EMAIL_SQL} then 'email: Invalid email' end,
     case when content is null then 'content: Required' end) as errors
 from (select id, coalesce(list_filter(string_split(content, chr(10)),
         lambda x: not regexp_matches(x, '{S.JS_BLANK_PATTERN}'))[5], '') as name,
@@ -131,7 +133,7 @@ def q_validate_documents(spark, sf_dir):
 
 UPDATE_ERRORS_SQL = f"""concat_ws('; ',
     case when name is not null and length(name) < 1 then 'name: String must contain at least 1 character(s)' end,
-    case when email is not null and not regexp_matches(email, '{EMAIL_RE}') then 'email: Invalid email' end)"""
+    case when email is not null and not {EMAIL_SQL} then 'email: Invalid email' end)"""
 
 
 @register("validate_updates", with_ctes(["update_requests"], {}, f"""
@@ -142,8 +144,8 @@ def q_validate_updates(spark, sf_dir):
 
 
 USER_ERRORS_SQL = f"""concat_ws('; ',
-    case when email is null or not regexp_matches(email, '{EMAIL_RE}') then 'email: Invalid email' end,
-    case when name is null or length(name) < 2 then 'name: Name must be at least 2 characters' end)"""
+    case when email is null or not {EMAIL_SQL} then 'email: Invalid email' end,
+    case when name is null or {utf16('name')} < 2 then 'name: Name must be at least 2 characters' end)"""
 
 
 @register("validate_users", with_ctes(["registrations"], {}, f"""

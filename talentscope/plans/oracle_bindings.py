@@ -11,13 +11,22 @@ N_DOCS = "(select count(*) from documents)"
 N_CONVS = "(select count(distinct conv_id) from conversations)"
 
 
+def utf16(x: str) -> str:
+    """UTF-16 units of a text: its characters, those beyond the first plane twice."""
+    return rf"(length({x}) + length(regexp_replace({x}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
+def conv_uuid(x: str) -> str:
+    return f"concat('00000000-0000-4000-8000-',lpad(cast({x} as varchar),12,'0'))"
+
+
 def minutes(x: str) -> str:
     return f"(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(cast({x} as integer)))"
 
 
 BINDINGS = {
     "search_logs": f"""
-select event_id as id, user_id, event_id % {N_CONVS} as conversation_id,
+select event_id as id, user_id, {conv_uuid(f'(event_id % {N_CONVS})')} as conversation_id,
   case event_id % 3 when 0 then event_type when 1 then concat('  ',event_type) else upper(event_type) end as query,
   concat('answer ',event_type) as response,
   case when event_type='view' then null else cast(regexp_extract(props,'[0-9]+',0) as int) end as tokens_used,
@@ -49,11 +58,11 @@ select event_id as id, (event_id*31) % (select count(*)+5 from documents) as res
   case when event_id%4=0 then null else event_id end as search_log_id, ts as viewed_at
 from events where event_type in ('view','click')""",
     "conversation_owner": f"""
-select distinct conv_id as id, conv_id % {N_USERS} as user_id from conversations""",
-    "search_requests": """
+select distinct {conv_uuid('conv_id')} as id, conv_id % {N_USERS} as user_id from conversations""",
+    "search_requests": f"""
 select event_id as id, user_id, case when event_id%50=0 then '' when event_id%50=1 then repeat('x',501) else event_type end as query,
   case when event_id%7=0 then 'not-a-uuid' when event_id%7=1 then null
-       else concat('00000000-0000-4000-8000-',lpad(cast(event_id as varchar),12,'0')) end as conversation_id,
+       when event_id%7<=3 then {conv_uuid('user_id')} else {conv_uuid('event_id')} end as conversation_id,
   ts as requested_at from events""",
     "update_requests": f"""
 select event_id as req_id, event_id % {N_DOCS} as id, user_id, case when event_id%2=0 then concat('Renamed ',event_id) end as name,

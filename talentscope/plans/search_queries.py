@@ -10,7 +10,7 @@ from talentscope.operators import search as SR
 from talentscope.operators.access import visible_documents
 from talentscope.plans.access_queries import VISIBLE_SQL
 from talentscope.plans.cache_queries import _walk_sql
-from talentscope.plans.oracle_bindings import with_ctes
+from talentscope.plans.oracle_bindings import utf16, with_ctes
 from talentscope.plans.registry import register
 from talentscope.sources.bindings import Domain
 
@@ -28,14 +28,13 @@ def q_conversation_titles(spark, sf_dir):
     return CNV.conversation_titles(Domain(spark, sf_dir).conversation_turns())
 
 
-CONV_KEY = r"try_cast(regexp_extract(q.conversation_id, '([0-9]{12})\z', 1) as bigint)"
 
 
 @register("conversation_ownership", with_ctes(["search_requests", "conversation_owner"], {}, f"""
 select q.id, q.user_id, q.conversation_id,
   case when q.conversation_id is null then 'new' when o.user_id = q.user_id then 'ok' else 'forbidden' end
     as conversation_status
-from search_requests q left join conversation_owner o on o.id = {CONV_KEY}"""))
+from search_requests q left join conversation_owner o on o.id = q.conversation_id"""))
 def q_conversation_ownership(spark, sf_dir):
     d = Domain(spark, sf_dir)
     return CNV.conversation_ownership(d.search_requests(), d.conversation_owner()).select(
@@ -56,7 +55,7 @@ def q_conversation_context(spark, sf_dir):
 
 
 def _valid_search_sql(q: str = "") -> str:
-    return (f"coalesce({q}query is not null and length({q}query) between 1 and {S.MAX_QUERY_CHARS} "
+    return (f"coalesce({q}query is not null and {utf16(q + 'query')} between 1 and {S.MAX_QUERY_CHARS} "
             f"and ({q}conversation_id is null or regexp_matches({q}conversation_id, '{S.UUID_PATTERN}')), false)")
 
 
@@ -65,7 +64,7 @@ def _search_log_oracle() -> str:
         "vis": VISIBLE_SQL,
         "own": f"""select q.*, case when q.conversation_id is null then 'new'
                when o.user_id = q.user_id then 'ok' else 'forbidden' end as st
-             from search_requests q left join conversation_owner o on o.id = {CONV_KEY}
+             from search_requests q left join conversation_owner o on o.id = q.conversation_id
              where {_valid_search_sql('q.')}""",
         "reqs": f"""select q.id, q.user_id, q.query, q.conversation_id, q.requested_at as ts,
                concat_ws(':', 'search', cast(q.user_id as varchar), regexp_replace(lower(q.query), '{TRIM}', '', 'g')) as key

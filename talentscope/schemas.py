@@ -40,7 +40,6 @@ UPLOAD_ERR_TYPE = "Invalid file type. Allowed types: PDF, DOCX, TXT"
 
 # Document structuring: patterns, heading keywords, defaults, error texts.
 EMAIL_PATTERN = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
-PHONE_PATTERN_TEMPLATE = r"(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 SECTION_KEYWORDS = (
     ("experience", ("EXPERIENCE", "EMPLOYMENT")),
     ("education", ("EDUCATION",)),
@@ -53,11 +52,11 @@ ERR_NAME = "Could not extract name from resume"
 ERR_EMAIL = "Could not extract email from resume"
 ERR_SKILLS = "No skills found in resume"
 ERR_EXPERIENCE = "No work experience found in resume"
+ERR_NO_TEXT = "No text extracted"
 
 # Search and context rendering.
 NOT_SPECIFIED = "Not specified"
 NO_EXPLANATION = "No explanation provided"
-NO_DOCUMENTS = "No resumes available for search."
 MAX_QUERY_CHARS = 500
 HISTORY_ROLES = ("user", "assistant")
 CHARS_PER_TOKEN = 4
@@ -171,8 +170,10 @@ PHONE_PATTERN = _phone_pattern()
 # or '(', so a one-character lookahead rejects other start positions at once
 # (RE2 has no lookaround, so SQL oracles use PHONE_PATTERN).
 PHONE_PATTERN_JVM = "(?=[0-9+(])" + PHONE_PATTERN
-UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-EMAIL_SHAPE_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
+# A valid e-mail address matches this, does not start with a dot and holds no two
+# dots in a row (two lookaheads of the original that RE2 does not have).
+EMAIL_SHAPE_PATTERN = r"^[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}\z"
 
 # ---------------------------------------------------------------------------
 # Test-table schemas (read with an explicit schema, never inferred).
@@ -236,7 +237,7 @@ CRITERIA = T.StructType([
         T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType())])),
 ])
 MODEL_RESPONSE = T.StructType([
-    T.StructField("results", T.ArrayType(T.LongType())),
+    T.StructField("results", T.ArrayType(T.StringType())),
     T.StructField("explanation", T.StringType()),
 ])
 EVENT_PROPS = T.StructType([T.StructField("k", T.LongType())])

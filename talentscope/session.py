@@ -35,6 +35,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf[SPREAD_KEY] = str(shuffle_partitions)   # the test tables are single files
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -74,14 +75,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread rows by ``keys`` when the input has fewer partitions than the
-    cluster has cores (few large or unsplittable files); otherwise unchanged.
+#: Setting: partitions to deal rows to before CPU-heavy per-row work.
+SPREAD_KEY = "spark.talentscope.spreadPartitions"
 
-    Used before CPU-heavy per-row work (parsing, tokenising whole texts), so
-    that work runs on every core instead of on as many tasks as input files.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys)
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows by ``keys`` to as many partitions as ``SPREAD_KEY`` names, before
+    CPU-heavy per-row work (parsing, tokenising whole texts). Without the setting
+    the plan relies on the file splits, as large tables allow."""
+    n = df.sparkSession.conf.get(SPREAD_KEY, None)
+    return df.repartition(int(n), *keys) if n else df

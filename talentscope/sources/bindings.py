@@ -20,6 +20,11 @@ def _s(c):
     return c.cast("string")
 
 
+def conversation_uuid(number):
+    """The UUID that the test tables' conversation numbers stand for."""
+    return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(_s(number), 12, "0"))
+
+
 class Domain:
     """Domain views over one scale-factor folder."""
 
@@ -50,7 +55,8 @@ class Domain:
         return self._const("n_docs", self.t.documents.agg(F.count(F.lit(1))))
 
     def n_convs(self):
-        return self._const("n_convs", self.t.conversations.agg(F.count_distinct("conv_id")))
+        # a scalar sub-query: pruned with the column where a plan does not use it
+        return self.t.conversations.agg(F.count_distinct("conv_id")).scalar()
 
     # -- stored tables ------------------------------------------------------
     def search_logs(self) -> DataFrame:
@@ -59,7 +65,7 @@ class Domain:
         return e.select(
             F.col("event_id").alias("id"),
             "user_id",
-            (F.col("event_id") % self.n_convs()).alias("conversation_id"),
+            conversation_uuid(F.col("event_id") % self.n_convs()).alias("conversation_id"),
             F.when(m == 0, F.col("event_type"))
              .when(m == 1, F.concat(F.lit("  "), F.col("event_type")))
              .otherwise(F.upper("event_type")).alias("query"),
@@ -154,7 +160,7 @@ class Domain:
 
     def conversation_owner(self) -> DataFrame:
         c = self.t.conversations.select("conv_id").distinct()
-        return c.select(F.col("conv_id").alias("id"),
+        return c.select(conversation_uuid(F.col("conv_id")).alias("id"),
                         (F.col("conv_id") % self.n_users()).alias("user_id"))
 
     def conversation_turns(self) -> DataFrame:
@@ -170,8 +176,8 @@ class Domain:
             F.when(m50 == 0, F.lit("")).when(m50 == 1, F.repeat(F.lit("x"), 501))
              .otherwise(F.col("event_type")).alias("query"),
             F.when(m7 == 0, F.lit("not-a-uuid")).when(m7 == 1, F.lit(None).cast("string"))
-             .otherwise(F.concat(F.lit("00000000-0000-4000-8000-"),
-                                 F.lpad(_s(F.col("event_id")), 12, "0"))).alias("conversation_id"),
+             .when(m7 <= 3, conversation_uuid(F.col("user_id")))
+             .otherwise(conversation_uuid(F.col("event_id"))).alias("conversation_id"),
             F.col("ts").alias("requested_at"),
         )
 

@@ -118,3 +118,25 @@ def test_pipeline_gates_then_parses_then_routes(spark):
     assert (out[4]["status"], out[4]["reason"]) == ("rejected", S.UPLOAD_ERR_SIZE)
     assert (out[5]["status"], out[5]["reason"]) == ("rejected", S.UPLOAD_ERR_MISSING)
     assert all(out[i]["parsed_data"] is None and out[i]["created_by"] == 9 for i in (3, 4, 5))
+
+
+def test_every_upload_gives_one_row_and_the_record_can_be_read(spark):
+    from pyspark.sql import functions as F
+
+    from talentscope import schemas as S
+    from talentscope.operators import ingest as I
+
+    text = "Ann\na@x.io\nSkills\njava, sql\nExperience\ndev at co\nEducation\nBSc\n"
+    uploads = spark.createDataFrame(
+        [(1, "a.exe", 10), (2, "b.txt", 10), (3, "c.txt", 10), (4, None, 10), (5, "d.pdf", 11 << 20)],
+        "id long, file_name string, size_bytes long")
+    docs = spark.createDataFrame([(2, 7, text), (3, 8, None)], "id long, created_by long, content string")
+    out = {r["id"]: r for r in I.ingest_pipeline(uploads, docs).collect()}
+    assert {k: (r["status"], r["reason"]) for k, r in out.items()} == {
+        1: ("rejected", S.UPLOAD_ERR_TYPE), 2: ("accepted", None), 3: ("quarantined", S.ERR_NO_TEXT),
+        4: ("rejected", S.UPLOAD_ERR_MISSING), 5: ("rejected", S.UPLOAD_ERR_SIZE)}
+    row = spark.createDataFrame([(out[2]["parsed_data"],)], "j string").select(
+        F.from_json("j", S.PARSED_DOCUMENT).alias("p")).first()["p"]
+    assert row["experience"][0]["description"] == "dev at co"
+    assert row["education"][0]["institution"] == "BSc"
+    assert row["skills"] == ["java", "sql"]

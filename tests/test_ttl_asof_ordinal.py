@@ -43,37 +43,47 @@ def test_ttl_boundary_is_a_miss_and_hits_do_not_refresh(spark):
          BASE + dt.timedelta(seconds=7200)]
     rows = [(i, "k", x) for i, x in enumerate(t)]
     want = {0: (False, 0), 1: (True, 0), 2: (False, 2), 3: (True, 2), 4: (True, 2), 5: (False, 5)}
-    for small, bounded in [(TTL.SMALL_KEY_LIMIT, 0), (0, TTL.BOUNDED_KEY_LIMIT), (0, 0)]:
-        out = TTL.replay(frame(spark, rows), ["key"], "ts", 3600, with_anchor=True,
-                         small_key_limit=small, bounded_key_limit=bounded)
-        assert {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()} == want
-
-
-@pytest.mark.parametrize("small,bounded", [(TTL.SMALL_KEY_LIMIT, TTL.BOUNDED_KEY_LIMIT),
-                                           (8, TTL.BOUNDED_KEY_LIMIT), (0, TTL.BOUNDED_KEY_LIMIT),
-                                           (8, 8), (0, 0)])
-def test_ttl_replay_matches_sequential_fold(spark, small, bounded):
-    """Array fold, per-key pandas fold, distributed doubling path, and mixes."""
+    out = TTL.replay(frame(spark, rows), ["key"], "ts", 3600, with_anchor=True)
+    assert {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()} == want
+
+
+def test_ttl_null_times_and_text_ids(spark):
+    """A request without a time is a miss that stores nothing; ids may be text."""
+    rows = [("a", "k", BASE), ("b", "k", None), ("c", "k", BASE + dt.timedelta(seconds=10)),
+            ("d", "k", None), ("e", None, None), ("f", "k", BASE + dt.timedelta(seconds=700))]
+    df = spark.createDataFrame(rows, "id string, key string, ts timestamp_ntz")
+    want = {"a": (False, "a"), "b": (False, "b"), "c": (True, "a"), "d": (False, "d"),
+            "e": (False, "e"), "f": (False, "f")}
+    out = TTL.replay(df, ["key"], "ts", 600, with_anchor=True)
+    assert {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()} == want
+    resets = spark.createDataFrame([("k", BASE + dt.timedelta(seconds=5)), ("k", None)],
+                                   "key string, at timestamp_ntz")
+    out = TTL.replay_with_resets(df, resets.filter("at is not null"), ["key"], "ts", "at", 600)
+    assert {r["id"]: r["hit"] for r in out.collect()} == {**{k: False for k in want}, "c": False}
+    with pytest.raises(ValueError):
+        TTL.replay(df, ["key"], "ts", 0)
+
+
+def test_ttl_replay_matches_sequential_fold(spark):
+    """Dense keys (long chains in one segment), tiny keys, exact ties."""
     rnd = random.Random(7)
     rows = []
     for i in range(400):
         key = f"k{rnd.randrange(4)}" if i % 10 else f"s{i}"      # some tiny keys too
         rows.append((i, key, BASE + dt.timedelta(seconds=rnd.randrange(0, 6 * 3600))))
     rows += [(400 + i, "k0", rows[1][2]) for i in range(3)]          # exact ties
-    out = TTL.replay(frame(spark, rows), ["key"], "ts", 600, with_anchor=True,
-                     small_key_limit=small, bounded_key_limit=bounded)
+    out = TTL.replay(frame(spark, rows), ["key"], "ts", 600, with_anchor=True)
     got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
     assert got == brute_replay(rows, 600)
 
 
-@pytest.mark.parametrize("small,bounded", [(TTL.SMALL_KEY_LIMIT, 0), (0, TTL.BOUNDED_KEY_LIMIT), (0, 0)])
-def test_ttl_replay_keeps_null_keys(spark, small, bounded):
+def test_ttl_replay_keeps_null_keys(spark):
     """A NULL key is a key like any other: its requests are replayed, not dropped."""
     rnd = random.Random(17)
     rows = [(i, None if i % 2 else "k", BASE + dt.timedelta(seconds=rnd.randrange(0, 3 * 3600)))
             for i in range(60)]
     out = TTL.replay(frame(spark, rows), ["key"], "ts", 900, with_anchor=True,
-                     small_key_limit=small, bounded_key_limit=bounded, materialise=False)
+                     materialise=False)
     got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
     assert got == brute_replay(rows, 900)
 
@@ -195,20 +205,17 @@ def test_next_at_or_after_property(spark):
 
 
 def test_ttl_replay_property(spark):
-    """Random requests (ties, NULL keys) through random path limits equal the
-    sequential fold."""
+    """Random requests (ties, NULL keys) equal the sequential fold."""
     from hypothesis import HealthCheck, given, settings
     from hypothesis import strategies as st
 
     row = st.tuples(st.sampled_from(["x", "y", None]), st.integers(0, 3 * 600))
 
     @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
-    @given(st.lists(row, min_size=1, max_size=60),
-           st.sampled_from([(TTL.SMALL_KEY_LIMIT, 0), (0, TTL.BOUNDED_KEY_LIMIT), (0, 0), (3, 10)]))
-    def check(reqs, limits):
+    @given(st.lists(row, min_size=1, max_size=60))
+    def check(reqs):
         rows = [(i, k, BASE + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(reqs)]
-        out = TTL.replay(frame(spark, rows), ["key"], "ts", 300, with_anchor=True,
-                         small_key_limit=limits[0], bounded_key_limit=limits[1])
+        out = TTL.replay(frame(spark, rows), ["key"], "ts", 300, with_anchor=True)
         got = {r["id"]: (r["hit"], r["anchor_id"]) for r in out.collect()}
         assert got == brute_replay(rows, 300)
 
