@@ -141,6 +141,6 @@ def fk_violations(tables: dict) -> DataFrame:
                    .join(keys, F.col(col) == F.col("_k"), "left_anti"))
         out.append(orphans.select(F.lit(child).alias("child_table"), F.lit(col).alias("column_name"),
                                   F.lit(parent).alias("parent_table"),
-                                  F.col("id").cast("long").alias("child_id"),
-                                  F.col(col).cast("long").alias("missing_key")))
+                                  F.col("id").cast("string").alias("child_id"),
+                                  F.col(col).cast("string").alias("missing_key")))
     return reduce(DataFrame.unionByName, out)

@@ -157,14 +157,14 @@ def q_validate_users(spark, sf_dir):
 
 def _constraint_tables(d: Domain):
     return {"users": d.users(), "resumes": d.resumes(), "resume_permissions": d.resume_permissions(),
-            "search_history": d.search_history(), "search_logs": d.search_logs(),
-            "resume_views": d.resume_views()}
+            "search_history": d.search_history(), "conversations": d.conversations(),
+            "search_logs": d.search_logs(), "resume_views": d.resume_views()}
 
 
 def _constraint_sql() -> str:
     parts = []
-    for table in ["users", "resumes", "resume_permissions", "search_history", "search_logs",
-                  "resume_views"]:
+    for table in ["users", "resumes", "resume_permissions", "search_history", "conversations",
+                  "search_logs", "resume_views"]:
         checks = [(c, "not_null", f"{c} is null") for c in S.NOT_NULL_COLUMNS.get(table, ())]
         checks += [(c, f"max_length_{n}", f"length({c}) > {n}")
                    for c, n in S.VARCHAR_LIMITS.get(table, {}).items()
@@ -173,13 +173,14 @@ def _constraint_sql() -> str:
                    for c, vals in S.ENUM_COLUMNS.get(table, {}).items()]
         for c, rule, cond in checks:
             parts.append(f"select '{table}' as table_name, '{c}' as column_name, '{rule}' as rule, "
-                         f"count(*) filter (where coalesce({cond}, false)) as violations from {table}")
+                         f"count(*) filter (where coalesce({cond}, false)) as violations from "
+                         f"{'conversation_rows' if table == 'conversations' else table}")
     return "\nunion all\n".join(parts)
 
 
 @register("constraint_report", with_ctes(
-    ["users", "resumes", "resume_permissions", "search_history", "search_logs", "resume_views"], {},
-    _constraint_sql()))
+    ["users", "resumes", "resume_permissions", "search_history", "conversation_rows", "search_logs",
+     "resume_views"], {}, _constraint_sql()))
 def q_constraint_report(spark, sf_dir):
     return VAL.constraint_report(_constraint_tables(Domain(spark, sf_dir)))
 
@@ -187,11 +188,13 @@ def q_constraint_report(spark, sf_dir):
 def _dup_tables(d: Domain):
     users_after = d.users().select("id", "email").unionByName(d.registrations().select("id", "email"))
     return {"users": users_after, "resumes": d.resumes(), "resume_permissions": d.resume_permissions(),
+            "search_history": d.search_history(), "conversations": d.conversations(),
             "search_logs": d.search_logs(), "resume_views": d.resume_views()}
 
 
 def _dup_sql() -> str:
-    src = {"users": "(select id, email from users union all select id, email from registrations)"}
+    src = {"users": "(select id, email from users union all select id, email from registrations)",
+           "conversations": "conversation_rows"}
     parts = []
     for table, cols in S.UNIQUE_KEYS:
         t = src.get(table, table)
@@ -202,8 +205,8 @@ def _dup_sql() -> str:
 
 
 @register("duplicate_keys", with_ctes(
-    ["users", "registrations", "resumes", "resume_permissions", "search_logs", "resume_views"], {},
-    _dup_sql()))
+    ["users", "registrations", "resumes", "resume_permissions", "search_history", "conversation_rows",
+     "search_logs", "resume_views"], {}, _dup_sql()))
 def q_duplicate_keys(spark, sf_dir):
     return VAL.duplicate_keys(_dup_tables(Domain(spark, sf_dir)))
 
@@ -220,7 +223,7 @@ def _fk_sql() -> str:
     for child, col, parent, pcol in S.FOREIGN_KEYS:
         c, p = src.get(child, child), src.get(parent, parent)
         parts.append(f"select '{child}' as child_table, '{col}' as column_name, '{parent}' as parent_table, "
-                     f"cast(c.id as bigint) as child_id, cast(c.{col} as bigint) as missing_key from {c} c "
+                     f"cast(c.id as varchar) as child_id, cast(c.{col} as varchar) as missing_key from {c} c "
                      f"where c.{col} is not null and not exists (select 1 from {p} x where x.{pcol} = c.{col})")
     return "\nunion all\n".join(parts)
 
@@ -269,10 +272,14 @@ def _update_oracle() -> str:
               first(name order by requested_at desc, req_id desc) filter (where name is not null) as new_name,
               first(email order by requested_at desc, req_id desc) filter (where email is not null) as new_email,
               first(phone order by requested_at desc, req_id desc) filter (where phone is not null) as new_phone,
+              first(content order by requested_at desc, req_id desc) filter (where content is not null) as new_content,
+              first(parsed_data order by requested_at desc, req_id desc) filter (where parsed_data is not null) as new_parsed,
+              first(file_path order by requested_at desc, req_id desc) filter (where file_path is not null) as new_path,
               max(requested_at) as upd, count(*) as n from ok group by id""",
     }
     body = """select r.id, coalesce(a.new_name, r.name) as name, coalesce(a.new_email, r.email) as email,
-  coalesce(a.new_phone, r.phone) as phone, r.created_at, coalesce(a.upd, r.created_at) as updated_at,
+  coalesce(a.new_phone, r.phone) as phone, coalesce(a.new_content, r.content) as content,
+  coalesce(a.new_parsed, r.parsed_data) as parsed_data, a.new_path as file_path, r.created_at, coalesce(a.upd, r.created_at) as updated_at,
   coalesce(a.n, 0) as applied_updates from resumes r left join agg a on a.id = r.id"""
     return with_ctes(ACCESS_TABLES + ["update_requests"], ctes, body)
 
@@ -280,16 +287,46 @@ def _update_oracle() -> str:
 @register("apply_updates", _update_oracle())
 def q_apply_updates(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    base = d.resumes().select("id", "name", "email", "phone", "created_at")
+    base = d.resumes().select("id", "name", "email", "phone", "content", "parsed_data",
+                              F.lit(None).cast("string").alias("file_path"), "created_at")
     upd = VAL.validate_documents(d.update_requests(), partial=True)
     editable = ACC.editable_documents(d.resumes(), d.resume_permissions())
-    return MUT.apply_updates(base, upd, editable, ["name", "email", "phone"])
+    return MUT.apply_updates(base, upd, editable,
+                             ["name", "email", "phone", "content", "parsed_data", "file_path"])
 
 
-@register("apply_deletes", with_ctes(["resumes", "resume_views", "delete_requests"], {}, """
+DELETE_STATUS_SQL = """
 select q.id, q.user_id, case when r.id is null then 'missing' when r.created_by <> q.user_id then 'not_owner'
   when exists (select 1 from resume_views v where v.resume_id = q.id) then 'blocked' else 'deleted' end as status
-from delete_requests q left join resumes r on r.id = q.id"""))
+from delete_requests q left join resumes r on r.id = q.id"""
+DELETE_TABLES = ["resumes", "resume_permissions", "resume_views", "delete_requests"]
+
+
+def _delete_status(d: Domain):
+    return MUT.delete_status(d.resumes(), d.resume_views(), d.delete_requests())
+
+
+@register("delete_status", with_ctes(DELETE_TABLES, {}, DELETE_STATUS_SQL))
+def q_delete_status(spark, sf_dir):
+    """MUT-2: what becomes of every delete request."""
+    return _delete_status(Domain(spark, sf_dir))
+
+
+@register("apply_deletes", with_ctes(DELETE_TABLES, {"st": DELETE_STATUS_SQL}, """
+select id, name, created_by, created_at from resumes r
+where not exists (select 1 from st where st.id = r.id and st.status = 'deleted')"""))
 def q_apply_deletes(spark, sf_dir):
+    """MUT-2: the documents after the deletes."""
     d = Domain(spark, sf_dir)
-    return MUT.delete_status(d.resumes(), d.resume_views(), d.delete_requests())
+    docs, _ = MUT.apply_deletes(d.resumes(), d.resume_permissions(), _delete_status(d))
+    return docs.select("id", "name", "created_by", "created_at")
+
+
+@register("cascade_deletes", with_ctes(DELETE_TABLES, {"st": DELETE_STATUS_SQL}, """
+select p.* from resume_permissions p
+where not exists (select 1 from st where st.id = p.resume_id and st.status = 'deleted')"""))
+def q_cascade_deletes(spark, sf_dir):
+    """MUT-2: the permissions after the deletes (the rows of deleted documents go too)."""
+    d = Domain(spark, sf_dir)
+    _, perms = MUT.apply_deletes(d.resumes(), d.resume_permissions(), _delete_status(d))
+    return perms.select("id", "resume_id", "user_id", "can_view", "can_edit", "granted_by")

@@ -59,18 +59,23 @@ select event_id as id, (event_id*31) % (select count(*)+5 from documents) as res
 from events where event_type in ('view','click')""",
     "conversation_owner": f"""
 select distinct {conv_uuid('conv_id')} as id, conv_id % {N_USERS} as user_id from conversations""",
+    "conversation_rows": f"""
+select {conv_uuid('conv_id')} as id, conv_id % {N_USERS} as user_id, arg_min(text, turn) filter (where role='user') as title
+from conversations group by conv_id""",
     "search_requests": f"""
 select event_id as id, user_id, case when event_id%50=0 then '' when event_id%50=1 then repeat('x',501) else event_type end as query,
   case when event_id%7=0 then 'not-a-uuid' when event_id%7=1 then null
        when event_id%7<=3 then {conv_uuid('user_id')} else {conv_uuid('event_id')} end as conversation_id,
   ts as requested_at from events""",
     "update_requests": f"""
-select event_id as req_id, event_id % {N_DOCS} as id, user_id, case when event_id%2=0 then concat('Renamed ',event_id) end as name,
+select event_id as req_id, case when event_id%2=0 then user_id else event_id % {N_DOCS} end as id, user_id, case when event_id%2=0 then concat('Renamed ',event_id) end as name,
   case when event_id%3=0 then concat('555-000-',lpad(cast(event_id%10000 as varchar),4,'0')) end as phone,
   case when event_id%5=0 then 'bad-email' when event_id%5=1 then concat('n',event_id,'@example.net') end as email,
-  ts as requested_at from events where event_type='signup'""",
+  case when event_id%7=0 then concat('text ',event_id) end as content,
+  case when event_id%7=1 then concat('{{"skills":["u',event_id,'"]}}') end as parsed_data,
+  case when event_id%7=2 then concat('files/',event_id) end as file_path, ts as requested_at from events""",
     "delete_requests": f"""
-select doc_id as id, case when doc_id%2=1 then doc_id % {N_USERS} else (doc_id+1) % {N_USERS} end as user_id from documents""",
+select case when doc_id%17=0 then doc_id + {N_DOCS} else doc_id end as id, case when doc_id%2=1 then doc_id % {N_USERS} else (doc_id+1) % {N_USERS} end as user_id from documents""",
     "model_responses": f"""
 select event_id as id, user_id, case when event_id%10=0 then null
   else concat('{{"results":[',event_id % {N_DOCS},',',(event_id*7) % {N_DOCS},',',user_id,',999999999]',
@@ -85,7 +90,8 @@ from conversations""",
 select doc_id as id, concat('f',doc_id,case doc_id%4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.txt' else '.exe' end) as file_name,
   n_chars*1000 as size_bytes from documents""",
     "registrations": """
-select c_custkey as id, concat(lower(replace(c_name,'#','.')),case when c_custkey%9=0 then '' else '@example.com' end) as email,
+select c_custkey as id, case when c_custkey%7=3 then concat('new',c_custkey%50,'@example.com')
+  else concat(lower(replace(c_name,'#','.')),case when c_custkey%9=0 then '' else '@example.com' end) end as email,
   case when c_custkey%11=0 then 'x' else c_name end as name, 'viewer' as role from customer""",
     "permission_events": f"""
 select doc_id as id, (doc_id*7+3) % {N_USERS} as user_id, 'invalidate' as kind, {minutes('(doc_id*20) % 43200')} as at from labels""",

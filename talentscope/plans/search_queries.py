@@ -59,7 +59,7 @@ def _valid_search_sql(q: str = "") -> str:
             f"and ({q}conversation_id is null or regexp_matches({q}conversation_id, '{S.UUID_PATTERN}')), false)")
 
 
-def _search_log_oracle() -> str:
+def _search_log_head() -> str:
     ctes = {
         "vis": VISIBLE_SQL,
         "own": f"""select q.*, case when q.conversation_id is null then 'new'
@@ -73,6 +73,10 @@ def _search_log_oracle() -> str:
                '{S.NO_EXPLANATION}') as explanation from model_responses""",
     }
     head = with_ctes(ACCESS + ["search_requests", "conversation_owner", "model_responses"], ctes, "")
+    return head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n"
+
+
+def _search_log_oracle() -> str:
     out = """r.id, r.user_id, r.query,
   case when w.hit or r.conversation_id is not null then r.conversation_id else concat('new-', cast(r.id as varchar)) end
     as conversation_id,
@@ -80,8 +84,7 @@ def _search_log_oracle() -> str:
   case when w.hit then null else cast(ceil(length((select e.explanation from expl e where e.id = w.anchor_id)) / 4) as integer) end
     as tokens_used,
   cast(null as integer) as latency_ms, w.hit as cache_hit, r.ts as created_at"""
-    return (head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n"
-            + _walk_sql(S.SEARCH_CACHE_TTL_S, out))
+    return _search_log_head() + _walk_sql(S.SEARCH_CACHE_TTL_S, out)
 
 
 @register("derive_search_log", _search_log_oracle())
@@ -222,24 +225,34 @@ def q_prompt_context_short(spark, sf_dir):
     return SR.prompt_context(d.resumes(), ranked, short=True)
 
 
-@register("search_context_updates", with_ctes(ACCESS + ["search_requests", "model_responses"], {
-    "vis": VISIBLE_SQL, "ranked": RANKED_SQL,
-    "r": "select id as response_id, user_id, coalesce(nullif(response, ''), '{}') as js from model_responses",
-    "named": """select distinct response_id, user_id, unnest(cast(json_extract(js, '$.results') as bigint[])) as resume_id
-        from r""",
-    "m": """select n.response_id, n.resume_id, k.position, d.name from named n
-        join ranked k on k.user_id = n.user_id and k.resume_id = n.resume_id join resumes d on d.id = n.resume_id""",
-    "res": "select response_id as id, list({'id': resume_id, 'name': name} order by position) as lr from m group by 1",
-    "ex": f"""select response_id as id, coalesce(nullif(json_extract_string(js, '$.explanation'), ''),
-        '{S.NO_EXPLANATION}') as explanation from r"""}, """
+def _context_updates_oracle() -> str:
+    walk, _, final = _walk_sql(S.SEARCH_CACHE_TTL_S, "r.id, r.user_id, r.query").rpartition("\nselect ")
+    ctes = {
+        "served": f"select {final} where not w.hit",
+        "ranked": RANKED_SQL,
+        "r": "select id as response_id, user_id, coalesce(nullif(response, ''), '{}') as js from model_responses",
+        "named": """select distinct response_id, user_id, unnest(cast(json_extract(js, '$.results') as bigint[])) as resume_id
+            from r""",
+        "m": """select n.response_id, n.resume_id, k.position, d.name from named n
+            join ranked k on k.user_id = n.user_id and k.resume_id = n.resume_id join resumes d on d.id = n.resume_id""",
+        "res": "select response_id as id, list({'id': resume_id, 'name': name} order by position) as lr from m group by 1"}
+    return _search_log_head() + walk + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in ctes.items()) + """
 select q.id, q.user_id, cast(to_json({'lastQuery': q.query,
     'lastResults': coalesce(res.lr, []::struct(id bigint, name varchar)[]),
     'history': [{'role': 'user', 'content': q.query}, {'role': 'assistant', 'content': ex.explanation}]}) as varchar)
   as context
-from search_requests q join ex on ex.id = q.id left join res on res.id = q.id"""))
+from served q join expl ex on ex.id = q.id left join res on res.id = q.id"""
+
+
+@register("search_context_updates", _context_updates_oracle())
 def q_search_context_updates(spark, sf_dir):
+    """CNV-3: contexts written by the searches that reached the model: the misses
+    of the search log (invalid, forbidden and cached requests write none)."""
     d = Domain(spark, sf_dir)
     ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
+    vis = visible_documents(d.resumes(), d.resume_permissions())
+    served = CNV.derive_search_log(d.search_requests(), d.conversation_owner(), vis,
+                                   d.model_responses()).filter(~F.col("cache_hit"))
     matches = SR.resolve_matches(d.model_responses(), ranked).join(
         d.resumes().select(F.col("id").alias("resume_id"), "name"), "resume_id")
-    return CNV.search_context_updates(d.search_requests(), d.model_responses(), matches)
+    return CNV.search_context_updates(served, d.model_responses(), matches)

@@ -130,6 +130,8 @@ UNIQUE_KEYS = (
     ("resumes", ("id",)),
     ("resume_permissions", ("id",)),
     ("resume_permissions", ("resume_id", "user_id")),
+    ("search_history", ("id",)),
+    ("conversations", ("id",)),
     ("search_logs", ("id",)),
     ("resume_views", ("id",)),
 )

@@ -163,6 +163,14 @@ class Domain:
         return c.select(conversation_uuid(F.col("conv_id")).alias("id"),
                         (F.col("conv_id") % self.n_users()).alias("user_id"))
 
+    def conversations(self) -> DataFrame:
+        """Conversation rows: owner, and the first user turn as the title."""
+        firsts = (self.t.conversations.filter(F.col("role") == "user").groupBy("conv_id")
+                  .agg(F.min_by("text", "turn").alias("title")))
+        rows = self.t.conversations.select("conv_id").distinct().join(firsts, "conv_id", "left")
+        return rows.select(conversation_uuid(F.col("conv_id")).alias("id"),
+                           (F.col("conv_id") % self.n_users()).alias("user_id"), "title")
+
     def conversation_turns(self) -> DataFrame:
         return self.t.conversations
 
@@ -182,26 +190,32 @@ class Domain:
         )
 
     def update_requests(self) -> DataFrame:
-        e = self.t.events.filter(F.col("event_type") == "signup")
+        """One update per event; every other one for a document that the user owns,
+        so that updates of one row compete."""
+        e = self.t.events
         i = F.col("event_id")
         return e.select(
             i.alias("req_id"),
-            (i % self.n_docs()).alias("id"),
+            F.when(i % 2 == 0, F.col("user_id")).otherwise(i % self.n_docs()).alias("id"),
             "user_id",
             F.when(i % 2 == 0, F.concat(F.lit("Renamed "), _s(i))).alias("name"),
             F.when(i % 3 == 0, F.concat(F.lit("555-000-"), F.lpad(_s(i % 10000), 4, "0"))).alias("phone"),
             F.when(i % 5 == 0, F.lit("bad-email"))
              .when(i % 5 == 1, F.concat(F.lit("n"), _s(i), F.lit("@example.net"))).alias("email"),
+            F.when(i % 7 == 0, F.concat(F.lit("text "), _s(i))).alias("content"),
+            F.when(i % 7 == 1, F.concat(F.lit('{"skills":["u'), _s(i), F.lit('"]}'))).alias("parsed_data"),
+            F.when(i % 7 == 2, F.concat(F.lit("files/"), _s(i))).alias("file_path"),
             F.col("ts").alias("requested_at"),
         )
 
     def delete_requests(self) -> DataFrame:
-        """One delete request per document; every other one comes from its owner."""
+        """One delete request per document; every other one comes from its owner, and
+        some name documents that do not exist."""
         d = self.t.documents
         n = self.n_users()
         i = F.col("doc_id")
         return d.select(
-            i.alias("id"),
+            F.when(i % 17 == 0, i + self.n_docs()).otherwise(i).alias("id"),
             F.when(i % 2 == 1, i % n).otherwise((i + 1) % n).alias("user_id"),
         )
 
@@ -243,8 +257,9 @@ class Domain:
         k = F.col("c_custkey")
         return c.select(
             k.alias("id"),
-            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
-                     F.when(k % 9 == 0, F.lit("")).otherwise(F.lit("@example.com"))).alias("email"),
+            F.when(k % 7 == 3, F.concat(F.lit("new"), _s(k % 50), F.lit("@example.com"))).otherwise(
+                F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
+                         F.when(k % 9 == 0, F.lit("")).otherwise(F.lit("@example.com")))).alias("email"),
             F.when(k % 11 == 0, F.lit("x")).otherwise(F.col("c_name")).alias("name"),
             F.lit("viewer").alias("role"),
         )

@@ -119,6 +119,9 @@ REPLAY_STATE = T.StructType([T.StructField("anchor_us", T.LongType()),
 
 def _replay_fn(ttl_us: int):
     def fold(key, batches, state):
+        if state.hasTimedOut:            # the watermark has passed anchor + ttl: dead entry
+            state.remove()
+            return
         anchor_us, anchor_id = (state.get if state.exists else (None, None))
         # the key's rows of this micro-batch may come in several chunks in no
         # particular order: sort them together (they are in this task anyway)
@@ -144,14 +147,18 @@ def _replay_fn(ttl_us: int):
                                 "hit": hit, "anchor_id": served})
         if anchor_us is not None:
             state.update((anchor_us, anchor_id))
+            ends_ms = (anchor_us + ttl_us) // 1000
+            state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
     return fold
 
 
 def cache_replay_stream(requests: DataFrame, ttl_s: int = S.SEARCH_CACHE_TTL_S) -> DataFrame:
-    """``requests``: id, user_id, cache_key, requested_at (streaming)."""
-    return requests.groupBy("cache_key").applyInPandasWithState(
+    """``requests``: id, user_id, cache_key, requested_at (streaming). A key's state is
+    dropped once the watermark (a day behind) passes the end of its entry."""
+    timed = requests.withColumn("event_time", F.col("requested_at").cast("timestamp"))
+    return timed.withWatermark("event_time", "1 day").groupBy("cache_key").applyInPandasWithState(
         _replay_fn(int(ttl_s) * 1_000_000), REPLAY_OUT, REPLAY_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def run_cache_replay(spark: SparkSession, sf_dir: str, glob: str = "events.parquet") -> DataFrame:
@@ -176,10 +183,9 @@ def view_stream(events: DataFrame, n_docs: int) -> DataFrame:
 def run_view_counts(spark: SparkSession, sf_dir: str, resumes: DataFrame) -> DataFrame:
     """Current view count per document (documents without views absent)."""
     n_docs = resumes.count()
-    docs = resumes.select(F.col("id").alias("resume_id"), "name", "email")
+    # counted per id: a document that is renamed keeps its count; names are read last
     counts = (view_stream(event_stream(spark, sf_dir), n_docs)
-              .join(docs, "resume_id", "inner")
-              .groupBy("resume_id", "name", "email").agg(F.count("id").alias("view_count")))
+              .groupBy("resume_id").agg(F.count("id").alias("view_count")))
     sink = scratch(spark, "view_counts")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
@@ -190,6 +196,7 @@ def run_view_counts(spark: SparkSession, sf_dir: str, resumes: DataFrame) -> Dat
          .foreachBatch(upsert).trigger(availableNow=True).start())
     q.awaitTermination()
     written = spark.read.parquet(sink)
-    return (written.groupBy("resume_id")
-            .agg(F.max_by(F.struct("name", "email", "view_count"), "batch_id").alias("_l"))
-            .select(F.col("resume_id").alias("id"), "_l.name", "_l.email", "_l.view_count"))
+    latest = (written.groupBy(F.col("resume_id").alias("id"))
+              .agg(F.max_by("view_count", "batch_id").alias("view_count")))
+    return latest.join(resumes.select("id", "name", "email"), "id").select(
+        "id", "name", "email", "view_count")

@@ -35,11 +35,19 @@ def test_stream_cache_replay_equals_batch_over_micro_batches(spark):
 
 
 class _State:
-    """Stand-in for GroupState: exists / get / update."""
+    """Stand-in for GroupState: exists / get / update / timeout."""
+
+    hasTimedOut = False
 
     def __init__(self):
         self.value = None
 
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        self.ends = ms
+
     @property
     def exists(self):
         return self.value is not None
