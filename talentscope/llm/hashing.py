@@ -28,18 +28,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of any spans of ``raw`` (a uint8 array) from one prefix sum."""
+    """Hashes of any spans of ``raw`` (an array of bytes or of code points) from one
+    prefix sum."""
 
     def __init__(self, raw: np.ndarray):
         global _powers, _inverses
         with np.errstate(over="ignore"):
+            value = _BYTE[raw] if raw.dtype == np.uint8 else mix(raw.astype(U) + U(1))
             _powers = _grown(_powers, _BASE, len(raw) + 1)
             _inverses = _grown(_inverses, _INVERSE, len(raw) + 1)
             self.prefix = np.empty(len(raw) + 1, dtype=np.uint64)
             self.prefix[0] = 0
-            np.cumsum(_BYTE[raw] * _powers[:len(raw)], out=self.prefix[1:])
+            np.cumsum(value * _powers[:len(raw)], out=self.prefix[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = (self.prefix[end] - self.prefix[start]) * _inverses[start]
             return mix(h + (end - start).astype(np.uint64) * U(0xA24BAED4963EE407) + U(seed))
+
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of the spans of ``width`` at every position."""
+        m = len(self.prefix) - width
+        with np.errstate(over="ignore"):
+            h = self.prefix[width:] - self.prefix[:-width]
+            h *= _inverses[:m]
+            h += U(width) * U(0xA24BAED4963EE407)
+            return mix(h)

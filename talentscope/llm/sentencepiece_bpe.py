@@ -6,7 +6,7 @@ symbols over all its distinct words; every round finds each word's best ranked
 pair (a segmented minimum), merges its leftmost occurrence in all words at once,
 and compacts, until no pair is left. A piece that no better piece can grow out
 of is merged at all its (leftmost, non-overlapping) places in one round: its
-order against the others cannot matter.
+order against the others cannot matter. Words are told apart by 64-bit hashes.
 
 Defined cases: a NULL text encodes like an empty one (no ids); characters
 outside the vocabulary become byte pieces; repeated rows are encoded alike;
@@ -16,7 +16,6 @@ other columns are ignored by the digests and kept by ``encode``.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, Str
                                StructType)
 
 from talentscope.llm.arrow_rows import map_texts
+from talentscope.llm.hashing import Spans, mix
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
@@ -78,21 +78,16 @@ class Bpe:
                 ranks.append(level[p])
                 for x in (a, b):
                     grows[x] = min(grows.get(x, level[p]), level[p])
-        order = np.argsort(np.array(keys, dtype=np.int64))
-        self.keys = np.array(keys, dtype=np.int64)[order]
-        self.merged = np.array(merged, dtype=np.int64)[order]
-        self.ranks = np.array(ranks, dtype=np.int64)[order]
+        self._build_pairs(keys, merged, ranks)
         used = np.bincount([levels[vocab["scores"][i]] for i in normal.values()],
                            minlength=len(levels))
         self.together = np.zeros(len(levels), dtype=bool)   # by rank: merge all places at once
         for p, i in normal.items():
             r = level[p]
             self.together[r] = used[r] == 1 and grows.get(i, len(levels)) > r
-        inner = any(SPACE in p.lstrip(SPACE) for p in normal)
-        loose = "".join(c for c in "\n\r\t" if not any(c in p for p in normal if len(p) > 1))
-        self.split = (None if inner else re.compile(
-            f"[{loose}]|{SPACE}*[^{SPACE}{loose}]+|{SPACE}+" if loose
-            else f"{SPACE}*[^{SPACE}]+|{SPACE}+"))
+        self.one_word = any(SPACE in p.lstrip(SPACE) for p in normal)
+        #: characters that no longer piece holds: words of their own
+        self.loose = [ord(c) for c in "\n\r\t" if not any(c in p for p in normal if len(p) > 1)]
         self.of_byte = np.zeros(256, dtype=np.int64)
         surface = []
         for i, (p, k) in enumerate(zip(pieces, kinds)):
@@ -109,24 +104,53 @@ class Bpe:
                                for p, k in zip(pieces, kinds)])
         self._forget()
 
+    def _build_pairs(self, keys, merged, ranks) -> None:
+        """Open addressing: pair key -> rank and merged id, a few probes at most."""
+        self.bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, NEVER)
+        self.merged = np.zeros(1 << self.bits, dtype=np.int64)
+        self.probes = 1
+        todo = np.arange(len(keys))
+        keys, merged, ranks = (np.array(x, dtype=np.int64) for x in (keys, merged, ranks))
+        slot = self._slot(keys)
+        for self.probes in range(1, 200):
+            free = todo[self.keys[slot[todo]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.ranks[slot[put]] = keys[put], ranks[put]
+            self.merged[slot[put]] = merged[put]
+            todo = np.setdiff1d(todo, put)
+            if not len(todo):
+                break
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def _forget(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.ids = np.zeros(0, dtype=np.int32)
         self.ends = np.zeros(1, dtype=np.int64)
 
     def _rank(self, left, right):
         """(rank, merged id) of symbol pairs; ``NEVER`` where they form no piece."""
         key = left * self.base + right
-        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[i] == key
-        return np.where(hit, self.ranks[i], NEVER), self.merged[i]
-
-    def _merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, end of each word) of distinct words."""
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        slot = self._slot(key)
+        at = self.keys[slot]
+        open_ = np.flatnonzero((at != key) & (at >= 0))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at[open_] = self.keys[slot[open_]]
+            open_ = open_[(at[open_] != key[open_]) & (at[open_] >= 0)]
+        return np.where(at == key, self.ranks[slot], NEVER), self.merged[slot]
+
+    def _merge_words(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of each word) of distinct words: their code points and sizes."""
         sym = self.of_char[points]
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(sizes)), sizes)
         rank = np.full(len(sym), NEVER)
         new = np.zeros(len(sym), dtype=np.int64)
         inside = np.flatnonzero(word[:-1] == word[1:])
@@ -177,32 +201,48 @@ class Bpe:
             is_raw = np.repeat(sym >= self.n, times)
             sym, word = np.repeat(sym, times), np.repeat(word, times)
             sym[is_raw & put] = self.of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        ends = np.cumsum(np.bincount(word, minlength=len(words)))
+        ends = np.cumsum(np.bincount(word, minlength=len(sizes)))
         return sym.astype(np.int32), ends
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets) of the texts."""
         if len(self.known) > REMEMBERED_WORDS:
             self._forget()
-        words, n_words = [], []
-        for t in texts:
-            s = SPACE + t.replace(" ", SPACE) if t else ""
-            own = self.split.findall(s) if self.split else [s] * bool(s)
-            words += own
-            n_words.append(len(own))
+        parts = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
+        ends = np.cumsum([len(x) for x in parts])
+        begins = np.zeros(len(points) + 1, dtype=bool)
+        begins[ends] = True
+        begins[0] = True
+        if not self.one_word:
+            space = points == ord(SPACE)
+            begins[1:-1] |= space[1:] & ~space[:-1]
+            for c in self.loose:
+                alone = points == c
+                begins[:-1] |= alone
+                begins[1:] |= alone
+        cut = np.flatnonzero(begins)
+        start, size = cut[:-1], np.diff(cut)
+        h = Spans(points).hash(start, start + size)
+        distinct, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
         known = self.known
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if fresh:
-            ids, ends = self._merge_words(fresh)
-            start = len(known)
-            known.update(zip(fresh, range(start, start + len(fresh))))
-            self.ends = np.concatenate([self.ends, ends + len(self.ids)])
+        number = [known.get(x, -1) for x in distinct.tolist()]
+        number = np.array(number, dtype=np.int64)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            s, n = start[sample[fresh]], size[sample[fresh]]
+            at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ids, ends_ = self._merge_words(points[at], n)
+            number[fresh] = np.arange(len(known), len(known) + len(fresh))
+            known.update(zip(distinct[fresh].tolist(), number[fresh].tolist()))
+            self.ends = np.concatenate([self.ends, ends_ + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
-        w = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        w = number[inverse]
+        n_words = np.searchsorted(start, ends, side="left")
         begin, size = self.ends[w], self.ends[w + 1] - self.ends[w]
         total = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        return flat, total[np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)]
+        return flat, total[np.concatenate([[0], n_words])]
 
     def decode(self, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id sequences: surfaces in order, without the first piece's
