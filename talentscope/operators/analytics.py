@@ -129,8 +129,7 @@ def analytics_report(logs: DataFrame, history: DataFrame, report_type: str = "ov
     """AGG-9: the report bundle by type, as named DataFrames.
 
     ``searches`` → daily + top 20; anything else → daily + top 10 + summary.
-    The window's log rows are shared by the parts; Spark reuses the scan
-    exchange (ReusedExchange) when the parts run in one job.
+    The parts are independent plans over the same logs.
     """
     parts = {"daily": daily_search_metrics(logs, as_of, days)}
     if report_type == "searches":
