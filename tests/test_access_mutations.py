@@ -96,3 +96,39 @@ def test_request_rules_report_every_issue(spark):
     assert len(out[1]["errors"]) == 2 and not out[1]["valid"]
     assert len(out[2]["errors"]) == 1
     assert out[3]["valid"]
+
+
+def test_request_rules_as_the_validator_has_them(spark):
+    uuid = "3f2504e0-4f89-41d3-9a0c-0305e82c3301"
+    rows = [(1, "x", uuid), (2, "\U0001F600" * 251, None), (3, "\U0001F600" * 250, None),
+            (4, "x", uuid + "\n"), (5, "x", "nope")]
+    df = spark.createDataFrame(rows, "id long, query string, conversation_id string")
+    got = {r["id"]: r["valid"] for r in VAL.validate_search_requests(df).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: False}
+    mails = {"a@b.co": True, "o'x+1@a-b.example.org": True, "a@b.c": False, "a..b@x.com": False,
+             ".a@x.com": False, "<script>@x.com": False, "a.@x.com": False, "a@x.com\n": False}
+    df = spark.createDataFrame(list(mails.items()), "email string, ok boolean")
+    assert all(r["v"] == r["ok"] for r in df.select("ok", VAL.email_ok(F.col("email")).alias("v")).collect())
+
+
+def test_shared_document_join_can_be_split(spark):
+    """No aggregate depends on the join's partitioning, so a skewed document splits."""
+    d = docs(spark)
+    p = spark.range(4000).selectExpr("id", "if(id % 10 < 9, 1L, 2L) as resume_id", "id as user_id",
+                                     "true as can_view", "false as can_edit", "10L as granted_by")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        pairs_df = ACC.permission_pairs(d, p)
+        assert pairs_df.count() == 4000
+        plan = pairs_df._jdf.queryExecution().executedPlan()
+        pairs_df.collect()
+        assert "skew=true" in plan.toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

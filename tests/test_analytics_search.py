@@ -67,3 +67,49 @@ def test_division_equals_brute_force_with_a_hot_term(spark):
     assert got == want
     assert {i for q, i in got if q == 30} == set(items)
     assert not any(q == 31 for q, _ in got)
+
+
+def test_index_lookup_equals_direct_match_and_reads_only_needed_buckets(spark, tmp_path):
+    from talentscope.operators import search as SR
+    docs = spark.createDataFrame(
+        [(1, "Red fish, blue fish"), (2, "one red fish"), (3, "the blue"), (4, None), (5, "")],
+        "id long, content string")
+    queries = spark.createDataFrame([(1, "red fish"), (2, "blue"), (3, "absent"), (4, "the")],
+                                    "query_id long, text string")
+    index = SR.token_index(docs)
+    assert {tuple(r) for r in index.collect()} == {
+        ("red", 1, 1), ("fish", 1, 2), ("blue", 1, 1), ("one", 2, 1), ("red", 2, 1), ("fish", 2, 1),
+        ("blue", 3, 1)}
+    path = str(tmp_path / "index")
+    SR.write_token_index(index, path, buckets=8, files_per_bucket=2)
+    got = {tuple(r) for r in SR.indexed_match_all(spark, path, queries, buckets=8).collect()}
+    assert got == {tuple(r) for r in SR.text_match_all(docs, queries).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 3)}
+
+
+def test_criteria_of_every_kind_and_an_outlier_salary(spark):
+    import json
+
+    from talentscope.operators import search as SR
+    docs = [{"skills": ["Java"], "location": "Rome", "experience": [{"position": "Dev"}],
+             "salary_expectation": 50.0},
+            {"skills": ["sql"], "location": "rome ", "experience": [{"position": "dev", "description": "Big data"}],
+             "salary_expectation": 1e15},
+            {"skills": ["java", "sql"], "location": "Oslo", "experience": []}]
+    resumes = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)],
+                                    "id long, parsed_data string")
+    asks = [{}, {"skills": ["JAVA"]}, {"location": "Rome"}, {"role": "dev"}, {"salary": {"min": 40}},
+            {"salary": {"max": 60}}, {"experience": "big"}, {"salary": {"min": 60, "max": 70}},
+            {"skills": ["java", "sql"]}]
+    criteria = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(asks)],
+                                     "id long, criteria string")
+    got = sorted(tuple(r) for r in SR.criteria_match(criteria, resumes).collect())
+    want = {0: [0, 1, 2], 1: [0, 2], 2: [0, 1], 3: [0, 1], 4: [0, 1], 5: [0], 6: [1], 7: [], 8: [2]}
+    assert got == sorted((c, d) for c, ds in want.items() for d in ds)
+
+
+def test_most_viewed_is_ordered(spark):
+    from conftest import SF_SMALL
+    import __spark_entry__ as E
+    rows = E.queries()["most_viewed"](spark, SF_SMALL).collect()
+    assert rows == sorted(rows, key=lambda r: (-r["view_count"], r["id"]))
