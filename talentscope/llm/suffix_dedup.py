@@ -4,7 +4,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a
 document with a smaller id. All suffixes of a large corpus need no common order
 for that; it is enough to order those whose first ``length`` bytes may repeat:
 
-1. Documents are packed into blocks of a few MB (compressed, staged once).
+1. Documents are packed into blocks of a few MB (compressed, in a table that is
+   bucketed by block, so texts are never shuffled).
 2. Every block picks anchors: the positions of least hash among ``WIDTH`` adjacent
    substrings of ``GRAM`` bytes. Any two equal strings of ``length`` bytes contain
    the same anchor at the same place. Anchors are exchanged in packed form by the
@@ -19,7 +20,8 @@ for that; it is enough to order those whose first ``length`` bytes may repeat:
 
 Hot substrings: a block sends one entry per substring and context, with the
 smallest id; where a block holds more than ``MANY`` contexts of one substring, all
-but a marker are dealt by the context instead. Digests have 88 bits or more.
+but a marker are dealt by the context instead. Contexts are compared by 80 bits and
+more within a bucket, strings by 88.
 
 Defined cases: NULL and short texts lose nothing; repeated rows with the same id
 do not remove each other's bytes; documents with a NULL id neither lose bytes nor
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from talentscope.llm.common import bucket_count, staged
+from talentscope.llm.common import bucket_count, shared_path, staged
 from talentscope.llm.hashing import Spans, U, mix
 from talentscope.llm.ngram_join import _spread_ids
 from talentscope.llm.suffix_sort import deep_shallow
@@ -54,16 +56,16 @@ PARTITION_BYTES = 32 << 20       # text bytes per partition of blocks, about
 MANY = 16
 NO_ID = np.iinfo(np.int64).min
 
-TEXT, FLAGS, OWN, FOUND = 0, 1, 2, 3          # kinds of block rows
 RESOLVED, MIXED = 1, 2                        # flags of anchors
 
 
 # --- blocks -----------------------------------------------------------------
 
 def pack_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                carry: list[str] | None = None) -> DataFrame:
-    """Staged (block, kind, data) rows with the documents of each block, and their
-    columns ``carry`` as an Arrow stream."""
+                carry: list[str] | None = None, buckets: int = 8) -> DataFrame:
+    """(block, data) rows with the documents of each block, and their columns
+    ``carry`` as an Arrow stream: a table in the shared folder, bucketed by block,
+    so that what later steps know about a block comes to it, not the reverse."""
     carry = carry or []
     src = docs.select(F.col(doc_id).cast("bigint").alias("__id"), F.col(text).alias("__text"),
                       *[F.col(c) for c in carry])
@@ -71,7 +73,7 @@ def pack_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         ids, texts, rest, size = [], [], [], 0
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
 
         def block():
             sizes = np.array([-1 if t is None else len(t) for t in texts], dtype=np.int64)
@@ -85,8 +87,8 @@ def pack_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     + np.array(ids, dtype=np.int64).tobytes() + sizes.tobytes() + extra
                     + press.compress(b"".join(t or b"" for t in texts)))
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([TEXT], pa.int32()),
-                 pa.array([data], pa.binary())], names=["block", "kind", "data"])
+                [pa.array([number], pa.int64()), pa.array([data], pa.binary())],
+                names=["block", "data"])
         for batch in batches:
             begin = 0
             others = batch.select(range(2, 2 + len(carry)))
@@ -104,7 +106,12 @@ def pack_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rest.append(others.slice(begin))
         if ids:
             yield block()
-    return staged(src.mapInArrow(run, "block bigint, kind int, data binary"), "blocks")
+    spark = docs.sparkSession
+    path = shared_path(spark, "blocks")
+    name = f"blocks_{path.rpartition('-')[2]}"
+    (src.mapInArrow(run, "block bigint, data binary").write.bucketBy(buckets, "block")
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
 
 
 class Block:
@@ -140,11 +147,9 @@ class Block:
             at = np.zeros(0, dtype=np.int64)
             self.begin = self.owner = np.zeros(0, dtype=np.int32)
         else:
-            m = n - GRAM + 1
-            pos = np.arange(m, dtype=np.uint64)
-            best = spans.hash(pos.astype(np.int64), pos.astype(np.int64) + GRAM)
+            best = spans.every(GRAM)
             best &= ~U((1 << 26) - 1)
-            best |= pos
+            best |= np.arange(n - GRAM + 1, dtype=np.uint64)
             have = 1
             while have < width:                     # sliding minimum by doubling
                 step = min(have, width - have)
@@ -155,8 +160,11 @@ class Block:
             np.add.at(valid, self.start[usable], 1)
             np.add.at(valid, self.end[usable] - self.length + 1, -1)
             begin = np.flatnonzero(np.cumsum(valid)[:len(at)] > 0)
-            at, owner = np.unique(at[begin], return_inverse=True)
-            self.begin, self.owner = begin.astype(np.int32), owner.astype(np.int32)
+            at = at[begin]                           # never decreases along the buffer
+            fresh = np.concatenate([[True], at[1:] != at[:-1]])
+            self.begin = begin.astype(np.int32)
+            self.owner = (np.cumsum(fresh) - 1).astype(np.int32)
+            at = at[fresh]
         self.at = at
         self.doc = np.searchsorted(self.end, at, side="right")
         self.gram = spans.hash(at, at + GRAM) if len(at) else np.zeros(0, dtype=np.uint64)
@@ -172,13 +180,14 @@ def _entries(block: Block, n_buckets: int):
     Returns (entry of each anchor, flags known already, and per entry: bucket, gram,
     context, id). The last entries are markers, which have no anchor."""
     g, c, ids = block.gram, block.context, block.ids[block.doc]
-    order = np.lexsort((ids, c, g))
+    order = np.lexsort((c, g))
     g, c, ids = g[order], c[order], ids[order]
     fresh = np.ones(len(g), dtype=bool)
     fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
     entry = np.empty(len(g), dtype=np.int64)
     entry[order] = np.cumsum(fresh) - 1
-    g, c, ids = g[fresh], c[fresh], ids[fresh]
+    ids = np.minimum.reduceat(ids, np.flatnonzero(fresh)) if len(g) else ids
+    g, c = g[fresh], c[fresh]
     of = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1 if len(g) else np.zeros(0, int)
     many = np.bincount(of)[of] > MANY if len(g) else np.zeros(0, bool)
     bucket = np.where(many, mix(g ^ c), g) >> U(40)
@@ -191,12 +200,19 @@ def _entries(block: Block, n_buckets: int):
     return entry, local, bucket.astype(np.int64), gram, context, ids
 
 
+def _dealt(bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries in order of their bucket, first of each bucket). Both ends of an
+    exchange use this order, so entries need no numbers on the way."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+
+
 def _payloads(block: int, bucket: np.ndarray, bucket_ids: np.ndarray, columns: list[np.ndarray],
               doc_ids: np.ndarray) -> pa.RecordBatch:
-    """One (bucket, block, data) row per bucket: entry numbers, columns, ids. Ids
-    are sent once per payload with two-byte numbers where that is shorter."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(len(bucket_ids) + 1))
+    """One (bucket, data) row per bucket: the columns of its entries and their
+    document ids (once per payload, as packed differences, with two-byte numbers)."""
+    order, cuts = _dealt(bucket, len(bucket_ids))
+    press = zstandard.ZstdCompressor(level=3)
     out_b, out_d = [], []
     for b in range(len(bucket_ids)):
         pick = order[cuts[b]:cuts[b + 1]]
@@ -204,28 +220,26 @@ def _payloads(block: int, bucket: np.ndarray, bucket_ids: np.ndarray, columns: l
             continue
         own, local = np.unique(doc_ids[pick], return_inverse=True)
         out_b.append(int(bucket_ids[b]))
+        packed = press.compress(np.diff(own, prepend=0).tobytes())
         out_d.append(b"".join([
-            np.array([block, len(pick), len(own)], dtype=np.int64).tobytes(), own.tobytes(),
-            pick.astype(np.int32).tobytes(), local.astype(np.uint16).tobytes(),
-            *[x[pick].tobytes() for x in columns]]))
+            np.array([block, b, len(pick), len(packed)], dtype=np.int64).tobytes(), packed,
+            local.astype(np.uint16).tobytes(), *[x[pick].tobytes() for x in columns]]))
     return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_d, pa.binary())],
                                       names=["bucket", "data"])
 
 
 def _read_payload(data: bytes, widths: list[int]):
-    block, n, m = np.frombuffer(data, np.int64, 3).tolist()
-    at = 24
-    own = np.frombuffer(data, np.int64, m, at)
-    at += 8 * m
-    entry = np.frombuffer(data, np.int32, n, at)
-    at += 4 * n
+    block, bucket, n, m = np.frombuffer(data, np.int64, 4).tolist()
+    at = 32
+    own = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at:at + m]), np.int64))
+    at += m
     local = np.frombuffer(data, np.uint16, n, at)
     at += 2 * n
     cols = []
     for w in widths:
         cols.append(_wide(data, at, n, w))
         at += w * n
-    return block, entry, own[local], cols
+    return block, bucket, own[local], cols
 
 
 def _narrow(x: np.ndarray, width: int) -> np.ndarray:
@@ -240,62 +254,73 @@ def _wide(data: bytes, at: int, n: int, width: int) -> np.ndarray:
 
 
 def _gather(batches, column: int, widths: list[int]):
+    """The payloads of a partition: (block, bucket, place in the payload, ids, columns)."""
     parts = [_read_payload(d.as_py(), widths) for b in batches for d in b.column(column)]
     if not parts:
         return None
-    block = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int64)
-    return (block, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]),
+    n = [len(p[2]) for p in parts]
+    return (np.repeat(np.array([p[0] for p in parts], dtype=np.int64), n),
+            np.repeat(np.array([p[1] for p in parts], dtype=np.int32), n),
+            np.concatenate([np.arange(k, dtype=np.int32) for k in n]),
+            np.concatenate([p[2] for p in parts]),
             [np.concatenate(x) for x in zip(*(p[3] for p in parts))])
 
 
-def _reply(kind: int, block: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One (block, kind, data) row per block with the packed columns."""
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
+def _reply(block: np.ndarray, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One (block, data) row per block and bucket with the packed columns."""
+    order = np.lexsort((bucket, block))
+    block, bucket = block[order], bucket[order]
+    fresh = np.concatenate([[True], (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])])
+    cuts = np.append(np.flatnonzero(fresh), len(block))
     ids, data = [], []
     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         ids.append(int(block[s]))
-        data.append(np.array([e - s], dtype=np.int64).tobytes()
+        data.append(np.array([bucket[s], e - s], dtype=np.int64).tobytes()
                     + b"".join(x[order[s:e]].tobytes() for x in columns))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(np.full(len(ids), kind), pa.int32()),
-         pa.array(data, pa.binary())], names=["block", "kind", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())],
+                                      names=["block", "data"])
+
 
+def _with_replies(blocks: DataFrame, replies: dict[str, DataFrame], fn, schema) -> DataFrame:
+    """``fn(block, text, {name: [data]})`` for every block. The block table is
+    bucketed by block, so only the (small) replies are shuffled to it."""
+    names = list(replies)
+    rows = blocks
+    for name, df in replies.items():
+        lists = df.groupBy("block").agg(F.collect_list("data").alias(name))
+        rows = rows.join(lists.hint("shuffle_hash"), "block", "left")
 
-def _by_block(rows: DataFrame, n: int, fn, schema):
-    """``fn(block, {kind: [data]})`` for every block, its rows brought together."""
     def run(batches):
-        held: dict[int, dict[int, list]] = {}
         for batch in batches:
-            for b, k, d in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(b, {}).setdefault(k, []).append(d)
-        for b in sorted(held):
-            yield from fn(b, held.pop(b))
-    return rows.repartition(n, "block").mapInArrow(run, schema)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                yield from fn(row.column(0)[0].as_py(), row.column(1)[0].as_py(), {
+                    k: row.column(2 + j)[0].as_py() or [] for j, k in enumerate(names)})
+    return rows.select("block", "data", *names).mapInArrow(run, schema)
 
 
 # --- the two exchanges ------------------------------------------------------
 
 def _anchor_flags(blocks: DataFrame, bucket_ids: np.ndarray, length: int) -> DataFrame:
-    """(block, FLAGS, entry numbers and flags) of all entries that have flags."""
+    """(block, data) replies: places and flags of all entries that have flags."""
     n_buckets = len(bucket_ids)
 
     def send(batches):
         for batch in batches:
-            for number, data in zip(batch.column(0), batch.column(2)):
+            for number, data in zip(batch.column(0), batch.column(1)):
                 block = Block(data.as_py(), length)
                 block.anchors()
                 if len(block.at):
                     _, _, bucket, gram, context, ids = _entries(block, n_buckets)
                     yield _payloads(number.as_py(), bucket, bucket_ids,
-                                    [_narrow(gram, 5), _narrow(context, 6)], ids)
+                                    [_narrow(gram, 4), _narrow(context, 6)], ids)
 
     def meet(batches):
-        got = _gather(batches, 1, [5, 6])
+        got = _gather(batches, 1, [4, 6])
         if got is None:
             return
-        block, entry, ids, (gram, context) = got
+        block, bucket, place, ids, (gram, context) = got
+        gram |= bucket.astype(np.uint64) << U(32)
         order = np.lexsort((ids, context, gram))
         gram, context, ids = gram[order], context[order], ids[order]
         new_g = np.concatenate([[True], gram[1:] != gram[:-1]])
@@ -306,20 +331,21 @@ def _anchor_flags(blocks: DataFrame, bucket_ids: np.ndarray, length: int) -> Dat
         flags |= np.where(contexts[g] > 1, MIXED, 0)
         pick = np.flatnonzero(flags)
         if len(pick):
-            yield _reply(FLAGS, block[order[pick]], entry[order[pick]].astype(np.int32),
-                         flags[pick].astype(np.uint8))
+            at = order[pick]
+            yield _reply(block[at], bucket[at], place[at], flags[pick].astype(np.uint8))
     return (blocks.mapInArrow(send, "bucket int, data binary").repartition(n_buckets, "bucket")
-            .mapInArrow(meet, "block bigint, kind int, data binary"))
+            .mapInArrow(meet, "block bigint, data binary"))
 
 
-def _flags_of(data: list[bytes], n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=np.uint8)
+def _flags_of(data: list[bytes], n: int, bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The flags of the first ``n`` entries (the others are markers)."""
+    out = np.zeros(len(bucket), dtype=np.uint8)
+    order, cuts = _dealt(bucket, n_buckets)
     for d in data:
-        m = int(np.frombuffer(d, np.int64, 1)[0])
-        at = np.frombuffer(d, np.int32, m, 8)
-        keep = at < n                                 # markers have no anchor
-        np.bitwise_or.at(out, at[keep], np.frombuffer(d, np.uint8, m, 8 + 4 * m)[keep])
-    return out
+        b, m = np.frombuffer(d, np.int64, 2).tolist()
+        at = order[cuts[b] + np.frombuffer(d, np.int32, m, 16)]
+        out[at] |= np.frombuffer(d, np.uint8, m, 16 + 4 * m)
+    return out[:n]
 
 
 def _undecided(block: Block, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,94 +365,86 @@ def _undecided(block: Block, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, cover
 
 
-def _string_rows(blocks: DataFrame, flags: DataFrame, n_blocks: int, bucket_ids: np.ndarray,
-                 length: int) -> DataFrame:
-    """Staged rows (bucket, block, kind, data): the distinct strings of each block for
-    the second exchange, and per block what is covered and which start has which
-    string."""
+def _ordered(block: Block, flags: list[bytes], n_buckets: int):
+    """(starts in order, group of each, least id of each group, cover) of the strings
+    still to decide; None for a block without anchors."""
+    block.anchors()
+    if not len(block.at):
+        return None
+    entry, local, bucket, _, _, least = _entries(block, n_buckets)
+    known = (_flags_of(flags, len(local), bucket, n_buckets) | local)[entry]
+    known |= np.where(block.ids[block.doc] > least[entry], RESOLVED, 0).astype(np.uint8)
+    starts, cover = _undecided(block, known)
+    rank, group = deep_shallow(block.raw, starts, block.length)
+    starts = starts[rank]
+    least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, block.ids[np.searchsorted(block.end, starts, side="right")])
+    return starts, group, least, cover
+
+
+def _strings(blocks: DataFrame, flags: DataFrame, bucket_ids: np.ndarray,
+             length: int) -> DataFrame:
+    """(bucket, data): the distinct undecided strings of each block with the smallest
+    id in the block."""
     n_buckets = len(bucket_ids)
-    schema = "bucket int, block bigint, kind int, data binary"
 
-    def order(number, rows):
-        block = Block(rows[TEXT][0], length)
-        block.anchors()
-        if not len(block.at):
-            return
-        entry, local, _, _, _, least = _entries(block, n_buckets)
-        flags = (_flags_of(rows.get(FLAGS, []), len(local)) | local)[entry]
-        flags |= np.where(block.ids[block.doc] > least[entry], RESOLVED, 0).astype(np.uint8)
-        starts, cover = _undecided(block, flags)
-        edge = np.flatnonzero(cover)
-        doc = np.searchsorted(block.end, starts, side="right")
-        rank, group = deep_shallow(block.raw, starts, length)
-        ids = block.ids[doc[rank]]
-        n_groups = int(group[-1]) + 1 if len(group) else 0
-        least = np.full(n_groups, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids)
-        own = b"".join([
-            np.array([len(edge), len(starts)], dtype=np.int64).tobytes(),
-            edge.astype(np.int32).tobytes(), cover[edge].astype(np.int32).tobytes(),
-            starts[rank].astype(np.int32).tobytes(), group.astype(np.int32).tobytes()])
-        if len(edge) or len(starts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1], pa.int32()), pa.array([number], pa.int64()),
-                 pa.array([OWN], pa.int32()),
-                 pa.array([zstandard.ZstdCompressor(level=1).compress(own)], pa.binary())],
-                names=["bucket", "block", "kind", "data"])
-        if n_groups:
-            head = starts[rank[np.searchsorted(group, np.arange(n_groups))]]
-            h = block.spans.hash(head, head + length, 29)
-            h2 = block.spans.hash(head, head + length, 31)
-            sent = _payloads(number, ((h >> U(40)) % U(n_buckets)).astype(np.int64), bucket_ids,
-                             [_narrow(h, 8), _narrow(h2, 3)], least)
-            k = sent.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [sent.column(0), pa.array(np.full(k, number), pa.int64()),
-                 pa.array(np.full(k, FOUND), pa.int32()), sent.column(1)],
-                names=["bucket", "block", "kind", "data"])
-    return staged(_by_block(blocks.unionByName(flags), n_blocks, order, schema), "strings")
+    def send(number, text, replies):
+        block = Block(text, length)
+        got = _ordered(block, replies["flags"], n_buckets)
+        if got and len(got[2]):
+            starts, group, least, _ = got
+            bucket, h, h2 = _string_keys(block, starts, group, len(least), n_buckets)
+            yield _payloads(number, bucket, bucket_ids, [_narrow(h, 8), _narrow(h2, 3)], least)
+    return _with_replies(blocks, {"flags": flags}, send, "bucket int, data binary")
+
+
+def _string_keys(block: Block, starts: np.ndarray, group: np.ndarray, n_groups: int,
+                 n_buckets: int):
+    """(bucket, digest, more of it) of each group's string."""
+    head = starts[np.searchsorted(group, np.arange(n_groups))]
+    h = block.spans.hash(head, head + block.length, 29)
+    return (((h >> U(40)) % U(n_buckets)).astype(np.int64), h,
+            block.spans.hash(head, head + block.length, 31))
 
 
 def _smallest_ids(strings: DataFrame, n_buckets: int) -> DataFrame:
-    """(block, FOUND, group numbers and smallest ids) where another block has a
-    smaller document with the string."""
+    """(block, data) replies: places and smallest ids of the strings for which
+    another block has a smaller document."""
     def meet(batches):
         got = _gather(batches, 1, [8, 3])
         if got is None:
             return
-        block, entry, ids, (h, h2) = got
+        block, bucket, place, ids, (h, h2) = got
         order = np.lexsort((ids, h2, h))
         h, h2, ids = h[order], h2[order], ids[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
         least = ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         pick = np.flatnonzero(least < ids)
         if len(pick):
-            yield _reply(FOUND, block[order[pick]], entry[order[pick]].astype(np.int32),
-                         least[pick])
-    return (strings.filter(F.col("kind") == FOUND).select("bucket", "data")
-            .repartition(n_buckets, "bucket")
-            .mapInArrow(meet, "block bigint, kind int, data binary"))
+            at = order[pick]
+            yield _reply(block[at], bucket[at], place[at], least[pick])
+    return (strings.repartition(n_buckets, "bucket")
+            .mapInArrow(meet, "block bigint, data binary"))
 
 
-def _covered(block: Block, rows: dict) -> np.ndarray:
-    """Boolean per byte of the block: covered by a string of a smaller document."""
+def _covered(block: Block, replies: dict, n_buckets: int) -> np.ndarray:
+    """Boolean per byte of the block: covered by a string of a smaller document. The
+    order of the strings is found again rather than stored: it is larger than the
+    text it orders."""
     n = len(block.raw)
-    cover = np.zeros(n + 1, dtype=np.int32)
-    for packed in rows.get(OWN, []):
-        own = zstandard.ZstdDecompressor().decompress(packed)
-        n_edge, n_starts = np.frombuffer(own, np.int64, 2).tolist()
-        edge = np.frombuffer(own, np.int32, n_edge, 16)
-        cover[edge] += np.frombuffer(own, np.int32, n_edge, 16 + 4 * n_edge)
-        starts = np.frombuffer(own, np.int32, n_starts, 16 + 8 * n_edge).astype(np.int64)
-        group = np.frombuffer(own, np.int32, n_starts, 16 + 8 * n_edge + 4 * n_starts)
-        ids = block.ids[np.searchsorted(block.end, starts, side="right")]
-        least = np.full(int(group[-1]) + 1 if n_starts else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids)
-        for d in rows.get(FOUND, []):
-            m = int(np.frombuffer(d, np.int64, 1)[0])
-            g = np.frombuffer(d, np.int32, m, 8)
-            least[g] = np.minimum(least[g], np.frombuffer(d[8 + 4 * m:], np.int64, m))
-        gone = starts[ids > least[group]]
+    got = _ordered(block, replies["flags"], n_buckets)
+    if got is None:
+        return np.zeros(n, dtype=bool)
+    starts, group, least, cover = got
+    if replies["found"]:
+        bucket, _, _ = _string_keys(block, starts, group, len(least), n_buckets)
+        order, cuts = _dealt(bucket, n_buckets)
+        for d in replies["found"]:
+            b, m = np.frombuffer(d, np.int64, 2).tolist()
+            g = order[cuts[b] + np.frombuffer(d, np.int32, m, 16)]
+            least[g] = np.minimum(least[g], np.frombuffer(d[16 + 4 * m:], np.int64, m))
+    if len(starts):
+        gone = starts[block.ids[np.searchsorted(block.end, starts, side="right")] > least[group]]
         np.add.at(cover, gone, 1)
         np.add.at(cover, gone + block.length, -1)
     return np.cumsum(cover)[:n] > 0
@@ -436,20 +454,18 @@ def _run(docs: DataFrame, doc_id: str, text: str, length: int, carry: list[str],
          schema) -> DataFrame:
     """The whole method; ``finish(block, covered)`` yields the output batches."""
     spark = docs.sparkSession
-    blocks = pack_blocks(docs, doc_id, text, carry)
-    n = blocks.count()
-    size = n * BLOCK_BYTES
-    n_blocks = bucket_count(spark, size, PARTITION_BYTES)
-    bucket_ids = _spread_ids(spark, bucket_count(spark, size, BUCKET_BYTES))
-    flags = _anchor_flags(blocks, bucket_ids, length)
-    strings = _string_rows(blocks, flags, n_blocks, bucket_ids, length)
-    found = _smallest_ids(strings, len(bucket_ids))
-    own = strings.filter(F.col("kind") == OWN).select("block", "kind", "data")
-
-    def last(number, rows):
-        block = Block(rows[TEXT][0], length)
-        yield from finish(block, _covered(block, rows))
-    return _by_block(blocks.unionByName(own).unionByName(found), n_blocks, last, schema)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = pack_blocks(docs, doc_id, text, carry, bucket_count(spark, size, PARTITION_BYTES))
+    n_buckets = bucket_count(spark, size, BUCKET_BYTES)
+    # numbers that a hash partitioning of n spreads evenly
+    bucket_ids = _spread_ids(spark, n_buckets)
+    flags = staged(_anchor_flags(blocks, bucket_ids, length), "flags")
+    found = staged(_smallest_ids(_strings(blocks, flags, bucket_ids, length), n_buckets), "found")
+
+    def last(number, text_, replies):
+        block = Block(text_, length)
+        yield from finish(block, _covered(block, replies, n_buckets))
+    return _with_replies(blocks, {"flags": flags, "found": found}, last, schema)
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
