@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from talentscope import schemas as S
 from talentscope.functions.time import DEFAULT_AS_OF, day_of, within_days
+from talentscope.session import cut_lineage
 
 FLOAT_DIGITS = 6
 
@@ -72,8 +73,9 @@ def most_viewed(resumes: DataFrame, views: DataFrame, as_of: str = DEFAULT_AS_OF
 
 
 def analytics_summary(logs: DataFrame, history: DataFrame, as_of: str = DEFAULT_AS_OF,
-                      days: int = S.DEFAULT_DAYS) -> DataFrame:
-    """AGG-6: one row over the day window.
+                      days: int = S.DEFAULT_DAYS, daily: DataFrame | None = None) -> DataFrame:
+    """AGG-6: one row over the day window (``daily``: its daily metrics, if they are
+    at hand).
 
     ``total_searches`` = Σ daily counts; ``unique_users`` = true distinct users;
     ``distinct_daily_user_counts`` = the number of distinct daily user counts
@@ -81,7 +83,7 @@ def analytics_summary(logs: DataFrame, history: DataFrame, as_of: str = DEFAULT_
     unweighted mean of daily mean result counts (NULL on an empty window).
     """
     spark = logs.sparkSession
-    daily = daily_search_metrics(logs, as_of, days)
+    daily = daily_search_metrics(logs, as_of, days) if daily is None else daily
     window = logs.filter(within_days(F.col("created_at"), as_of, days))
     hist_daily = (history.filter(within_days(F.col("created_at"), as_of, days))
                   .groupBy(day_of(F.col("created_at")).alias("day"))
@@ -140,6 +142,24 @@ def analytics_report(logs: DataFrame, history: DataFrame, report_type: str = "ov
     return parts
 
 
+def analytics_reports(logs: DataFrame, history: DataFrame, types=("overview", "searches"),
+                      windows=(7, 30), as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """AGG-9 for several types and windows, as JSON rows: every shared part (the daily
+    metrics of a window, the popular queries; a few rows each) is computed once."""
+    daily = {d: cut_lineage(daily_search_metrics(logs, as_of, d)) for d in windows}
+    popular = cut_lineage(popular_searches(logs, as_of, S.POPULAR_K_SEARCHES))
+    first = popular.orderBy(F.col("count").desc(), F.col("query").asc()).limit(S.POPULAR_K_OVERVIEW)
+    out = None
+    for kind in types:
+        for d in windows:
+            parts = {"daily": daily[d], "popular": popular if kind == "searches" else first}
+            if kind != "searches":
+                parts["summary"] = analytics_summary(logs, history, as_of, d, daily[d])
+            rows = report_rows(parts, kind, d)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def report_rows(parts: dict, report_type: str, days: int) -> DataFrame:
     """SRC-4 form of a report: one JSON row per part row, tagged by part."""
     frames = [df.select(F.lit(report_type).alias("report_type"), F.lit(days).alias("days"),

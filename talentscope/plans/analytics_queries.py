@@ -138,13 +138,7 @@ def _overview_oracle() -> str:
 def q_analytics_overview(spark, sf_dir):
     """AGG-9: both report types for 7 and 30 days, as JSON rows."""
     d = Domain(spark, sf_dir)
-    logs, hist = d.search_logs(), d.search_history()
-    out = None
-    for rtype in ("overview", "searches"):
-        for days in (7, 30):
-            rows = A.report_rows(A.analytics_report(logs, hist, rtype, days), rtype, days)
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    return A.analytics_reports(d.search_logs(), d.search_history())
 
 
 @register("scan_search_logs", with_bindings(["search_logs"], "select * from search_logs"))
