@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from talentscope.llm.arrow_rows import map_texts
+from talentscope.llm.arrow_rows import map_texts, slices
 from talentscope.llm.common import staged
 
 WINDOW = 10
@@ -300,35 +300,68 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*keep, raw[pos:]]).decode()
 
 
+def _clean(automaton: Automaton, texts: list[str | None]) -> list[tuple[str | None, int, int]]:
+    """(text without hits, words before, words cut) of each text; a window that a
+    cut joins anew is cut as well."""
+    out = [(t, n, sum(e - s for s, e in spans), spans)
+           for t, (n, spans, _) in zip(texts, scan(automaton, texts))]
+    done = [(t, n, gone) for t, n, gone, _ in out]
+    todo = [i for i, x in enumerate(out) if x[3]]
+    spans = {i: out[i][3] for i in todo}
+    while todo:
+        cut = [cut_words(done[i][0], spans[i]) for i in todo]
+        again = scan(automaton, cut)
+        for i, t, (_, sp, _) in zip(todo, cut, again):
+            done[i] = (t, done[i][1], done[i][2] + sum(e - s for s, e in sp))
+            spans[i] = sp
+        todo = [i for i in todo if spans[i]]
+    return done
+
+
 def remove_contamination(docs: DataFrame, bench: DataFrame, text: str = "text",
                          n_chars: str = "n_chars", window: int = WINDOW,
                          max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """Documents without their hit spans, with the columns of ``docs``. A document
     whose hit words exceed ``max_coverage`` of its words is dropped; ``n_chars``,
-    where present, is set anew for cut texts. Removal is checked once more, so a
-    window that the cut itself would join is removed as well."""
-    row = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"))
-    cut = _cut(contamination(row, bench, ["row"], "t", window), max_coverage)
-    again = _cut(contamination(cut, bench, ["row"], "t", window), 1.0)
-    same = F.col("t").eqNullSafe(F.col(f"row.`{text}`"))
-    cols = [F.when(same, F.col(f"row.`{c}`")).otherwise(F.length("t")).alias(c) if c == n_chars
-            else F.col("t").alias(c) if c == text else F.col(f"row.`{c}`").alias(c)
-            for c in docs.columns]
-    return again.select(*cols)
-
-
-def _cut(found: DataFrame, max_coverage: float) -> DataFrame:
-    """Rows (row, t) without their spans; rows over ``max_coverage`` are left out."""
-    found = found.select("row", "t", "n_words", "spans")
-    schema = StructType(found.select("row", "t").schema.fields)
-
-    def run(batches):
-        for batch in batches:
-            texts, kept = [], []
-            for t, n, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                kept.append(hit_words(s) <= max_coverage * n)
-                texts.append(cut_words(t, merged(list(zip(s[::2], s[1::2])))) if s else t)
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())],
-                                             names=["row", "t"])
-            yield out.filter(pa.array(kept))
-    return found.mapInArrow(run, schema)
+    where present, is set anew for cut texts. With several benchmark blocks the
+    passes are repeated until none of them cuts anything."""
+    sc = docs.sparkSession.sparkContext
+    rest = [c for c in docs.columns if c != text]
+    state = docs.select(F.struct(*rest).alias("o"), F.col(text).alias("t"),
+                        F.lit(-1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("gone"))
+    schema = state.schema
+
+    def one_pass(df, auto):
+        def run(batches):
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for s, e in slices(texts):
+                    part = batch.slice(s, e - s)
+                    got = _clean(auto.value, texts[s:e])
+                    n = [m if m >= 0 else g[1] for m, g in zip(part.column(2).to_pylist(), got)]
+                    gone = [x + g[2] for x, g in zip(part.column(3).to_pylist(), got)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array([g[0] for g in got], pa.string()),
+                         pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+        return df.mapInArrow(run, schema)
+
+    autos = [sc.broadcast(Automaton([(i, words_of(t)) for i, t in rows], window))
+             for rows in _blocks(bench, window)]
+    before = None
+    while True:
+        for auto in autos:
+            state = one_pass(state, auto)
+            if len(autos) > 1:
+                state = staged(state, "cleaned")
+        if len(autos) == 1:
+            break
+        now = state.agg(F.sum("gone")).first()[0]
+        if now == before or not now:
+            break
+        before = now
+    kept = state.filter(F.col("gone") <= max_coverage * F.col("n"))
+    cols = [F.col("t").alias(text) if c == text
+            else F.when(F.col("gone") > 0, F.length("t")).otherwise(F.col(f"o.`{c}`")).cast(
+                docs.schema[c].dataType).alias(c) if c == n_chars
+            else F.col(f"o.`{c}`").alias(c) for c in docs.columns]
+    return kept.select(*cols)
