@@ -13,6 +13,14 @@ def _ordered(edges: DataFrame) -> DataFrame:
         "u <> v").distinct()
 
 
+def _chained(e: DataFrame) -> bool:
+    """Whether some node has both a smaller and a larger neighbour, or several
+    smaller ones: then the edges are not yet stars around least nodes."""
+    if not e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        return True
+    return not e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge: component is the least node it
     is connected with. Each round is written to the shared folder; the rounds grow
@@ -35,7 +43,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))), "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
                     .alias("s")).first()
-        if now == before:
+        if now == before or not _chained(e):
             break
         before = now
     tied = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -6,13 +6,14 @@ link when their Jaccard similarity reaches 75 %. Equal sets form a class first.
 1. A fixed order of all shingles (rare before frequent) gives each class a
    prefix, such that linked classes share a prefix shingle. Prefixes are exchanged
    in packed blocks, by shingle.
-2. Grouping: every class is compared with a few leaders among the classes that
-   share a prefix shingle and a size band with it (a star, not all pairs); exact
-   links form groups of similar documents.
+2. Grouping: every class gets a few leaders among the classes that share a prefix
+   shingle and a size band with it (stars, not all pairs) and is compared with
+   them exactly. The classes with the same best leader are a group.
 3. Token-group matrix: the prefix shingles of each group are joined into the
-   group's union. A class of another (smaller) group queries it: the overlap with
-   the union bounds the overlap with every member, and only qualifying groups are
-   opened, that is, compared exactly member by member.
+   group's union. A class queries the groups that it shares a shingle with, unless
+   links already connect it: the overlap with the union bounds the overlap with
+   every member, and only qualifying groups are opened, that is, compared exactly
+   with the class, blocks of members and queries at a time.
 4. Connected components over all exact links.
 
 Similarities are counted on whole sets of 64-bit hashes; equal sets are known by
@@ -38,10 +39,15 @@ from talentscope.llm.components import connected_components
 from talentscope.llm.hashing import Spans, U, mix
 
 SHINGLE = 5
-BLOCK_SHINGLES = 3_000_000        # shingles of one packed block
-BUCKET_SHINGLES = 600_000         # prefix shingles of one bucket, about
-FREQUENT_SHARE = 0.0002           # of the documents: such a shingle counts as frequent
+BLOCK_SHINGLES = 1_500_000        # shingles of one packed block
+BLOCK_CLASSES = 60_000            # so that two bytes number a block's classes
+LEADERS = 3                       # leaders that a class is compared with for grouping
+BUCKET_SHINGLES = 400_000         # prefix shingles of one bucket, about
+FREQUENT_SHARE = 0.0001           # of the documents: such a shingle counts as frequent
+BLOCK_SHARE = 0.0005              # of a block's documents (two at least): counted at all
 MAX_FREQUENT = 1_000_000
+FAMILIAR = 4                      # prefix shingles shared with a leader to join its group
+OPEN_CLASSES = 200                # classes of one side compared at once when a group is opened
 MAX_BROADCAST_ROWS = 2_000_000    # of 16 bytes; more rows are joined by a shuffle
 
 _FOLD = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c
@@ -120,7 +126,7 @@ def _profile(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
             h = np.sort(np.concatenate(held))
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             n = np.diff(np.concatenate([cut, [len(h)]]))
-            often = n >= max(4, FREQUENT_SHARE * rows)
+            often = n >= max(2, BLOCK_SHARE * rows)
             yield _rows(1, None, n[often], h[cut[often]].view(np.int64))
 
         for part, h, offsets in _blocks(batches, 1, k):
@@ -156,7 +162,7 @@ def _spread_ids(spark: SparkSession, n: int) -> np.ndarray:
 
 def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, frequent, ids: np.ndarray):
     """Rows (bucket, data): the prefix shingles of a block's classes that fall into
-    a bucket, with the classes and their sizes."""
+    a bucket, with their places in the class's order, the classes and their sizes."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     n_buckets = len(ids)
 
@@ -186,9 +192,10 @@ def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, frequent,
             place = np.arange(len(h)) - (np.cumsum(counts) - counts)[owner]
             take = place < prefix_length(n)[owner]
             h, owner = h[take], owner[take]
+            place = np.minimum(place[take] + 1, 65535)
             bucket = ((h >> U(40)) % U(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            h, owner, bucket = h[order], owner[order], bucket[order]
+            h, owner, bucket, place = h[order], owner[order], bucket[order], place[order]
             cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
             out_b, out_d = [], []
             for b in range(n_buckets):
@@ -200,14 +207,14 @@ def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, frequent,
                 out_d.append(b"".join([
                     np.array([len(own), e - s], dtype=np.int64).tobytes(), cls[own].tobytes(),
                     n[own].astype(np.int64).tobytes(), h[s:e].tobytes(),
-                    local.astype(np.int32).tobytes()]))
+                    local.astype(np.uint16).tobytes(), place[s:e].astype(np.uint16).tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()),
                                               pa.array(out_d, pa.binary())],
                                              names=["bucket", "data"])
         for _, h, offsets in _blocks(batches, 1, k):
             held.append((_class_ids(h, offsets), h, offsets))
             size += len(h)
-            if size >= BLOCK_SHINGLES:
+            if size >= BLOCK_SHINGLES or sum(len(c) for c, _, _ in held) >= BLOCK_CLASSES - 10_000:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -220,8 +227,9 @@ def _unpack(data: bytes):
     cls = np.frombuffer(data, np.int64, m, 16)
     n = np.frombuffer(data, np.int64, m, 16 + 8 * m)
     h = np.frombuffer(data, np.uint64, k, 16 + 16 * m)
-    local = np.frombuffer(data, np.int32, k, 16 + 16 * m + 8 * k)
-    return h, cls[local], n[local]
+    local = np.frombuffer(data, np.uint16, k, 16 + 16 * m + 8 * k)
+    place = np.frombuffer(data, np.uint16, k, 16 + 16 * m + 10 * k)
+    return h, cls[local], n[local], place.astype(np.int64)
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -233,32 +241,35 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _several(h: np.ndarray) -> np.ndarray:
+    """True for the entries of a sorted array whose value occurs more than once."""
+    if not len(h):
+        return np.zeros(0, dtype=bool)
+    sizes = np.diff(np.append(np.flatnonzero(_firsts(h)), len(h)))
+    return np.repeat(sizes > 1, sizes)
+
+
 def _leaders(packed: DataFrame) -> DataFrame:
     """Staged rows: kind 0 (a class, b leader, sizes, shared prefix shingles) and
-    kind 1 (a class, b shingle, na size) for shingles of two classes or more."""
+    kind 1 (a class, b shingle, na size, nb place) for shingles of several classes."""
     def run(batches):
         parts = [_unpack(d.as_py()) for batch in batches for d in batch.column(1)]
         if not parts:
             return
-        h, cls, n = (np.concatenate(x) for x in zip(*parts))
+        h, cls, n, place = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(h, kind="stable")
-        h, cls, n = h[order], cls[order], n[order]
-        first = _firsts(h)
-        many = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
-        keep = np.repeat(many, np.diff(np.append(np.flatnonzero(first), len(h))))
-        h, cls, n = h[keep], cls[keep], n[keep]
+        h, cls, n, place = h[order], cls[order], n[order], place[order]
+        keep = _several(h)
+        h, cls, n, place = h[keep], cls[keep], n[keep], place[keep]
         order = np.lexsort((cls, h))
-        h, cls, n = h[order], cls[order], n[order]
-        keep = _firsts(h, cls)
-        h, cls, n = h[keep], cls[keep], n[keep]
+        h, cls, n, place = h[order], cls[order], n[order], place[order]
+        keep = _firsts(h, cls) if len(h) else keep[:0]
+        h, cls, n, place = h[keep], cls[keep], n[keep], place[keep]
+        keep = _several(h)
+        h, cls, n, place = h[keep], cls[keep], n[keep], place[keep]
         if not len(h):
             return
-        sizes = np.diff(np.append(np.flatnonzero(_firsts(h)), len(h)))
-        keep = np.repeat(sizes > 1, sizes)
-        h, cls, n = h[keep], cls[keep], n[keep]
-        if not len(h):
-            return
-        yield _pairs(1, cls, h.view(np.int64), n, np.zeros_like(n), np.zeros_like(n))
+        yield _pairs(1, cls, h.view(np.int64), n, place, np.zeros_like(n))
         band = np.floor(np.log(n) / np.log(4 / 3) + 1e-9).astype(np.int64)
         order = np.lexsort((mix(cls.view(np.uint64)), band, h))
         h, cls, n, band = h[order], cls[order], n[order], band[order]
@@ -370,15 +381,28 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
 
     na, nb = F.col("na"), F.col("nb")
+    # the few leaders that share most (of at most three per prefix shingle)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("shared", "b", "able")), asc=False),
+                   1, LEADERS)
+    able = F.col("shared") + F.greatest(_tail(na), _tail(nb)) >= _needed(na, nb)
     stars = (found.filter("kind = 0").groupBy("a", "b", "na", "nb")
-             .agg(F.sum("shared").alias("shared"))
-             .filter(F.col("shared") + F.greatest(_tail(na), _tail(nb)) >= _needed(na, nb)))
+             .agg(F.sum("shared").alias("shared")).withColumn("able", able)
+             .groupBy("a").agg(best.alias("best")))
+    stars = staged(stars.select("a", "best", F.when(F.col("best")[0]["shared"] >= FAMILIAR,
+                                                    F.col("best")[0]["b"]).alias("lead")), "leaders")
+    asked = stars.select("a", F.explode(F.filter("best", lambda x: x["able"])).alias("x")).select(
+        "a", F.col("x.b").alias("b"))
     lists = found.filter("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("token"),
-                                            F.col("na").alias("n"))
-    links = _linked(docs, doc_id, text, k, stars, classes)
-    groups = connected_components(links)                       # (node, component)
-    opened = _open_groups(lists, groups, classes, ids)
-    links = links.unionByName(_linked(docs, doc_id, text, k, opened, classes))
+                                            F.col("na").alias("n"), F.col("nb").alias("place"))
+    links = _linked(docs, doc_id, text, k, asked, classes)
+    linked = connected_components(links)                       # (node, component)
+    named = classes.join(linked, classes["cls"] == linked["node"], "left").join(
+        stars.select(F.col("a").alias("cls"), "lead"), "cls", "left")
+    named = staged(named.select("cls", "n", F.coalesce("component", "cls").alias("comp"),
+                                F.coalesce("lead", "cls").alias("grp")), "groups")
+    single, several = _open_groups(lists, named, ids)
+    links = links.unionByName(_linked(docs, doc_id, text, k, single, classes)).unionByName(
+        _opened(docs, doc_id, text, k, several, named, classes))
     groups = connected_components(links)
 
     comp = classes.join(groups, classes["cls"] == groups["node"], "left").select(
@@ -391,27 +415,35 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             "component_id"))
 
 
-def _open_groups(lists: DataFrame, groups: DataFrame, classes: DataFrame,
-                 ids: np.ndarray) -> DataFrame:
-    """Pairs (a, b) still to compare: classes of different groups whose group-level
-    bound leaves room for a link.
-
-    The smaller group's classes query the larger group: the shared shingles with
-    its union, plus what may lie beyond the prefixes, must reach the least overlap
-    that any size allowed by both sides needs."""
-    g = lists.join(groups, lists["cls"] == groups["node"], "left").select(
-        "token", "cls", "n", F.coalesce("component", "cls").alias("grp"))
-    sizes = classes.join(groups, classes["cls"] == groups["node"], "left").select(
-        "cls", "n", F.coalesce("component", "cls").alias("grp"))
-    stats = sizes.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("lo"),
+def _open_groups(lists: DataFrame, named: DataFrame,
+                 ids: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """What is still to compare, where the bound leaves room for a link: pairs (a, b)
+    of a class and a group of one, and (a, grp, members) of a class and a group.
+
+    ``named`` has (cls, n, comp, grp): the component found so far and the group (the
+    classes that share most with the same leader, linked or not). A class queries
+    every group, its own too, that shares a prefix shingle with it through a class
+    of a larger component (ties by number): pairs inside a component are settled,
+    and each other pair is asked from one side. The shared shingles with the
+    group's union, plus what may lie beyond the prefixes, must reach the least
+    overlap that any size allowed by both sides needs. Against a group of one the
+    bound is sharper: after the last shared prefix shingle neither side can share
+    more than it has left, and beyond the prefix that ends first no more than that
+    class has beyond its prefix."""
+    stats = named.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("lo"),
                                      F.max("n").alias("hi"))
-    mixed = (g.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"))
+    weight = named.groupBy("comp").agg(F.count("*").alias("weight"))
+    known = (named.join(weight, "comp").join(stats.select("grp", "members"), "grp")
+             .select("cls", "grp", "members", "comp", "weight"))
+    g = lists.join(known, "cls")
+    mixed = (g.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
              .filter("x <> y").select("token"))
     n_buckets = len(ids)
     bucket = F.element_at(F.array(*[F.lit(int(i)) for i in ids]),
                           (F.pmod(F.xxhash64("token"), F.lit(n_buckets)) + 1).cast("int"))
-    rows = (g.join(mixed, "token").join(stats.select("grp", "members"), "grp")
-            .select(bucket.alias("bucket"), "token", "cls", "grp", "members")
+    rows = (g.join(mixed, "token")
+            .select(bucket.alias("bucket"), "token", "cls", "grp", "members", "n", "place",
+                    "comp", "weight")
             .repartition(n_buckets, "bucket"))
 
     def run(batches):
@@ -419,37 +451,94 @@ def _open_groups(lists: DataFrame, groups: DataFrame, classes: DataFrame,
         if not got:
             return
         t = pa.Table.from_batches(got)
-        token, cls, grp, members = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
-        order = np.lexsort((cls, grp, token))
-        token, cls, grp, members = (x[order] for x in (token, cls, grp, members))
+        columns = [t.column(i).to_numpy() for i in range(1, 9)]
+        order = np.lexsort((columns[1], columns[6], columns[7], columns[2], columns[0]))
+        token, cls, grp, members, n, place, comp, weight = (x[order] for x in columns)
         starts = np.append(np.flatnonzero(_firsts(token)), len(token))
         qs, gs = [], []
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            heads = np.flatnonzero(_firsts(grp[s:e])) + s
-            for i in heads.tolist():
-                smaller = (members[s:e] < members[i]) | ((members[s:e] == members[i])
-                                                         & (grp[s:e] < grp[i]))
-                q = cls[s:e][smaller]
+            tails = np.append(np.flatnonzero(_firsts(grp[s:e]))[1:], e - s) + s - 1
+            for i in tails.tolist():             # the group's class of the largest component
+                q = (weight[s:e] < weight[i]) | ((weight[s:e] == weight[i])
+                                                 & (comp[s:e] < comp[i]))
+                if members[i] == 1:
+                    q &= 4 * np.minimum(n[s:e], n[i]) >= 3 * np.maximum(n[s:e], n[i])
+                q = np.flatnonzero(q) + s
                 qs.append(q)
-                gs.append(np.full(len(q), grp[i]))
-        q, gr = np.concatenate(qs), np.concatenate(gs)
-        order = np.lexsort((gr, q))
-        q, gr = q[order], gr[order]
-        first = np.flatnonzero(_firsts(q, gr)) if len(q) else np.zeros(0, dtype=np.int64)
-        shared = np.diff(np.append(first, len(q)))
-        yield pa.RecordBatch.from_arrays([pa.array(q[first]), pa.array(gr[first]),
-                                          pa.array(shared)], names=["a", "grp", "shared"])
-    overlap = rows.mapInArrow(run, "a bigint, grp bigint, shared bigint").groupBy("a", "grp").agg(
-        F.sum("shared").alias("shared"))
-    n = F.col("n")
-    least, most = F.greatest(F.col("lo"), F.ceil(n * 3 / 4)), F.least(F.col("hi"), F.floor(n * 4 / 3))
-    qualifying = (overlap.join(classes.select(F.col("cls").alias("a"), "n"), "a")
-                  .join(stats, "grp").filter(least <= most)
-                  .filter(F.col("shared") + F.greatest(_tail(n), _tail(most))
-                          >= _needed(n, least)))
-    return (qualifying.select("a", "grp", F.col("n").alias("na"))
-            .join(sizes.select("grp", F.col("cls").alias("b"), F.col("n").alias("nb")), "grp")
-            .filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))
+                gs.append(np.full(len(q), i))
+        q, at = np.concatenate(qs), np.concatenate(gs)
+        if not len(q):
+            return
+        order = np.lexsort((grp[at], cls[q]))
+        q, at = q[order], at[order]
+        first = np.flatnonzero(_firsts(cls[q], grp[at]))
+        f, one = first, members[at[first]] == 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cls[q[f]]), pa.array(n[q[f]]), pa.array(grp[at[f]]),
+             pa.array(cls[at[f]], mask=~one), pa.array(n[at[f]], mask=~one),
+             pa.array(np.diff(np.append(f, len(q)))),
+             pa.array(np.maximum.reduceat(place[q], f)), pa.array(np.maximum.reduceat(place[at], f))],
+            names=["a", "na", "grp", "b", "nb", "shared", "pa", "pb"])
+    schema = ("a bigint, na bigint, grp bigint, b bigint, nb bigint, shared bigint, pa bigint, "
+              "pb bigint")
+    overlap = staged(rows.mapInArrow(run, schema).groupBy("a", "na", "grp", "b", "nb").agg(
+        F.sum("shared").alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb")), "overlap")
+    na, nb, shared = F.col("na"), F.col("nb"), F.col("shared")
+    beyond = F.greatest(F.least(_tail(na), nb - F.col("pb")), F.least(_tail(nb), na - F.col("pa")))
+    single = overlap.filter(F.col("b").isNotNull() & (shared + beyond >= _needed(na, nb)))
+    least = F.greatest(F.col("lo"), F.ceil(na * 3 / 4))
+    most = F.least(F.col("hi"), F.floor(na * 4 / 3))
+    several = (overlap.filter(F.col("b").isNull()).select("a", "na", "grp", "shared")
+               .join(stats, "grp").filter(least <= most)
+               .filter(shared + F.greatest(_tail(na), _tail(most)) >= _needed(na, least))
+               .select("a", "grp", "members"))
+    return single.select("a", "b"), staged(several, "qualifying")
+
+
+def _opened(docs: DataFrame, doc_id: str, text: str, k: int, several: DataFrame,
+            named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of classes a and the members of their qualifying groups, staged:
+    one for every component that a links with.
+
+    Members and queries of a group are packed into blocks of about
+    ``OPEN_CLASSES`` texts; each pair of blocks is one task row, in which every
+    query is counted against all members at once."""
+    members = named.select("cls", "comp", "grp").join(
+        several.select("grp", "members").distinct(), "grp")
+    wanted = members.select("cls").union(several.select("a")).distinct()
+    bodies = _bodies(docs, doc_id, text, k,
+                     staged(classes.join(wanted, "cls").select("cls", "rep"), "wanted"))
+
+    def packed(df, count, out):
+        slot = F.pmod(F.xxhash64("cls"), F.ceil(F.col(count) / OPEN_CLASSES))
+        return (df.join(bodies, "cls").groupBy("grp", slot.alias("slot"))
+                .agg(F.collect_list(F.struct("cls", "comp", "text")).alias(out)).drop("slot"))
+    asked = several.groupBy("grp").agg(F.count("*").alias("queries"))
+    queries = several.select("grp", F.col("a").alias("cls")).join(asked, "grp").join(
+        named.select("cls", "comp"), "cls")
+    pairs = packed(queries, "queries", "qs").join(packed(members, "members", "ms"), "grp")
+
+    def run(batches):
+        for batch in batches:
+            for qs, ms in zip(batch.column(0), batch.column(1)):
+                qs, ms = qs.as_py(), ms.as_py()
+                h, o = shingle_sets([m["text"] for m in ms], k)
+                owner, n = np.repeat(np.arange(len(ms)), np.diff(o)), np.diff(o)
+                comp = np.array([m["comp"] for m in ms])
+                hq, oq = shingle_sets([q["text"] for q in qs], k)
+                a, b = [], []
+                for i, q in enumerate(qs):
+                    own = hq[oq[i]:oq[i + 1]]
+                    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                    met = np.bincount(owner[own[at] == h], minlength=len(ms))
+                    link = np.flatnonzero((100 * met >= 75 * (n + len(own) - met))
+                                          & (comp != q["comp"]))
+                    for j in np.unique(comp[link], return_index=True)[1].tolist():
+                        a.append(q["cls"])
+                        b.append(ms[link[j]]["cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                                 names=["a", "b"])
+    return staged(pairs.select("qs", "ms").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
