@@ -46,11 +46,28 @@ class Spans:
             h = (self.prefix[end] - self.prefix[start]) * _inverses[start]
             return mix(h + (end - start).astype(np.uint64) * U(0xA24BAED4963EE407) + U(seed))
 
-    def every(self, width: int) -> np.ndarray:
-        """Hashes of the spans of ``width`` at every position."""
-        m = len(self.prefix) - width
+    def least_in_windows(self, gram: int, width: int, chunk: int = 1 << 15) -> np.ndarray:
+        """For every ``width`` adjacent spans of ``gram`` the position of the span with
+        the least hash (the leftmost of equal ones). Works in chunks that stay in
+        the processor's cache; positions must fit 26 bits."""
+        low = U((1 << 26) - 1)
+        total = len(self.prefix) - gram - width + 1
+        out = np.empty(max(0, total), dtype=np.int32)
         with np.errstate(over="ignore"):
-            h = self.prefix[width:] - self.prefix[:-width]
-            h *= _inverses[:m]
-            h += U(width) * U(0xA24BAED4963EE407)
-            return mix(h)
+            for i in range(0, total, chunk):
+                e = min(total, i + chunk)
+                hi = e + width - 1
+                h = self.prefix[i + gram:hi + gram] - self.prefix[i:hi]
+                h *= _inverses[i:hi]
+                h ^= h >> U(32)
+                h *= U(0xD6E8FEB86659FD93)
+                h ^= h >> U(32)
+                h &= ~low
+                h |= np.arange(i, hi, dtype=np.uint64)
+                have = 1
+                while have < width:              # sliding minimum by doubling
+                    step = min(have, width - have)
+                    h = np.minimum(h[:-step], h[step:])
+                    have += step
+                out[i:e] = h & low
+        return out

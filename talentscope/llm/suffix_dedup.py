@@ -45,12 +45,12 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from talentscope.llm.common import bucket_count, shared_path, staged
 from talentscope.llm.hashing import Spans, U, mix
 from talentscope.llm.ngram_join import _spread_ids
-from talentscope.llm.suffix_sort import deep_shallow
+from talentscope.llm.suffix_sort import big_endian, deep_shallow
 
 LENGTH = 50
 GRAM = 24
-BLOCK_BYTES = 4 << 20            # text bytes of a block (a longer document is a block)
-BUCKET_BYTES = 24 << 20          # text bytes per bucket of the exchanges, about
+BLOCK_BYTES = 2 << 20            # text bytes of a block (a longer document is a block)
+BUCKET_BYTES = 12 << 20          # text bytes per bucket of the exchanges, about
 BLOCK_DOCS = 60_000              # so that two bytes number a block's ids
 PARTITION_BYTES = 32 << 20       # text bytes per partition of blocks, about
 MANY = 16
@@ -147,24 +147,16 @@ class Block:
             at = np.zeros(0, dtype=np.int64)
             self.begin = self.owner = np.zeros(0, dtype=np.int32)
         else:
-            best = spans.every(GRAM)
-            best &= ~U((1 << 26) - 1)
-            best |= np.arange(n - GRAM + 1, dtype=np.uint64)
-            have = 1
-            while have < width:                     # sliding minimum by doubling
-                step = min(have, width - have)
-                best = np.minimum(best[:-step], best[step:])
-                have += step
-            at = (best & U((1 << 26) - 1)).astype(np.int64)
-            valid = np.zeros(n + 1, dtype=np.int32)  # strings inside one usable document
-            np.add.at(valid, self.start[usable], 1)
-            np.add.at(valid, self.end[usable] - self.length + 1, -1)
-            begin = np.flatnonzero(np.cumsum(valid)[:len(at)] > 0)
-            at = at[begin]                           # never decreases along the buffer
+            best = spans.least_in_windows(GRAM, width)
+            room = (self.end - self.start - self.length + 1)[usable]
+            first = self.start[usable] - (np.cumsum(room) - room)
+            begin = (np.arange(room.sum(), dtype=np.int32)
+                     + np.repeat(first, room).astype(np.int32))   # strings of usable documents
+            at = best[begin]                         # never decreases along the buffer
             fresh = np.concatenate([[True], at[1:] != at[:-1]])
-            self.begin = begin.astype(np.int32)
-            self.owner = (np.cumsum(fresh) - 1).astype(np.int32)
-            at = at[fresh]
+            self.begin = begin
+            self.owner = np.cumsum(fresh, dtype=np.int32) - 1
+            at = at[fresh].astype(np.int64)
         self.at = at
         self.doc = np.searchsorted(self.end, at, side="right")
         self.gram = spans.hash(at, at + GRAM) if len(at) else np.zeros(0, dtype=np.uint64)
@@ -360,7 +352,7 @@ def _undecided(block: Block, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     np.add.at(cover, hi[resolved] + length, -1)
     np.add.at(around, lo[resolved], 1)
     np.add.at(around, hi[resolved] + 1, -1)
-    left = (flags[block.owner] == MIXED) & (np.cumsum(around)[block.begin] == 0)
+    left = (flags[block.owner] == MIXED) & (np.cumsum(around, dtype=np.int32)[block.begin] == 0)
     starts = block.begin[left].astype(np.int64)
     return starts, cover
 
@@ -403,8 +395,9 @@ def _string_keys(block: Block, starts: np.ndarray, group: np.ndarray, n_groups:
     """(bucket, digest, more of it) of each group's string."""
     head = starts[np.searchsorted(group, np.arange(n_groups))]
     h = block.spans.hash(head, head + block.length, 29)
-    return (((h >> U(40)) % U(n_buckets)).astype(np.int64), h,
-            block.spans.hash(head, head + block.length, 31))
+    ends = mix(big_endian(block.raw, head) * U(0x9E3779B97F4A7C15)
+               + big_endian(block.raw, head + block.length - 8))
+    return ((h >> U(40)) % U(n_buckets)).astype(np.int64), h, ends
 
 
 def _smallest_ids(strings: DataFrame, n_buckets: int) -> DataFrame:
