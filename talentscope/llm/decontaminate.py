@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -318,47 +319,67 @@ def _clean(automaton: Automaton, texts: list[str | None]) -> list[tuple[str | No
     return done
 
 
+def _marked(automaton: Automaton, texts: list[str | None], marks: list[list[int]],
+            last: bool) -> list[tuple[str | None, int, int, list[int]]]:
+    """(text, words, words cut, flat merged hit ranges) of each text, with the ranges
+    ``marks`` that other blocks found; the text is cut if this is the ``last`` block."""
+    out = []
+    for t, prior, (n, spans, _) in zip(texts, marks, scan(automaton, texts)):
+        spans = merged([*zip(prior[::2], prior[1::2]), *spans])
+        cut = last and bool(spans)
+        out.append((cut_words(t, spans) if cut else t, n,
+                    sum(e - s for s, e in spans) if cut else 0, [x for s in spans for x in s]))
+    return out
+
+
 def remove_contamination(docs: DataFrame, bench: DataFrame, text: str = "text",
                          n_chars: str = "n_chars", window: int = WINDOW,
                          max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """Documents without their hit spans, with the columns of ``docs``. A document
     whose hit words exceed ``max_coverage`` of its words is dropped; ``n_chars``,
-    where present, is set anew for cut texts. With several benchmark blocks the
-    passes are repeated until none of them cuts anything."""
+    where present, is set anew for cut texts. With several benchmark blocks every
+    block marks the same uncut text, the union is cut after the last one, and the
+    texts that were cut go through all blocks again until none of them hits."""
     sc = docs.sparkSession.sparkContext
     rest = [c for c in docs.columns if c != text]
     state = docs.select(F.struct(*rest).alias("o"), F.col(text).alias("t"),
-                        F.lit(-1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("gone"))
+                        F.lit(-1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("gone"),
+                        F.array().cast("array<int>").alias("spans"))
     schema = state.schema
 
-    def one_pass(df, auto):
+    def one_pass(df, step):
         def run(batches):
             for batch in batches:
-                texts = batch.column(1).to_pylist()
+                texts, marks = batch.column(1).to_pylist(), batch.column(4).to_pylist()
                 for s, e in slices(texts):
                     part = batch.slice(s, e - s)
-                    got = _clean(auto.value, texts[s:e])
+                    got = step(texts[s:e], marks[s:e])
                     n = [m if m >= 0 else g[1] for m, g in zip(part.column(2).to_pylist(), got)]
                     gone = [x + g[2] for x, g in zip(part.column(3).to_pylist(), got)]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array([g[0] for g in got], pa.string()),
-                         pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+                         pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                         pa.array([g[3] for g in got], pa.list_(pa.int32()))], names=schema.names)
         return df.mapInArrow(run, schema)
 
+    def whole(auto):
+        return lambda texts, _: [(*g, []) for g in _clean(auto.value, texts)]
+
+    def block(auto, last):
+        return lambda texts, marks: _marked(auto.value, texts, marks, last)
+
     autos = [sc.broadcast(Automaton([(i, words_of(t)) for i, t in rows], window))
              for rows in _blocks(bench, window)]
-    before = None
-    while True:
-        for auto in autos:
-            state = one_pass(state, auto)
-            if len(autos) > 1:
-                state = staged(state, "cleaned")
-        if len(autos) == 1:
-            break
-        now = state.agg(F.sum("gone")).first()[0]
-        if now == before or not now:
-            break
-        before = now
+    if len(autos) == 1:
+        state = one_pass(state, whole(autos[0]))
+    else:
+        done = []
+        while not done or not state.isEmpty():
+            for i, auto in enumerate(autos):
+                state = staged(one_pass(state, block(auto, i + 1 == len(autos))), "cleaned")
+            done.append(state.filter(F.size("spans") == 0))
+            state = state.filter(F.size("spans") > 0).withColumn("spans", F.array().cast("array<int>"))
+        state = reduce(DataFrame.union, done)
     kept = state.filter(F.col("gone") <= max_coverage * F.col("n"))
     cols = [F.col("t").alias(text) if c == text
             else F.when(F.col("gone") > 0, F.length("t")).otherwise(F.col(f"o.`{c}`")).cast(

@@ -147,6 +147,34 @@ def test_contamination_is_removed(spark):
     assert D.remove_contamination(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [120, 400])
+def test_removal_does_not_depend_on_blocks(spark, monkeypatch, block):
+    """Items of several blocks share a stem whose cut must not hide their short tails."""
+    stem = [f"s{i}" for i in range(14)]
+    tails = [[f"q{i}x{k}" for k in range(6)] for i in range(12)]
+    items = [(i, " ".join(stem + t)) for i, t in enumerate(tails)]
+    long = [f"l{i}" for i in range(60)]              # cut into pieces, some with short ends
+    clean = [f"c{i}" for i in range(90)]
+    rows = [(i, " ".join(clean + stem + t + clean)) for i, t in enumerate(tails)]
+    rows += [(50, " ".join(clean + long + clean)), (51, " ".join(clean)), (52, None),
+             (53, " ".join(stem + tails[0] + clean[:30])), (54, " ".join(stem + tails[1])),
+             # a cut that joins a window anew
+             (55, " ".join(clean + stem[:7] + long[:20] + stem[7:] + tails[2] + clean)), (50, "c1")]
+    r = random.Random(8)
+    pool = stem + tails[0] + long[:12]
+    rows += [(100 + i, " ".join(clean + [r.choice(pool) for _ in range(8)] + r.choice(items)[1].split()
+                                [r.randint(0, 5):] + clean[:r.randint(0, 9)])) for i in range(25)]
+    docs = docs_of(spark, rows).withColumn("n_chars", F.length("text"))
+    bench = spark.createDataFrame([*items, (90, " ".join(long))], "item_id long, text string")
+
+    def result():
+        return sorted(map(tuple, D.remove_contamination(docs, bench).collect()), key=str)
+    whole = result()
+    assert (0, " ".join(clean) + "  " + " ".join(clean)) in {x[:2] for x in whole}
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    assert result() == whole
+
+
 # --- quality rules ----------------------------------------------------------
 
 def _base(text):
