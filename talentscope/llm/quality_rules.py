@@ -3,20 +3,24 @@
 Built-in SQL functions only. A document's character-class histogram and its
 histogram of common words are compared with references of each language by the
 Jensen-Shannon distance (base 2). The references are the medians, bin by bin, over
-all documents of that language, so neither long documents nor junk shift them. A document is
-kept if, for at least one language, both distances stay below their limits.
+all documents of that language, so neither long documents nor junk shift them. Every
+language that the documents name has one: the common words of the languages in
+``COMMON_WORDS`` are fixed, those of any other are the words that most of its
+documents hold. A document is kept if, for at least one language among the fixed ones
+and its own, both distances stay below their limits.
 Guards: the character test needs ``MIN_CHARS`` characters, the word test
 ``MIN_WORDS`` words; shorter documents pass that test.
 
 Defined cases: a NULL text has no words; documents without words fail the base
-rule; a NULL language joins no reference; without any reference only the base
-rule judges; repeated rows are judged alike; other columns pass through
+rule; a NULL language joins no reference; documents whose language has no reference
+(a NULL one, or one without any document of ``MIN_WORDS`` words) are judged by the
+base rule alone; repeated rows are judged alike; other columns pass through
 untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentscope.llm.common import WORD_SPACE, staged
@@ -31,6 +35,8 @@ SHORT_SLACK = 20.0
 MAX_WORD_DISTANCE = 0.28
 SMOOTH = 1e-4
 ACCURACY = 1000               # of the median sketches, which have a fixed size
+OWN_WORDS = 10                # common words of a language that is not listed below
+MAX_BROADCAST_LANGUAGES = 10_000   # of some 500 bytes; more are joined by a shuffle
 
 # Common words per language.
 COMMON_WORDS = {
@@ -128,6 +134,22 @@ def word_counts(words: Column) -> Column:
     return _let(_let(joined, counts), with_rest)
 
 
+def own_counts(words: Column, own: Column) -> Column:
+    """Occurrences of each word of the array column ``own``, then all other words."""
+    def joined(ws):
+        return F.concat(F.lit(" "), F.array_join(
+            F.filter(ws, lambda w: F.array_contains(own, w)), "  "), F.lit(" "))
+
+    def counts(j):
+        return F.transform(own, lambda b: (F.length(j) - F.length(F.replace(
+            j, F.concat(F.lit(" "), b, F.lit(" ")), F.lit("")))) / (F.length(b) + 2))
+
+    def with_rest(ws):
+        return _let(_let(joined(ws), counts), lambda c: F.concat(
+            c, F.array(F.size(ws) - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))))
+    return _let(words, with_rest)
+
+
 def _shares(counts: Column) -> Column:
     """Counts as shares of their sum (all 0 where the sum is 0)."""
     def scaled(c):
@@ -137,9 +159,9 @@ def _shares(counts: Column) -> Column:
     return _let(counts, scaled)
 
 
-def js_distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of a share array to a fixed reference."""
-    ref = F.array(*[F.lit(float(x)) for x in q])
+def js_distance(p: Column, q: list[float] | Column) -> Column:
+    """Jensen-Shannon distance (base 2) of a share array to a reference."""
+    ref = q if isinstance(q, Column) else F.array(*[F.lit(float(x)) for x in q])
 
     def term(x, y):
         m = (x + y) / 2
@@ -162,7 +184,7 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def language_references(features: DataFrame, lang: str = "lang") -> dict:
     """{language: (character shares, word shares)}: median shares over every
-    document of a listed language with at least ``MIN_WORDS`` words. At most one
+    document of a language in ``COMMON_WORDS`` with at least ``MIN_WORDS`` words. At most one
     row per listed language reaches the driver."""
     h = features.filter(F.col("row")[lang].isin(*COMMON_WORDS) & (F.col("n_words") >= MIN_WORDS))
     nc, nw = len(CHAR_CLASSES) + 1, len(BINS) + 1
@@ -180,24 +202,83 @@ def language_references(features: DataFrame, lang: str = "lang") -> dict:
             for r in sorted(rows, key=lambda r: r["l"])}
 
 
-def judge(features: DataFrame, references: dict) -> DataFrame:
+def own_references(others: DataFrame) -> DataFrame:
+    """Staged rows (l, own, c_ref, w_ref) per language ``l`` of documents (l, t, n_words, c)
+    with at least ``MIN_WORDS`` words: the words that most of them hold (of equally
+    many the more frequent) and the median shares, as in ``language_references``."""
+    def counted(ws):
+        each = F.transform(ws, lambda w: F.struct(w.alias("w"), F.lit(0).alias("d"),
+                                                  F.lit(1).alias("n")))
+        once = F.transform(F.array_distinct(ws), lambda w: F.struct(
+            w.alias("w"), F.lit(1).alias("d"), F.lit(0).alias("n")))
+        return F.concat(each, once)
+    long = others.filter(F.col("n_words") >= MIN_WORDS)
+    counts = (long.select("l", F.explode(_let(words_of(F.col("t")), counted)).alias("x"))
+              .groupBy("l", F.col("x.w").alias("w"))
+              .agg(F.sum("x.d").alias("d"), F.sum("x.n").alias("n")))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("d"), F.desc("n"), "w"))
+    own = staged(counts.withColumn("place", place).filter(F.col("place") <= OWN_WORDS)
+                 .groupBy("l").agg(F.sort_array(F.collect_list("w")).alias("own")), "own_words")
+    h = long.join(_bounded(own), "l").select("l", "own", "c", _shares(
+        own_counts(words_of(F.col("t")), F.col("own"))).alias("s"))
+
+    def medians(name, n):
+        return F.array(*[F.percentile_approx(F.get(name, F.lit(i)), 0.5, ACCURACY)
+                         for i in range(n)])
+
+    def smooth(xs):
+        return _shares(F.transform(F.filter(xs, lambda x: x.isNotNull()), lambda x: x + SMOOTH))
+    rows = h.groupBy("l", "own").agg(medians("c", len(CHAR_CLASSES) + 1).alias("cm"),
+                                     medians("s", OWN_WORDS + 1).alias("sm"))
+    return staged(rows.select("l", "own", smooth(F.col("cm")).alias("c_ref"),
+                              smooth(F.col("sm")).alias("w_ref")), "own_references")
+
+
+def _bounded(per_language: DataFrame) -> DataFrame:
+    """Broadcast where there are few languages: one may hold most of the documents."""
+    few = per_language.count() <= MAX_BROADCAST_LANGUAGES
+    return F.broadcast(per_language) if few else per_language
+
+
+def _over(c_ref, shares: Column, w_ref) -> Column:
+    """The larger of both distances over its limit."""
+    dc = F.when(F.col("n_chars") < MIN_CHARS, 0.0).otherwise(
+        js_distance(F.col("c"), c_ref) / (MAX_CHAR_DISTANCE + SHORT_SLACK / F.col("n_chars")))
+    dw = F.when(F.col("n_words") < MIN_WORDS, 0.0).otherwise(
+        js_distance(shares, w_ref) / MAX_WORD_DISTANCE)
+    return F.greatest(dc, dw)
+
+
+def judge(features: DataFrame, references: dict, text: str = "text",
+          lang: str = "lang") -> DataFrame:
     """``row`` and the base counts with base_failed, divergence (the larger of both
-    distances over its limit, least among the languages; NULL without references)
-    and kept."""
-    over = []
-    for c_ref, w_ref in references.values():
-        dc = F.when(F.col("n_chars") < MIN_CHARS, 0.0).otherwise(
-            js_distance(F.col("c"), c_ref) / (MAX_CHAR_DISTANCE + SHORT_SLACK / F.col("n_chars")))
-        dw = F.when(F.col("n_words") < MIN_WORDS, 0.0).otherwise(
-            js_distance(F.col("s"), w_ref) / MAX_WORD_DISTANCE)
-        over.append(F.greatest(dc, dw))
-    least = (F.lit(None).cast("double") if not over
-             else over[0] if len(over) == 1 else F.least(*over))
+    distances over its limit, least among the languages; NULL where the document's
+    language has no reference) and kept."""
+    language = F.col("row")[lang]
+    fixed = [_over(c_ref, F.col("s"), w_ref) for c_ref, w_ref in references.values()]
     failed = ((F.col("n_words") < BASE_MIN_WORDS)
               | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT * F.col("n_words")))
-    out = features.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                          "n_repeat_words", failed.alias("base_failed"),
-                          least.alias("divergence"))
+
+    def verdicts(df, known, over):
+        least = (F.lit(None).cast("double") if not over
+                 else over[0] if len(over) == 1 else F.least(*over))
+        return df.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", failed.alias("base_failed"),
+                         F.when(known, least).alias("divergence"))
+
+    listed = F.coalesce(language.isin(*COMMON_WORDS), F.lit(True))
+    others = features.filter(~listed)
+    known = language.isin(*references) if references else F.lit(False)
+    if others.isEmpty():
+        out = verdicts(features, known, fixed)
+    else:
+        others = others.withColumn("l", language).withColumn(
+            "t", F.coalesce(F.col("row")[text], F.lit("")))
+        found = others.join(_bounded(own_references(others)), "l", "left").withColumn(
+            "own_s", _shares(own_counts(words_of(F.col("t")), F.col("own"))))
+        own = _over(F.col("c_ref"), F.col("own_s"), F.col("w_ref"))
+        out = verdicts(features.filter(listed), known, fixed).union(
+            verdicts(found, F.col("own").isNotNull(), [*fixed, own]))
     fits = F.col("divergence").isNull() | (F.col("divergence") <= 1.0)
     return out.withColumn("kept", ~F.col("base_failed") & fits)
 
@@ -206,7 +287,7 @@ def quality_verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Verdict per document (see ``judge``). The features are computed once and
     staged in the shared folder: references and verdicts both read them."""
     features = staged(quality_features(docs, text), "quality")
-    return judge(features, language_references(features))
+    return judge(features, language_references(features), text)
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:

@@ -216,6 +216,29 @@ def test_quality_rules_separate_labels(spark):
     assert got[got.quality == 0].kept.mean() < 0.15
 
 
+def test_quality_rules_of_any_language(spark):
+    """Languages without fixed words get a reference of their own, which still tells junk."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    other = F.translate("text", letters + letters.upper(), letters[7:] + letters[:7]
+                        + (letters[7:] + letters[:7]).upper())
+    renamed = docs.select("doc_id", F.when(F.col("lang") == "en", other).otherwise(F.col("text")).alias(
+        "text"), F.when(F.col("lang") == "en", "xx").otherwise(F.col("lang")).alias("lang"))
+    got = Q.quality_verdicts(renamed).select("row.*", "base_failed", "kept").join(labels, "doc_id").filter(
+        "not base_failed and lang = 'xx'").toPandas()
+    assert len(got) > 100
+    assert got[got.quality == 1].kept.mean() > 0.98
+    assert got[got.quality == 0].kept.mean() < 0.15
+    # no reference: no language, a language of short texts only, a fixed one of short texts only
+    odd = " ".join(f"ж{i}ы" for i in range(40))
+    rows = [(-1, odd + " " + odd[::-1], None), (-2, odd, "kk"), (-3, odd, "zz"), (-4, "ж " * 9, "kk")]
+    cases = renamed.filter("lang = 'de'").union(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"]: (r["kept"], r["divergence"]) for r in Q.quality_verdicts(cases).select(
+        "row.doc_id", "kept", "divergence").filter("doc_id < 0").collect()}
+    assert kept == {-1: (True, None), -2: (True, None), -3: (True, None), -4: (False, None)}
+
+
 # --- url filter -------------------------------------------------------------
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
