@@ -3,9 +3,15 @@
 A page is cut into blocks at block-level tags. The first pass labels each block
 from stop-word density, length and link density, together with the scope it
 stands in: navigation, header, footer, aside, form, script and the like, or a
-class or id that names such a part, is never text; inside an article (or an
+class or id that names such a part, is not text; inside an article (or an
 element named as content) a block is text unless it is mostly links; where a
-page has an article, what stands outside is not text. Everything else is good,
+page has an article, what stands outside is not text. An article inside a form
+is text. So is one inside a part that only its name keeps out, unless the page
+has an article elsewhere (then it is a comment or a teaser). An element whose tag
+or one of whose names says content is not kept out by its other names. Names like
+``has-sidebar`` or ``no-comments`` tell what an element holds or lacks and do not
+count; a frame around content and such a part (``content-sidebar-wrap``) takes the
+surrounding scope. Everything else is good,
 bad, or ambiguous. The second pass gives ambiguous blocks the label of their
 nearest decided neighbours: both agree, or, where they differ, the one that the
 block's own stop-word density favours; an ambiguous heading follows the block below it.
@@ -54,6 +60,9 @@ OUT_NAMES = frozenset("""
     recommended recommendations widget comment comments reply replies respond discussion disqus
     copyright legal disclaimer skip search""".split())
 IN_NAMES = frozenset("article content post entry story maincontent articlebody".split())
+FORM_TAGS = frozenset("form fieldset".split())
+STATES = frozenset("has no with without".split())            # first part of a name
+FRAMES = frozenset("wrap wrapper container layout grid row inner outer".split())    # last part
 
 SHORT = 70
 LONG = 200
@@ -72,21 +81,46 @@ _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _HEADING = re.compile(r"h[1-6]$")
 
 
+def _names(attrs: str) -> tuple[bool, bool]:
+    """(names that say out, names that say content) among an element's class, id and role."""
+    out = content = False
+    for m in _NAMED.finditer(attrs) if "=" in attrs else ():
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [x for x in re.split(r"[_\-]+", name) if x]
+            if not parts or len(parts) > 1 and parts[0] in STATES:
+                continue
+            outer, inner = not OUT_NAMES.isdisjoint(parts), not IN_NAMES.isdisjoint(parts)
+            if name in IN_NAMES:
+                return False, True
+            if outer and inner and parts[-1] in FRAMES:
+                continue
+            out, content = out or outer, content or inner
+    return out, content
+
+
 def _scope(tag: str, attrs: str, inside: str) -> str:
-    """Scope below an element: "out", "in" or the surrounding one."""
+    """Scope below an element: "out", "form" or "named" (out, by a form or a name),
+    "article" or "in" (by a name), "again" (an article below "named"), or the
+    surrounding one."""
     if inside == "out":
         return "out"
-    names = set()
-    if "=" in attrs:
-        for m in _NAMED.finditer(attrs):
-            value = (m[1] or m[2] or m[3] or "").lower()
-            names.update(re.split(r"[\s_\-]+", value))
-    if tag in OUT_TAGS or names & OUT_NAMES and tag not in ("body", "html"):
+    out, content = _names(attrs)
+    out = out and tag not in ("body", "html")
+    if tag in IN_TAGS:
+        return ("article" if inside not in ("named", "again") else
+                inside if out else "again")
+    if inside in ("form", "named"):
+        return "out" if tag in OUT_TAGS - FORM_TAGS else "named" if out else inside
+    if tag in FORM_TAGS:
+        return "form"
+    if tag in OUT_TAGS:
         return "out"
-    if tag == "header" and inside != "in":
+    if out:
+        return "named"
+    if tag == "header" and inside not in ("in", "article", "again"):
         return "out"
-    if tag in IN_TAGS or names & IN_NAMES and tag not in ("body", "html"):
-        return "in"
+    if content and tag not in ("body", "html"):
+        return inside if inside in ("article", "again") else "in"
     return inside
 
 
@@ -183,7 +217,7 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
 def _first_pass(text: str, scope: str, links: float, article: bool) -> tuple[str, float]:
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if scope == "out":
+    if scope in ("out", "form", "named"):
         return BAD, stops
     if scope == "in":
         return BAD if links > ALL_LINKS else GOOD, stops
@@ -198,8 +232,10 @@ def _first_pass(text: str, scope: str, links: float, article: bool) -> tuple[str
 
 def labels(found: list[tuple[str, str, float, bool]]) -> list[bool]:
     """True for each block that is part of the main text."""
-    article = any(b[1] == "in" for b in found)
-    first = [_first_pass(*b[:3], article) for b in found]
+    again = "out" if any(b[1] == "article" for b in found) else "in"
+    scopes = [{"article": "in", "again": again}.get(b[1], b[1]) for b in found]
+    article = "in" in scopes
+    first = [_first_pass(b[0], s, b[2], article) for b, s in zip(found, scopes)]
     decided = [i for i, (k, _) in enumerate(first) if k in (GOOD, BAD)]
     keep, j = [], 0
     for i, (kind, stops) in enumerate(first):

@@ -350,6 +350,26 @@ def test_html_two_passes_without_article():
     assert H.main_text("just a few words") == "just a few words"
 
 
+def test_html_article_inside_an_out_scope():
+    page = "<body><div class=top>Top</div>{}<footer>F</footer></body>"
+    inner = "<h1>Head</h1><p>First words of it.</p><aside>A</aside><p>Last words.</p>"
+    want = "Head\nFirst words of it.\nLast words."
+    for wrapped in (f'<form id=aspnetForm><main>{inner}</main><p>Field</p></form>',
+                    f'<form><div class="sidebar-wrap"><article>{inner}</article></div></form>',
+                    f"<div class='content-sidebar-wrap'><main>{inner}</main><p class=widget>W</p></div>",
+                    f"<div class='content has-sidebar'>{inner}</div>",
+                    f"<article class='post no-comments'>{inner}</article>",
+                    f"<article class='post sidebar'>{inner}</article>",
+                    f"<div class='overlay'><article>{inner}</article></div>"):
+        assert H.main_text(page.format(wrapped)) == want, wrapped
+    # still out: the parts of an article, comments and teasers beside it, forms without an article
+    rest = ("<div id=comments><article class=comment><p>Nice!</p></article></div>"
+            "<div class='related-posts'><article><p>Other page</p></article></div>"
+            "<form><p>Field</p></form><nav><article>N</article></nav>")
+    parts = "<div class='post-share'>Share</div><div class='related-content'>More</div>"
+    assert H.main_text(page.format(f"<article>{inner}{parts}</article>{rest}")) == want
+
+
 def test_html_of_table(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").toPandas().set_index("page_id").html
     for r in QUERIES["op9_html_extract"](spark, SF_SMALL).collect():
