@@ -49,10 +49,11 @@ class Spans:
     def least_in_windows(self, gram: int, width: int, chunk: int = 1 << 15) -> np.ndarray:
         """For every ``width`` adjacent spans of ``gram`` the position of the span with
         the least hash (the leftmost of equal ones). Works in chunks that stay in
-        the processor's cache; positions must fit 26 bits."""
-        low = U((1 << 26) - 1)
+        the processor's cache; positions are packed relative to their chunk, so the
+        buffer may have any length."""
+        low = U((1 << max(26, (chunk + width).bit_length())) - 1)
         total = len(self.prefix) - gram - width + 1
-        out = np.empty(max(0, total), dtype=np.int32)
+        out = np.empty(max(0, total), dtype=np.int32 if len(self.prefix) <= 1 << 31 else np.int64)
         with np.errstate(over="ignore"):
             for i in range(0, total, chunk):
                 e = min(total, i + chunk)
@@ -63,11 +64,13 @@ class Spans:
                 h *= U(0xD6E8FEB86659FD93)
                 h ^= h >> U(32)
                 h &= ~low
-                h |= np.arange(i, hi, dtype=np.uint64)
+                h |= np.arange(hi - i, dtype=np.uint64)
                 have = 1
                 while have < width:              # sliding minimum by doubling
                     step = min(have, width - have)
                     h = np.minimum(h[:-step], h[step:])
                     have += step
-                out[i:e] = h & low
+                h &= low
+                h += U(i)
+                out[i:e] = h
         return out

@@ -150,8 +150,8 @@ class Block:
             best = spans.least_in_windows(GRAM, width)
             room = (self.end - self.start - self.length + 1)[usable]
             first = self.start[usable] - (np.cumsum(room) - room)
-            begin = (np.arange(room.sum(), dtype=np.int32)
-                     + np.repeat(first, room).astype(np.int32))   # strings of usable documents
+            begin = (np.arange(room.sum(), dtype=best.dtype)
+                     + np.repeat(first, room).astype(best.dtype))   # strings of usable documents
             at = best[begin]                         # never decreases along the buffer
             fresh = np.concatenate([[True], at[1:] != at[:-1]])
             self.begin = begin

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from talentscope.llm import hashing
 from talentscope.llm import ngram_join as N
 from talentscope.llm import suffix_dedup as X
 from talentscope.llm import warc as W
@@ -101,6 +102,27 @@ def test_long_paths_of_components(spark):
 
 # --- suffix dedup -----------------------------------------------------------
 
+def test_windows_beyond_26_bits(monkeypatch):
+    """Equal hashes everywhere: every window takes its leftmost position."""
+    n = (1 << 26) + 100_000
+    monkeypatch.setattr(hashing, "_inverses", np.broadcast_to(np.uint64(1), n))
+    spans = hashing.Spans.__new__(hashing.Spans)
+    spans.prefix = np.broadcast_to(np.uint64(0), n)
+    got = spans.least_in_windows(16, 35)
+    assert len(got) == n - 50
+    assert (got[-200_000:] == np.arange(n - 50 - 200_000, n - 50)).all()
+
+
+def test_windows_in_chunks():
+    raw = np.frombuffer(random.Random(6).randbytes(3000), np.uint8) % 3
+    spans = hashing.Spans(raw)
+    want = spans.least_in_windows(8, 43)
+    assert len(want) == 2951 and len(set(want.tolist())) > 50
+    for chunk in (1, 64, 1000):
+        assert (spans.least_in_windows(8, 43, chunk) == want).all()
+    assert all(k <= w < k + 43 for k, w in enumerate(want.tolist()))
+
+
 def test_deep_shallow_orders():
     r = random.Random(3)
     for _ in range(150):
