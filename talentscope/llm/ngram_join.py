@@ -363,6 +363,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    k: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id) per row of ``docs``: component_id is the
     smallest id reachable by links, the row's own included."""
+    return _grouped_rows(docs, doc_id, text, k).drop("cls")
+
+
+def _grouped_rows(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """``similar_groups`` with the digest of each row's set (``cls``)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     profile = _profile(docs, doc_id, text, k)
@@ -410,7 +415,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = comp.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = comp.join(least, "component").select("cls", "component_id")
     return rows.join(named, "cls", "left").select(
-        "id", F.col("n").alias("n_shingles"),
+        "cls", "id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias(
             "component_id"))
 
@@ -545,7 +550,29 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                        k: int = SHINGLE) -> DataFrame:
     """``docs`` with only the document of smallest id of every group of similar
     documents (documents without words and without an id all stay; of repeated
-    rows with the same id, all stay)."""
-    found = similar_groups(docs, doc_id, text, k)
-    gone = found.filter("component_id <> id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    rows with the same id, all stay that are not similar to a smaller id)."""
+    found = staged(_grouped_rows(docs, doc_id, text, k).filter("id is not null").select(
+        "id", "cls", F.coalesce(F.col("component_id") != F.col("id"), F.lit(False)).alias("copied"))
+        .groupBy("id", "cls").agg(F.bool_or("copied").alias("copied")), "copied")
+    ids = found.groupBy("id").agg(F.bool_and("copied").alias("whole"),
+                                  F.bool_or("copied").alias("some")).filter("some")
+    mixed = staged(ids.filter(~F.col("whole")).select(F.col("id").alias("__mixed")), "mixed")
+    gone = found.filter("copied").select(F.col("id").alias("__gone"), F.col("cls").alias("__cls"))
+    rest = docs.join(gone.select("__gone").distinct(), F.col(doc_id) == F.col("__gone"), "left_anti")
+    if mixed.isEmpty():
+        return rest
+
+    # ids with copied and other texts: only the rows of a copied class go
+    part = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"),
+                       F.col(text).alias("text")).join(mixed, F.col("id") == F.col("__mixed"))
+    part = part.select("row", F.col("__mixed").alias("id"), "text")
+
+    def run(batches):
+        for piece, h, offsets in _blocks(batches, 2, k):
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), piece.column(1), pa.array(_class_ids(h, offsets))],
+                names=["row", "id", "cls"])
+    schema = part.select("row", "id", F.lit(0).cast("bigint").alias("cls")).schema
+    stays = part.mapInArrow(run, schema).join(
+        gone, (F.col("id") == F.col("__gone")) & (F.col("cls") == F.col("__cls")), "left_anti")
+    return rest.union(stays.select("row.*"))

@@ -93,6 +93,17 @@ def test_keep_one(spark):
     assert N.keep_one_per_group(df.limit(0)).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    """An id with a copied and a unique text loses only the copied row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a, 0), (5, a + " end", 1), (5, b, 2), (5, "", 3), (5, None, 4), (5, a + " END", 5),
+            (7, b + " end", 6), (8, a, 7), (8, a + " end", 8), (9, c, 9), (9, c, 10), (None, a, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    out = N.keep_one_per_group(df)
+    assert out.schema == df.schema
+    assert sorted(r["at"] for r in out.collect()) == [0, 2, 3, 4, 9, 10, 11]
+
+
 def test_long_paths_of_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(map(tuple, connected_components(
