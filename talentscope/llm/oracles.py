@@ -1,5 +1,7 @@
 """DuckDB oracles of the queries that SQL can express."""
 
+from talentscope.llm.license_rules import RULES
+
 # op3: rules, then the beta-binomial chain written out with CTEs
 URL_FILTER = r"""
 with parsed as (
@@ -123,3 +125,56 @@ select doc_id, (length(d.x) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint
   sha256(unhex(coalesce(kept.x, d.x))) as kept_sha256
 from d left join kept using (r)
 """
+
+# op12: postings of the items' terms, corpus statistics, ten best rows
+RANKED_SEARCH = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+b as (select row_number() over () as q, item_id, {_WORDS} as w from benchmark),
+sizes as (select r, doc_id, len(w)::bigint as n from d where len(w) > 0),
+total as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes),
+wanted as (select q, t, count(*) as times from (select q, unnest(w) as t from b) group by 1, 2),
+tf as (select r, t, count(*)::bigint as tf from (select r, unnest(w) as t from d) semi join wanted using (t) group by 1, 2),
+weights as (select t, floor(1000 * ln((2 * max(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by 1),
+factor as (select r, doc_id, 25 + (75 * n * n_docs) // n_terms as m from sizes, total),
+scores as (
+  select q, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from wanted join weights using (t) join tf using (t) join factor using (r) group by 1, 2),
+ranked as (
+  select q, r, score, row_number() over (partition by q order by score desc, doc_id nulls last) as rank
+  from scores join sizes using (r) where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked join b using (q) join sizes using (r) where rank <= 10
+"""
+
+
+def _rule_rows() -> str:
+    return ",\n  ".join(f"({i}, '{r.label}', {r.level}, {r.sure}, {list(r.needs)}, '{r.pattern}')"
+                        for i, r in enumerate(RULES))
+
+
+# op11: every rule's matches and the gaps between them give places; containment by a self join
+LICENSE_SCAN = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+rules(rule, label, level, sure, needs, pattern) as (values
+  {_rule_rows()}),
+streams as (select r, w, ' ' || array_to_string(w, '  ') || ' ' as x from d where len(w) > 0),
+hits as (
+  select r, rule, label, level, sure, regexp_extract_all(x, pattern) as ms, regexp_split_to_array(x, pattern) as gaps
+  from streams join rules on list_has_all(w, needs)),
+places as (select *, unnest(range(1, len(ms) + 1)) as i from hits where len(ms) > 0),
+spaces as (
+  select r, rule, label, level, sure, array_to_string(gaps[1:i], '') || array_to_string(ms[1:i - 1], '') as before, ms[i] as m from places),
+found as (
+  select r, rule, label, level, sure, (length(before) - length(replace(before, ' ', ''))) // 2 as s,
+    (length(m) - length(replace(m, ' ', ''))) // 2 as n from spaces),
+kept as (
+  select * from found a where level = 0 or not exists (
+    select 1 from found o where o.r = a.r and o.level <= a.level and o.s <= a.s and o.s + o.n >= a.s + a.n
+      and (o.level < a.level or o.n > a.n or (o.n = a.n and o.rule < a.rule)))),
+base as (
+  select r, count(*) as n, min(s) as lo, max(s) as hi, string_agg(distinct label, ',' order by label) as labels
+  from found where level = 0 group by 1),
+every as (select r, string_agg(distinct label, ',' order by label) as labels, max(sure) as sure from kept group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word,
+  coalesce(b.labels, '') as base_labels, coalesce(e.labels, '') as labels, coalesce(e.sure, 0) / 100.0 as score
+from d left join base b using (r) left join every e using (r)
+"""

@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from talentscope.llm import decontaminate as D
 from talentscope.llm import html_extract as H
 from talentscope.llm import language_id as L
+from talentscope.llm import license_scan as C
 from talentscope.llm import ngram_join as N
 from talentscope.llm import oracles as O
 from talentscope.llm import quality_gam as G
 from talentscope.llm import quality_rules as Q
 from talentscope.llm import sentencepiece_bpe as S
 from talentscope.llm import suffix_dedup as X
+from talentscope.llm import token_alignment as A
+from talentscope.llm import trie_search as T
 from talentscope.llm import url_filter as U
 from talentscope.llm import warc as W
 from talentscope.llm.common import crc_mod, table
 from talentscope.llm.registry import register
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 URL_RULES = (
@@ -101,3 +104,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return N.similar_groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@register("op11_license_scan", O.LICENSE_SCAN)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return C.digests(C.license_detections(docs, ["doc_id"]), ["doc_id"])
+
+
+@register("op12_ranked_search", O.RANKED_SEARCH)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.search(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                    table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return A.alignment(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path())[0]
