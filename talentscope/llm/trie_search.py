@@ -3,12 +3,11 @@
 Every document becomes a vector of the query vocabulary's terms it holds, ordered
 from the rarest term to the most frequent one. Inside a task a bounded block of
 vectors forms a trie whose paths are shared by documents with the same rarest
-terms. A node knows the largest frequency of its term and the least length factor
-``m`` below it, which bound what its path can add to a score; what may still come
-below is bounded by the block's maxima of the item's more frequent terms. The
-search of all items goes depth first, most promising nodes first, and leaves a
-subtree whose bound is below the item's tenth best score; what it reaches is
-scored exactly. Each task keeps the best of its blocks; two windows merge the tasks.
+terms. A node knows, for every term below it, the largest frequency, and the least
+length factor ``m``: an upper bound of any item's scores in its subtree. Each item
+is searched depth first, the most promising nodes first; a subtree whose bound is
+below the item's tenth best score is left out, and what is reached is scored
+exactly. A task keeps the best of all its blocks; two windows merge the tasks.
 
 Term weights need corpus counts, so a first pass counts every document's terms and
 writes the restricted vectors to the shared folder; the tries are built from there.
@@ -40,12 +39,11 @@ from talentscope.llm.common import staged
 
 #: Bytes of item text whose vocabulary is broadcast at once.
 BLOCK_BYTES = 16 << 20
-#: Items searched together hold at most so many (item, term) cells.
-CELLS = 1 << 22
-#: Vector entries of one trie, and (item, node) pairs handled at once.
-TRIE_ENTRIES, PAIRS = 1 << 21, 1 << 16
-#: Subtrees of at most so many documents are scored and not walked.
-LEAF = 8
+#: Terms of the items that share a table, and cells of one: tries hold as many documents
+#: as fit (their nodes, at most as many again, besides).
+GROUP_TERMS, CELLS = 1 << 12, 1 << 24
+#: Subtrees of at most so many documents have no nodes below; nodes looked into at first.
+LEAF, FIRST = 4, 4
 #: First merge of the tasks' best rows: groups an item's rows are dealt to.
 SALTS = 32
 NO_ID = np.iinfo(np.int64).max
@@ -117,159 +115,182 @@ def restricted_vectors(docs: DataFrame, vocabulary: list[bytes], doc_id: str,
 
 
 class Trie:
-    """Documents' vectors in lexicographic order of their ranks; a node is a range of
-    them that shares a path, its children are adjacent."""
+    """Vectors of a block of documents in lexicographic order of their ranks. A node is
+    the range of documents that share a path; only nodes whose documents differ from
+    their parent's exist. Rows 0 .. n-1 stand for documents, the others for nodes, and
+    hold (rank, largest frequency) with the least length factor below."""
 
-    def __init__(self, offsets, rank, tf, m, ids, weights, k: int):
-        keep, offsets = self._ordered(offsets, rank, tf, m, ids, k)
+    def __init__(self, offsets, rank, tf, m, ids, k: int):
+        keep = self._ordered(offsets, rank, tf, m, ids, k)
         sizes = np.diff(offsets)[keep]
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(offsets[keep] - self.offsets[:-1], sizes) + np.arange(self.offsets[-1])
         self.rank, self.tf, self.m, self.ids = rank[at], tf[at], m[keep], ids[keep]
-        self.value = term_value(weights[self.rank], self.tf, np.repeat(self.m, sizes))
-        self.weights = weights
-        top = np.zeros(len(weights), dtype=np.int64)
-        np.maximum.at(top, self.rank, self.tf)
-        #: the most that each term can add in this block
-        self.most = term_value(weights, top, self.m.min()) if len(keep) else top
+        self.n = len(keep)
         self._grow()
 
     @staticmethod
-    def _ordered(offsets, rank, tf, m, ids, k):
-        """Document order; of documents equal in vector and factor, which score
-        alike, the ``k`` of least id."""
+    def _ordered(offsets, rank, tf, m, ids, k) -> np.ndarray:
+        """Order of the documents that hold a term; of those equal in vector and factor,
+        which score alike, the ``k`` of least id."""
         raw, times = rank.astype(">u4").tobytes(), tf.astype(">u4").tobytes()
         cuts = (offsets * 4).tolist()
         keys = [(raw[s:e], times[s:e], f, i) for s, e, f, i in
                 zip(cuts[:-1], cuts[1:], m.tolist(), ids.tolist())]
-        order = sorted(range(len(keys)), key=keys.__getitem__)
         keep, before, seen = [], None, 0
-        for i in order:
+        for i in sorted(range(len(keys)), key=keys.__getitem__):
             seen = seen + 1 if keys[i][:3] == before else 1
             before = keys[i][:3]
-            if seen <= k:
+            if seen <= k and before[0]:
                 keep.append(i)
-        return np.array(keep, dtype=np.int64), offsets
+        return np.array(keep, dtype=np.int64)
 
     def _grow(self):
         sizes = np.diff(self.offsets)
-        n = len(sizes)
-        # node 0 is the root: no term, all documents
-        cols = {x: [np.array([v])] for x, v in
-                (("term", -1), ("bound", 0), ("lo", 0), ("hi", n), ("depth", 0))}
-        ended, first, last = [], [], []
-        lo, hi, depth, made = np.array([0]), np.array([n]), 0, 1
-        while len(lo):
-            wide = hi - lo > LEAF
-            span = np.where(wide, hi - lo, 0)
+        none = np.zeros(0, dtype=np.int64)
+        self.row, self.row_rank, self.row_tf, self.row_m = (
+            [np.repeat(np.arange(self.n), sizes)], [self.rank], [self.tf], [np.repeat(self.m, sizes)])
+        self.lo, self.hi = np.array([0]), np.array([self.n])
+        self.scored, self.first, self.last = (np.zeros(1, dtype=np.int64) for _ in range(3))
+        fresh, active, depth = np.array([0]), np.array([0]), 0
+        while len(fresh) or len(active):
+            self._describe(fresh)
+            narrow = fresh[self.hi[fresh] - self.lo[fresh] <= LEAF]
+            self.scored[narrow] = self.hi[narrow]
+            active = active[self.hi[active] - self.lo[active] > LEAF]
+            lo, span = self.lo[active], self.hi[active] - self.lo[active]
             docs = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
-            node = np.repeat(np.arange(len(lo)), span)
+            node = np.repeat(np.arange(len(active)), span)
             goes = sizes[docs] > depth
-            stops = np.bincount(node[~goes], minlength=len(lo))
-            ended.append(np.where(wide, lo + stops, hi))   # narrow nodes: all are scored
+            stops = np.bincount(node[~goes], minlength=len(active))
             docs, node = docs[goes], node[goes]
-            entry = self.offsets[docs] + depth
-            r = self.rank[entry]
-            starts = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1])
-                                                    | (r[1:] != r[:-1])])) if len(r) else r
-            kids = np.bincount(node[starts], minlength=len(lo))
-            ends = np.cumsum(kids) + made
-            first.append(ends - kids)
-            last.append(ends)
-            made += len(starts)
+            r = self.rank[self.offsets[docs] + depth]
+            starts = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (r[1:] != r[:-1])])
+                                    ) if len(r) else none
+            kids = np.bincount(node[starts], minlength=len(active))
+            same = (kids == 1) & (stops == 0)          # the path goes on with all documents
+            parent = node[starts]
+            begin = docs[starts]
+            end = np.concatenate([docs[starts[1:] - 1], docs[-1:]]) + 1
+            new = ~same[parent]
+            kids = np.where(same, 0, kids)
+            self.scored[active] = lo + stops
+            self.last[active] = len(self.lo) + np.cumsum(kids)
+            self.first[active] = self.last[active] - kids
+            fresh = np.arange(len(self.lo), len(self.lo) + new.sum())
+            self.lo, self.hi = np.concatenate([self.lo, begin[new]]), np.concatenate([self.hi, end[new]])
+            self.scored, self.first, self.last = (
+                np.concatenate([x, np.zeros(len(fresh), dtype=np.int64)])
+                for x in (self.scored, self.first, self.last))
+            active = np.concatenate([active[same], fresh])
+            active = active[np.argsort(self.lo[active], kind="stable")]
             depth += 1
-            if not len(starts):
-                break
-            lo = docs[starts]
-            hi = np.concatenate([docs[starts[1:] - 1], docs[-1:]]) + 1
-            tf = np.maximum.reduceat(self.tf[entry], starts)
-            m = np.minimum.reduceat(self.m[docs], starts)
-            for x, v in (("term", r[starts]), ("bound", term_value(self.weights[r[starts]], tf, m)),
-                         ("lo", lo), ("hi", hi), ("depth", np.full(len(lo), depth))):
-                cols[x].append(v)
-        self.term, self.bound, self.lo, self.hi, _ = (np.concatenate(v) for v in cols.values())
-        self.ended, self.first, self.last = map(np.concatenate, (ended, first, last))
-
-    def search(self, counts: np.ndarray, best: Best) -> None:
-        """Offers to ``best`` every document that may be among an item's best;
-        ``counts``: occurrences of each term (by rank) in each item."""
-        rest = np.zeros((len(counts), counts.shape[1] + 1), dtype=np.int64)
-        rest[:, :-1] = np.cumsum((counts * self.most)[:, ::-1], axis=1)[:, ::-1]
-        items = np.arange(len(counts))
-        stack = [(items, np.zeros_like(items), np.zeros_like(items), rest[:, 0])]
+        self.row, self.row_rank, self.row_tf, self.row_m = map(
+            np.concatenate, (self.row, self.row_rank, self.row_tf, self.row_m))
+
+    def _describe(self, nodes: np.ndarray) -> None:
+        """Adds the nodes' rows: each term's largest frequency, the least factor."""
+        if not len(nodes) or not self.n:
+            return
+        lo, hi = self.offsets[self.lo[nodes]], self.offsets[self.hi[nodes]]
+        span = hi - lo
+        at = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        key = np.repeat(nodes, span) << 32 | self.rank[at]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        row, rank = key[starts] >> 32, key[starts] & ((1 << 32) - 1)
+        wide = self.hi[nodes] - self.lo[nodes]
+        docs = np.repeat(self.lo[nodes] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
+        least = np.minimum.reduceat(self.m[docs], np.cumsum(wide) - wide)
+        self.row.append(row + self.n)
+        self.row_rank.append(rank)
+        self.row_tf.append(np.maximum.reduceat(self.tf[at[order]], starts))
+        self.row_m.append(least[np.searchsorted(nodes, row)])
+
+    def table(self, ranks: np.ndarray, terms: int) -> np.ndarray:
+        """(term of ``ranks``, row) -> what the term gives the row, without its weight."""
+        column = np.full(terms, -1)
+        column[ranks] = np.arange(len(ranks))
+        at = column[self.row_rank]
+        use = at >= 0
+        out = np.zeros((len(ranks), self.n + len(self.lo)), dtype=np.int32)
+        out[at[use], self.row[use]] = term_value(1, self.row_tf[use], self.row_m[use])
+        return out
+
+    def search(self, table: np.ndarray, columns: np.ndarray, weights: np.ndarray, best: Best) -> int:
+        """Offers ``best`` every document that may be among the best of one item, of
+        terms ``columns`` with ``weights``; returns how many were scored."""
+        def values(rows):
+            return weights @ table[np.ix_(columns, rows)]
+        stack, scored = [(np.array([0]), values(np.array([self.n])), FIRST)] if self.n else [], 0
         while stack:
-            item, node, have, bound = stack.pop()
-            alive = bound >= best.needed[item]
-            item, node, have = item[alive], node[alive], have[alive]
-            self._score(item, self.lo[node], self.ended[node] - self.lo[node], counts, best)
-            kids = self.last[node] - self.first[node]
-            if not kids.any():
+            nodes, bound, step = stack.pop()
+            alive = bound >= best.needed
+            nodes, bound = nodes[alive], bound[alive]
+            if not len(nodes):
                 continue
-            child = np.repeat(self.first[node] - (np.cumsum(kids) - kids), kids) + np.arange(kids.sum())
-            item = np.repeat(item, kids)
-            term = self.term[child]
-            have = np.repeat(have, kids) + counts[item, term] * self.bound[child]
-            bound = have + rest[item, term + 1]
-            order = np.flatnonzero(bound >= best.needed[item])
-            order = order[np.argsort(bound[order], kind="stable")]     # the best on top
-            for s in range(0, len(order), PAIRS):
-                o = order[s:s + PAIRS]
-                stack.append((item[o], child[o], have[o], bound[o]))
-
-    def _score(self, item, lo, n, counts, best: Best) -> None:
-        """Exact scores of the documents lo .. lo+n for each item."""
-        item = np.repeat(item, n)
-        doc = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        size = self.offsets[doc + 1] - self.offsets[doc]
-        item, doc, size = item[size > 0], doc[size > 0], size[size > 0]
-        cuts = np.concatenate([[0], np.cumsum(size)])
-        s = 0
-        while s < len(doc):
-            e = max(s + 1, int(np.searchsorted(cuts, cuts[s] + TRIE_ENTRIES, side="right")) - 1)
-            z = size[s:e]
-            at = np.repeat(self.offsets[doc[s:e]] - (cuts[s:e] - cuts[s]), z) + np.arange(z.sum())
-            adds = counts[np.repeat(item[s:e], z), self.rank[at]] * self.value[at]
-            best.offer(item[s:e], np.add.reduceat(adds, cuts[s:e] - cuts[s]), self.ids[doc[s:e]])
-            s = e
+            # the most promising first, in steps that grow: the first raise what the others need
+            order = np.argsort(-bound, kind="stable")
+            if len(order) > step:
+                stack.append((nodes[order[step:]], bound[order[step:]], 4 * step))
+            nodes = nodes[order[:step]]
+            n = self.scored[nodes] - self.lo[nodes]
+            if n.any():
+                docs = np.repeat(self.lo[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                best.offer(values(docs), self.ids[docs])
+                scored += len(docs)
+            kids = self.last[nodes] - self.first[nodes]
+            if kids.any():
+                child = np.repeat(self.first[nodes] - (np.cumsum(kids) - kids), kids) + np.arange(kids.sum())
+                stack.append((child, values(self.n + child), FIRST))
+        return scored
 
 
 class Best:
-    """The ``k`` highest (score, least id) of each item so far."""
+    """The ``k`` highest (score, least id) of an item so far."""
 
-    def __init__(self, items: int, k: int):
+    def __init__(self, k: int):
         self.k = k
-        self.item = np.zeros(0, dtype=np.int64)
-        self.score, self.id = self.item, self.item
+        self.score = self.id = np.zeros(0, dtype=np.int64)
         #: a lower score cannot enter any more; scores of 0 never do
-        self.needed = np.ones(items, dtype=np.int64)
+        self.needed = 1
 
-    def offer(self, item, score, ids) -> None:
-        use = score >= self.needed[item]
+    def offer(self, score, ids) -> None:
+        use = score >= self.needed
         if not use.any():
             return
-        item, score, ids = (np.concatenate(x) for x in (
-            (self.item, item[use]), (self.score, score[use]), (self.id, ids[use])))
-        order = np.lexsort((ids, -score, item))
-        item, score, ids = item[order], score[order], ids[order]
-        starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-        place = np.arange(len(item)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(item)]])))
-        use = place < self.k
-        full = place == self.k - 1
-        self.needed[item[full]] = np.maximum(score[full], 1)
-        self.item, self.score, self.id = item[use], score[use], ids[use]
-
-
-def _item_groups(found: list, number: dict, rank_of: np.ndarray):
-    """Dense (item, rank) occurrence tables of bounded size: (first item, table)."""
-    step = max(1, CELLS // max(1, len(rank_of)))
-    for s in range(0, len(found), step):
-        table = np.zeros((len(found[s:s + step]), len(rank_of)), dtype=np.int64)
-        for i, (_, ws) in enumerate(found[s:s + step]):
-            np.add.at(table[i], rank_of[[number[w] for w in ws]], 1)
-        yield s, table
-
-
-def _tries(batches, rank_of, weights, n_docs, n_terms, k):
+        score, ids = np.concatenate([self.score, score[use]]), np.concatenate([self.id, ids[use]])
+        order = np.lexsort((ids, -score))[:self.k]
+        self.score, self.id = score[order], ids[order]
+        if len(order) == self.k:
+            self.needed = max(1, int(self.score[-1]))
+
+
+class ItemGroup:
+    """Items searched with one table: the ranks of their terms, and of each item the
+    table's columns, the weights times occurrences, and the best documents so far."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], weights: np.ndarray, k: int):
+        self.ranks = np.unique(np.concatenate([r for _, r, _ in items]))
+        self.items = [(i, np.searchsorted(self.ranks, r), weights[r] * n, Best(k)) for i, r, n in items]
+
+
+def _item_groups(found: list, number: dict, rank_of: np.ndarray, weights: np.ndarray,
+                 k: int) -> list[ItemGroup]:
+    """Items in order, in groups of at most ``GROUP_TERMS`` terms (or one item)."""
+    out, group, terms = [], [], set()
+    for i, (_, ws) in enumerate(found):
+        ranks, times = np.unique(rank_of[[number[w] for w in ws]], return_counts=True)
+        if group and len(terms.union(ranks.tolist())) > GROUP_TERMS:
+            out.append(ItemGroup(group, weights, k))
+            group, terms = [], set()
+        group.append((i, ranks, times))
+        terms.update(ranks.tolist())
+    return [*out, ItemGroup(group, weights, k)]
+
+
+def _tries(batches, rank_of, n_docs, n_terms, k, most_docs):
     for batch in batches:
         ids = batch.column(0).fill_null(int(NO_ID)).to_numpy()
         m = length_factor(batch.column(1).to_numpy(), n_docs, n_terms)
@@ -277,16 +298,12 @@ def _tries(batches, rank_of, weights, n_docs, n_terms, k):
         cuts = np.asarray(lists.offsets, dtype=np.int64)
         term = lists.values.to_numpy()
         tf = batch.column(3).values.to_numpy().astype(np.int64)
-        s = 0
-        while s < len(ids):
-            e = max(s + 1, int(np.searchsorted(cuts, cuts[s] + TRIE_ENTRIES, side="right")) - 1)
-            size = np.diff(cuts[s:e + 1])
-            doc = np.repeat(np.arange(e - s), size)
+        for s in range(0, len(ids), most_docs):
+            e = min(len(ids), s + most_docs)
+            doc = np.repeat(np.arange(e - s), np.diff(cuts[s:e + 1]))
             r = rank_of[term[cuts[s]:cuts[e]]]
             order = np.lexsort((r, doc))
-            yield Trie(cuts[s:e + 1] - cuts[s], r[order], tf[cuts[s]:cuts[e]][order], m[s:e],
-                       ids[s:e], weights, k)
-            s = e
+            yield Trie(cuts[s:e + 1] - cuts[s], r[order], tf[cuts[s]:cuts[e]][order], m[s:e], ids[s:e], k)
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -314,17 +331,20 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
         def run(batches, shared=shared, n_docs=n_docs, n_terms=n_terms):
             found, number, rank_of, weights = shared.value
-            groups = [(s, table, Best(len(table), k)) for s, table in
-                      _item_groups(found, number, rank_of)]
-            for trie in _tries(batches, rank_of, weights, n_docs, n_terms, k):
-                for _, table, best in groups:
-                    trie.search(table, best)
+            groups = _item_groups(found, number, rank_of, weights, k)
+            most = max(len(g.ranks) for g in groups)
+            for trie in _tries(batches, rank_of, n_docs, n_terms, k, max(16, CELLS // most)):
+                for g in groups:
+                    table = trie.table(g.ranks, len(rank_of))
+                    for _, columns, weight, best in g.items:
+                        trie.search(table, columns, weight, best)
             names = pa.array([i for i, _ in found], to_arrow_type(item_type))
-            for s, _, best in groups:
-                entry = pa.array(best.item + s)
+            for g in groups:
+                entry = pa.array(np.repeat([i for i, *_ in g.items], [len(b.id) for *_, b in g.items]), pa.int64())
+                ids = np.concatenate([b.id for *_, b in g.items])
                 yield pa.RecordBatch.from_arrays(
-                    [entry, names.take(entry), pa.array(best.id, mask=best.id == NO_ID),
-                     pa.array(best.score)], names=rows.names)
+                    [entry, names.take(entry), pa.array(ids, mask=ids == NO_ID),
+                     pa.array(np.concatenate([b.score for *_, b in g.items]))], names=rows.names)
         part = vectors.select("id", "n", "terms", "tfs").mapInArrow(run, rows)
         order = [F.col("score").desc(), F.col("doc").asc_nulls_last()]
         for keys in (["entry", F.pmod(F.xxhash64("doc"), F.lit(SALTS))], ["entry"]):
