@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
+from talentscope.functions.ids import name_uuid
 from talentscope.functions.text import or_default, token_estimate
 from talentscope.operators import ttl as TTL
 from talentscope.operators.validation import validate_search_requests
 from talentscope.functions.text import search_cache_key
+from talentscope.operators.joins import null_safe_join
+from talentscope.operators.ordinal import ordinal
+from talentscope.sources.buckets import BucketedTable
 
 PART_TURNS = 50
+#: Batch name of the conversations that searches create.
+SEARCH_BATCH = "search"
+TITLE_LIMIT = S.VARCHAR_LIMITS["conversations"]["title"]
 
 
 def conversation_titles(turns: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def derive_search_log(requests: DataFrame, owners: DataFrame, visible: DataFrame
 
     Eligible requests are replayed through the result cache (TTL-1). A miss
     logs the model's explanation, a token estimate and ``cache_hit = false``
-    (a new conversation gets a generated id, here ``new-<request id>``); a
+    (a new conversation gets a generated id, SCL-19 of the request); a
     hit logs the cached explanation (the one of the miss that stored the
     entry), NULL tokens and ``cache_hit = true``. Latency is not derivable
     in a batch and stays NULL.
@@ -94,7 +101,7 @@ def derive_search_log(requests: DataFrame, owners: DataFrame, visible: DataFrame
     expl = response_explanation(responses).select(F.col("id").alias("anchor_id"), "explanation")
     served = replayed.join(expl, "anchor_id", "left")
     conv = F.when(F.col("hit") | F.col("conversation_id").isNotNull(), F.col("conversation_id")) \
-        .otherwise(F.concat(F.lit("new-"), F.col("id").cast("string")))
+        .otherwise(name_uuid("conversations", SEARCH_BATCH, F.col("id")))
     return served.select(
         "id", "user_id", "query", conv.alias("conversation_id"),
         F.col("explanation").alias("response"),
@@ -112,11 +119,13 @@ def derive_views(views: DataFrame, visible: DataFrame) -> DataFrame:
             .join(visible, ["user_id", "resume_id"], "left_semi"))
 
 
-def search_context_updates(requests: DataFrame, responses: DataFrame, matches: DataFrame) -> DataFrame:
+def search_context_updates(requests: DataFrame, responses: DataFrame, matches: DataFrame,
+                           history: bool = True) -> DataFrame:
     """CNV-3 + PRJ-4: the context a served search writes to its conversation:
     ``lastQuery``, ``lastResults`` (the matched documents projected to
     ``{id, name}``, in the caller's list order) and the history grown by the
-    user query and the assistant explanation.
+    user query and the assistant explanation (left out without ``history``: a stored
+    conversation keeps its history in parts, see ``append_history``).
 
     ``matches``: (response_id, resume_id, position, name) for the request's
     results; one request's results are bounded by its response, so folding
@@ -125,13 +134,114 @@ def search_context_updates(requests: DataFrame, responses: DataFrame, matches: D
     expl = response_explanation(responses)
     results = (matches.groupBy(F.col("response_id").alias("id"))
                .agg(F.array_sort(F.collect_list(F.struct("position", "resume_id", "name"))).alias("_r")))
-    ctx = F.struct(
+    fields = [
         F.col("query").alias("lastQuery"),
         F.transform(F.coalesce(F.col("_r"), F.array().cast(results.schema["_r"].dataType)),
                     lambda x: F.struct(x["resume_id"].alias("id"), x["name"].alias("name")))
-        .alias("lastResults"),
-        F.array(F.struct(F.lit("user").alias("role"), F.col("query").alias("content")),
-                F.struct(F.lit("assistant").alias("role"), F.col("explanation").alias("content")))
-        .alias("history"))
+        .alias("lastResults")]
+    if history:
+        fields.append(F.array(
+            F.struct(F.lit("user").alias("role"), F.col("query").alias("content")),
+            F.struct(F.lit("assistant").alias("role"), F.col("explanation").alias("content")))
+            .alias("history"))
     return (requests.select("id", "user_id", "query").join(expl, "id").join(results, "id", "left")
-            .select("id", "user_id", F.to_json(ctx).alias("context")))
+            .select("id", "user_id", F.to_json(F.struct(*fields)).alias("context")))
+
+
+def created_conversations(served: DataFrame, requests: DataFrame) -> DataFrame:
+    """Conversations that served searches without one create: titled by the query
+    (a longer one than the column holds fails and creates none)."""
+    fresh = requests.filter(F.col("conversation_id").isNull()).select("id")
+    return (served.join(fresh, "id", "left_semi").filter(F.length("query") <= TITLE_LIMIT)
+            .select(F.col("conversation_id").alias("id"), "user_id", F.col("query").alias("title"),
+                    F.lit(None).cast("string").alias("context"), "created_at",
+                    F.col("created_at").alias("updated_at")))
+
+
+def search_updates(served: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The update that each served search sends for its conversation."""
+    ctx = contexts.select("id", "context")
+    return served.join(ctx, "id").select(
+        F.lit(0).alias("kind"), F.col("id").alias("req_id"), F.col("conversation_id").alias("id"),
+        "user_id", F.lit(None).cast("string").alias("title"), "context",
+        F.col("created_at").alias("requested_at"))
+
+
+def valid_conversation_updates(updates: DataFrame) -> DataFrame:
+    """Updates that the table accepts: some field given, the title within its column."""
+    given = F.col("title").isNotNull() | F.col("context").isNotNull()
+    return updates.filter(given & (F.col("title").isNull() | (F.length("title") <= TITLE_LIMIT)))
+
+
+def update_conversations(table: BucketedTable, created: DataFrame, updates: DataFrame) -> list[int]:
+    """MUT-1 / CNV-3: merges new conversations and updates into the stored table and
+    returns the rewritten buckets.
+
+    Only the owner's updates count. In time order (kind and request id among equal
+    times) each sets the fields it gives: every field ends with its last given value,
+    found by one pre-aggregation per conversation, so a conversation with very many
+    updates is no large group. ``updated_at`` is the last applied update's time."""
+    when = F.struct("requested_at", "kind", "req_id")
+
+    def last(field):
+        return F.max_by(F.col(field), F.when(F.col(field).isNotNull(), when)).alias(f"new_{field}")
+    # one row per conversation and user, with the user's say before the owner is known
+    latest = updates.groupBy("id", "user_id").agg(
+        last("title"), last("context"), F.max("requested_at").alias("at"))
+    rows = created.select("id", "user_id", F.struct("title", "context", "created_at", "updated_at")
+                          .alias("row"))
+    changes = latest.join(rows, ["id", "user_id"], "full")
+
+    def apply(current, changes):
+        # a stored row wins over a new one of its id: the batch may be repeated
+        fresh = changes.filter("row is not null").select("id", "user_id", "row.*").join(
+            current.select("id"), "id", "left_anti")
+        return current.unionByName(fresh).join(changes.drop("row"), ["id", "user_id"], "left").select(
+            "id", "user_id", F.coalesce("new_title", "title").alias("title"),
+            F.coalesce("new_context", "context").alias("context"), "created_at",
+            F.coalesce("at", "updated_at").alias("updated_at"))
+    return table.merge(changes, apply)
+
+
+def history_parts(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """(id, part, n_turns, history) of turns (id, turn, role, content): JSON of at most
+    ``part_turns`` turns each, in order."""
+    return (turns.groupBy("id", F.floor(F.col("turn") / part_turns).alias("part"))
+            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("t"))
+            .select("id", "part", F.size("t").cast("long").alias("n_turns"),
+                    F.to_json(F.transform("t", lambda m: F.struct(m["role"], m["content"])))
+                    .alias("history")))
+
+
+def search_turns(served: DataFrame, stored: DataFrame) -> DataFrame:
+    """The two turns that each served search adds to its conversation, numbered behind
+    the stored ones (id, turn), in time order; exact ordinals, so one conversation may
+    hold most searches."""
+    k = ordinal(served.select(F.col("conversation_id").alias("id"), F.col("id").alias("req_id"),
+                              "query", "response", "created_at"),
+                ["id"], [F.col("created_at").asc(), F.col("req_id").asc()], "k")
+    ends = stored.groupBy("id").agg((F.max("turn") + 1).alias("n"))
+    both = F.array(F.struct(F.lit(0).alias("i"), F.lit("user").alias("role"),
+                            F.col("query").alias("content")),
+                   F.struct(F.lit(1).alias("i"), F.lit("assistant").alias("role"),
+                            F.col("response").alias("content")))
+    return (null_safe_join(k, ends, ["id"], "left")
+            .select("id", F.coalesce("n", F.lit(0)).alias("n"), "k", F.explode(both).alias("m"))
+            .select("id", (F.col("n") + 2 * (F.col("k") - 1) + F.col("m.i")).alias("turn"),
+                    "m.role", "m.content"))
+
+
+HISTORY = "array<struct<role:string,content:string>>"
+
+
+def append_history(table: BucketedTable, turns: DataFrame, part_turns: int = PART_TURNS) -> list[int]:
+    """CNV-3: adds turns behind the stored history (id, part, n_turns, history); only
+    the parts that grow, and new ones, are written."""
+    def apply(current, fresh):
+        fresh = fresh.select("id", "part", F.col("n_turns").alias("more"), F.col("history").alias("tail"))
+        whole = F.concat(*[F.coalesce(F.from_json(c, HISTORY), F.array().cast(HISTORY))
+                           for c in ("history", "tail")])
+        return current.join(fresh, ["id", "part"], "full").select(
+            "id", "part", (F.coalesce("n_turns", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_turns"),
+            F.when(F.col("tail").isNull(), F.col("history")).otherwise(F.to_json(whole)).alias("history"))
+    return table.merge(history_parts(turns, part_turns), apply)

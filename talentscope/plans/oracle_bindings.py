@@ -24,6 +24,14 @@ def minutes(x: str) -> str:
     return f"(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(cast({x} as integer)))"
 
 
+def name_uuid_sql(table: str, batch: str, *key: str) -> str:
+    """SCL-19 of key expressions, from the digest's hex digits."""
+    name = " || '/' || ".join([f"'{table}/{batch}'", *(f"coalesce(cast({k} as varchar), '')" for k in key)])
+    h = f"md5({name})"
+    return (f"concat(substr({h},1,8),'-',substr({h},9,4),'-3',substr({h},14,3),'-',"
+            f"translate(substr({h},17,1),'0123456789abcdef','89ab89ab89ab89ab'),substr({h},18,3),'-',substr({h},21,12))")
+
+
 BINDINGS = {
     "search_logs": f"""
 select event_id as id, user_id, {conv_uuid(f'(event_id % {N_CONVS})')} as conversation_id,
@@ -62,6 +70,15 @@ select distinct {conv_uuid('conv_id')} as id, conv_id % {N_USERS} as user_id fro
     "conversation_rows": f"""
 select {conv_uuid('conv_id')} as id, conv_id % {N_USERS} as user_id, arg_min(text, turn) filter (where role='user') as title
 from conversations group by conv_id""",
+    "conversation_table": f"""
+select id, user_id, case when length(title) <= 255 then title end as title, created_at, created_at as updated_at
+from (select {conv_uuid('conv_id')} as id, conv_id % {N_USERS} as user_id, arg_min(text, turn) filter (where role='user') as title,
+  {minutes('(conv_id % 43200)')} as created_at from conversations group by conv_id)""",
+    "conversation_updates": f"""
+select event_id as req_id, {conv_uuid(f'(event_id % {N_CONVS})')} as id,
+  case when event_id%2=0 then (event_id % {N_CONVS}) % {N_USERS} else user_id end as user_id,
+  case when event_id%9=0 then repeat('t',256) when event_id%3=0 then concat('Title ',event_id) end as title,
+  case when event_id%4=1 then concat('{{"lastQuery":"q',event_id,'","lastResults":[]}}') end as context, ts from events""",
     "search_requests": f"""
 select event_id as id, user_id, case when event_id%50=0 then '' when event_id%50=1 then repeat('x',501) else event_type end as query,
   case when event_id%7=0 then 'not-a-uuid' when event_id%7=1 then null

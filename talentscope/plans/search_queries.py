@@ -10,9 +10,11 @@ from talentscope.operators import search as SR
 from talentscope.operators.access import visible_documents
 from talentscope.plans.access_queries import VISIBLE_SQL
 from talentscope.plans.cache_queries import _walk_sql
-from talentscope.plans.oracle_bindings import utf16, with_ctes
+from talentscope.plans.oracle_bindings import BINDINGS, conv_uuid, name_uuid_sql, utf16, with_ctes
 from talentscope.plans.registry import register
-from talentscope.sources.bindings import Domain
+from talentscope.session import cut_lineage, scratch_path
+from talentscope.sources.bindings import Domain, conversation_uuid
+from talentscope.sources.buckets import BucketedTable
 
 TRIM = S.JS_TRIM_PATTERN
 STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
@@ -76,14 +78,17 @@ def _search_log_head() -> str:
     return head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n"
 
 
+NEW_CONVERSATION = name_uuid_sql("conversations", CNV.SEARCH_BATCH, "r.id")
+
+
 def _search_log_oracle() -> str:
     out = """r.id, r.user_id, r.query,
-  case when w.hit or r.conversation_id is not null then r.conversation_id else concat('new-', cast(r.id as varchar)) end
+  case when w.hit or r.conversation_id is not null then r.conversation_id else %s end
     as conversation_id,
   (select e.explanation from expl e where e.id = w.anchor_id) as response,
   case when w.hit then null else cast(ceil(length((select e.explanation from expl e where e.id = w.anchor_id)) / 4) as integer) end
     as tokens_used,
-  cast(null as integer) as latency_ms, w.hit as cache_hit, r.ts as created_at"""
+  cast(null as integer) as latency_ms, w.hit as cache_hit, r.ts as created_at""" % NEW_CONVERSATION
     return _search_log_head() + _walk_sql(S.SEARCH_CACHE_TTL_S, out)
 
 
@@ -225,34 +230,121 @@ def q_prompt_context_short(spark, sf_dir):
     return SR.prompt_context(d.resumes(), ranked, short=True)
 
 
-def _context_updates_oracle() -> str:
-    walk, _, final = _walk_sql(S.SEARCH_CACHE_TTL_S, "r.id, r.user_id, r.query").rpartition("\nselect ")
+def _served_head() -> str:
+    """CTEs up to ``ctx``: every search that reached the model, with its conversation
+    and the results its context names."""
+    cols = f"""r.id, r.user_id, r.query, r.ts, r.conversation_id is null as is_new,
+  coalesce(r.conversation_id, {NEW_CONVERSATION}) as conversation_id"""
+    walk, _, final = _walk_sql(S.SEARCH_CACHE_TTL_S, cols).rpartition("\nselect r.id")
     ctes = {
-        "served": f"select {final} where not w.hit",
+        "served": f"select r.id{final} where not w.hit",
         "ranked": RANKED_SQL,
         "r": "select id as response_id, user_id, coalesce(nullif(response, ''), '{}') as js from model_responses",
         "named": """select distinct response_id, user_id, unnest(cast(json_extract(js, '$.results') as bigint[])) as resume_id
             from r""",
         "m": """select n.response_id, n.resume_id, k.position, d.name from named n
             join ranked k on k.user_id = n.user_id and k.resume_id = n.resume_id join resumes d on d.id = n.resume_id""",
-        "res": "select response_id as id, list({'id': resume_id, 'name': name} order by position) as lr from m group by 1"}
-    return _search_log_head() + walk + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in ctes.items()) + """
-select q.id, q.user_id, cast(to_json({'lastQuery': q.query,
-    'lastResults': coalesce(res.lr, []::struct(id bigint, name varchar)[]),
-    'history': [{'role': 'user', 'content': q.query}, {'role': 'assistant', 'content': ex.explanation}]}) as varchar)
-  as context
-from served q join expl ex on ex.id = q.id left join res on res.id = q.id"""
+        "res": "select response_id as id, list({'id': resume_id, 'name': name} order by position) as lr from m group by 1",
+        "ctx": """select q.*, ex.explanation, coalesce(res.lr, []::struct(id bigint, name varchar)[]) as lr
+            from served q join expl ex on ex.id = q.id left join res on res.id = q.id"""}
+    return _search_log_head() + walk + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in ctes.items())
 
 
-@register("search_context_updates", _context_updates_oracle())
+@register("search_context_updates", _served_head() + """
+select id, user_id, cast(to_json({'lastQuery': query, 'lastResults': lr,
+    'history': [{'role': 'user', 'content': query}, {'role': 'assistant', 'content': explanation}]}) as varchar)
+  as context
+from ctx""")
 def q_search_context_updates(spark, sf_dir):
     """CNV-3: contexts written by the searches that reached the model: the misses
     of the search log (invalid, forbidden and cached requests write none)."""
     d = Domain(spark, sf_dir)
-    ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
+    return CNV.search_context_updates(_served(d), d.model_responses(), _matches(d))
+
+
+def _served(d: Domain):
     vis = visible_documents(d.resumes(), d.resume_permissions())
-    served = CNV.derive_search_log(d.search_requests(), d.conversation_owner(), vis,
-                                   d.model_responses()).filter(~F.col("cache_hit"))
-    matches = SR.resolve_matches(d.model_responses(), ranked).join(
+    return CNV.derive_search_log(d.search_requests(), d.conversation_owner(), vis,
+                                 d.model_responses()).filter(~F.col("cache_hit"))
+
+
+def _matches(d: Domain):
+    ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
+    return SR.resolve_matches(d.model_responses(), ranked).join(
         d.resumes().select(F.col("id").alias("resume_id"), "name"), "resume_id")
-    return CNV.search_context_updates(served, d.model_responses(), matches)
+
+
+def _bindings_first(head: str, names: list[str]) -> str:
+    """``head`` with further bindings in front of its CTEs."""
+    extra = ",\n".join(f"{n} AS ({BINDINGS[n]})" for n in names)
+    return head.replace("WITH RECURSIVE ", "WITH RECURSIVE " + extra + ",\n", 1)
+
+
+def _conversation_updates_oracle() -> str:
+    return _bindings_first(_served_head(), ["conversation_table", "conversation_updates"]) + f""",
+upd as (
+  select 0 as kind, id as req_id, conversation_id as id, user_id, cast(null as varchar) as title,
+    cast(to_json({{'lastQuery': query, 'lastResults': lr}}) as varchar) as context, ts from ctx
+  union all
+  select 1, req_id, id, user_id, title, context, ts from conversation_updates
+  where (title is not null or context is not null) and (title is null or length(title) <= {CNV.TITLE_LIMIT})),
+stored as (
+  select id, user_id, title, created_at, updated_at from conversation_table
+  union all
+  select conversation_id, user_id, query, ts, ts from served where is_new and length(query) <= {CNV.TITLE_LIMIT}),
+ok as (select u.* from upd u where exists (select 1 from stored b where b.id = u.id and b.user_id = u.user_id)),
+agg as (select id,
+    first(title order by ts desc, kind desc, req_id desc) filter (where title is not null) as new_title,
+    first(context order by ts desc, kind desc, req_id desc) filter (where context is not null) as new_context,
+    max(ts) as at from ok group by id)
+select b.id, b.user_id, coalesce(a.new_title, b.title) as title, a.new_context as context, b.created_at,
+  coalesce(a.at, b.updated_at) as updated_at
+from stored b left join agg a on a.id = b.id"""
+
+
+def _buckets(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@register("apply_conversation_updates", _conversation_updates_oracle())
+def q_apply_conversation_updates(spark, sf_dir):
+    """MUT-1 / CNV-3: the stored conversations after a batch of searches (which create
+    conversations and write contexts) and of direct updates, merged in place."""
+    d = Domain(spark, sf_dir)
+    rows = d.conversation_table()
+    table = BucketedTable(spark, scratch_path(spark, "conversations"), rows.schema, ["id"],
+                          _buckets(spark)).write(rows)
+    served = cut_lineage(_served(d))
+    contexts = CNV.search_context_updates(served, d.model_responses(), _matches(d), history=False)
+    updates = CNV.search_updates(served, contexts).unionByName(
+        CNV.valid_conversation_updates(d.conversation_updates()))
+    CNV.update_conversations(table, CNV.created_conversations(served, d.search_requests()), updates)
+    return table.read()
+
+
+@register("append_conversation_history", _served_head() + f""",
+talk as (
+  select {conv_uuid('conv_id')} as id, turn, role, text as content, 0 as later from conversations
+  where role in ('user', 'assistant')),
+ends as (select {conv_uuid('conv_id')} as id, max(turn) + 1 as n from conversations where role in ('user', 'assistant') group by 1),
+k as (select c.*, row_number() over (partition by conversation_id order by ts, id) as k from ctx c),
+added as (
+  select conversation_id as id, coalesce(n, 0) + 2 * (k - 1) as turn, query, explanation from k left join ends on ends.id = k.conversation_id),
+turns as (
+  select id, turn, role, content from talk
+  union all select id, turn, 'user', query from added
+  union all select id, turn + 1, 'assistant', explanation from added)
+select id, cast(floor(turn / {CNV.PART_TURNS}) as bigint) as part, count(*) as n_turns,
+  cast(to_json(list({{'role': role, 'content': content}} order by turn)) as varchar) as history
+from turns group by 1, 2""")
+def q_append_conversation_history(spark, sf_dir):
+    """CNV-3: the history of every conversation, stored in parts, after the searches
+    of a batch added their turns behind it."""
+    d = Domain(spark, sf_dir)
+    turns = d.conversation_turns().filter(F.col("role").isin(*S.HISTORY_ROLES)).select(
+        conversation_uuid(F.col("conv_id")).alias("id"), "turn", "role", F.col("text").alias("content"))
+    parts = CNV.history_parts(turns)
+    table = BucketedTable(spark, scratch_path(spark, "history"), parts.schema, ["id", "part"],
+                          _buckets(spark)).write(parts)
+    CNV.append_history(table, CNV.search_turns(_served(d), turns))
+    return table.read()

@@ -8,6 +8,7 @@ splitting, and no web UI.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 #: Setting: partitions to deal rows to before CPU-heavy per-row work.
 SPREAD_KEY = "spark.talentscope.spreadPartitions"
 

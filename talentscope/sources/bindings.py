@@ -171,6 +171,31 @@ class Domain:
         return rows.select(conversation_uuid(F.col("conv_id")).alias("id"),
                            (F.col("conv_id") % self.n_users()).alias("user_id"), "title")
 
+    def conversation_table(self) -> DataFrame:
+        """Stored conversation rows: titles that fit their column, no context yet."""
+        rows = self.conversations()
+        number = F.substring("id", 25, 12).cast("int")
+        at = plus_minutes(BASE_TIME, number % 43200)
+        return rows.select(
+            "id", "user_id", F.when(F.length("title") <= 255, F.col("title")).alias("title"),
+            F.lit(None).cast("string").alias("context"), at.alias("created_at"),
+            at.alias("updated_at"))
+
+    def conversation_updates(self) -> DataFrame:
+        """One update per event for a stored conversation, every other one from its
+        owner; titles that are too long, contexts, and updates that give nothing."""
+        e = self.t.events
+        i = F.col("event_id")
+        conv = i % self.n_convs()
+        return e.select(
+            F.lit(1).alias("kind"), i.alias("req_id"), conversation_uuid(conv).alias("id"),
+            F.when(i % 2 == 0, conv % self.n_users()).otherwise(F.col("user_id")).alias("user_id"),
+            F.when(i % 9 == 0, F.repeat(F.lit("t"), 256))
+             .when(i % 3 == 0, F.concat(F.lit("Title "), _s(i))).alias("title"),
+            F.when(i % 4 == 1, F.concat(F.lit('{"lastQuery":"q'), _s(i), F.lit('","lastResults":[]}')))
+             .alias("context"),
+            F.col("ts").alias("requested_at"))
+
     def conversation_turns(self) -> DataFrame:
         return self.t.conversations
 
