@@ -6,6 +6,8 @@ for DuckDB, which sees only the raw test tables.
 
 from __future__ import annotations
 
+from talentscope.sources.bindings import EXPERIENCE_TEXTS
+
 N_USERS = "(select max(user_id)+1 from events)"
 N_DOCS = "(select count(*) from documents)"
 N_CONVS = "(select count(distinct conv_id) from conversations)"
@@ -52,7 +54,7 @@ select doc_id as id, concat('Candidate ',doc_id) as name, concat('c',doc_id,'@ex
     'java, sql;  spark|s',doc_id%5,chr(10),'Experience',chr(10),'role',doc_id%3,' at c',doc_id%11,chr(10),
     case when doc_id%4=0 then concat('Skills: again',chr(10),'python,s',doc_id%7) else '' end) as content,
   concat('{{"skills":["s',doc_id%5,'","s',5+doc_id%7,'"],"experience":[{{"company":"c',doc_id%11,'","position":"role',doc_id%3,
-    '"}}],"education":[{{"degree":"d',doc_id%2,'","field":"f',doc_id%6,'"}}],"location":"',source,'","salary_expectation":',
+    '","description":"Built ',source,' tools in team ',doc_id%13,'"}}],"education":[{{"degree":"d',doc_id%2,'","field":"f',doc_id%6,'"}}],"location":"',source,'","salary_expectation":',
     50000+(doc_id*37)%100000,'}}') as parsed_data,
   doc_id % {N_USERS} as created_by, {minutes('doc_id')} as created_at from documents""",
     "resume_permissions": f"""
@@ -97,12 +99,15 @@ select case when doc_id%17=0 then doc_id + {N_DOCS} else doc_id end as id, case
 select event_id as id, user_id, case when event_id%10=0 then null
   else concat('{{"results":[',event_id % {N_DOCS},',',(event_id*7) % {N_DOCS},',',user_id,',999999999]',
               case when event_id%3=0 then '' else ',"explanation":"why"' end,'}}') end as response from events""",
-    "criteria": """
-select distinct conv_id as id, concat('{"skills":["s',conv_id%5,'"',case when conv_id%2=0 then concat(',"s',5+conv_id%7,'"') else '' end,']',
-  case when conv_id%3=0 then concat(',"location":"src',conv_id%20,'"') else '' end,
-  case when conv_id%4=0 then concat(',"role":"role',conv_id%3,'"') else '' end,
-  case when conv_id%5=0 then ',"salary":{"min":60000,"max":120000}' when conv_id%5=1 then ',"salary":{"max":90000}' else '' end,'}') as criteria
-from conversations""",
+    "criteria": f"""
+select id, case when id % 50 = 49 then '{{}}' else concat('{{', concat_ws(',',
+    case when kind <= 2 then concat('"skills":["s',id%5,'"',case when id%2=0 then concat(',"s',5+id%7,'"') else '' end,']') end,
+    case when kind = 3 or (kind <= 2 and id%3 = 0) then concat('"location":" SRC',id%20,'"') end,
+    case when kind = 4 or (kind <= 2 and id%4 = 0) then concat('"role":"Role',id%3,'"') end,
+    case when kind in (5, 7) or id%5 = 0 then case when id%2=0 then '"salary":{{"min":60000,"max":120000}}'
+      when id%3=0 then '"salary":{{"min":99000}}' else '"salary":{{"max":90000}}' end end,
+    case when kind >= 6 then concat('"experience":"',({list(EXPERIENCE_TEXTS)})[id%6+1],'"') end), '}}') end as criteria
+from (select distinct conv_id as id, conv_id % 8 as kind from conversations)""",
     "uploads": """
 select doc_id as id, concat('f',doc_id,case doc_id%4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.txt' else '.exe' end) as file_name,
   n_chars*1000 as size_bytes from documents""",

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
+from talentscope.operators import access as ACC
 from talentscope.operators import conversations as CNV
+from talentscope.operators import mutations as MUT
 from talentscope.operators import search as SR
+from talentscope.operators import validation as VAL
 from talentscope.operators.access import visible_documents
-from talentscope.plans.access_queries import VISIBLE_SQL
+from talentscope.operators.text_index import TextIndex
+from talentscope.plans.access_queries import (DELETE_STATUS_SQL, EDITABLE_SQL, UPDATE_ERRORS_SQL,
+                                              VISIBLE_SQL)
 from talentscope.plans.cache_queries import _walk_sql
 from talentscope.plans.oracle_bindings import BINDINGS, conv_uuid, name_uuid_sql, utf16, with_ctes
 from talentscope.plans.registry import register
@@ -136,6 +141,50 @@ def q_text_match_all(spark, sf_dir):
     return SR.text_match_all(d.resumes().select("id", "content"), queries)
 
 
+@register("indexed_text_search", with_ctes(
+    ACCESS + ["update_requests", "resume_views", "delete_requests"], {
+        "ed": EDITABLE_SQL,
+        "new_text": f"""select id, first(content order by requested_at desc, req_id desc) as content from update_requests q
+            where content is not null and coalesce({UPDATE_ERRORS_SQL} = '', false)
+              and exists (select 1 from ed where ed.user_id = q.user_id and ed.resume_id = q.id) group by id""",
+        "st": DELETE_STATUS_SQL,
+        "now": """select r.id, coalesce(n.content, r.content) as content from resumes r left join new_text n on n.id = r.id
+            where not exists (select 1 from st where st.id = r.id and st.status = 'deleted')""",
+        "idx": f"""select distinct token, id as doc_id from ({_token_sql('id', 'content', 'now')})
+            where length(token) > 0 and token not in ({STOP})""",
+        "queries": """select concat('c', conv_id) as query_id, concat('java s', conv_id % 5, ' role', conv_id % 3, ' at c', conv_id % 11) as text
+            from (select distinct conv_id from conversations)
+            union all select concat('t', event_id), concat('text ', event_id) from events where event_id % 7 = 0""",
+        "qt": f"""select distinct id as query_id, token from ({_token_sql('query_id', 'text', 'queries')})
+            where length(token) > 0 and token not in ({STOP})""",
+        "nq": "select query_id, count(*) as n from qt group by 1"}, """
+select q.query_id, i.doc_id from qt q join nq using (query_id) join idx i on i.token = q.token
+group by q.query_id, i.doc_id, nq.n having count(*) = nq.n"""))
+def q_indexed_text_search(spark, sf_dir):
+    """FTS-1/2 over a stored index: all documents are written, the ones whose text a
+    batch of updates changed are indexed anew, both segments are merged, a batch of
+    deletes follows; then every conversation's terms and every new text are looked up."""
+    d = Domain(spark, sf_dir)
+    docs = d.resumes().select("id", "content")
+    index = TextIndex(spark, scratch_path(spark, "index"), _buckets(spark))
+    index.change(added=docs)
+    upd = VAL.validate_documents(d.update_requests(), partial=True).filter(F.col("content").isNotNull())
+    editable = ACC.editable_documents(d.resumes(), d.resume_permissions())
+    changed = cut_lineage(MUT.apply_updates(docs, upd, editable, ["content"])
+                          .filter(F.col("applied_updates") > 0).select("id", "content"))
+    index.change(added=changed, deleted=changed)
+    index.merge()
+    status = MUT.delete_status(d.resumes(), d.resume_views(), d.delete_requests())
+    index.change(deleted=status.filter(F.col("status") == "deleted"))
+    n = F.col("conv_id")
+    lookups = d.t.conversations.select("conv_id").distinct().select(
+        F.concat(F.lit("c"), n).alias("query_id"),
+        F.concat(F.lit("java s"), n % 5, F.lit(" role"), n % 3, F.lit(" at c"), n % 11).alias("text"))
+    texts = d.update_requests().filter(F.col("content").isNotNull()).select(
+        F.concat(F.lit("t"), F.col("req_id")).alias("query_id"), F.col("content").alias("text"))
+    return index.search(lookups.unionByName(texts))
+
+
 CRIT_ORACLE_CTES = {
     "c": """select id as crit_id,
         list_transform(coalesce(cast(json_extract(criteria, '$.skills') as varchar[]), []), lambda s: lower(trim(s))) as skills,
@@ -207,8 +256,7 @@ select n.response_id, n.user_id, n.resume_id, k.position, n.explanation
 from named n join ranked k on k.user_id = n.user_id and k.resume_id = n.resume_id"""))
 def q_resolve_matches(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
-    return SR.resolve_matches(d.model_responses(), ranked)
+    return SR.resolve_matches(d.model_responses(), d.resumes(), d.resume_permissions())
 
 
 @register("prompt_context_short", with_ctes(ACCESS, {
@@ -269,8 +317,7 @@ def _served(d: Domain):
 
 
 def _matches(d: Domain):
-    ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
-    return SR.resolve_matches(d.model_responses(), ranked).join(
+    return SR.resolve_matches(d.model_responses(), d.resumes(), d.resume_permissions()).join(
         d.resumes().select(F.col("id").alias("resume_id"), "name"), "resume_id")
 
 

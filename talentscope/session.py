@@ -81,6 +81,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, whichever file system holds it; none if it
+    does not exist."""
+    fs, place = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)
+                  if s.isDirectory()) if fs.exists(place) else []
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote."""
+    fs, place = _folder(spark, path)
+    fs.delete(place, True)
+
+
 #: Setting: partitions to deal rows to before CPU-heavy per-row work.
 SPREAD_KEY = "spark.talentscope.spreadPartitions"
 

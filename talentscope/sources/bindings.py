@@ -14,6 +14,8 @@ from talentscope.functions.time import plus_minutes
 from talentscope.sources.tables import Tables
 
 BASE_TIME = "2024-01-01 00:00:00"
+#: Experience texts of the bound criteria: phrases, parts of words, one and two letters.
+EXPERIENCE_TEXTS = ("Team 7", "src3 tools", "ROLE1", "m", "12", "no such text")
 
 
 def _s(c):
@@ -117,7 +119,8 @@ class Domain:
         parsed = F.concat(
             F.lit('{"skills":["s'), _s(i % 5), F.lit('","s'), _s(5 + i % 7),
             F.lit('"],"experience":[{"company":"c'), _s(i % 11), F.lit('","position":"role'),
-            _s(i % 3), F.lit('"}],"education":[{"degree":"d'), _s(i % 2), F.lit('","field":"f'),
+            _s(i % 3), F.lit('","description":"Built '), F.col("source"), F.lit(" tools in team "),
+            _s(i % 13), F.lit('"}],"education":[{"degree":"d'), _s(i % 2), F.lit('","field":"f'),
             _s(i % 6), F.lit('"}],"location":"'), F.col("source"),
             F.lit('","salary_expectation":'), _s(50000 + (i * 37) % 100000), F.lit("}"),
         )
@@ -256,18 +259,28 @@ class Domain:
                         F.when(i % 10 == 0, F.lit(None).cast("string")).otherwise(body).alias("response"))
 
     def criteria(self) -> DataFrame:
+        """Criteria of every kind: skills with and without further fields, location, role,
+        salary or experience text alone, text with a salary, and some that hold nothing."""
         c = self.t.conversations.select("conv_id").distinct()
         i = F.col("conv_id")
-        text = F.concat(
-            F.lit('{"skills":["s'), _s(i % 5), F.lit('"'),
-            F.when(i % 2 == 0, F.concat(F.lit(',"s'), _s(5 + i % 7), F.lit('"'))).otherwise(F.lit("")),
-            F.lit("]"),
-            F.when(i % 3 == 0, F.concat(F.lit(',"location":"src'), _s(i % 20), F.lit('"'))).otherwise(F.lit("")),
-            F.when(i % 4 == 0, F.concat(F.lit(',"role":"role'), _s(i % 3), F.lit('"'))).otherwise(F.lit("")),
-            F.when(i % 5 == 0, F.lit(',"salary":{"min":60000,"max":120000}'))
-             .when(i % 5 == 1, F.lit(',"salary":{"max":90000}')).otherwise(F.lit("")),
-            F.lit("}"))
-        return c.select(i.alias("id"), text.alias("criteria"))
+        kind = i % 8
+        skills = F.concat(F.lit('"skills":["s'), _s(i % 5), F.lit('"'),
+                          F.when(i % 2 == 0, F.concat(F.lit(',"s'), _s(5 + i % 7), F.lit('"')))
+                          .otherwise(F.lit("")), F.lit("]"))
+        words = F.element_at(F.array(*map(F.lit, EXPERIENCE_TEXTS)), (i % 6 + 1).cast("int"))
+        text = F.concat(F.lit("{"), F.concat_ws(
+            ",",
+            F.when(kind <= 2, skills),
+            F.when((kind == 3) | ((kind <= 2) & (i % 3 == 0)),
+                   F.concat(F.lit('"location":" SRC'), _s(i % 20), F.lit('"'))),
+            F.when((kind == 4) | ((kind <= 2) & (i % 4 == 0)),
+                   F.concat(F.lit('"role":"Role'), _s(i % 3), F.lit('"'))),
+            F.when(kind.isin(5, 7) | (i % 5 == 0),
+                   F.when(i % 2 == 0, F.lit('"salary":{"min":60000,"max":120000}'))
+                    .when(i % 3 == 0, F.lit('"salary":{"min":99000}'))
+                    .otherwise(F.lit('"salary":{"max":90000}'))),
+            F.when(kind >= 6, F.concat(F.lit('"experience":"'), words, F.lit('"')))), F.lit("}"))
+        return c.select(i.alias("id"), F.when(i % 50 == 49, "{}").otherwise(text).alias("criteria"))
 
     def uploads(self) -> DataFrame:
         d = self.t.documents

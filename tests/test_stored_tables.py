@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from talentscope import schemas as S
 from talentscope.functions.ids import name_uuid
 from talentscope.operators import conversations as CNV
+from talentscope.operators import search as SR
+from talentscope.operators.text_index import TextIndex
 from talentscope.sources.buckets import BUCKET, BucketedTable
 
 
@@ -143,3 +145,78 @@ def test_generated_ids_are_stable_and_valid(spark):
     for i in ids:
         assert re.match(S.UUID_PATTERN.replace(r"\\z", "$").replace(r"\z", "$"), i)
         assert uuid.UUID(i).version == 3 and uuid.UUID(i).variant == uuid.RFC_4122
+
+
+# -- index segments -----------------------------------------------------------
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "id long, content string")
+
+
+def look_up(index, spark, *texts):
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    out = {i: set() for i in range(len(texts))}
+    for r in index.search(q).collect():
+        out[r["query_id"]].add(r["doc_id"])
+    return list(out.values())
+
+
+def test_index_adds_changes_and_deletes(spark):
+    index = TextIndex(spark, folder("index"), 8)
+    assert index.segments() == [] and look_up(index, spark, "sql") == [set()]
+    index.change(added=docs(spark, [(1, "Java and SQL"), (2, "sql sql"), (3, "the python"), (4, None), (5, "")]))
+    assert look_up(index, spark, "SQL", "java sql", "python the", "the", "nothing") == [
+        {1, 2}, {1}, {3}, set(), set()]
+    index.change(added=docs(spark, [(2, "rust"), (6, "java")]), deleted=docs(spark, [(2, ""), (9, "")]))
+    index.change(deleted=docs(spark, [(3, ""), (3, "")]))
+    index.change(added=docs(spark, [(3, "python anew")]))           # comes back
+    want = [{1}, {1, 6}, {3}, {2}, {3}]
+    asked = ("sql", "java", "python", "rust", "anew")
+    assert look_up(index, spark, *asked) == want
+    index.merge()
+    assert len(index.segments()) == 1 and look_up(index, spark, *asked) == want
+    tf = {(r["token"], r["doc_id"]): r["tf"] for r in index.postings().collect()}
+    assert tf[("python", 3)] == 1 and ("sql", 2) not in tf
+    index.vacuum()
+    assert look_up(index, spark, *asked) == want
+    assert len(os.listdir(os.path.join(index.path, "postings"))) == 1
+    index.change(deleted=docs(spark, [(1, "")]))
+    assert look_up(index, spark, *asked) == [set(), {6}, {3}, {2}, {3}]
+
+
+def test_index_step_that_failed_may_be_repeated(spark):
+    index = TextIndex(spark, folder("index"), 4)
+    index.change(added=docs(spark, [(1, "one")]))
+    index._write_postings(SR.token_index(docs(spark, [(2, "two")])), index._next())   # no manifest
+    assert look_up(index, spark, "one", "two") == [{1}, set()]
+    index.change(added=docs(spark, [(2, "two")]))
+    assert look_up(index, spark, "one", "two") == [{1}, {2}]
+
+
+def test_index_search_reads_only_the_terms_buckets(spark):
+    index = TextIndex(spark, folder("index"), 16, files=2)
+    index.change(added=docs(spark, [(i, f"word{i} common") for i in range(50)]))
+    index.change(added=docs(spark, [(50, "word1")]))
+    rows = index.postings([3])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*segment#\d+ IN \(1,2\)", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = 3", plan)
+    assert "content" not in plan
+    read = index._stored("postings", index._postings, [1, 2]).filter("bucket = 3").select(
+        F.input_file_name()).distinct().collect()
+    assert read and all("/bucket=3/" in r[0] for r in read)
+    result = index.search(spark.createDataFrame([(0, "word1")], "query_id int, text string"))
+    assert {r["doc_id"] for r in result.collect()} == {1, 50}
+    spread = os.listdir(os.path.join(index.path, "postings", "segment=1"))
+    assert sum(len([f for f in os.listdir(os.path.join(index.path, "postings", "segment=1", s))
+                    if f.endswith(".parquet")]) == 2 for s in spread if s.startswith("bucket=")) >= 1
+
+
+def test_index_equals_the_scan(spark):
+    texts = docs(spark, [(i, " ".join(f"w{(i * k) % 13}" for k in range(1, 6))) for i in range(60)])
+    queries = spark.createDataFrame([(i, f"w{i} w{(3 * i) % 13}") for i in range(13)], "query_id int, text string")
+    index = TextIndex(spark, folder("index"), 8)
+    index.change(added=texts.filter("id < 40"))
+    index.change(added=texts.filter("id >= 30"), deleted=texts.filter("id >= 30"))
+    assert sorted(map(tuple, index.search(queries).collect())) == sorted(
+        map(tuple, SR.text_match_all(texts, queries).collect()))
