@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from talentscope import schemas as S
 from talentscope.functions.time import DEFAULT_AS_OF, ts_ntz
+from talentscope.operators.ordinal import ordinal
 
 
 def own_pairs(resumes: DataFrame) -> DataFrame:
@@ -66,17 +67,27 @@ def visible_counts(users: DataFrame, visible: DataFrame) -> DataFrame:
             .select("user_id", F.coalesce("visible_count", F.lit(0)).cast("long").alias("visible_count")))
 
 
-def permission_index(visible: DataFrame, as_of: str = DEFAULT_AS_OF,
+def id_dictionary(resumes: DataFrame) -> DataFrame:
+    """(resume_id, place): the place of every document id among all, from 0, for ids of
+    any type that can be ordered (numbers, UUIDs). One range-partitioned sort of the
+    distinct ids, with exact distributed ordinals."""
+    ids = resumes.select(F.col("id").alias("resume_id")).distinct()
+    return ordinal(ids, [], [F.col("resume_id").asc()], "place").select(
+        "resume_id", (F.col("place") - 1).alias("place"))
+
+
+def permission_index(visible: DataFrame, dictionary: DataFrame, as_of: str = DEFAULT_AS_OF,
                      ttl_s: int = S.PERMISSION_CACHE_TTL_S, block: int = 1000) -> DataFrame:
     """ACC-2: the id list of each user's visible documents, with the snapshot
     time and the end of its validity.
 
-    The list is cut into id blocks of at most ``block`` ids (one row per
-    user and block, ids ascending), so no row grows with the number of
-    documents a user can see; the blocks of a user together are the list.
+    The list is cut into blocks of ``block`` neighbouring ids of the dictionary (one row
+    per user and block, ids ascending), so no row grows with the number of documents a
+    user can see; the blocks of a user together are the list.
     """
     built = ts_ntz(as_of)
-    return (visible.groupBy("user_id", F.floor(F.col("resume_id") / block).alias("block"))
+    return (visible.join(dictionary, "resume_id")
+            .groupBy("user_id", F.floor(F.col("place") / block).alias("block"))
             .agg(F.array_sort(F.collect_list("resume_id")).alias("ids"))
             .select("user_id", "block", F.size("ids").alias("n_ids"),
                     F.array_join("ids", ",").alias("ids"),
@@ -96,11 +107,6 @@ def own_rows(df: DataFrame, users: DataFrame, user_col: str = "user_id") -> Data
     return df.join(users.select(F.col("id").alias(user_col)), user_col, "left_semi")
 
 
-def rows_for_user(df: DataFrame, user_id, user_col: str = "user_id") -> DataFrame:
-    """FLT-3 for one user: an equality filter pushed to the scan."""
-    return df.filter(F.col(user_col) == F.lit(user_id))
-
-
 def role_rank(role):
     """FLT-4: rank of a role (NULL for an unknown role)."""
     m = F.create_map(*[x for k, v in S.ROLE_RANK.items() for x in (F.lit(k), F.lit(v))])

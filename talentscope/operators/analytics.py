@@ -142,19 +142,99 @@ def analytics_report(logs: DataFrame, history: DataFrame, report_type: str = "ov
     return parts
 
 
+def usage_facts(logs: DataFrame, windows, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """The log folded to one row per (day, window, user, query): ``window`` is the
+    shortest of the trailing ``windows`` that holds the row (a day that a window's edge
+    cuts has rows in two), the rest are sums. One scan; partial sums leave it."""
+    windows = sorted(windows)
+    shortest = F.coalesce(*[F.when(within_days(F.col("created_at"), as_of, d), d) for d in windows])
+    return (logs.filter(within_days(F.col("created_at"), as_of, windows[-1]))
+            .groupBy(day_of(F.col("created_at")).alias("day"), shortest.alias("window"),
+                     "user_id", "query")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.sum("tokens_used").alias("tokens"), F.count("tokens_used").alias("n_tokens"),
+                 F.sum("latency_ms").alias("latency"), F.count("latency_ms").alias("n_latency"),
+                 F.count_if(F.col("cache_hit")).alias("hits")))
+
+
+def user_bitmaps(facts: DataFrame) -> DataFrame:
+    """(day, window, block, users): the users of each day and window as bitmaps, one of
+    4 KB per block of 32,768 user ids (which are integers). Bitmaps of days can be
+    joined by OR into those of any period, so distinct users stay exact; a new day
+    adds its rows and changes none."""
+    return (facts.filter(F.col("user_id").isNotNull())
+            .groupBy("day", "window", F.bitmap_bucket_number("user_id").alias("block"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("users")))
+
+
+def distinct_users(bitmaps: DataFrame, *by: str) -> DataFrame:
+    """Exact distinct users per ``by``, from bitmaps."""
+    return (bitmaps.groupBy(*by, "block").agg(F.bitmap_count(F.bitmap_or_agg("users")).alias("n"))
+            .groupBy(*by).agg(F.sum("n").alias("unique_users")))
+
+
+def daily_from_facts(facts: DataFrame, bitmaps: DataFrame, days: int) -> DataFrame:
+    """AGG-1 over one of the windows of ``facts``."""
+    n = F.sum("n")
+    sums = (facts.filter(F.col("window") <= days).groupBy("day")
+            .agg(n.alias("search_count"),
+                 F.round(F.try_divide(F.sum("tokens"), F.sum("n_tokens")), FLOAT_DIGITS).alias("avg_tokens"),
+                 F.round(F.try_divide(F.sum("latency"), F.sum("n_latency")), FLOAT_DIGITS)
+                 .alias("avg_latency"),
+                 F.round(F.sum("hits").cast("double") / n * 100, FLOAT_DIGITS).alias("cache_hit_rate")))
+    users = distinct_users(bitmaps.filter(F.col("window") <= days), "day")
+    return (sums.join(users, "day", "left")
+            .select("day", "search_count", F.coalesce("unique_users", F.lit(0)).alias("unique_users"),
+                    "avg_tokens", "avg_latency", "cache_hit_rate")
+            .orderBy(F.col("day").desc()))
+
+
+def popular_from_facts(facts: DataFrame, days: int, k: int) -> DataFrame:
+    """AGG-2 over one of the windows of ``facts``."""
+    return (facts.filter(F.col("window") <= days).groupBy("query").agg(F.sum("n").alias("count"))
+            .orderBy(F.col("count").desc(), F.col("query").asc()).limit(k))
+
+
+def history_facts(history: DataFrame, windows, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """(day, window, results, n) of the search history: one scan for all windows."""
+    windows = sorted(windows)
+    shortest = F.coalesce(*[F.when(within_days(F.col("created_at"), as_of, d), d) for d in windows])
+    return (history.filter(within_days(F.col("created_at"), as_of, windows[-1]))
+            .groupBy(day_of(F.col("created_at")).alias("day"), shortest.alias("window"))
+            .agg(F.sum("results_count").alias("results"), F.count("results_count").alias("n")))
+
+
+def summary_from_facts(daily: DataFrame, bitmaps: DataFrame, history: DataFrame, days: int) -> DataFrame:
+    """AGG-6 over one of the windows, from the parts above."""
+    per_day = (history.filter(F.col("window") <= days).groupBy("day")
+               .agg(F.try_divide(F.sum("results"), F.sum("n")).alias("a")))
+    users = distinct_users(bitmaps.filter(F.col("window") <= days)
+                           .withColumn("all", F.lit(0)), "all").select("unique_users")
+    return daily.sparkSession.range(1).select(
+        F.coalesce(daily.agg(F.sum("search_count")).scalar(), F.lit(0)).cast("long")
+         .alias("total_searches"),
+        F.coalesce(users.scalar(), F.lit(0)).alias("unique_users"),
+        daily.agg(F.count_distinct("unique_users")).scalar().alias("distinct_daily_user_counts"),
+        F.round(per_day.agg(F.avg("a")).scalar(), FLOAT_DIGITS).alias("avg_results_per_search"))
+
+
 def analytics_reports(logs: DataFrame, history: DataFrame, types=("overview", "searches"),
                       windows=(7, 30), as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """AGG-9 for several types and windows, as JSON rows: every shared part (the daily
-    metrics of a window, the popular queries; a few rows each) is computed once."""
-    daily = {d: cut_lineage(daily_search_metrics(logs, as_of, d)) for d in windows}
-    popular = cut_lineage(popular_searches(logs, as_of, S.POPULAR_K_SEARCHES))
+    """AGG-9 for several types and windows, as JSON rows, from one scan of the log and
+    one of the history: both are folded to facts, and daily metrics, popular queries and
+    distinct users of every window come from those."""
+    facts = cut_lineage(usage_facts(logs, {*windows, S.POPULAR_WINDOW_DAYS}, as_of))
+    bitmaps = cut_lineage(user_bitmaps(facts))
+    past = cut_lineage(history_facts(history, windows, as_of))
+    daily = {d: cut_lineage(daily_from_facts(facts, bitmaps, d)) for d in windows}
+    popular = cut_lineage(popular_from_facts(facts, S.POPULAR_WINDOW_DAYS, S.POPULAR_K_SEARCHES))
     first = popular.orderBy(F.col("count").desc(), F.col("query").asc()).limit(S.POPULAR_K_OVERVIEW)
     out = None
     for kind in types:
         for d in windows:
             parts = {"daily": daily[d], "popular": popular if kind == "searches" else first}
             if kind != "searches":
-                parts["summary"] = analytics_summary(logs, history, as_of, d, daily[d])
+                parts["summary"] = summary_from_facts(daily[d], bitmaps, past, d)
             rows = report_rows(parts, kind, d)
             out = rows if out is None else out.unionByName(rows)
     return out

@@ -1,4 +1,4 @@
-"""Row mutations as bulk set operations: SNK-1, JON-5, MUT-1..3.
+"""Row mutations as bulk set operations: JON-5, MUT-1..3 (appends: ``sources.batches``).
 
 Plain parquet has no MERGE, so a mutation produces the next version of a
 table (and a status per request) from the current version and a batch of
@@ -12,31 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
-from talentscope.functions.time import DEFAULT_AS_OF, ts_ntz
-
-
-def with_defaults(rows: DataFrame, table: str, columns: list[str],
-                  as_of: str = DEFAULT_AS_OF, time_cols=("created_at",)) -> DataFrame:
-    """SNK-1: conform new rows to the table's columns, filling column defaults
-    (and ``now`` for timestamp columns) where a value is missing."""
-    defaults = S.INSERT_DEFAULTS.get(table, {})
-    out = []
-    for c in columns:
-        v = F.col(c) if c in rows.columns else F.lit(None)
-        if c in defaults:
-            v = F.coalesce(v, F.lit(defaults[c]))
-        elif c in time_cols:
-            v = F.coalesce(v, ts_ntz(as_of))
-        out.append(v.alias(c))
-    return rows.select(*out)
-
-
-def append_with_defaults(table_df: DataFrame, new_rows: DataFrame, table: str,
-                         as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """SNK-1: the table after appending the batch (types follow the table)."""
-    conformed = with_defaults(new_rows, table, table_df.columns, as_of)
-    conformed = conformed.select(*[F.col(f.name).cast(f.dataType) for f in table_df.schema.fields])
-    return table_df.unionByName(conformed)
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str = "email",

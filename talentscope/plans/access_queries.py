@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentscope import schemas as S
+from talentscope.functions.ids import name_uuid
+from talentscope.functions.time import DEFAULT_AS_OF, epoch_micros
 from talentscope.operators import access as ACC
 from talentscope.operators import mutations as MUT
 from talentscope.operators import validation as VAL
-from talentscope.plans.oracle_bindings import utf16, with_ctes
+from talentscope.plans.oracle_bindings import name_uuid_sql, utf16, with_ctes
 from talentscope.plans.registry import register
+from talentscope.session import scratch_path
+from talentscope.sources.batches import BatchTable, constraint_report
 from talentscope.sources.bindings import Domain
 
 # Oracles state the row-security policies literally: a (user, document) pair
@@ -58,14 +62,33 @@ def q_visible_counts(spark, sf_dir):
     return ACC.visible_counts(d.users(), _visible(d))
 
 
-@register("permission_index", with_ctes(ACCESS_TABLES, {"vis": VISIBLE_SQL}, f"""
-select user_id, cast(floor(resume_id / 1000) as bigint) as block, cast(count(*) as integer) as n_ids,
-  string_agg(cast(resume_id as varchar), ',' order by resume_id) as ids,
+def _permission_index_sql(id_sql: str) -> str:
+    return with_ctes(ACCESS_TABLES, {
+        "vis": VISIBLE_SQL,
+        "dict": f"select id, {id_sql} as named, row_number() over (order by {id_sql}) - 1 as place from resumes"}, f"""
+select user_id, cast(floor(place / 1000) as bigint) as block, cast(count(*) as integer) as n_ids,
+  string_agg(cast(named as varchar), ',' order by named) as ids,
   TIMESTAMP '2024-01-31 00:00:00' as built_at,
   TIMESTAMP '2024-01-31 00:00:00' + INTERVAL {S.PERMISSION_CACHE_TTL_S} SECOND as valid_until
-from vis group by 1, 2"""))
+from vis join dict on dict.id = vis.resume_id group by 1, 2""")
+
+
+@register("permission_index", _permission_index_sql("id"))
 def q_permission_index(spark, sf_dir):
-    return ACC.permission_index(_visible(Domain(spark, sf_dir)))
+    d = Domain(spark, sf_dir)
+    return ACC.permission_index(_visible(d), ACC.id_dictionary(d.resumes()))
+
+
+@register("permission_index_uuid", _permission_index_sql(name_uuid_sql("resumes", "fixture", "id")))
+def q_permission_index_uuid(spark, sf_dir):
+    """ACC-2 with UUIDs as document ids."""
+    d = Domain(spark, sf_dir)
+
+    def named(c):
+        return name_uuid("resumes", "fixture", F.col(c))
+    docs = d.resumes().withColumn("id", named("id"))
+    shared = d.resume_permissions().withColumn("resume_id", named("resume_id"))
+    return ACC.permission_index(ACC.visible_documents(docs, shared), ACC.id_dictionary(docs))
 
 
 @register("insert_check", with_ctes(["resumes", "delete_requests"], {}, """
@@ -86,12 +109,20 @@ select id, concat_ws('; ',
     case when length(query) < 1 then 'query: String must contain at least 1 character(s)' end,
     case when {utf16('query')} > {S.MAX_QUERY_CHARS} then 'query: String must contain at most {S.MAX_QUERY_CHARS} character(s)' end,
     case when conversation_id is not null and not regexp_matches(conversation_id, '{S.UUID_PATTERN}')
-         then 'conversationId: Invalid uuid' end) as errors,
-  coalesce(query is not null and {utf16('query')} between 1 and {S.MAX_QUERY_CHARS}
+         then 'conversationId: Invalid uuid' end,
+    case when id % 11 = 0 or id % 13 = 0 then 'conversationHistory: Invalid enum value' end) as errors,
+  coalesce(query is not null and {utf16('query')} between 1 and {S.MAX_QUERY_CHARS} and id % 11 <> 0 and id % 13 <> 0
    and (conversation_id is null or regexp_matches(conversation_id, '{S.UUID_PATTERN}')), false) as valid
 from search_requests"""))
 def q_validate_search_requests(spark, sf_dir):
-    v = VAL.validate_search_requests(Domain(spark, sf_dir).search_requests())
+    i = F.col("id")
+    role = F.when(i % 11 == 0, "system").when(i % 13 != 0, "assistant")
+    history = F.when(i % 3 > 0, F.array(*[F.struct(r.alias("role"), F.col("query").alias("content"))
+                                          for r in (F.lit("user"), role)]))
+    whole = F.when((i % 11 == 0) | (i % 13 == 0), F.array(F.struct(
+        role.alias("role"), F.lit("x").alias("content")))).otherwise(history)
+    requests = Domain(spark, sf_dir).search_requests().withColumn("history", whole)
+    v = VAL.validate_search_requests(requests, "history")
     return v.select("id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
@@ -103,7 +134,7 @@ from conversations group by conv_id""")
 def q_validate_histories(spark, sf_dir):
     """VAL-1 history rule per conversation, as an aggregate (no per-conversation array)."""
     t = Domain(spark, sf_dir).t.conversations
-    bad = F.count_if(F.coalesce(~F.col("role").isin(*S.HISTORY_ROLES), F.lit(True)))
+    bad = F.count_if(VAL.bad_history_role(F.col("role")))
     return (t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), bad.alias("bad_roles"))
             .withColumn("valid", F.col("bad_roles") == 0))
 
@@ -155,34 +186,67 @@ def q_validate_users(spark, sf_dir):
     return v.select("id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
-def _constraint_tables(d: Domain):
-    return {"users": d.users(), "resumes": d.resumes(), "resume_permissions": d.resume_permissions(),
-            "search_history": d.search_history(), "conversations": d.conversations(),
-            "search_logs": d.search_logs(), "resume_views": d.resume_views()}
+#: Rows that break a column rule: every (7 + number of the rule)-th of its table.
+ROW_NUMBER = {"conversations": ("conversation_table", "cast(substr(id, 25, 12) as bigint)")}
+
+
+def _rule_breaks(table: str):
+    """(column, rule, limit) of a table's rules in the order of the report."""
+    out = [(c, "not_null", None) for c in S.NOT_NULL_COLUMNS.get(table, ())]
+    out += [(c, f"max_length_{n}", n) for c, n in S.VARCHAR_LIMITS.get(table, {}).items()]
+    return out + [(c, "enum", None) for c in S.ENUM_COLUMNS.get(table, {})]
+
+
+def _broken(df, table: str):
+    """The table's rows, some of which break its rules (a later rule goes first)."""
+    n = F.substring("id", 25, 12).cast("long") if table in ROW_NUMBER else F.col("id")
+    df = df.withColumn("_n", n)
+    for i, (c, rule, limit) in enumerate(_rule_breaks(table)):
+        bad = (F.lit(None).cast("string") if rule == "not_null" else F.repeat(F.lit("y"), limit + 1)
+               if limit else F.lit("owner"))
+        old = F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        df = df.withColumn(c, F.when(F.col("_n") % (7 + i) == i, bad).otherwise(old))
+    return df
 
 
 def _constraint_sql() -> str:
     parts = []
-    for table in ["users", "resumes", "resume_permissions", "search_history", "conversations",
-                  "search_logs", "resume_views"]:
-        checks = [(c, "not_null", f"{c} is null") for c in S.NOT_NULL_COLUMNS.get(table, ())]
-        checks += [(c, f"max_length_{n}", f"length({c}) > {n}")
-                   for c, n in S.VARCHAR_LIMITS.get(table, {}).items()
-                   if not (table == "resumes" and c == "file_path")]
-        checks += [(c, "enum", f"{c} is not null and {c} not in ({', '.join(repr(v) for v in vals)})")
-                   for c, vals in S.ENUM_COLUMNS.get(table, {}).items()]
-        for c, rule, cond in checks:
+    for table in S.STORED_TABLES:
+        source, number = ROW_NUMBER.get(table, (table, "id"))
+        now: dict[str, str] = {}
+        for i, (c, rule, limit) in enumerate(_rule_breaks(table)):
+            bad = "null" if rule == "not_null" else f"repeat('y', {limit + 1})" if limit else "'owner'"
+            old = now.get(c, "null" if (table, c) == ("resumes", "file_path") else f"cast({c} as varchar)")
+            now[c] = f"case when {number} % {7 + i} = {i} then {bad} else {old} end"
+        for c, rule, limit in _rule_breaks(table):
+            v = now[c]
+            if c in S.INSERT_DEFAULTS.get(table, {}):
+                v = f"coalesce({v}, {S.INSERT_DEFAULTS[table][c]!r})"
+            cond = (f"{v} is null" if rule == "not_null" else f"length({v}) > {limit}" if limit
+                    else f"{v} not in ({', '.join(map(repr, S.ENUM_COLUMNS[table][c]))})")
             parts.append(f"select '{table}' as table_name, '{c}' as column_name, '{rule}' as rule, "
-                         f"count(*) filter (where coalesce({cond}, false)) as violations from "
-                         f"{'conversation_rows' if table == 'conversations' else table}")
+                         f"count(*) filter (where coalesce({cond}, false)) as violations from {source}")
     return "\nunion all\n".join(parts)
 
 
+def _stored_sources(d: Domain):
+    return {"users": d.users(), "resumes": d.resumes(), "resume_permissions": d.resume_permissions(),
+            "search_history": d.search_history(), "conversations": d.conversation_table(),
+            "search_logs": d.search_logs(), "resume_views": d.resume_views()}
+
+
 @register("constraint_report", with_ctes(
-    ["users", "resumes", "resume_permissions", "search_history", "conversation_rows", "search_logs",
+    ["users", "resumes", "resume_permissions", "search_history", "conversation_table", "search_logs",
      "resume_views"], {}, _constraint_sql()))
 def q_constraint_report(spark, sf_dir):
-    return VAL.constraint_report(_constraint_tables(Domain(spark, sf_dir)))
+    """VAL-5: all tables loaded, with rows that break every rule; the counts are
+    observed while the rows are written."""
+    loaded = []
+    for table, df in _stored_sources(Domain(spark, sf_dir)).items():
+        stored = BatchTable(spark, scratch_path(spark, table), table)
+        stored.append(_broken(df, table), "load", ["_n"])
+        loaded.append(stored)
+    return constraint_report(loaded)
 
 
 def _dup_tables(d: Domain):
@@ -237,15 +301,62 @@ def q_fk_violations(spark, sf_dir):
 
 # -- mutations --------------------------------------------------------------
 
-@register("append_with_defaults", with_ctes(["search_history", "search_requests"], {}, """
-select id, user_id, query, results_count, search_type, created_at from search_history
-union all
-select id, user_id, query, 0, 'natural_language', requested_at from search_requests"""))
+#: Columns that the new rows of a batch supply; the rest are generated or defaults.
+SUPPLIED = {
+    "users": ("email", "password_hash", "name", "role"), "resumes": ("name", "email", "content", "created_by"),
+    "resume_permissions": ("resume_id", "user_id", "can_view", "granted_by"),
+    "search_history": ("user_id", "query"), "conversations": ("user_id", "title", "created_at"),
+    "search_logs": ("user_id", "query", "response", "cache_hit"), "resume_views": ("resume_id", "user_id")}
+
+
+def _row_text(table: str):
+    cols = [F.when(F.col(f.name).isNull(), "~").otherwise(
+        (epoch_micros(F.col(f.name)) if f.dataType == S.NTZ else F.col(f.name)).cast("string"))
+        for f in S.STORED_TABLES[table].fields]
+    return F.concat_ws("|", *cols)
+
+
+def _append_sql() -> str:
+    parts = []
+    for table, schema in S.STORED_TABLES.items():
+        source, number = ROW_NUMBER.get(table, (table, "id"))
+        cols = []
+        for f in schema.fields:
+            given = f.name if f.name in SUPPLIED[table] else "null"
+            if given != "null" and f.name in S.INSERT_DEFAULTS.get(table, {}):
+                given = f"case when {number} % 3 > 0 then {f.name} end"
+            if f.name == "id":
+                v = name_uuid_sql(table, "b2", number)
+            elif f.name in S.INSERT_DEFAULTS.get(table, {}):
+                default = S.INSERT_DEFAULTS[table][f.name]
+                v = f"coalesce({given}, {str(default).lower() if isinstance(default, bool) else repr(default)})"
+            elif f.name in S.TIME_DEFAULTS[table]:
+                v = f"epoch_us(coalesce(cast({given} as timestamp), TIMESTAMP '{DEFAULT_AS_OF}'))"
+            else:
+                v = given
+            cols.append(f"coalesce(cast({v} as varchar), '~')")
+        parts.append(f"select '{table}' as table_name, concat_ws('|', {', '.join(cols)}) as row_text from {source}")
+    return "\nunion all\n".join(parts)
+
+
+@register("append_with_defaults", with_ctes(
+    ["users", "resumes", "resume_permissions", "search_history", "conversation_table", "search_logs",
+     "resume_views"], {}, _append_sql()))
 def q_append_with_defaults(spark, sf_dir):
-    d = Domain(spark, sf_dir)
-    new = d.search_requests().select("id", "user_id", "query",
-                                     F.col("requested_at").alias("created_at"))
-    return MUT.append_with_defaults(d.search_history(), new, "search_history")
+    """SNK-1: a batch of new rows of every table, without ids and with some columns left
+    out, appended twice: the second time adds nothing."""
+    out = None
+    for table, df in _stored_sources(Domain(spark, sf_dir)).items():
+        n = F.substring("id", 25, 12).cast("long") if table in ROW_NUMBER else F.col("id")
+        optional = S.INSERT_DEFAULTS.get(table, {})
+        rows = df.select(n.alias("_n"), *[
+            F.when(n % 3 > 0, F.col(c)).alias(c) if c in optional else F.col(c) for c in SUPPLIED[table]])
+        stored = BatchTable(spark, scratch_path(spark, table), table)
+        for _ in range(2):
+            stored.append(rows, "b2", ["_n"])
+        part = stored.read().select(F.lit(table).alias("table_name"), _row_text(table).alias("row_text"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("insert_if_absent", with_ctes(["users", "registrations"], {

@@ -165,10 +165,13 @@ def q_documents_newest_first(spark, sf_dir):
 
 @register("lookup_by_keys", with_ctes(["resumes", "update_requests"], {}, """
 select q.req_id, q.id, r.id is not null as found, r.name, r.email
-from update_requests q left join resumes r on r.id = q.id"""))
+from (select req_id, case when req_id % 17 = 0 then -id - 1 else id end as id from update_requests) q
+left join resumes r on r.id = q.id"""))
 def q_lookup_by_keys(spark, sf_dir):
+    """FLT-1, with keys that no document has."""
     d = Domain(spark, sf_dir)
-    return ACC.lookup_by_keys(d.resumes(), d.update_requests().select("req_id", "id"),
+    key = F.when(F.col("req_id") % 17 == 0, -F.col("id") - 1).otherwise(F.col("id"))
+    return ACC.lookup_by_keys(d.resumes(), d.update_requests().select("req_id", key.alias("id")),
                               ["name", "email"])
 
 
@@ -192,12 +195,17 @@ def q_role_gate(spark, sf_dir):
 
 
 @register("decode_event_props", """
-select event_id, try_cast(json_extract(props, '$.k') as bigint) as k,
+select event_id, case when json_valid(props) then try_cast(json_extract(props, '$.k') as bigint) end as k,
   case when json_valid(props) then null else props end as corrupt_record
-from events""")
+from (select event_id, case when event_id % 97 = 0 then concat('{', props) when event_id % 89 = 0 then 'k=1'
+  else props end as props from events)""")
 def q_decode_event_props(spark, sf_dir):
+    """SRC-3, with some records that are no JSON."""
     d = Domain(spark, sf_dir)
-    return codec.decode_json(d.t.events, "props", S.EVENT_PROPS, keep=["event_id"]).select(
+    i = F.col("event_id")
+    events = d.t.events.withColumn("props", F.when(i % 97 == 0, F.concat(F.lit("{"), F.col("props")))
+                                   .when(i % 89 == 0, "k=1").otherwise(F.col("props")))
+    return codec.decode_json(events, "props", S.EVENT_PROPS, keep=["event_id"]).select(
         "event_id", F.col("decoded.k").alias("k"), "corrupt_record")
 
 

@@ -224,17 +224,21 @@ select id, concat_ws(':', 'search', cast(user_id as varchar),
   cast(len(string_split(query, chr(10))) as integer) as n_lines,
   contains(upper(query), 'ERROR') as mentions_error,
   cast(ceil(length(query) / 4) as integer) as token_estimate,
-  array_to_string([query, coalesce(conversation_id, '')], ' | ') as joined
+  array_to_string([query, coalesce(conversation_id, '')], ' | ') as joined,
+  case id % 4 when 0 then cast(id % 365 as integer) when 1 then cast(id % 90 as integer) else 7 end as days
 from search_requests"""))
 def q_scalar_text_functions(spark, sf_dir):
     r = Domain(spark, sf_dir).search_requests()
+    i = F.col("id")
+    days = (F.when(i % 4 == 0, (i % 365).cast("string")).when(i % 4 == 1, F.concat(F.lit(" +"), i % 90, F.lit("d")))
+            .when(i % 4 == 2, ""))
     return r.select(
         "id", TX.search_cache_key(F.col("user_id"), F.col("query")).alias("cache_key"),
         F.size(TX.split_lines(F.col("query"))).alias("n_lines"),
         TX.contains_upper(F.col("query"), "ERROR").alias("mentions_error"),
         TX.token_estimate(F.col("query")).alias("token_estimate"),
         F.array_join(F.array(F.col("query"), F.coalesce("conversation_id", F.lit(""))), " | ")
-         .alias("joined"))
+         .alias("joined"), TX.int_param(days, S.DEFAULT_DAYS).alias("days"))
 
 
 @register("scalar_time_functions", with_ctes(["search_logs"], {}, f"""

@@ -50,8 +50,10 @@ select c_custkey as id, concat(lower(replace(c_name,'#','.')),'@example.com') as
 from customer""",
     "resumes": f"""
 select doc_id as id, concat('Candidate ',doc_id) as name, concat('c',doc_id,'@example.org') as email, cast(null as varchar) as phone,
-  concat('Candidate ',doc_id,chr(10),'c',doc_id,'@example.org',chr(10),'SUMMARY',chr(10),text,chr(10),'Technical Skills',chr(10),
-    'java, sql;  spark|s',doc_id%5,chr(10),'Experience',chr(10),'role',doc_id%3,' at c',doc_id%11,chr(10),
+  concat(case when doc_id%41=9 then 'Unknown' else concat('Candidate ',doc_id) end,chr(10),
+    case when doc_id%29=7 then '' else concat('c',doc_id,'@example.org',chr(10)) end,'SUMMARY',chr(10),text,chr(10),
+    case when doc_id%31=5 then '' else concat('Technical Skills',chr(10),'java, sql;  spark|s',doc_id%5,chr(10)) end,
+    case when doc_id%37=3 then '' else concat('Experience',chr(10),'role',doc_id%3,' at c',doc_id%11,chr(10)) end,
     case when doc_id%4=0 then concat('Skills: again',chr(10),'python,s',doc_id%7) else '' end) as content,
   concat('{{"skills":["s',doc_id%5,'","s',5+doc_id%7,'"],"experience":[{{"company":"c',doc_id%11,'","position":"role',doc_id%3,
     '","description":"Built ',source,' tools in team ',doc_id%13,'"}}],"education":[{{"degree":"d',doc_id%2,'","field":"f',doc_id%6,'"}}],"location":"',source,'","salary_expectation":',
@@ -109,7 +111,7 @@ select id, case when id % 50 = 49 then '{{}}' else concat('{{', concat_ws(',',
     case when kind >= 6 then concat('"experience":"',({list(EXPERIENCE_TEXTS)})[id%6+1],'"') end), '}}') end as criteria
 from (select distinct conv_id as id, conv_id % 8 as kind from conversations)""",
     "uploads": """
-select doc_id as id, concat('f',doc_id,case doc_id%4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.txt' else '.exe' end) as file_name,
+select doc_id as id, case when doc_id%23<>11 then concat('f',doc_id,case doc_id%4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.txt' else '.exe' end) end as file_name,
   n_chars*1000 as size_bytes from documents""",
     "registrations": """
 select c_custkey as id, case when c_custkey%7=3 then concat('new',c_custkey%50,'@example.com')

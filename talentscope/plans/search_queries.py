@@ -259,6 +259,10 @@ def q_resolve_matches(spark, sf_dir):
     return SR.resolve_matches(d.model_responses(), d.resumes(), d.resume_permissions())
 
 
+#: Documents per part of the short form: few, so that the test tables give several parts.
+SHORT_PART = 3
+
+
 @register("prompt_context_short", with_ctes(ACCESS, {
     "vis": VISIBLE_SQL, "ranked": RANKED_SQL,
     "blocks": """select k.user_id, k.position, concat('Resume ', k.position, ' (ID: ', r.id, '):', chr(10),
@@ -268,14 +272,14 @@ def q_resolve_matches(spark, sf_dir):
             '[{"company":"VARCHAR","position":"VARCHAR","startDate":"VARCHAR","endDate":"VARCHAR","description":"VARCHAR"}]'), []),
             lambda e: coalesce(e.position, 'undefined') || ' at ' || coalesce(e.company, 'undefined')), '; ')) as block
         from ranked k join resumes r on r.id = k.resume_id"""}, f"""
-select user_id, cast(floor((position - 1) / {SR.PART_DOCS}) as bigint) as part, cast(count(*) as integer) as n_docs,
+select user_id, cast(floor((position - 1) / {SHORT_PART}) as bigint) as part, cast(count(*) as integer) as n_docs,
   string_agg(block, chr(10) || chr(10) order by position) as context
 from blocks group by 1, 2"""))
 def q_prompt_context_short(spark, sf_dir):
     """CTX-1 short form (streaming route): ordinal, id, name, skills, experience."""
     d = Domain(spark, sf_dir)
     ranked = SR.ranked_visible(d.resumes(), d.resume_permissions())
-    return SR.prompt_context(d.resumes(), ranked, short=True)
+    return SR.prompt_context(d.resumes(), ranked, short=True, part_docs=SHORT_PART)
 
 
 def _served_head() -> str:

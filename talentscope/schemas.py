@@ -108,6 +108,17 @@ INSERT_DEFAULTS = {
     "search_logs": {"cache_hit": False},
 }
 
+# Time columns that default to the time of the insert.
+TIME_DEFAULTS = {
+    "users": ("created_at", "updated_at"),
+    "resumes": ("created_at", "updated_at"),
+    "resume_permissions": ("granted_at",),
+    "search_history": ("created_at",),
+    "conversations": ("created_at", "updated_at"),
+    "search_logs": ("created_at",),
+    "resume_views": ("viewed_at",),
+}
+
 # Foreign keys: (child table, child column, parent table, parent column).
 FOREIGN_KEYS = (
     ("resumes", "created_by", "users", "id"),
@@ -210,6 +221,33 @@ TABLE_SCHEMAS = {
     "conversations": CONVERSATIONS, "customer": CUSTOMER,
 }
 
+# ---------------------------------------------------------------------------
+# The stored tables (ids are UUIDs).
+# ---------------------------------------------------------------------------
+_TEXT, _INT, _FLAG = T.StringType(), T.IntegerType(), T.BooleanType()
+
+
+def _table(**columns) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+STORED_TABLES = {
+    "users": _table(id=_TEXT, email=_TEXT, password_hash=_TEXT, name=_TEXT, role=_TEXT,
+                    created_at=NTZ, updated_at=NTZ),
+    "resumes": _table(id=_TEXT, name=_TEXT, email=_TEXT, phone=_TEXT, content=_TEXT, parsed_data=_TEXT,
+                      file_path=_TEXT, created_by=_TEXT, created_at=NTZ, updated_at=NTZ),
+    "resume_permissions": _table(id=_TEXT, resume_id=_TEXT, user_id=_TEXT, can_view=_FLAG,
+                                 can_edit=_FLAG, granted_by=_TEXT, granted_at=NTZ),
+    "search_history": _table(id=_TEXT, user_id=_TEXT, query=_TEXT, results_count=_INT,
+                             search_type=_TEXT, created_at=NTZ),
+    "conversations": _table(id=_TEXT, user_id=_TEXT, title=_TEXT, context=_TEXT, created_at=NTZ,
+                            updated_at=NTZ),
+    "search_logs": _table(id=_TEXT, user_id=_TEXT, conversation_id=_TEXT, query=_TEXT, response=_TEXT,
+                          tokens_used=_INT, latency_ms=_INT, cache_hit=_FLAG, created_at=NTZ),
+    "resume_views": _table(id=_TEXT, resume_id=_TEXT, user_id=_TEXT, search_log_id=_TEXT,
+                           viewed_at=NTZ),
+}
+
 # ---------------------------------------------------------------------------
 # Nested JSON shapes.
 # ---------------------------------------------------------------------------

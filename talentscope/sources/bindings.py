@@ -108,11 +108,14 @@ class Domain:
         d = self.t.documents
         i = F.col("doc_id")
         nl = F.lit("\n")
+        # some documents lack the name, the email, the skills or the experience
+        skills = F.concat(F.lit("Technical Skills"), nl, F.lit("java, sql;  spark|s"), _s(i % 5), nl)
+        work = F.concat(F.lit("Experience"), nl, F.lit("role"), _s(i % 3), F.lit(" at c"), _s(i % 11), nl)
         content = F.concat(
-            F.lit("Candidate "), _s(i), nl, F.lit("c"), _s(i), F.lit("@example.org"), nl,
-            F.lit("SUMMARY"), nl, F.col("text"), nl, F.lit("Technical Skills"), nl,
-            F.lit("java, sql;  spark|s"), _s(i % 5), nl, F.lit("Experience"), nl,
-            F.lit("role"), _s(i % 3), F.lit(" at c"), _s(i % 11), nl,
+            F.when(i % 41 == 9, "Unknown").otherwise(F.concat(F.lit("Candidate "), _s(i))), nl,
+            F.when(i % 29 == 7, "").otherwise(F.concat(F.lit("c"), _s(i), F.lit("@example.org"), nl)),
+            F.lit("SUMMARY"), nl, F.col("text"), nl,
+            F.when(i % 31 == 5, "").otherwise(skills), F.when(i % 37 == 3, "").otherwise(work),
             F.when(i % 4 == 0, F.concat(F.lit("Skills: again"), nl, F.lit("python,s"), _s(i % 7)))
              .otherwise(F.lit("")),
         )
@@ -287,7 +290,8 @@ class Domain:
         i = F.col("doc_id")
         ext = (F.when(i % 4 == 0, ".pdf").when(i % 4 == 1, ".docx")
                .when(i % 4 == 2, ".txt").otherwise(".exe"))
-        return d.select(i.alias("id"), F.concat(F.lit("f"), _s(i), ext).alias("file_name"),
+        name = F.when(i % 23 != 11, F.concat(F.lit("f"), _s(i), ext))
+        return d.select(i.alias("id"), name.alias("file_name"),
                         (F.col("n_chars") * 1000).alias("size_bytes"))
 
     def registrations(self) -> DataFrame:

@@ -132,3 +132,18 @@ def test_shared_document_join_can_be_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_permission_index_of_uuids_in_bounded_blocks(spark):
+    import uuid
+    ids = sorted(str(uuid.UUID(int=i * 7919 << 90 | i)) for i in range(1, 40))
+    d = spark.createDataFrame([(i,) for i in reversed(ids)], "id string").repartition(4)
+    vis = spark.createDataFrame([(u, i) for u in (1, 2) for i in ids if u == 1 or hash(i) % 3], "user_id int, resume_id string")
+    out = ACC.permission_index(vis, ACC.id_dictionary(d), block=4).collect()
+    assert max(r["n_ids"] for r in out) <= 4
+    for u in (1, 2):
+        mine = [i for r in sorted((r for r in out if r["user_id"] == u), key=lambda r: r["block"])
+                for i in r["ids"].split(",")]
+        assert mine == sorted(r["resume_id"] for r in vis.filter(f"user_id = {u}").collect())
+    blocks = {i: r["block"] for r in out for i in r["ids"].split(",")}
+    assert blocks == {i: n // 4 for n, i in enumerate(ids)}

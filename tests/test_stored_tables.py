@@ -9,11 +9,15 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from talentscope import schemas as S
 from talentscope.functions.ids import name_uuid
+from talentscope.operators import analytics as A
 from talentscope.operators import conversations as CNV
 from talentscope.operators import search as SR
+from talentscope.operators import validation as VAL
 from talentscope.operators.text_index import TextIndex
+from talentscope.sources.batches import BatchTable, conformed, constraint_report, rules_of
 from talentscope.sources.buckets import BUCKET, BucketedTable
 
 
@@ -220,3 +224,103 @@ def test_index_equals_the_scan(spark):
     index.change(added=texts.filter("id >= 30"), deleted=texts.filter("id >= 30"))
     assert sorted(map(tuple, index.search(queries).collect())) == sorted(
         map(tuple, SR.text_match_all(texts, queries).collect()))
+
+
+# -- appends in batches -------------------------------------------------------
+
+def test_repeated_appends_add_nothing(spark):
+    table = BatchTable(spark, folder("resumes"), "resumes")
+    rows = spark.createDataFrame([(1, "A", "a@x.io", "text", "u1"), (2, "B", None, None, "u1")],
+                                 "n int, name string, email string, content string, created_by string")
+    assert table.read().count() == 0 and table.ledger().count() == 0
+    assert table.append(rows, "b1", ["n"])
+    first, state = sorted(map(tuple, table.read().collect())), files(table.path)
+    assert not table.append(rows, "b1", ["n"])
+    assert sorted(map(tuple, table.read().collect())) == first and files(table.path) == state
+    assert table.append(rows, "b2", ["n"])
+    got = table.read().collect()
+    assert len(got) == 4 and len({r["id"] for r in got}) == 4
+    assert {(str(r["created_at"]), str(r["updated_at"]), r["phone"]) for r in got} == {
+        ("2024-01-31 00:00:00", "2024-01-31 00:00:00", None)}
+    broken = {(r["column_name"], r["rule"]): r["violations"] for r in constraint_report([table]).collect()}
+    assert broken[("content", "not_null")] == 2 and broken[("name", "not_null")] == 0
+
+
+def test_append_that_failed_half_way_is_invisible_and_repeatable(spark):
+    table = BatchTable(spark, folder("users"), "users")
+    rows = spark.createDataFrame([("a@x.io", "h", "A"), ("b@x.io", "h", "B")], "email string, password_hash string, name string")
+    whole = conformed(rows, "users", "b1", ["email"])
+    whole.limit(1).write.parquet(f"{table.path}/rows/batch=b1")        # died before its ledger row
+    assert table.read().count() == 0
+    assert table.append(rows, "b1", ["email"])
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, whole.collect()))
+    assert {r["role"] for r in table.read().collect()} == {"viewer"}
+    with pytest.raises(ValueError):
+        table.append(rows, "a/b", ["email"])
+
+
+def test_append_counts_take_no_second_scan(spark):
+    """The rows pass the plan once: a counter inside the scan sees each row one time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = spark.range(500, numPartitions=4).selectExpr("cast(id as string) as user_id", "if(id % 5 = 0, null, 'q') as query")
+    rows = rows.mapInArrow(count, rows.schema)
+    table = BatchTable(spark, folder("logs"), "search_logs")
+    table.append(rows, "b", ["user_id"])
+    assert seen.value == 500
+    assert constraint_report([table]).filter("column_name = 'query'").first()["violations"] == 100
+
+
+def test_every_rule_is_broken_by_some_row(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["constraint_report"](spark, SF_SMALL).collect()
+    assert len(rows) == sum(len(rules_of(t)) for t in S.STORED_TABLES)
+    # a NULL role takes the column's default
+    assert {(r["table_name"], r["column_name"], r["rule"]) for r in rows if not r["violations"]} == {
+        ("users", "role", "not_null")}
+
+
+def test_usage_facts_scan_the_log_once_and_count_users_exactly(spark):
+    import datetime as dt
+    import random
+    r = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, r.choice([None, 0, -3, 1, 32768, 32769, 32770, 10 ** 12, r.randint(0, 60)]),
+             start + dt.timedelta(minutes=r.randint(0, 43200)), r.choice(["a", "b", None]),
+             r.choice([None, r.randint(0, 9)]), r.choice([None, 5]), r.choice([True, False, None]))
+            for i in range(3000)]
+    logs = spark.createDataFrame(rows, "id long, user_id long, created_at timestamp_ntz, query string, "
+                                       "tokens_used int, latency_ms int, cache_hit boolean")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    history = logs.select("created_at", F.col("tokens_used").alias("results_count"))
+    as_of = "2024-01-24 13:37:00"
+    out = A.analytics_reports(logs.mapInArrow(count, logs.schema), history, as_of=as_of).collect()
+    assert seen.value == len(rows)
+    got = {(x["report_type"], x["days"], x["part"], x["payload"]) for x in out}
+    want = set()
+    for kind in ("overview", "searches"):
+        for days in (7, 30):
+            for x in A.report_rows(A.analytics_report(logs, history, kind, days, as_of), kind, days).collect():
+                want.add(tuple(x))
+    assert got == want
+
+
+def test_foreign_keys_shuffle_distinct_keys_only(spark):
+    """A hot key is one row a task, and the child's rows are not shuffled."""
+    parents = spark.createDataFrame([("p0",), ("p1",)], "id string")
+    child = spark.range(20000, numPartitions=4).selectExpr(
+        "id", "case when id % 3 < 2 then 'p0' when id = 5 then 'gone' when id = 8 then null else 'p1' end as created_by")
+    out = VAL.fk_violations({"users": parents, "resumes": child.repartition(4)})
+    assert [tuple(r) for r in out.collect()] == [("resumes", "created_by", "users", "5", "gone")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in final and "LeftAnti" in final and "LeftSemi" in final
