@@ -71,6 +71,7 @@ def test_division_equals_brute_force_with_a_hot_term(spark):
 
 def test_index_lookup_equals_direct_match_and_reads_only_needed_buckets(spark, tmp_path):
     from talentscope.operators import search as SR
+    from talentscope.operators.text_index import TextIndex
     docs = spark.createDataFrame(
         [(1, "Red fish, blue fish"), (2, "one red fish"), (3, "the blue"), (4, None), (5, "")],
         "id long, content string")
@@ -81,8 +82,9 @@ def test_index_lookup_equals_direct_match_and_reads_only_needed_buckets(spark, t
         ("red", 1, 1), ("fish", 1, 2), ("blue", 1, 1), ("one", 2, 1), ("red", 2, 1), ("fish", 2, 1),
         ("blue", 3, 1)}
     path = str(tmp_path / "index")
-    SR.write_token_index(index, path, buckets=8, files_per_bucket=2)
-    got = {tuple(r) for r in SR.indexed_match_all(spark, path, queries, buckets=8).collect()}
+    stored = TextIndex(spark, path, 8, files=2)
+    stored.change(added=docs)
+    got = {tuple(r) for r in stored.search(queries).collect()}
     assert got == {tuple(r) for r in SR.text_match_all(docs, queries).collect()}
     assert got == {(1, 1), (1, 2), (2, 1), (2, 3)}
 

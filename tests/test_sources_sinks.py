@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from talentscope.operators import ingest as I
-from talentscope.operators import search as SR
+from talentscope.operators.text_index import TextIndex
 from talentscope.sources import codec
 
 
@@ -30,9 +30,9 @@ def test_ingest_split_sink_and_index_sink(spark):
     quar = spark.read.parquet(os.path.join(base, "quarantine"))
     assert [r["id"] for r in acc.collect()] == [1]
     assert [r["id"] for r in quar.collect()] == [2]
-    SR.write_token_index(SR.token_index(docs), os.path.join(base, "index"), buckets=4)
-    idx = spark.read.parquet(os.path.join(base, "index"))
-    assert {"token", "doc_id", "tf", "bucket"} == set(idx.columns)
+    TextIndex(spark, os.path.join(base, "index"), 4).change(added=docs)
+    idx = spark.read.parquet(os.path.join(base, "index", "postings"))
+    assert {"token", "doc_id", "tf", "segment", "bucket"} == set(idx.columns)
     assert idx.filter("token = 'sql'").count() == 1
 
 
