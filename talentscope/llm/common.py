@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentscope.session import checkpoint_dir
+from talentscope.session import checkpoint_dir, drop_folder
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -29,13 +32,60 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
+#: Lists that take note of what is staged while they are open.
+_open_notes: list[list[str]] = []
+
+
+@contextmanager
+def noting():
+    """A list of all folders and catalogue tables that are staged inside the block."""
+    made: list[str] = []
+    _open_notes.append(made)
+    try:
+        yield made
+    finally:
+        _open_notes.remove(made)
+
+
+def noted(place: str) -> str:
+    """Takes note of a folder, or of a table of the catalogue, that is about to be written."""
+    for made in _open_notes:
+        made.append(place)
+    return place
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and rereads it: later jobs start from
     committed files, so a lost executor costs a re-read and not the whole chain."""
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = noted(shared_path(spark, label))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes what ``staged`` wrote for these frames: nothing reads them any more."""
+    for df in frames:
+        drop_folder(df.sparkSession, df.staged_path)
+
+
+def discard_noted(spark: SparkSession, made: list[str], still_read: DataFrame) -> list[str]:
+    """Removes noted folders and tables except those that ``still_read`` reads, which
+    are returned; shuffle files that nothing refers to any more go as well."""
+    files = [unquote(f) for f in still_read.inputFiles()] if made else []
+    kept = [place for place in made if any(f"{place}/" in f for f in files)]
+    for place in made:
+        if place in kept:
+            continue
+        if "/" in place:
+            drop_folder(spark, place)
+        else:
+            spark.sql(f"drop table if exists {place}")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return kept
 
 
 def bucket_count(spark: SparkSession, total: float, per_bucket: float) -> int:

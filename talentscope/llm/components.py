@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.llm.common import staged
+from talentscope.llm.common import discard, staged
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -39,8 +39,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = _ordered(large)
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        e = staged(_ordered(small.unionByName(
+        last, e = e, staged(_ordered(small.unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))), "edges")
+        discard(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
                     .alias("s")).first()
         if now == before or not _chained(e):

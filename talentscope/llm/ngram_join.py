@@ -17,8 +17,11 @@ link when their Jaccard similarity reaches 75 %. Equal sets form a class first.
 4. Connected components over all exact links.
 
 Similarities are counted on whole sets of 64-bit hashes; equal sets are known by
-a 64-bit digest. Frequent shingles (by counts over all documents) only change
-the order of 1, never the result; their list is bounded by ``MAX_FREQUENT``.
+a 64-bit digest. How frequent a shingle is, is read from a sketch: an array of
+2 ** ``CELL_BITS`` counters, one for each value of a hash's first bits, summed over
+all documents. What a cell holds above the mean tells its frequent shingles, the
+clearer the more documents there are. It only fixes the order of 1, and any order
+gives the same result.
 
 Defined cases: texts without words have no shingles and link with nothing; texts
 of fewer words than a shingle are one shingle of all their words; repeated rows
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentscope.llm.arrow_rows import slices
-from talentscope.llm.common import bucket_count, staged
+from talentscope.llm.common import bucket_count, discard, staged
 from talentscope.llm.components import connected_components
 from talentscope.llm.hashing import Spans, U, mix
 
@@ -43,9 +46,9 @@ BLOCK_SHINGLES = 1_500_000        # shingles of one packed block
 BLOCK_CLASSES = 60_000            # so that two bytes number a block's classes
 LEADERS = 3                       # leaders that a class is compared with for grouping
 BUCKET_SHINGLES = 400_000         # prefix shingles of one bucket, about
-FREQUENT_SHARE = 0.0001           # of the documents: such a shingle counts as frequent
-BLOCK_SHARE = 0.0005              # of a block's documents (two at least): counted at all
-MAX_FREQUENT = 1_000_000
+CELL_BITS = 21                    # cells of the sketch, as a power of two
+CHUNK_CELLS = 1 << 16             # cells of one row of partial counts
+BLOCK_ROWS = 10_000               # documents of one slice at most
 FAMILIAR = 4                      # prefix shingles shared with a leader to join its group
 OPEN_CLASSES = 200                # classes of one side compared at once when a group is opened
 MAX_BROADCAST_ROWS = 2_000_000    # of 16 bytes; more rows are joined by a shuffle
@@ -108,44 +111,82 @@ def _blocks(batches, text_at: int, k: int):
     gathered by the caller up to ``BLOCK_SHINGLES``."""
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
-        for s, e in slices(texts):
-            yield batch.slice(s, e - s), *shingle_sets(texts[s:e], k)
+        for start, end in slices(texts):
+            for s in range(start, end, BLOCK_ROWS):
+                e = min(end, s + BLOCK_ROWS)
+                yield batch.slice(s, e - s), *shingle_sets(texts[s:e], k)
+
+
+def _cells(h: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each hash: its first bits (``cells`` is a power of two)."""
+    return (h >> U(65 - int(cells).bit_length())).astype(np.int64)
 
 
 def _profile(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """Staged rows: kind 0 (id, n shingles, class) per document, kind 1 (-, count,
-    shingle) per shingle that is frequent within a block."""
+    """Staged rows: (id, n shingles, class) per document, and per task the counts of
+    the sketch's cells, compressed, in chunks (``chunk``, ``data``)."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    cells = 1 << CELL_BITS
 
     def run(batches):
-        held, size, rows = [], 0, 0
-
-        def frequent():
-            if not held:
-                return
-            h = np.sort(np.concatenate(held))
-            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            n = np.diff(np.concatenate([cut, [len(h)]]))
-            often = n >= max(2, BLOCK_SHARE * rows)
-            yield _rows(1, None, n[often], h[cut[often]].view(np.int64))
-
+        seen = np.zeros(cells, dtype=np.uint32)
         for part, h, offsets in _blocks(batches, 1, k):
-            yield _rows(0, part.column(0), np.diff(offsets), _class_ids(h, offsets))
-            held.append(h)
-            size += len(h)
-            rows += part.num_rows
-            if size >= BLOCK_SHINGLES:
-                yield from frequent()
-                held, size, rows = [], 0, 0
-        yield from frequent()
-    return staged(src.mapInArrow(run, "kind int, id bigint, n bigint, cls bigint"), "profile")
-
-
-def _rows(kind: int, ids, n: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    ids = pa.nulls(len(n), pa.int64()) if ids is None else ids
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(n), kind, dtype=np.int32)), ids, pa.array(n.astype(np.int64)),
-         pa.array(cls)], names=["kind", "id", "n", "cls"])
+            n = len(offsets) - 1
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.diff(offsets)), pa.array(_class_ids(h, offsets)),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            cell, times = np.unique(_cells(h, cells), return_counts=True)
+            seen[cell] += times.astype(np.uint32)
+        for i, at in enumerate(range(0, len(seen), CHUNK_CELLS)):
+            counts = seen[at:at + CHUNK_CELLS]
+            if counts.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [none, none, none, pa.array([i], pa.int32()), pa.array([_packed_counts(counts)])],
+                    names=names)
+    names = ["id", "n", "cls", "chunk", "data"]
+    return staged(src.mapInArrow(run, "id bigint, n bigint, cls bigint, chunk int, data binary"),
+                  "profile")
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype(np.uint64).tobytes(), codec="zstd", asbytes=True)
+
+
+def _counts(data: bytes, cells: int) -> np.ndarray:
+    size = min(CHUNK_CELLS, cells) * 8
+    return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), dtype=np.uint64)
+
+
+def _levels(profile: DataFrame, total: int) -> np.ndarray:
+    """One byte per cell of the sketch: 0 for cells of the mean, growing with the
+    logarithm of what they hold above it. Partial counts are summed in two steps."""
+    cells = 1 << CELL_BITS
+    mean = total / cells
+
+    def summed(finish):
+        def run(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    sums[i] = sums[i] + _counts(data, cells) if i in sums else _counts(data, cells)
+            for i, c in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([finish(c)])],
+                                                 names=["chunk", "data"])
+        return run
+
+    def level(c: np.ndarray) -> bytes:
+        above = np.maximum(0, c - mean) / (3 * np.sqrt(mean + 1))
+        return np.floor(2 * np.log2(1 + above)).astype(np.uint8).tobytes()
+    parts = profile.filter("chunk is not null").select("chunk", "data")
+    first = parts.repartition("chunk", F.pmod(F.xxhash64("data"), F.lit(16))).mapInArrow(
+        summed(_packed_counts), "chunk int, data binary")
+    last = first.repartition("chunk").mapInArrow(summed(level), "chunk int, data binary")
+    out = np.zeros(cells, dtype=np.uint8)
+    for r in last.collect():                      # one byte per cell, whatever the input
+        part = np.frombuffer(r["data"], dtype=np.uint8)
+        out[r["chunk"] * CHUNK_CELLS:r["chunk"] * CHUNK_CELLS + len(part)] = part
+    return out
 
 
 def _spread_ids(spark: SparkSession, n: int) -> np.ndarray:
@@ -160,14 +201,14 @@ def _spread_ids(spark: SparkSession, n: int) -> np.ndarray:
     return out
 
 
-def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, frequent, ids: np.ndarray):
+def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, levels, ids: np.ndarray):
     """Rows (bucket, data): the prefix shingles of a block's classes that fall into
     a bucket, with their places in the class's order, the classes and their sizes."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     n_buckets = len(ids)
 
     def run(batches):
-        hot, level = frequent.value
+        level = levels.value
         held = []
         size = 0
 
@@ -182,11 +223,7 @@ def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, frequent,
             owner = np.repeat(np.arange(len(cls)), n)
             mine = chosen[owner]
             h, owner = h[mine], owner[mine]
-            rank = np.zeros(len(h), dtype=np.int8)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                rank = np.where(hot[at] == h, level[at], 0).astype(np.int8)
-            order = np.lexsort((h, rank, owner))
+            order = np.lexsort((h, level[_cells(h, len(level))], owner))
             h, owner = h[order], owner[order]
             counts = np.bincount(owner, minlength=len(cls))
             place = np.arange(len(h)) - (np.cumsum(counts) - counts)[owner]
@@ -214,7 +251,7 @@ def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, frequent,
         for _, h, offsets in _blocks(batches, 1, k):
             held.append((_class_ids(h, offsets), h, offsets))
             size += len(h)
-            if size >= BLOCK_SHINGLES or sum(len(c) for c, _, _ in held) >= BLOCK_CLASSES - 10_000:
+            if size >= BLOCK_SHINGLES or sum(len(c) for c, _, _ in held) >= BLOCK_CLASSES - BLOCK_ROWS:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -335,8 +372,8 @@ def _linked(docs: DataFrame, doc_id: str, text: str, k: int, pairs: DataFrame,
     """The pairs (a, b) whose whole sets reach the similarity, staged."""
     pairs = staged(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    bodies = _bodies(docs, doc_id, text, k,
-                     staged(classes.join(wanted, "cls").select("cls", "rep"), "wanted"))
+    wanted = staged(classes.join(wanted, "cls").select("cls", "rep"), "wanted")
+    bodies = _bodies(docs, doc_id, text, k, wanted)
 
     def run(batches):
         for batch in batches:
@@ -356,7 +393,9 @@ def _linked(docs: DataFrame, doc_id: str, text: str, k: int, pairs: DataFrame,
                                              names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
     full = (pairs.join(bodies.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
             .join(bodies.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b"))
-    return staged(full.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = staged(full.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "links")
+    discard(pairs, wanted, bodies)
+    return links
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -371,17 +410,11 @@ def _grouped_rows(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     profile = _profile(docs, doc_id, text, k)
-    rows = profile.filter("kind = 0").select("id", "n", "cls")
-    total = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
-    often = (profile.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= FREQUENT_SHARE * total["docs"])
-             .orderBy(F.desc("n"), "cls").limit(MAX_FREQUENT).toArrow())
-    hot = often["cls"].to_numpy().view(np.uint64)
-    order = np.argsort(hot)
-    level = (1 + np.log2(np.maximum(1, often["n"].to_numpy()))).astype(np.int8)
-    frequent = sc.broadcast((hot[order], level[order]))
+    rows = profile.filter("chunk is null").select("id", "n", "cls")
+    total = rows.agg(F.sum("n").alias("n")).first()
+    levels = sc.broadcast(_levels(profile, total["n"] or 0))
     ids = _spread_ids(spark, bucket_count(spark, (total["n"] or 0) / 4, BUCKET_SHINGLES))
-    found = _leaders(_packed_prefixes(docs, doc_id, text, k, frequent, ids))
+    found = _leaders(_packed_prefixes(docs, doc_id, text, k, levels, ids))
     classes = staged(rows.filter("n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
 
@@ -405,9 +438,11 @@ def _grouped_rows(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
         stars.select(F.col("a").alias("cls"), "lead"), "cls", "left")
     named = staged(named.select("cls", "n", F.coalesce("component", "cls").alias("comp"),
                                 F.coalesce("lead", "cls").alias("grp")), "groups")
-    single, several = _open_groups(lists, named, ids)
+    single, several, overlap = _open_groups(lists, named, ids)
+    discard(found)
     links = links.unionByName(_linked(docs, doc_id, text, k, single, classes)).unionByName(
         _opened(docs, doc_id, text, k, several, named, classes))
+    discard(overlap, several)
     groups = connected_components(links)
 
     comp = classes.join(groups, classes["cls"] == groups["node"], "left").select(
@@ -421,9 +456,10 @@ def _grouped_rows(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 
 
 def _open_groups(lists: DataFrame, named: DataFrame,
-                 ids: np.ndarray) -> tuple[DataFrame, DataFrame]:
+                 ids: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is still to compare, where the bound leaves room for a link: pairs (a, b)
-    of a class and a group of one, and (a, grp, members) of a class and a group.
+    of a class and a group of one, and (a, grp, members) of a class and a group; and
+    the staged overlaps that the pairs are read from.
 
     ``named`` has (cls, n, comp, grp): the component found so far and the group (the
     classes that share most with the same leader, linked or not). A class queries
@@ -497,7 +533,7 @@ def _open_groups(lists: DataFrame, named: DataFrame,
                .join(stats, "grp").filter(least <= most)
                .filter(shared + F.greatest(_tail(na), _tail(most)) >= _needed(na, least))
                .select("a", "grp", "members"))
-    return single.select("a", "b"), staged(several, "qualifying")
+    return single.select("a", "b"), staged(several, "qualifying"), overlap
 
 
 def _opened(docs: DataFrame, doc_id: str, text: str, k: int, several: DataFrame,
@@ -511,8 +547,8 @@ def _opened(docs: DataFrame, doc_id: str, text: str, k: int, several: DataFrame,
     members = named.select("cls", "comp", "grp").join(
         several.select("grp", "members").distinct(), "grp")
     wanted = members.select("cls").union(several.select("a")).distinct()
-    bodies = _bodies(docs, doc_id, text, k,
-                     staged(classes.join(wanted, "cls").select("cls", "rep"), "wanted"))
+    wanted = staged(classes.join(wanted, "cls").select("cls", "rep"), "wanted")
+    bodies = _bodies(docs, doc_id, text, k, wanted)
 
     def packed(df, count, out):
         slot = F.pmod(F.xxhash64("cls"), F.ceil(F.col(count) / OPEN_CLASSES))
@@ -543,7 +579,9 @@ def _opened(docs: DataFrame, doc_id: str, text: str, k: int, several: DataFrame,
                         b.append(ms[link[j]]["cls"])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                                  names=["a", "b"])
-    return staged(pairs.select("qs", "ms").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = staged(pairs.select("qs", "ms").mapInArrow(run, "a bigint, b bigint"), "links")
+    discard(wanted, bodies)
+    return links
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",

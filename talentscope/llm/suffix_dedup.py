@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from talentscope.llm.common import bucket_count, shared_path, staged
+from talentscope.llm.common import bucket_count, noted, shared_path, staged
 from talentscope.llm.hashing import Spans, U, mix
 from talentscope.llm.ngram_join import _spread_ids
 from talentscope.llm.suffix_sort import big_endian, deep_shallow
@@ -107,8 +107,8 @@ def pack_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if ids:
             yield block()
     spark = docs.sparkSession
-    path = shared_path(spark, "blocks")
-    name = f"blocks_{path.rpartition('-')[2]}"
+    path = noted(shared_path(spark, "blocks"))
+    name = noted(f"blocks_{path.rpartition('-')[2]}")
     (src.mapInArrow(run, "block bigint, data binary").write.bucketBy(buckets, "block")
      .option("path", path).saveAsTable(name))
     return spark.table(name)

@@ -66,9 +66,9 @@ def _near_copies(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("share", [0.0002, 0.05])
-def test_components_equal_brute_force(spark, monkeypatch, share):
-    monkeypatch.setattr(N, "FREQUENT_SHARE", share)
+@pytest.mark.parametrize("bits", [2, 21])
+def test_components_equal_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(N, "CELL_BITS", bits)
     rows = _near_copies(5, 350) + [(701, None), (702, ""), (703, " \n"), (None, "lone words"),
                                    (3, "A b"), (3, "a B"), (4, "other words of a repeated id")]
     got = N.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
