@@ -4,10 +4,12 @@ A page is cut into blocks at block-level tags. The first pass labels each block
 from stop-word density, length and link density, together with the scope it
 stands in: navigation, header, footer, aside, form, script and the like, or a
 class or id that names such a part, is not text; inside an article (or an
-element named as content) a block is text unless it is mostly links; where a
+element named as content) a block is text, but three or more blocks in a row that
+are mostly links, at the start or the end of the article, are a menu; where a
 page has an article, what stands outside is not text. An article inside a form
 is text. So is one inside a part that only its name keeps out, unless the page
-has an article elsewhere (then it is a comment or a teaser). An element whose tag
+has an article elsewhere (then it is a teaser). An article inside a part named for
+comments or replies is a comment: it is text only if the page has no other. An element whose tag
 or one of whose names says content is not kept out by its other names. Names like
 ``has-sidebar`` or ``no-comments`` tell what an element holds or lacks and do not
 count; a frame around content and such a part (``content-sidebar-wrap``) takes the
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +63,7 @@ OUT_NAMES = frozenset("""
     recommended recommendations widget comment comments reply replies respond discussion disqus
     copyright legal disclaimer skip search""".split())
 IN_NAMES = frozenset("article content post entry story maincontent articlebody".split())
+TALK_NAMES = frozenset("comment comments reply replies respond discussion disqus".split())
 FORM_TAGS = frozenset("form fieldset".split())
 STATES = frozenset("has no with without".split())            # first part of a name
 FRAMES = frozenset("wrap wrapper container layout grid row inner outer".split())    # last part
@@ -71,7 +75,8 @@ FEW_STOPS = 0.15
 MANY_LINKS = 0.33
 ALL_LINKS = 0.60
 
-GOOD, BAD, SHORT_BLOCK, NEAR = "good", "bad", "short", "near"
+GOOD, BAD, SHORT_BLOCK, NEAR, LINKS = "good", "bad", "short", "near", "links"
+MENU = 3                     # link blocks in a row that make a menu
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)"""
@@ -81,9 +86,9 @@ _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _HEADING = re.compile(r"h[1-6]$")
 
 
-def _names(attrs: str) -> tuple[bool, bool]:
-    """(names that say out, names that say content) among an element's class, id and role."""
-    out = content = False
+def _names(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether names among an element's class, id and role say out, content, comments."""
+    out = content = talk = False
     for m in _NAMED.finditer(attrs) if "=" in attrs else ():
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = [x for x in re.split(r"[_\-]+", name) if x]
@@ -91,21 +96,26 @@ def _names(attrs: str) -> tuple[bool, bool]:
                 continue
             outer, inner = not OUT_NAMES.isdisjoint(parts), not IN_NAMES.isdisjoint(parts)
             if name in IN_NAMES:
-                return False, True
+                return False, True, False
             if outer and inner and parts[-1] in FRAMES:
                 continue
             out, content = out or outer, content or inner
-    return out, content
+            talk = talk or not TALK_NAMES.isdisjoint(parts)
+    return out, content, talk
 
 
 def _scope(tag: str, attrs: str, inside: str) -> str:
     """Scope below an element: "out", "form" or "named" (out, by a form or a name),
-    "article" or "in" (by a name), "again" (an article below "named"), or the
-    surrounding one."""
-    if inside == "out":
-        return "out"
-    out, content = _names(attrs)
+    "talk" (out, by a name for comments), "article" or "in" (by a name), "again" (an
+    article below "named"), "comment" (one below "talk"), or the surrounding one."""
+    if inside in ("out", "comment"):
+        return inside
+    out, content, talk = _names(attrs)
     out = out and tag not in ("body", "html")
+    if inside == "talk":
+        return "comment" if tag in IN_TAGS and not out else "out" if tag in OUT_TAGS else "talk"
+    if out and talk:
+        return "talk"
     if tag in IN_TAGS:
         return ("article" if inside not in ("named", "again") else
                 inside if out else "again")
@@ -130,6 +140,8 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
     parts: list[str] = []
     linked = 0                       # characters of the open block inside links
     stack: list[tuple[str, str]] = []
+    open_tags: Counter = Counter()   # of the stack
+    headings = 0
     scope, links = "", 0
     lower = None
 
@@ -138,11 +150,19 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                heading = any(_HEADING.match(t) for t, _ in stack)
-                out.append((text, scope, min(1.0, linked / len(text)), heading))
+                out.append((text, scope, min(1.0, linked / len(text)), headings > 0))
             parts.clear()
         linked = 0
 
+    def cut(i: int):
+        """Closes the element at ``i`` of the stack and all inside it."""
+        nonlocal scope, headings
+        for t, _ in stack[i:]:
+            open_tags[t] -= 1
+            headings -= bool(_HEADING.match(t))
+        del stack[i:]
+        scope = stack[-1][1] if stack else ""
+
     def add(raw: str):
         nonlocal linked
         if raw:
@@ -171,10 +191,9 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
                 links = max(0, links - 1)
             if tag in BLOCK_TAGS:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
-                    scope = stack[-1][1] if stack else ""
+                    cut(i)
                     break
             continue
         if tag in RAW_TAGS:
@@ -196,10 +215,9 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
             links = links if tag == "a" else 0
             if tag in ("p", "li", "dd", "dt", "option") or _HEADING.match(tag):
                 # an open paragraph, or a sibling item, ends here
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                     if stack[i][0] == tag:
-                        del stack[i:]
-                        scope = stack[-1][1] if stack else ""
+                        cut(i)
                         break
                     if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
                         break
@@ -209,6 +227,8 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
         if below != scope and tag not in BLOCK_TAGS:
             close()
         stack.append((tag, below))
+        open_tags[tag] += 1
+        headings += bool(_HEADING.match(tag))
         scope = below
     close()
     return out
@@ -217,10 +237,10 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
 def _first_pass(text: str, scope: str, links: float, article: bool) -> tuple[str, float]:
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if scope in ("out", "form", "named"):
+    if scope in ("out", "form", "named", "talk"):
         return BAD, stops
     if scope == "in":
-        return BAD if links > ALL_LINKS else GOOD, stops
+        return LINKS if links > ALL_LINKS else GOOD, stops
     if article or links > MANY_LINKS:
         return BAD, stops
     if len(text) < SHORT:
@@ -230,12 +250,35 @@ def _first_pass(text: str, scope: str, links: float, article: bool) -> tuple[str
     return NEAR if stops >= FEW_STOPS else BAD, stops
 
 
+def _link_runs(first: list[tuple[str, float]], scopes: list[str]) -> None:
+    """Decides the link blocks inside articles: part of them, unless a long row of them
+    begins or ends the article."""
+    i = 0
+    while i < len(first):
+        j = i
+        while j < len(first) and first[j][0] == LINKS:
+            j += 1
+        inner = i > 0 and scopes[i - 1] == "in" and j < len(first) and scopes[j] == "in"
+        beside = i > 0 and scopes[i - 1] == "in" or j < len(first) and scopes[j] == "in"
+        for at in range(i, j):
+            first[at] = (GOOD if inner or beside and j - i < MENU else BAD, first[at][1])
+        i = max(j, i + 1)
+
+
 def labels(found: list[tuple[str, str, float, bool]]) -> list[bool]:
     """True for each block that is part of the main text."""
+    keep = _labels(found, "out")
+    if not any(keep) and any(b[1] == "comment" for b in found):
+        keep = _labels(found, "in")
+    return keep
+
+
+def _labels(found: list[tuple[str, str, float, bool]], comment: str) -> list[bool]:
     again = "out" if any(b[1] == "article" for b in found) else "in"
-    scopes = [{"article": "in", "again": again}.get(b[1], b[1]) for b in found]
+    scopes = [{"article": "in", "again": again, "comment": comment}.get(b[1], b[1]) for b in found]
     article = "in" in scopes
     first = [_first_pass(b[0], s, b[2], article) for b, s in zip(found, scopes)]
+    _link_runs(first, scopes)
     decided = [i for i, (k, _) in enumerate(first) if k in (GOOD, BAD)]
     keep, j = [], 0
     for i, (kind, stops) in enumerate(first):
