@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The top-level column of this very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only; every other character stays."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

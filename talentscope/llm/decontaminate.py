@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from talentscope.llm.arrow_rows import map_texts, slices
-from talentscope.llm.common import staged
+from talentscope.llm.common import named, staged
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -236,7 +236,7 @@ def contamination(docs: DataFrame, bench: DataFrame, keys: list[str], text: str
     hit ranges of word numbers, flat: start, end, start, end ...) and ``items``
     (sorted distinct ids of the items whose windows occur)."""
     sc = docs.sparkSession.sparkContext
-    out = docs.select(*keys, F.col(text).alias("__body"))
+    out = docs.select(*map(named, keys), named(text).alias("__body"))
     schema = StructType([StructField("n_words", LongType()),
                          StructField("spans", ArrayType(IntegerType(), False)),
                          StructField("items", ArrayType(StringType(), False))])
@@ -342,7 +342,7 @@ def remove_contamination(docs: DataFrame, bench: DataFrame, text: str = "text",
     texts that were cut go through all blocks again until none of them hits."""
     sc = docs.sparkSession.sparkContext
     rest = [c for c in docs.columns if c != text]
-    state = docs.select(F.struct(*rest).alias("o"), F.col(text).alias("t"),
+    state = docs.select(F.struct(*map(named, rest)).alias("o"), named(text).alias("t"),
                         F.lit(-1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("gone"),
                         F.array().cast("array<int>").alias("spans"))
     schema = state.schema
@@ -382,7 +382,7 @@ def remove_contamination(docs: DataFrame, bench: DataFrame, text: str = "text",
         state = reduce(DataFrame.union, done)
     kept = state.filter(F.col("gone") <= max_coverage * F.col("n"))
     cols = [F.col("t").alias(text) if c == text
-            else F.when(F.col("gone") > 0, F.length("t")).otherwise(F.col(f"o.`{c}`")).cast(
+            else F.when(F.col("gone") > 0, F.length("t")).otherwise(F.col("o").getField(c)).cast(
                 docs.schema[c].dataType).alias(c) if c == n_chars
-            else F.col(f"o.`{c}`").alias(c) for c in docs.columns]
+            else F.col("o").getField(c).alias(c) for c in docs.columns]
     return kept.select(*cols)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentscope.llm.arrow_rows import slices
-from talentscope.llm.common import bucket_count, discard, staged
+from talentscope.llm.common import bucket_count, discard, named, staged
 from talentscope.llm.components import connected_components
 from talentscope.llm.hashing import Spans, U, mix
 
@@ -125,7 +125,7 @@ def _cells(h: np.ndarray, cells: int) -> np.ndarray:
 def _profile(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """Staged rows: (id, n shingles, class) per document, and per task the counts of
     the sketch's cells, compressed, in chunks (``chunk``, ``data``)."""
-    src = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    src = docs.select(named(doc_id).cast("bigint").alias("id"), named(text).alias("text"))
     cells = 1 << CELL_BITS
 
     def run(batches):
@@ -204,7 +204,7 @@ def _spread_ids(spark: SparkSession, n: int) -> np.ndarray:
 def _packed_prefixes(docs: DataFrame, doc_id: str, text: str, k: int, levels, ids: np.ndarray):
     """Rows (bucket, data): the prefix shingles of a block's classes that fall into
     a bucket, with their places in the class's order, the classes and their sizes."""
-    src = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    src = docs.select(named(doc_id).cast("bigint").alias("id"), named(text).alias("text"))
     n_buckets = len(ids)
 
     def run(batches):
@@ -355,7 +355,7 @@ def _bodies(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame)
     """One staged text per wanted (cls, rep): a row of that id whose set is the
     class. The ids are broadcast only after they are counted; more of them are
     joined by a shuffle."""
-    src = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    src = docs.select(named(doc_id).cast("bigint").alias("id"), named(text).alias("text"))
     ids = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted
 
     def run(batches):
@@ -594,16 +594,16 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .groupBy("id", "cls").agg(F.bool_or("copied").alias("copied")), "copied")
     ids = found.groupBy("id").agg(F.bool_and("copied").alias("whole"),
                                   F.bool_or("copied").alias("some")).filter("some")
-    mixed = staged(ids.filter(~F.col("whole")).select(F.col("id").alias("__mixed")), "mixed")
-    gone = found.filter("copied").select(F.col("id").alias("__gone"), F.col("cls").alias("__cls"))
-    rest = docs.join(gone.select("__gone").distinct(), F.col(doc_id) == F.col("__gone"), "left_anti")
+    mixed = staged(ids.filter(~F.col("whole")).select(F.col("id").alias("mixed")), "mixed")
+    gone = found.filter("copied").select(F.col("id").alias("gone"), F.col("cls").alias("gone_cls"))
+    rows = docs.select(F.struct("*").alias("row"), named(doc_id).alias("id"), named(text).alias("text"))
+    rest = rows.join(gone.select("gone").distinct(), F.col("id") == F.col("gone"), "left_anti").select("row")
     if mixed.isEmpty():
-        return rest
+        return rest.select("row.*")
 
     # ids with copied and other texts: only the rows of a copied class go
-    part = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"),
-                       F.col(text).alias("text")).join(mixed, F.col("id") == F.col("__mixed"))
-    part = part.select("row", F.col("__mixed").alias("id"), "text")
+    part = rows.join(mixed, F.col("id") == F.col("mixed")).select(
+        "row", F.col("mixed").alias("id"), "text")
 
     def run(batches):
         for piece, h, offsets in _blocks(batches, 2, k):
@@ -612,5 +612,5 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 names=["row", "id", "cls"])
     schema = part.select("row", "id", F.lit(0).cast("bigint").alias("cls")).schema
     stays = part.mapInArrow(run, schema).join(
-        gone, (F.col("id") == F.col("__gone")) & (F.col("cls") == F.col("__cls")), "left_anti")
-    return rest.union(stays.select("row.*"))
+        gone, (F.col("id") == F.col("gone")) & (F.col("cls") == F.col("gone_cls")), "left_anti")
+    return rest.union(stays.select("row")).select("row.*")

@@ -7,6 +7,8 @@ pair (a segmented minimum), merges its leftmost occurrence in all words at once,
 and compacts, until no pair is left. A piece that no better piece can grow out
 of is merged at all its (leftmost, non-overlapping) places in one round: its
 order against the others cannot matter. Words are told apart by 64-bit hashes.
+A long word (a text without spaces, a blob) merges many ranks in one round: every
+pair that is better than all pairs so near that a piece could reach from them to it.
 
 Defined cases: a NULL text encodes like an empty one (no ids); characters
 outside the vocabulary become byte pieces; repeated rows are encoded alike;
@@ -24,12 +26,15 @@ from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, Str
                                StructType)
 
 from talentscope.llm.arrow_rows import map_texts
+from talentscope.llm.common import named
 from talentscope.llm.hashing import Spans, mix
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
 #: Distinct words whose ids a task remembers at most.
 REMEMBERED_WORDS = 200_000
+#: Symbols from which a word counts as long.
+LONG_WORD = 256
 
 
 def load_vocabulary(path: str) -> dict:
@@ -85,6 +90,7 @@ class Bpe:
         for p, i in normal.items():
             r = level[p]
             self.together[r] = used[r] == 1 and grows.get(i, len(levels)) > r
+        self.longest = max(map(len, normal), default=1)
         self.one_word = any(SPACE in p.lstrip(SPACE) for p in normal)
         #: characters that no longer piece holds: words of their own
         self.loose = [ord(c) for c in "\n\r\t" if not any(c in p for p in normal if len(p) > 1)]
@@ -149,12 +155,80 @@ class Bpe:
 
     def _merge_words(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, end of each word) of distinct words: their code points and sizes."""
-        sym = self.of_char[points]
         word = np.repeat(np.arange(len(sizes)), sizes)
+        long = (sizes > LONG_WORD)[word]
+        sym, word = map(np.concatenate, zip(
+            self._rounds(self.of_char[points[~long]], word[~long]),
+            self._local_rounds(self.of_char[points[long]], word[long])))
+        order = np.argsort(word, kind="stable")
+        sym, word = sym[order], word[order]
+        unknown = np.flatnonzero(sym >= self.n)
+        if len(unknown):
+            raw = [chr(x).encode() for x in (sym[unknown] - self.n).tolist()]
+            times = np.ones(len(sym), dtype=np.int64)
+            times[unknown] = [len(b) for b in raw]
+            put = np.repeat(np.arange(len(sym)) >= 0, times)
+            is_raw = np.repeat(sym >= self.n, times)
+            sym, word = np.repeat(sym, times), np.repeat(word, times)
+            sym[is_raw & put] = self.of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        ends = np.cumsum(np.bincount(word, minlength=len(sizes)))
+        return sym.astype(np.int32), ends
+
+    def _pairs(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of every symbol with its right neighbour in the word."""
         rank = np.full(len(sym), NEVER)
         new = np.zeros(len(sym), dtype=np.int64)
         inside = np.flatnonzero(word[:-1] == word[1:])
         rank[inside], new[inside] = self._rank(sym[inside], sym[inside + 1])
+        return rank, new
+
+    def _local_rounds(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, words) after all merges. A round merges every pair that is better
+        than all pairs within ``longest`` symbols, the left one of equals (or all of them,
+        as above): whatever could take one of its symbols first would be a piece, no longer
+        than that, which begins with a merge of a better pair nearby. So the rounds do not
+        grow with the word."""
+        rank, new = self._pairs(sym, word)
+        reach = self.longest
+        while True:
+            closed = np.full(reach, NEVER)
+            padded = np.concatenate([closed, rank, closed])
+            least, have = padded, 1
+            while have < reach:                  # least[i]: of padded[i : i + reach]
+                step = min(have, reach - have)
+                least = np.minimum(least[:-step], least[step:])
+                have += step
+            n = len(rank)
+            left, right = least[:n], least[reach + 1:reach + 1 + n]
+            c = np.flatnonzero((rank != NEVER) & (rank <= left) & (rank <= right))
+            c = c[(rank[c] < left[c]) | self.together[rank[c]]]
+            # of equal neighbouring pairs every other one, counted from where they begin
+            begins = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+            start = begins[np.searchsorted(begins, c, side="right") - 1]
+            c = c[((c - start) % 2 == 0) & np.isin(start, c)]
+            if not len(c):
+                return sym, word
+            sym[c] = new[c]
+            keep = np.ones(n, dtype=bool)
+            keep[c + 1] = False
+            place = np.cumsum(keep)[c] - 1
+            sym, word, rank, new = sym[keep], word[keep], rank[keep], new[keep]
+            self._renew(sym, word, rank, new, place)
+
+    def _renew(self, sym, word, rank, new, place) -> None:
+        """Sets rank and merged id anew around merged symbols."""
+        touched = np.unique(np.concatenate([place, place[place > 0] - 1]))
+        has_next = touched + 1 < len(sym)
+        rank[touched[~has_next]] = NEVER
+        touched = touched[has_next]
+        same = word[touched] == word[touched + 1]
+        rank[touched[~same]] = NEVER
+        t = touched[same]
+        rank[t], new[t] = self._rank(sym[t], sym[t + 1])
+
+    def _rounds(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, words) after all merges, a word's best rank at a time."""
+        rank, new = self._pairs(sym, word)
         done_sym, done_word = [], []
         while len(sym):
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -180,29 +254,8 @@ class Bpe:
             keep[c + 1] = False
             place = np.cumsum(keep)[c] - 1
             sym, word, rank, new = sym[keep], word[keep], rank[keep], new[keep]
-            touched = np.unique(np.concatenate([place, place[place > 0] - 1]))
-            has_next = touched + 1 < len(sym)
-            rank[touched[~has_next]] = NEVER
-            touched = touched[has_next]
-            same = word[touched] == word[touched + 1]
-            rank[touched[~same]] = NEVER
-            t = touched[same]
-            rank[t], new[t] = self._rank(sym[t], sym[t + 1])
-        sym = np.concatenate(done_sym) if done_sym else sym
-        word = np.concatenate(done_word) if done_word else word
-        order = np.argsort(word, kind="stable")
-        sym, word = sym[order], word[order]
-        unknown = np.flatnonzero(sym >= self.n)
-        if len(unknown):
-            raw = [chr(x).encode() for x in (sym[unknown] - self.n).tolist()]
-            times = np.ones(len(sym), dtype=np.int64)
-            times[unknown] = [len(b) for b in raw]
-            put = np.repeat(np.arange(len(sym)) >= 0, times)
-            is_raw = np.repeat(sym >= self.n, times)
-            sym, word = np.repeat(sym, times), np.repeat(word, times)
-            sym[is_raw & put] = self.of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        ends = np.cumsum(np.bincount(word, minlength=len(sizes)))
-        return sym.astype(np.int32), ends
+            self._renew(sym, word, rank, new, place)
+        return (np.concatenate([*done_sym, sym]), np.concatenate([*done_word, word]))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets) of the texts."""
@@ -287,7 +340,8 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decod
     """``docs`` with the text of the ids column in ``out``; NULL ids give an empty text."""
     vocab = _broadcast(docs, model_path)
     keys = [c for c in docs.columns if c != out]
-    schema = StructType(docs.select(*keys).schema.fields + [StructField(out, StringType())])
+    rows = docs.select(*map(named, keys))
+    schema = StructType(rows.schema.fields + [StructField(out, StringType())])
     at = keys.index(ids)
 
     def run(batches):
@@ -300,7 +354,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decod
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keys))] + [pa.array(texts, pa.string())],
                 names=[*keys, out])
-    return docs.select(*keys).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, model_path: str, keys: list[str],

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from talentscope.llm.common import bucket_count, noted, shared_path, staged
+from talentscope.llm.common import bucket_count, named, noted, shared_path, staged
 from talentscope.llm.hashing import Spans, U, mix
 from talentscope.llm.ngram_join import _spread_ids
 from talentscope.llm.suffix_sort import big_endian, deep_shallow
@@ -67,8 +67,8 @@ def pack_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``carry`` as an Arrow stream: a table in the shared folder, bucketed by block,
     so that what later steps know about a block comes to it, not the reverse."""
     carry = carry or []
-    src = docs.select(F.col(doc_id).cast("bigint").alias("__id"), F.col(text).alias("__text"),
-                      *[F.col(c) for c in carry])
+    src = docs.select(named(doc_id).cast("bigint").alias("id"), named(text).alias("text"),
+                      *[named(c).alias(f"c{i}") for i, c in enumerate(carry)])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -447,7 +447,7 @@ def _run(docs: DataFrame, doc_id: str, text: str, length: int, carry: list[str],
          schema) -> DataFrame:
     """The whole method; ``finish(block, covered)`` yields the output batches."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(named(text)))).first()[0] or 0
     blocks = pack_blocks(docs, doc_id, text, carry, bucket_count(spark, size, PARTITION_BYTES))
     n_buckets = bucket_count(spark, size, BUCKET_BYTES)
     # numbers that a hash partitioning of n spreads evenly
@@ -515,7 +515,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
             if c == text:
                 columns.append(pa.array(texts, pa.string()))
                 continue
-            col = rest.column(c).combine_chunks()
+            col = rest.column(carry.index(c)).combine_chunks()
             if c == n_chars:
                 new = pa.array(sizes, pa.int64()).cast(col.type)
                 col = pc.coalesce(new, col)
