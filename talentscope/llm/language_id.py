@@ -7,11 +7,11 @@ frequencies cover every document that may be learned from. The weights are
 trained by follow-the-regularised-leader with an elastic net on a sample of at
 most ``MAX_ROWS`` documents, spread over the languages; a fifth of the sample
 then sets the temperature of the scores. Predictions read whole texts.
+Every language is learned; the driver holds a table of ``BUCKETS`` x languages.
 
 Defined cases: a NULL text or one without a letter is ``und`` with score 0;
 rows with NULL language teach nothing; without any language to learn every text
-is ``und``; repeated rows are predicted alike; other columns are ignored. At most
-``MAX_LANGUAGES`` languages are learned (those with most documents).
+is ``und``; repeated rows are predicted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from talentscope.llm.common import crc_mod
 
 BUCKETS = 1 << 15
 MAX_ROWS = 2400
-MAX_LANGUAGES = 400
+LEAST_ROWS = 6               # documents of a language in the sample, however many there are
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
 UNDECIDED = "und"
@@ -145,13 +145,12 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> dict | None:
     held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     pool = docs.select("doc_id", "text", "lang").filter(
         ~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = (pool.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-              .limit(MAX_LANGUAGES).collect())
+    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
     df, n = document_frequencies(pool)
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = max_rows / len(counts)
+    share = max(LEAST_ROWS, max_rows / len(counts))
     span = 1 << 20
     limit = F.create_map(*[x for r in counts for x in (
         F.lit(r["lang"]), F.lit(int(min(1.0, share / r["count"]) * span)))])
@@ -167,7 +166,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> dict | None:
     sample = map_texts(chosen, ["doc_id", "lang"], "text", StructType([
         StructField("at", ArrayType(IntegerType(), False)),
         StructField("n", ArrayType(FloatType(), False))]), make)
-    rows = sample.orderBy(F.xxhash64("doc_id", "lang"), "at", "n").limit(2 * max_rows).toArrow()
+    rows = sample.orderBy(F.xxhash64("doc_id", "lang"), "at", "n").limit(int(2 * share * len(counts))).toArrow()
     names = sorted(r["lang"] for r in counts)
     number = {k: i for i, k in enumerate(names)}
     data = []

@@ -379,3 +379,122 @@ def test_html_of_table(spark):
                  for x in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(x for x in parts if x)
         assert r["n_chars"] == len(r["text"])
+
+
+def test_long_words_equal_the_library(library):
+    """Words far beyond LONG_WORD: many ranks, runs of one pair, characters without pieces."""
+    bpe = S.Bpe(S.load_vocabulary(MODEL))
+    r = random.Random(3)
+    for alphabet in ("a", "aab", "the", "abcdefghijklmnopqrstuvwxyz", "= -", "日本é🙂a", "ABCghij0123456789+/", "\n\ta"):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.choice([255, 256, 257, 300, 5000]))) for _ in range(12)]
+        flat, offsets = bpe.encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == library.encode(texts)
+
+
+def test_long_words_take_linear_time(library):
+    import time
+    bpe = S.Bpe(S.load_vocabulary(MODEL))
+    r = random.Random(5)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "a"):
+        word = "".join(r.choice(alphabet) for _ in range(1_000_000))
+        t = time.time()
+        ids = bpe.encode([word])[0].tolist()
+        own, t = time.time() - t, time.time()
+        assert ids == library.encode(word)
+        assert own < 20 * max(0.3, time.time() - t)
+
+
+def test_html_comments_links_and_depth():
+    import time
+    text = "The article is about the things that are in the town and of the people who were there for it. " * 4
+    comment = "<article>I like the text of it and that is all for now.</article>"
+    for name in ('id="comments"', 'class="post-comments"', 'id="disqus"'):
+        page = f"<div {name}>{comment}</div><div><p>{text}</p></div>"
+        assert H.main_text(page) == text.strip()
+        assert H.main_text(f"<article><p>{text}</p></article><div {name}>{comment}</div>") == text.strip()
+    assert H.main_text(f"<div class=comments>{comment}</div>").startswith("I like")     # nothing else
+    link = "<li><a href=x>{}</a></li>"
+    article = f"<article><p>{text}</p><ul><li>first</li>{link.format('second')}</ul>{{}}</article><footer>F</footer>"
+    assert H.main_text(article.format("")).endswith("first\nsecond")
+    inner = "".join(link.format(i) for i in range(5))
+    assert H.main_text(article.format(f"<ul>{inner}</ul><p>Last words.</p>")).endswith("0\n1\n2\n3\n4\nLast words.")
+    assert H.main_text(article.replace("<li>first</li>", "<li>a</li><li>b</li>").format(f"<p>x</p><ul>{inner}</ul>")).endswith("x")
+    for page in ("<div>x" * 100_000, "<div>" * 100_000 + "</span>x" * 100_000, "<h1><b>" * 50_000 + "<p>x" * 50_000):
+        t = time.time()
+        H.main_text(page)
+        assert time.time() - t < 5
+
+
+def _plain_blocks(page):
+    """Blocks as the rules say them, with a stack searched anew at every step."""
+    out, stack, text = [], [], []
+
+    def close():
+        t = " ".join("".join(text).split())
+        if t:
+            out.append((t, any(re.match("h[1-6]$", x) for x in stack)))
+        text.clear()
+    for m in re.finditer(r"<(/?)([a-z0-9]+)>|([^<]+)", page):
+        end, tag, words = m.groups()
+        if words:
+            text.append(words)
+        elif tag == "br":
+            text.append(" ")
+        elif end:
+            if tag in H.BLOCK_TAGS:
+                close()
+            if tag in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(tag):]
+        else:
+            if tag in H.BLOCK_TAGS:
+                close()
+                if tag in ("p", "li", "dd", "dt") or re.match("h[1-6]$", tag):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i] == tag:
+                            del stack[i:]
+                            break
+                        if stack[i] in H.BLOCK_TAGS and stack[i] != "p":
+                            break
+            stack.append(tag)
+    close()
+    return out
+
+
+def test_html_blocks_equal_a_plain_reading():
+    r = random.Random(12)
+    tags = ["p", "div", "li", "ul", "h1", "h2", "b", "i", "dd", "dt", "br", "table", "td"]
+    for _ in range(1500):
+        page = "".join(r.choice([f"<{r.choice(tags)}>", f"</{r.choice(tags[:10])}>", r.choice(["w ", " x", "y\n", " "])])
+                       for _ in range(r.randint(0, 40)))
+        assert [(b[0], b[3]) for b in H.blocks(page)] == _plain_blocks(page), page
+
+
+def test_many_languages_are_all_learned(spark):
+    """More languages than fit the sample at an equal share: none is left out."""
+    r = random.Random(2)
+    rows = []
+    for lang in range(60):
+        letters = "".join(chr(0x4E00 + lang * 3 + k) for k in range(3))
+        rows += [(lang * 40 + i, " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(20)), f"l{lang}")
+                 for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs, max_rows=60)
+    assert len(model["names"]) == 60
+    got = {x["doc_id"]: x["lang_pred"] for x in L.predict(docs, model, ["doc_id"]).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.9 * len(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from talentscope.llm import ngram_join as N
+    from talentscope.llm import suffix_dedup as X
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, body, 1, "a", "b", "c", "d", "e", 5), (2, body + " more", 1, "a", "b", "c", "d", "e", 6),
+            (3, None, 1, "a", "b", "c", "d", "e", 7)]
+    names = ["doc_id", "text", "a.b", "__text", "__gone", "row", "t", "id", "x`y"]
+    docs = spark.createDataFrame(rows, ["c%d" % i for i in range(9)]).toDF(*names)
+    bench = spark.createDataFrame([(1, "q " * 12)], "item_id long, text string")
+    for out in (Q.filter_quality(docs.withColumn("lang", F.lit("en"))).drop("lang"), N.keep_one_per_group(docs),
+                X.dedup(docs), D.remove_contamination(docs, bench), S.encode(docs, MODEL).drop("ids")):
+        assert out.columns == names
+        assert {tuple(r)[2:8] for r in out.collect()} <= {(1, "a", "b", "c", "d", "e")}
+    assert {r["doc_id"] for r in N.keep_one_per_group(docs).collect()} == {1, 3}
