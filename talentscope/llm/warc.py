@@ -5,7 +5,14 @@ earlier equal payload) and a metadata record; request and metadata name the
 response in WARC-Concurrent-To. Archives are gzip files of the text sink with the
 record trailer as line separator, in the shared folder. Reading parses records
 by Content-Length; assembling groups them by the response they belong to and
-emits one nested row per capture.
+emits one nested row per capture. A record may name several others, and one that
+names a response itself (a metadata record its request): such chains are followed
+inside an archive.
+
+What cannot be read does not end the job: a record without a usable length or with
+a broken header, a truncated one, a damaged gzip member and text between records
+become rows with an ``error`` and the bytes in question as payload, and reading goes
+on at the next line that begins a record.
 
 Defined cases: a NULL payload is an empty one; equal payloads of at least
 ``MIN_REVISIT`` bytes are revisits of the smallest page_id (all rows with that
@@ -18,13 +25,14 @@ gives no archive and no capture; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BinaryType, LongType, StringType, StructField, StructType)
+from pyspark.sql.types import (ArrayType, BinaryType, LongType, StringType, StructField, StructType)
 
 from talentscope.llm.common import shared_path
 
@@ -36,11 +44,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD_SCHEMA = StructType([
     StructField("record_id", StringType()), StructField("type", StringType()),
-    StructField("concurrent_to", StringType()), StructField("target_uri", StringType()),
+    StructField("concurrent_to", ArrayType(StringType())), StructField("target_uri", StringType()),
     StructField("date", StringType()), StructField("content_type", StringType()),
     StructField("refers_to", StringType()), StructField("declared_digest", StringType()),
     StructField("head", StringType()), StructField("payload_bytes", LongType()),
     StructField("payload_digest", StringType()), StructField("payload", BinaryType()),
+    StructField("captures", ArrayType(StringType())), StructField("error", StringType()),
 ])
 
 
@@ -123,54 +132,106 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT)
     return path
 
 
-def _inflate(content: bytes) -> bytes:
-    """All members of a gzip file; other content as it is."""
-    out = []
+_RECORD = re.compile(rb"^WARC/1\.[0-9]", re.M)
+_HEADER_END = re.compile(rb"\r?\n\r?\n")
+
+
+def _inflate(content: bytes) -> tuple[bytes, str | None]:
+    """All members of a gzip file, up to a damaged one; other content as it is."""
+    out, error = [], None
     while content[:2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(content) + z.flush())
+        try:
+            out.append(z.decompress(content) + z.flush())
+        except zlib.error:
+            return b"".join(out), "damaged gzip member"
+        if not z.eof:
+            return b"".join(out), "gzip member without its end"
         content = z.unused_data
-    return b"".join([*out, content])
+    return b"".join([*out, content]), error
 
 
-def parse(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields, block) of each record of an archive."""
-    data = _inflate(content)
+def _records(data: bytes) -> Iterator[tuple[dict[str, list[str]], int, int, str | None]]:
+    """(header fields, start and end of the block, what is wrong) of each record; a
+    field's values are in a list, its name in lower case."""
     pos = 0
-    while (pos := data.find(b"WARC/1.", pos)) >= 0:
-        stop = data.index(b"\r\n\r\n", pos)
-        lines = data[pos:stop].decode("utf-8").split("\r\n")[1:]
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        begin = stop + 4
-        pos = begin + int(fields["content-length"])
-        yield fields, data[begin:pos]
-
+    while pos < len(data):
+        m = _RECORD.search(data, pos)
+        stop = m.start() if m else len(data)
+        if data[pos:stop].strip():
+            yield {}, pos, stop, "text between records"
+        if not m:
+            return
+        end = _HEADER_END.search(data, stop)
+        if not end:
+            yield {}, stop, len(data), "header without an end"
+            return
+        fields: dict[str, list[str]] = {}
+        for line in data[stop:end.start()].decode("utf-8", "replace").splitlines()[1:]:
+            name, colon, value = line.partition(":")
+            if colon:
+                fields.setdefault(name.strip().lower(), []).append(value.strip())
+        length = (fields.get("content-length") or [""])[0]
+        pos = end.end()
+        if not (length.isascii() and length.isdigit()):
+            yield fields, pos, pos, "no content length"
+            continue
+        begin, pos = pos, pos + int(length)
+        yield fields, begin, min(pos, len(data)), None if pos <= len(data) else "truncated"
+
+
+def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes, str | None]]:
+    """(header fields, block, what is wrong) of each record of an archive."""
+    data, error = _inflate(content)
+    for fields, begin, end, wrong in _records(data):
+        yield fields, data[begin:end], wrong
+    if error:
+        yield {}, b"", error
+
+
+def _row(fields: dict[str, list[str]], block: bytes, error: str | None, with_payload: bool) -> dict:
+    def first(name):
+        return (fields.get(name) or [None])[0]
 
-def _row(fields: dict, block: bytes, with_payload: bool) -> dict:
-    kind = fields["warc-type"]
+    def bare(name):
+        return first(name).strip("<>") if name in fields else None
+    kind = first("warc-type")
     head, payload, size, digest = block, None, None, None
-    if kind in ("response", "revisit"):
+    if error:
+        head, payload, size = b"", block, len(block)
+    elif kind in ("response", "revisit"):
         head, _, payload = block.partition(b"\r\n\r\n")
         if kind == "response":
             size, digest = len(payload), hashlib.sha256(payload).hexdigest()
         else:
-            for line in head.decode("utf-8").split("\r\n"):
-                name, _, value = line.partition(": ")
-                if name.lower() == "content-length":
+            for line in head.decode("utf-8", "replace").split("\r\n"):
+                name, _, value = line.partition(":")
+                if name.lower() == "content-length" and value.strip().isdigit():
                     size = int(value)
-            digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
+            digest = (first("warc-payload-digest") or "").rpartition(":")[2] or None
             payload = None
-
-    def bare(name):
-        return fields[name].strip("<>") if name in fields else None
     return {"record_id": bare("warc-record-id"), "type": kind,
-            "concurrent_to": bare("warc-concurrent-to"),
-            "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"),
-            "content_type": fields.get("content-type"),
-            "refers_to": fields.get("warc-refers-to-page"),
-            "declared_digest": fields.get("warc-payload-digest"),
-            "head": head.decode("utf-8"), "payload_bytes": size, "payload_digest": digest,
-            "payload": payload if with_payload else None}
+            "concurrent_to": [x.strip("<>") for x in fields.get("warc-concurrent-to", [])],
+            "target_uri": first("warc-target-uri"), "date": first("warc-date"),
+            "content_type": first("content-type"),
+            "refers_to": first("warc-refers-to-page") or bare("warc-refers-to"),
+            "declared_digest": first("warc-payload-digest"),
+            "head": head.decode("utf-8", "replace"), "payload_bytes": size, "payload_digest": digest,
+            "payload": payload if with_payload or error else None, "error": error}
+
+
+def _captures(record_id: str | None, links: dict[str, list[str]]) -> list[str]:
+    """The record itself if it names no other, else the records that its chain ends at."""
+    ends, seen, todo = set(), set(), [record_id] if record_id else []
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen.add(at)
+            further = links.get(at) or []
+            todo += further
+            if not further:
+                ends.add(at)
+    return sorted(ends)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -182,10 +243,17 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
+                data, error = _inflate(content.as_py())
+                found = list(_records(data))
+                links = {f["warc-record-id"][0].strip("<>"):
+                         [x.strip("<>") for x in f["warc-concurrent-to"]]
+                         for f, *_ in found if "warc-record-id" in f and "warc-concurrent-to" in f}
                 rows, size = [], 0
-                for fields, block in parse(content.as_py()):
-                    rows.append(_row(fields, block, with_payload))
-                    size += len(block)
+                for fields, begin, end, wrong in [*found, *([({}, 0, 0, error)] if error else [])]:
+                    row = _row(fields, data[begin:end], wrong, with_payload)
+                    row["captures"] = [] if wrong else _captures(row["record_id"], links)
+                    rows.append(row)
+                    size += end - begin
                     if size > 1 << 22:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -195,7 +263,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
+    kinds = {"payload_bytes": pa.int64(), "payload": pa.binary(),
+             "concurrent_to": pa.list_(pa.string()), "captures": pa.list_(pa.string())}
     names = RECORD_SCHEMA.names
     return pa.RecordBatch.from_arrays(
         [pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
@@ -203,13 +272,14 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def assemble(found: DataFrame) -> DataFrame:
     """One row per capture: capture_id, target_uri, and the nested request,
-    response and metadata records joined through their concurrent-to ids."""
-    root = F.coalesce("concurrent_to", "record_id")
-    parts = [f for f in RECORD_SCHEMA.names if f not in ("concurrent_to",)]
+    response and metadata records joined through their concurrent-to ids. Records
+    that could not be read are left out."""
+    parts = [f for f in RECORD_SCHEMA.names if f not in ("concurrent_to", "captures", "error")]
 
     def part(*kinds):
         return F.first(F.when(F.col("type").isin(*kinds), F.struct(*parts)), ignorenulls=True)
-    return found.groupBy(root.alias("capture_id")).agg(
+    rows = found.filter("error is null").select(F.explode("captures").alias("capture_id"), *parts)
+    return rows.groupBy("capture_id").agg(
         F.max("target_uri").alias("target_uri"), part("request").alias("request"),
         part("response", "revisit").alias("response"), part("metadata").alias("metadata"))
 

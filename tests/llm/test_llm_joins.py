@@ -255,7 +255,59 @@ def test_warc_members_and_plain_files():
     record = (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 30\r\n\r\n"
               b"HTTP/1.1 200 OK\r\n\r\n0123456789a\r\n\r\n")
     for content in (record * 2, gzip.compress(record) + gzip.compress(record)):
-        assert [b[-11:] for _, b in W.parse(content)] == [b"0123456789a"] * 2
+        assert [(b[-11:], e) for _, b, e in W.parse(content)] == [(b"0123456789a", None)] * 2
+
+
+def _warc(kind, record_id, block, *more, length=None):
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID:<{record_id}>", *more]
+    if length != "":
+        head.append(f"Content-Length:  {len(block) if length is None else length}")
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\n\r\n"
+
+
+def test_warc_chained_and_repeated_concurrent_to(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(
+        _warc("metadata", "m1", b"pageId: 7", "WARC-Concurrent-To: <q1>")
+        + _warc("request", "q1", b"GET / HTTP/1.1", "WARC-Concurrent-To: <r1>")
+        + _warc("response", "r1", HTTP + b"one WARC/1.0\r\nWARC/1.1\r\n\r\n")
+        + _warc("response", "r2", HTTP + b"two", "WARC-Target-URI: http://b/")
+        + _warc("metadata", "m2", b"both", "WARC-Concurrent-To: <r2>", "warc-concurrent-to: <r3>")
+        + _warc("revisit", "r3", HTTP, "WARC-Refers-To: <r2>", "WARC-Payload-Digest: sha256:ab")
+        + _warc("metadata", "x1", b"", "WARC-Concurrent-To: <x2>")            # a circle
+        + _warc("metadata", "x2", b"", "WARC-Concurrent-To: <x1>"))
+    caps = {c["capture_id"]: c for c in W.assemble(W.read_archives(spark, str(tmp_path))).collect()}
+    assert set(caps) == {"r1", "r2", "r3"}
+    assert (caps["r1"]["request"]["record_id"], caps["r1"]["metadata"]["record_id"]) == ("q1", "m1")
+    assert bytes(caps["r1"]["response"]["payload"]).startswith(b"one WARC/1.0")
+    assert caps["r2"]["metadata"]["head"] == caps["r3"]["metadata"]["head"] == "both"
+    assert (caps["r3"]["response"]["refers_to"], caps["r3"]["response"]["payload_digest"]) == ("r2", "ab")
+
+
+def test_warc_bad_records_do_not_end_the_job(spark, tmp_path):
+    import gzip
+    good = _warc("response", "r1", HTTP + b"one")
+    (tmp_path / "a.warc").write_bytes(
+        good + b"some WARC/1. text\r\n" + _warc("response", "r2", b"no length\r\n", length="")
+        + _warc("response", "r3", HTTP + b"x", length="-5") + _warc("response", "r4", HTTP + b"four")
+        + _warc("response", "r5", HTTP + b"cut", length=4000))
+    (tmp_path / "b.warc.gz").write_bytes(
+        gzip.compress(good.replace(b"r1", b"g1")) + gzip.compress(good * 50)[:40])
+    (tmp_path / "c.warc.gz").write_bytes(
+        gzip.compress(good.replace(b"r1", b"g2")) + b"\x1f\x8bnot gzip at all")
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response")
+    found = W.read_archives(spark, str(tmp_path)).cache()
+    errors = sorted((r["record_id"] or "", r["error"]) for r in found.collect() if r["error"])
+    assert [e for e in errors if "text" not in e[1]] == [
+        ("", "damaged gzip member"), ("", "gzip member without its end"), ("", "header without an end"),
+        ("r2", "no content length"), ("r3", "no content length"), ("r5", "truncated")]
+    assert sum("text" in e for _, e in errors) >= 3      # between records, and of blocks without a length
+    got = sorted(c["capture_id"] for c in W.assemble(found).collect())
+    found.unpersist()
+    assert got == ["g1", "g2", "r1", "r4"]
 
 
 # --- pipeline ---------------------------------------------------------------
@@ -306,3 +358,40 @@ def _per_char(text, covered):
         out.append(bool(covered[at:at + n].any()))
         at += n
     return out
+
+
+def test_pipeline_leaves_only_its_result(spark):
+    """Folders and catalogue tables of the stages are gone after a run."""
+    import corpus_pipeline as C
+    from talentscope.session import checkpoint_dir, folder_names
+
+    def left():
+        return ({n for n in folder_names(spark, checkpoint_dir(spark)) if n.startswith("llm-")},
+                {t.name for t in spark.catalog.listTables()})
+    folders, tables = left()
+    out = C.run(spark, SF_SMALL)
+    more, now = left()
+    assert now == tables and {n.split("-")[1] for n in more - folders} == {"stage4"}
+    assert out.count() > 0
+
+
+def test_a_stage_keeps_what_its_input_reads(spark):
+    """An input that is not written yet still reads the folders of the stage before."""
+    import corpus_pipeline as C
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    first = C.quality_stage(spark, docs, SF_SMALL)
+    second = C.near_duplicate_stage(spark, first, SF_SMALL)
+    assert 0 < second.count() <= first.count()
+
+
+def test_sketch_levels_tell_frequent_shingles(spark):
+    """Counts of all partitions add up; frequent shingles come last in the order."""
+    often = " ".join(f"a{i}" for i in range(30))
+    rows = [(i, often + " " + " ".join(f"x{i}y{j}" for j in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    profile = N._profile(docs, "doc_id", "text", 5)
+    levels = N._levels(profile, profile.agg(F.sum("n")).first()[0])
+    h, o = N.shingle_sets([often] + [t for _, t in rows[:20]])
+    level = levels[N._cells(h, len(levels))]
+    common = np.isin(h, h[:o[1]])
+    assert level[common].min() > np.quantile(level[~common], 0.99)
