@@ -498,3 +498,88 @@ def test_stages_keep_columns_of_any_name(spark):
         assert out.columns == names
         assert {tuple(r)[2:8] for r in out.collect()} <= {(1, "a", "b", "c", "d", "e")}
     assert {r["doc_id"] for r in N.keep_one_per_group(docs).collect()} == {1, 3}
+
+
+# --- training steps against plain loops ------------------------------------
+
+def test_tree_and_pair_steps_equal_all_cuts():
+    r = np.random.default_rng(1)
+
+    def value(g, h):
+        return g.sum() / (h.sum() + G.SHRINK)
+
+    def gain(*parts):
+        return sum(g.sum() ** 2 / (h.sum() + G.SHRINK) for g, h in parts)
+    for _ in range(60):
+        n = int(r.integers(2, 12))
+        g, h = r.normal(size=n), r.uniform(.1, 2, n)
+
+        def split(lo, hi):
+            cuts = [gain((g[lo:k], h[lo:k]), (g[k:hi], h[k:hi])) for k in range(lo + 1, hi)]
+            if not cuts or max(cuts) <= gain((g[lo:hi], h[lo:hi])) + 1e-9:
+                return [(lo, hi)]
+            k = lo + 1 + int(np.argmax(cuts))
+            return [(lo, k), (k, hi)]
+        want = np.zeros(n)
+        for part in split(0, n):
+            for lo, hi in split(*part):
+                want[lo:hi] = value(g[lo:hi], h[lo:hi])
+        assert np.allclose(G._tree(g, h), want)
+        grid, weight = r.normal(size=(5, 5)), r.uniform(.1, 2, (5, 5))
+        best = None
+        for i in range(1, 5):
+            for j in range(1, 5):
+                parts = [(grid[a, b], weight[a, b]) for a in (slice(0, i), slice(i, 5)) for b in (slice(0, j), slice(j, 5))]
+                if best is None or gain(*parts) > best[0] + 1e-12:
+                    cells = np.zeros((5, 5))
+                    for a in (slice(0, i), slice(i, 5)):
+                        for b in (slice(0, j), slice(j, 5)):
+                            cells[a, b] = value(grid[a, b], weight[a, b])
+                    best = (gain(*parts), cells)
+        got = G._quadrants(grid, weight)
+        assert np.isclose(got[0], best[0] - gain((grid, weight))) and np.allclose(got[1], best[1])
+
+
+def test_gam_scores_are_table_sums():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, len(G.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > .3)).astype(float)
+    m = G.fit(x, y)
+    got = G.score(m, x[:50])
+    for row, p in zip(x[:50], got):
+        total = m["base"]
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, m["edges"])]
+        total += sum(t[b] for t, b in zip(m["tables"], bins))
+        total += sum(t[cf[bins[f]], cg[bins[g]]] for f, g, cf, cg, t in m["pairs"])
+        assert np.isclose(p, 1 / (1 + np.exp(-total)))
+    assert ((got > .5) == (y[:50] > .5)).mean() > .9
+
+
+def test_ftrl_equals_a_plain_loop():
+    import math
+    r = random.Random(7)
+    rows = []
+    for _ in range(40):
+        at = sorted(r.sample(range(25), r.randint(1, 6)))
+        rows.append((np.array(at), np.array([r.random() for _ in at]), r.randrange(3)))
+    z, n = Counter(), Counter()
+
+    def weight(i, k):
+        if abs(z[i, k]) <= L.L1:
+            return 0.0
+        return -(z[i, k] - math.copysign(L.L1, z[i, k])) / ((L.BETA + math.sqrt(n[i, k])) / L.ALPHA + L.L2)
+    for _ in range(L.EPOCHS):
+        for at, v, truth in rows:
+            feats = [*zip(at.tolist(), v.tolist()), (L.BUCKETS, 0.1)]
+            w = {(i, k): weight(i, k) for i, _ in feats for k in range(3)}
+            logit = [sum(x * w[i, k] for i, x in feats) for k in range(3)]
+            e = [math.exp(x - max(logit)) for x in logit]
+            for i, x in feats:
+                for k in range(3):
+                    g = x * (e[k] / sum(e) - (k == truth))
+                    z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / L.ALPHA * w[i, k]
+                    n[i, k] += g * g
+    got = L.ftrl(rows, 3)
+    want = np.array([[weight(i, k) for k in range(3)] for i in [*range(25), L.BUCKETS]])
+    assert np.allclose(got[[*range(25), L.BUCKETS]], want)
+    assert not got[25:L.BUCKETS].any()
