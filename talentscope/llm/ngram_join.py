@@ -474,8 +474,8 @@ def _open_groups(lists: DataFrame, named: DataFrame,
     stats = named.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("lo"),
                                      F.max("n").alias("hi"))
     weight = named.groupBy("comp").agg(F.count("*").alias("weight"))
-    known = (named.join(weight, "comp").join(stats.select("grp", "members"), "grp")
-             .select("cls", "grp", "members", "comp", "weight"))
+    known = (named.join(weight, "comp").join(stats, "grp")
+             .select("cls", "grp", "members", "lo", "hi", "comp", "weight"))
     g = lists.join(known, "cls")
     mixed = (g.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
              .filter("x <> y").select("token"))
@@ -484,7 +484,7 @@ def _open_groups(lists: DataFrame, named: DataFrame,
                           (F.pmod(F.xxhash64("token"), F.lit(n_buckets)) + 1).cast("int"))
     rows = (g.join(mixed, "token")
             .select(bucket.alias("bucket"), "token", "cls", "grp", "members", "n", "place",
-                    "comp", "weight")
+                    "comp", "weight", "lo", "hi")
             .repartition(n_buckets, "bucket"))
 
     def run(batches):
@@ -492,9 +492,9 @@ def _open_groups(lists: DataFrame, named: DataFrame,
         if not got:
             return
         t = pa.Table.from_batches(got)
-        columns = [t.column(i).to_numpy() for i in range(1, 9)]
+        columns = [t.column(i).to_numpy() for i in range(1, 11)]
         order = np.lexsort((columns[1], columns[6], columns[7], columns[2], columns[0]))
-        token, cls, grp, members, n, place, comp, weight = (x[order] for x in columns)
+        token, cls, grp, members, n, place, comp, weight, lo, hi = (x[order] for x in columns)
         starts = np.append(np.flatnonzero(_firsts(token)), len(token))
         qs, gs = [], []
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -502,8 +502,8 @@ def _open_groups(lists: DataFrame, named: DataFrame,
             for i in tails.tolist():             # the group's class of the largest component
                 q = (weight[s:e] < weight[i]) | ((weight[s:e] == weight[i])
                                                  & (comp[s:e] < comp[i]))
-                if members[i] == 1:
-                    q &= 4 * np.minimum(n[s:e], n[i]) >= 3 * np.maximum(n[s:e], n[i])
+                # some member's size must allow a link
+                q &= (4 * n[s:e] >= 3 * lo[i]) & (3 * n[s:e] <= 4 * hi[i])
                 q = np.flatnonzero(q) + s
                 qs.append(q)
                 gs.append(np.full(len(q), i))
