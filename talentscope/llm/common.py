@@ -80,7 +80,8 @@ def discard_noted(spark: SparkSession, made: list[str], still_read: DataFrame) -
     """Removes noted folders and tables except those that ``still_read`` reads, which
     are returned; shuffle files that nothing refers to any more go as well."""
     files = [unquote(f) for f in still_read.inputFiles()] if made else []
-    kept = [place for place in made if any(f"{place}/" in f for f in files)]
+    # names are unique; whole paths may be written in several ways (file:/ and file:///)
+    kept = [place for place in made if any(f"/{place.rpartition('/')[2]}/" in f for f in files)]
     for place in made:
         if place in kept:
             continue
