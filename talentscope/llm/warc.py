@@ -222,7 +222,12 @@ def _row(fields: dict[str, list[str]], block: bytes, error: str | None, with_pay
 
 def _captures(record_id: str | None, links: dict[str, list[str]]) -> list[str]:
     """The record itself if it names no other, else the records that its chain ends at."""
-    ends, seen, todo = set(), set(), [record_id] if record_id else []
+    named = links.get(record_id)
+    if not named:
+        return [record_id] if record_id else []
+    if links.keys().isdisjoint(named):
+        return sorted(set(named))
+    ends, seen, todo = set(), set(), [record_id]
     while todo:
         at = todo.pop()
         if at not in seen:
