@@ -118,5 +118,4 @@ class TextIndex:
         a query without terms finds nothing."""
         terms = query_terms(queries)
         needed = [r[0] for r in terms.select(self._bucket("token")).distinct().collect()]
-        return match_all_terms(terms, self.postings(sorted(needed)).select("token", "doc_id"),
-                               "doc_id", materialise=True)
+        return match_all_terms(terms, self.postings(sorted(needed)).select("token", "doc_id"), "doc_id")
