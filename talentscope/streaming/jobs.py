@@ -6,14 +6,15 @@
   one per day (over ``window_time`` of the first, Spark's chained window
   aggregation) counts its rows — exact distinct without a set in the state,
   and the means are Σ sums / Σ counts, as the batch ``avg`` computes them.
-* STR-2 cache replay: ``applyInPandasWithState`` keyed by cache key; the
-  state is the key's current anchor (time and id), so a key costs a few bytes
-  of state however long it lives. Within a micro-batch a key's requests are
-  sorted by (time, id) and folded — by search, once per miss (the next miss
-  is the first request at or after the last miss + ttl), not once per
-  request; across batches order is assumed (a late request is judged against
-  the current anchor). A key's rows of one micro-batch meet in one task, so
-  the micro-batch size (``maxFilesPerTrigger``) bounds that group.
+* STR-2 cache replay: ``applyInPandasWithState`` keyed by a hash bucket of the
+  cache key, as a call and a state of their own for each key take longer than its
+  few requests; the state holds the current anchor (time and id) of each key of
+  the bucket whose entry has not ended, so a key costs a few bytes while it lives. Within a
+  micro-batch a key's requests are sorted by (time, id) and folded — by search,
+  once per miss (the next miss is the first request at or after the last miss +
+  ttl), not once per request; across batches order is assumed (a late request is
+  judged against the current anchor). A bucket's rows of one micro-batch meet in
+  one task, so the micro-batch size (``maxFilesPerTrigger``) bounds that group.
 * STR-3 view counts: stream–static join with the document table and an
   update-mode count per document, written by ``foreachBatch`` (each batch's
   changed counts, tagged by batch id; the latest per document is current).
@@ -113,50 +114,66 @@ REPLAY_OUT = T.StructType([
     T.StructField("cache_key", T.StringType()), T.StructField("requested_at", S.NTZ),
     T.StructField("hit", T.BooleanType()), T.StructField("anchor_id", T.LongType()),
 ])
-REPLAY_STATE = T.StructType([T.StructField("anchor_us", T.LongType()),
-                             T.StructField("anchor_id", T.LongType())])
+REPLAY_STATE = T.StructType([T.StructField("cache_key", T.ArrayType(T.StringType())),
+                             T.StructField("anchor_us", T.ArrayType(T.LongType())),
+                             T.StructField("anchor_id", T.ArrayType(T.LongType()))])
+#: Hash buckets of the cache keys; they belong to a stream's checkpoint.
+REPLAY_BUCKETS = 4096
 
 
 def _replay_fn(ttl_us: int):
     def fold(key, batches, state):
-        if state.hasTimedOut:            # the watermark has passed anchor + ttl: dead entry
+        if state.hasTimedOut:            # the watermark has passed every anchor + ttl: dead entries
             state.remove()
             return
-        anchor_us, anchor_id = (state.get if state.exists else (None, None))
-        # the key's rows of this micro-batch may come in several chunks in no
+        live = {k: (us, i) for k, us, i in zip(*state.get)} if state.exists else {}
+        # the bucket's rows of this micro-batch may come in several chunks in no
         # particular order: sort them together (they are in this task anyway)
         frames = [f for f in batches if len(f)]
         if frames:
             pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-            us = pdf["requested_at"].astype("datetime64[us]").astype("int64")
-            pdf = pdf.assign(_us=us.values).sort_values(["_us", "id"], kind="stable")
-            t, ids = pdf["_us"].to_numpy(), pdf["id"].to_numpy()
-            first = 0 if anchor_us is None else int(np.searchsorted(t, anchor_us + ttl_us, "left"))
-            miss = TTL.miss_positions(t, ttl_us, first)
-            hit = np.ones(len(t), dtype=bool)
-            hit[miss] = False
-            # the entry serving row j is the last miss at or before j, else the state's
-            k = TTL.served_by_position(len(t), miss)
-            own = ids[miss[np.maximum(k, 0)]] if len(miss) else np.zeros(len(t), dtype=np.int64)
-            served = np.where(k >= 0, own, -1 if anchor_id is None else anchor_id)
-            if len(miss):
-                anchor_us, anchor_id = int(t[miss[-1]]), int(ids[miss[-1]])
+            us = pdf["requested_at"].astype("datetime64[us]").astype("int64").to_numpy()
+            codes, keys = pd.factorize(pdf["cache_key"], use_na_sentinel=False)
+            order = np.lexsort((pdf["id"].to_numpy(), us, codes))
+            pdf, codes, us = pdf.iloc[order], codes[order], us[order]
+            ids = pdf["id"].to_numpy()
+            hit, served = np.ones(len(us), dtype=bool), np.empty(len(us), dtype=np.int64)
+            cuts = np.searchsorted(codes, np.arange(len(keys) + 1))
+            for k, lo, hi in zip(keys, cuts[:-1].tolist(), cuts[1:].tolist()):
+                k = None if pd.isna(k) else k
+                t = us[lo:hi]
+                anchor_us, anchor_id = live.get(k, (None, -1))
+                first = 0 if anchor_us is None else int(np.searchsorted(t, anchor_us + ttl_us, "left"))
+                served[lo:lo + first] = anchor_id
+                miss = TTL.miss_positions(t, ttl_us, first) + lo
+                if len(miss):
+                    hit[miss] = False
+                    # the entry serving a row is the last miss at or before it, else the state's
+                    served[miss[0]:hi] = np.repeat(ids[miss], np.diff(miss, append=hi))
+                    live[k] = (int(us[miss[-1]]), int(ids[miss[-1]]))
             yield pd.DataFrame({"id": ids, "user_id": pdf["user_id"].values,
                                 "cache_key": pdf["cache_key"].values,
                                 "requested_at": pdf["requested_at"].values,
                                 "hit": hit, "anchor_id": served})
-        if anchor_us is not None:
-            state.update((anchor_us, anchor_id))
-            ends_ms = (anchor_us + ttl_us) // 1000
+        # entries that ended before the watermark serve nothing any more
+        now_us = state.getCurrentWatermarkMs() * 1000
+        live = {k: v for k, v in live.items() if v[0] + ttl_us > now_us}
+        if live:
+            state.update((list(live), [us for us, _ in live.values()], [i for _, i in live.values()]))
+            ends_ms = (max(us for us, _ in live.values()) + ttl_us) // 1000
             state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
     return fold
 
 
-def cache_replay_stream(requests: DataFrame, ttl_s: int = S.SEARCH_CACHE_TTL_S) -> DataFrame:
-    """``requests``: id, user_id, cache_key, requested_at (streaming). A key's state is
-    dropped once the watermark (a day behind) passes the end of its entry."""
-    timed = requests.withColumn("event_time", F.col("requested_at").cast("timestamp"))
-    return timed.withWatermark("event_time", "1 day").groupBy("cache_key").applyInPandasWithState(
+def cache_replay_stream(requests: DataFrame, ttl_s: int = S.SEARCH_CACHE_TTL_S,
+                        buckets: int = REPLAY_BUCKETS) -> DataFrame:
+    """``requests``: id, user_id, cache_key, requested_at (streaming). A key's entry is
+    dropped once the watermark (a day behind) passes its end."""
+    timed = (requests.withColumn("event_time", F.col("requested_at").cast("timestamp"))
+             .withColumn("bucket", F.pmod(F.xxhash64("cache_key"), F.lit(buckets))))
+    return timed.withWatermark("event_time", "1 day").groupBy("bucket").applyInPandasWithState(
         _replay_fn(int(ttl_s) * 1_000_000), REPLAY_OUT, REPLAY_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 

@@ -92,6 +92,40 @@ def test_stream_fold_equals_sequential_fold_across_batches():
     assert got == want
 
 
+def test_stream_fold_of_many_keys_in_one_bucket_equals_a_loop():
+    """One call folds all keys of a bucket; ended entries leave the state."""
+    import random
+
+    import pandas as pd
+    rnd = random.Random(5)
+    ttl, base = 10, pd.Timestamp("2024-01-01")
+    rows = sorted((rnd.randrange(0, 120), i, rnd.choice(["a", "b", "c", None])) for i in range(400))
+    want, live = {}, {}
+    for t, rid, key in rows:
+        if key in live and t - live[key][0] < ttl:
+            want[rid] = (key, True, live[key][1])
+        else:
+            live[key] = (t, rid)
+            want[rid] = (key, False, rid)
+    fold = jobs._replay_fn(ttl * 1_000_000)
+    state, got = _State(), {}
+    for lo, hi in [(0, 3), (3, 150), (150, 151), (151, len(rows))]:
+        part = rows[lo:hi]
+        rnd.shuffle(part)
+        pdf = pd.DataFrame({"id": [r for _, r, _ in part], "user_id": 1, "cache_key": [k for *_, k in part],
+                            "requested_at": [base + pd.Timedelta(seconds=t) for t, *_ in part]})
+        for out in fold((7,), iter([pdf.iloc[:1], pdf.iloc[1:]]), state):
+            got.update({r.id: (None if pd.isna(r.cache_key) else r.cache_key, bool(r.hit), int(r.anchor_id))
+                        for r in out.itertuples()})
+    assert got == want
+    assert sorted(map(str, state.get[0])) == ["None", "a", "b", "c"]
+    state.getCurrentWatermarkMs = lambda: int((base.timestamp() + 115) * 1000)
+    late = pd.DataFrame({"id": [900], "user_id": 1, "cache_key": ["d"],
+                         "requested_at": [base + pd.Timedelta(seconds=130)]})
+    list(fold((7,), iter([late]), state))
+    assert set(state.get[0]) == {"d"} | {k for k, v in live.items() if v[0] + ttl > 115}
+
+
 def test_stream_daily_metrics_closed_days_equal_batch(spark):
     """Three micro-batches: every closed day equals the batch metrics exactly,
     distinct users included."""
