@@ -324,3 +324,22 @@ def test_foreign_keys_shuffle_distinct_keys_only(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert "BroadcastHashJoin" in final and "LeftAnti" in final and "LeftSemi" in final
+
+
+def test_foreign_keys_meet_in_all_shuffle_partitions(spark):
+    """The parent's keys are not aggregated, and AQE does not join the tasks that meet."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get(
+        "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        parents = spark.range(3000).selectExpr("concat('p', id % 1500) as id")      # every key twice
+        child = spark.range(4000).selectExpr("id", "concat('p', id % 1600) as created_by")
+        out = VAL.fk_violations({"users": parents, "resumes": child})
+        assert sorted(r["missing_key"] for r in out.collect()) == sorted(
+            f"p{i % 1600}" for i in range(4000) if i % 1600 >= 1500)
+        meet = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("LeftAnti")[1]
+        assert "REPARTITION_BY_NUM" in meet and "coalesced" not in meet
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", kept[1])
